@@ -49,31 +49,33 @@ def n_new_claims(original: Column, enhanced: Column) -> Column:
 
 def contradictions(original: Column, enhanced: Column) -> Column:
     """Words negated in the original and affirmed in the enhanced text, plus opposite pairs."""
-    tokens = F.array_distinct(T.lower_tokens(enhanced))
-
-    def negated(lead):
+    def negated(lead, tokens):
         found = F.regexp_extract_all(original, F.lit(r"(?iU)\b%s\s+(\w+)" % lead), F.lit(1))
         return F.filter(found, lambda w: F.array_contains(tokens, F.lower(w)))
 
-    def opposite(word, other):
+    def opposite(word, other, tokens):
         found = F.regexp_extract_all(original, F.lit(r"(?iU)\b%s" % word), F.lit(0))
         return F.when(F.exists(tokens, lambda t: t.startswith(other)), found).otherwise(
             F.array().cast("array<string>"))
 
-    return F.concat(negated("not"), negated("no"), opposite("false", "true"), opposite("impossible", "possible"))
+    return T.let(F.array_distinct(T.lower_tokens(enhanced)), lambda tokens: F.concat(
+        negated("not", tokens), negated("no", tokens), opposite("false", "true", tokens),
+        opposite("impossible", "possible", tokens)))
 
 
 def unsupported(original: Column, enhanced: Column, keep: int = 5) -> Column:
     """Sentences over 20 characters of which over 70 % of the words are new."""
-    known = F.array_distinct(T.words(F.lower(original)))
     parts = F.transform(F.split(enhanced, r"\."), T.trim_ws)
 
-    def new_share(s):
-        ws = T.set_of(T.words(F.lower(s)))
-        return F.size(F.array_except(ws, known)) > F.size(ws) * 0.7
+    def kept(known):
+        def new_share(s):
+            ws = T.set_of(T.words(F.lower(s)))
+            return F.size(F.array_except(ws, known)) > F.size(ws) * 0.7
+
+        return F.filter(parts, lambda s: (F.length(s) > 20) & new_share(s))
 
-    kept = F.filter(parts, lambda s: (F.length(s) > 20) & new_share(s))
-    return F.transform(F.slice(kept, 1, keep), lambda s: F.when(
+    found = T.let(F.array_distinct(T.words(F.lower(original))), kept)
+    return F.transform(F.slice(found, 1, keep), lambda s: F.when(
         F.length(s) > 100, F.concat(F.substring(s, 1, 100), F.lit("..."))).otherwise(s))
 
 

@@ -74,10 +74,8 @@ def coherence_transitions(c: Column, phrases=None) -> Column:
     parts = F.transform(F.split(F.lower(c), r"\."), lambda p: F.struct(
         p.alias("p"), T.set_of(T.words(p)).alias("w")))
     n = F.size(F.split(c, r"\."))
-    pairs = F.zip_with(
-        F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice(parts, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.when(T.contains_any(b["p"], phrases or FV.TRANSITION_PHRASES), 1.0).otherwise(0.0)
+    pairs = T.neighbours(parts, lambda a, b: F.when(
+        T.contains_any(b["p"], phrases or FV.TRANSITION_PHRASES), 1.0).otherwise(0.0)
         + F.when(F.size(F.array_intersect(a["w"], b["w"])) >= 2, 0.5).otherwise(0.0))
     total = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
     return F.when(n < 2, F.lit(1.0)).otherwise(F.least(T.ratio(total, n - 1), F.lit(1.0)))
@@ -255,12 +253,16 @@ def readability_simple(c: Column, word_array: Column) -> Column:
 
 def sentiment(tokens: Column, positive=None, negative=None) -> Column:
     """struct(polarity, subjectivity, positive, negative) from lower-case tokens."""
-    alpha = F.filter(tokens, lambda t: t.rlike(r"^\p{L}+$"))
-    pos = F.size(F.filter(alpha, lambda t: t.isin(*(positive or FV.POSITIVE_WORDS))))
-    neg = F.size(F.filter(alpha, lambda t: t.isin(*(negative or FV.NEGATIVE_WORDS))))
-    return F.struct(T.ratio(pos - neg, pos + neg).alias("polarity"),
-                    T.ratio(pos + neg, F.size(alpha)).alias("subjectivity"),
-                    pos.alias("positive"), neg.alias("negative"))
+    def scored(alpha):
+        pos = F.size(F.filter(alpha, lambda t: t.isin(*(positive or FV.POSITIVE_WORDS))))
+        neg = F.size(F.filter(alpha, lambda t: t.isin(*(negative or FV.NEGATIVE_WORDS))))
+        return F.struct(pos.alias("positive"), neg.alias("negative"), F.size(alpha).alias("n"))
+
+    counts = T.let(F.filter(tokens, lambda t: t.rlike(r"^\p{L}+$")), scored)
+    return T.let(counts, lambda k: F.struct(
+        T.ratio(k["positive"] - k["negative"], k["positive"] + k["negative"]).alias("polarity"),
+        T.ratio(k["positive"] + k["negative"], k["n"]).alias("subjectivity"),
+        k["positive"].alias("positive"), k["negative"].alias("negative")))
 
 
 def complexity(tokens: Column, n_entities: Column) -> Column:

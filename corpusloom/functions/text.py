@@ -74,9 +74,17 @@ def alpha_words(word_array: Column) -> Column:
     return F.transform(F.filter(word_array, lambda w: w.rlike(r"^\p{L}+$")), F.lower)
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once.
+
+    Inside a higher-order function an outer expression is evaluated again for every
+    element; binding it to a lambda variable first avoids that.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def ratio(part: Column, whole: Column, default: float = 0.0) -> Column:
-    return F.when(whole == 0, F.lit(default)).otherwise(
-        part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)))
+    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(float(default)))
 
 
 def contains_any(lowered: Column, terms) -> Column:
@@ -90,7 +98,7 @@ def hits(lowered: Column, terms) -> Column:
 
 def terms_found(lowered: Column, terms) -> Column:
     """The terms that occur as substrings, in list order."""
-    return F.filter(lit_array(terms), lambda t: F.contains(lowered, t))
+    return let(lowered, lambda low: F.filter(lit_array(terms), lambda t: F.contains(low, t)))
 
 
 def word_pattern(terms) -> str:
@@ -219,11 +227,12 @@ def surface_entities(c: Column) -> Column:
 
 def labeled_entities(c: Column) -> Column:
     """array<struct<text,label,start,end,confidence>> from the label patterns."""
-    return F.concat(*[
-        F.transform(spans(c, pattern), lambda s, label=label: F.struct(
+    def one(label, pattern):
+        return F.transform(spans(c, pattern), lambda s: F.struct(
             s["text"].alias("text"), F.lit(label).alias("label"), s["start"].alias("start"),
             s["end"].alias("end"), F.lit(0.6).alias("confidence")))
-        for label, pattern in LABEL_PATTERNS.items()])
+
+    return F.concat(*[one(label, pattern) for label, pattern in LABEL_PATTERNS.items()])
 
 
 def n_labeled_entities(c: Column) -> Column:
@@ -258,19 +267,28 @@ def concepts(c: Column, keep: int = 10) -> Column:
 
 def themes(c: Column, keep: int = 5, lexicon: dict | None = None) -> Column:
     """array<struct<theme,score>>: themes by number of keywords present, best first."""
-    low = F.lower(c)
-    rows = [
-        F.struct((-hits(low, kws)).alias("neg"), F.lit(i).alias("pos"), F.lit(name).alias("theme"))
-        for i, (name, kws) in enumerate((lexicon or FV.THEME_KEYWORDS).items())]
-    ranked = F.array_sort(F.filter(F.array(*rows), lambda r: r["neg"] < 0))
-    return F.transform(F.slice(ranked, 1, keep), lambda r: F.struct(
+    table = (lexicon or FV.THEME_KEYWORDS).items()
+
+    def ranked(low):
+        rows = [F.struct((-hits(low, kws)).alias("neg"), F.lit(i).alias("pos"), F.lit(name).alias("theme"))
+                for i, (name, kws) in enumerate(table)]
+        return F.slice(F.array_sort(F.filter(F.array(*rows), lambda r: r["neg"] < 0)), 1, keep)
+
+    return F.transform(let(F.lower(c), ranked), lambda r: F.struct(
         r["theme"].alias("theme"), (-r["neg"]).alias("score")))
 
 
+def neighbours(items: Column, fn) -> Column:
+    """``fn(item, next item)`` over an array."""
+    def zipped(v):
+        n = F.greatest(F.size(v) - 1, F.lit(0))
+        return F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, F.lit(2), n), fn)
+
+    return let(items, zipped)
+
+
 def bigrams(word_array: Column) -> Column:
-    return F.zip_with(F.slice(word_array, F.lit(1), F.greatest(F.size(word_array) - 1, F.lit(0))),
-                      F.slice(word_array, F.lit(2), F.greatest(F.size(word_array) - 1, F.lit(0))),
-                      lambda a, b: F.concat_ws(" ", a, b))
+    return neighbours(word_array, lambda a, b: F.concat_ws(" ", a, b))
 
 
 # --- language ------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as TY
 
 from corpusloom import fixed_values as FV
 from corpusloom.functions import scores as S, text as T
@@ -38,8 +38,9 @@ def first_by_signature(rows: Column) -> Column:
         return F.concat_ws("\u0001", F.substring(F.lower(T.trim_ws(r["question"])), 1, 50),
                            F.substring(F.lower(T.trim_ws(r["answer"])), 1, 50))
 
-    signatures = F.transform(rows, sig)
-    return F.filter(rows, lambda r, i: F.array_position(signatures, sig(r)) == i + 1)
+    signed = F.transform(rows, lambda r: F.struct(sig(r).alias("sig"), r.alias("row")))
+    return T.let(signed, lambda v: T.let(F.transform(v, lambda x: x["sig"]), lambda sigs: F.transform(
+        F.filter(v, lambda x, i: F.array_position(sigs, x["sig"]) == i + 1), lambda x: x["row"])))
 
 
 def extract_structured_qa(df: DataFrame, col: str = "text") -> DataFrame:
@@ -49,35 +50,42 @@ def extract_structured_qa(df: DataFrame, col: str = "text") -> DataFrame:
         F.lit(0.9).alias("confidence"))
 
 
-_SEGMENT = "array<struct<question:string,answer:string,start:int,end:int,pattern_no:int>>"
+_SEGMENT = TY.ArrayType(TY.StructType([
+    TY.StructField("question", TY.StringType()), TY.StructField("answer", TY.StringType()),
+    TY.StructField("start", TY.IntegerType()), TY.StructField("end", TY.IntegerType()),
+    TY.StructField("pattern_no", TY.IntegerType())]))
 
 
-@F.pandas_udf(_SEGMENT)
-def qa_segments(texts: pd.Series) -> pd.Series:
+def _qa_segments_udf(patterns=None, shortest: int = FV.MIN_SEGMENT, longest: int = FV.MAX_SEGMENT):
     """Spans matched by the patterns in precedence order; a span touching a taken one is skipped.
 
-    Look-ahead with positions and overlap by precedence have no column expression.
+    Positions of look-ahead matches and overlap by precedence have no column expression.
     """
-    patterns = [(re.compile(p, re.DOTALL | re.IGNORECASE), q, a) for p, q, a in FV.QA_SEGMENT_PATTERNS]
+    source = list(patterns or FV.QA_SEGMENT_PATTERNS)
 
-    def one(text):
-        taken, out = [], []
-        for i, (pattern, q, a) in enumerate(patterns):
-            for m in pattern.finditer(text or ""):
-                s, e = m.span()
-                if any(s < te and ts < e for ts, te in taken):
-                    continue
-                taken.append((s, e))
-                question, answer = m.group(q).strip(), m.group(a).strip()
-                if all(FV.MIN_SEGMENT <= len(x) <= FV.MAX_SEGMENT for x in (question, answer)):
-                    out.append({"question": question, "answer": answer, "start": s, "end": e, "pattern_no": i})
-        return sorted(out, key=lambda r: r["start"])
+    def segments(texts: pd.Series) -> pd.Series:
+        compiled = [(re.compile(p, re.DOTALL | re.IGNORECASE), q, a) for p, q, a in source]
 
-    return texts.map(one)
+        def one(text):
+            taken, out = [], []
+            for i, (pattern, q, a) in enumerate(compiled):
+                for m in pattern.finditer(text or ""):
+                    s, e = m.span()
+                    if any(s < te and ts < e for ts, te in taken):
+                        continue
+                    taken.append((s, e))
+                    question, answer = m.group(q).strip(), m.group(a).strip()
+                    if shortest <= len(question) <= longest and shortest <= len(answer) <= longest:
+                        out.append({"question": question, "answer": answer, "start": s, "end": e, "pattern_no": i})
+            return sorted(out, key=lambda r: r["start"])
+
+        return texts.map(one)
+
+    return F.pandas_udf(segments, _SEGMENT)
 
 
 def with_qa_segments(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn("qa_segments", qa_segments(F.col(col)))
+    return df.withColumn("qa_segments", _qa_segments_udf()(F.col(col)))
 
 
 def extract_qa_segments(df: DataFrame, col: str = "text") -> DataFrame:
@@ -207,8 +215,7 @@ def speaker_pairs(c: Column) -> Column:
         T.trim_ws(F.regexp_extract(T.trim_ws(l), speaker, 2)).alias("what")))
     said = F.filter(F.transform(said, lambda s: F.struct(role(s["who"]).alias("role"), s["who"].alias("who"), s["what"].alias("what"))),
                     lambda s: s["role"].isNotNull())
-    follow = F.zip_with(F.slice(said, F.lit(1), F.greatest(F.size(said) - 1, F.lit(0))),
-                        F.slice(said, F.lit(2), F.greatest(F.size(said) - 1, F.lit(0))), lambda a, b: F.struct(
+    follow = T.neighbours(said, lambda a, b: F.struct(
         a["role"].alias("r1"), b["role"].alias("r2"), a["what"].alias("question"), b["what"].alias("answer"),
         a["who"].alias("questioner"), b["who"].alias("answerer")))
     return F.filter(follow, lambda p: (p["r1"] == "q") & (p["r2"] == "a") & valid_qa(p["question"], p["answer"]))

@@ -9,10 +9,7 @@ from corpusloom.functions import scores as S, text as T
 
 def question_answers(c):
     """Sentences ending in ? with the sentence after them."""
-    s = T.marked_sentences(c)
-    pairs = F.zip_with(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))),
-                       F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))),
-                       lambda a, b: F.struct(a.alias("question"), b.alias("potential_answer")))
+    pairs = T.neighbours(T.marked_sentences(c), lambda a, b: F.struct(a.alias("question"), b.alias("potential_answer")))
     return F.filter(pairs, lambda p: p["question"].endswith("?"))
 
 

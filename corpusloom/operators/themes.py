@@ -31,8 +31,12 @@ def theme_matches(df: DataFrame, themes: list[str], before: int = 2, after: int
 def regex_hits(c: Column, themes: list[str], case_sensitive: bool = False) -> Column:
     """array<struct<start,end,keyword,confidence>> of every literal occurrence."""
     flag = "" if case_sensitive else "(?iu)"
-    return F.concat(*[F.transform(T.spans(c, flag + r"\Q" + t + r"\E"), lambda s, t=t: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(t).alias("keyword"), F.lit(0.5).alias("confidence"))) for t in themes])
+    return F.concat(*[_tagged(c, flag + r"\Q" + t + r"\E", t) for t in themes])
+
+
+def _tagged(c: Column, pattern: str, name: str) -> Column:
+    return F.transform(T.spans(c, pattern), lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.lit(name).alias("keyword"), F.lit(0.5).alias("confidence")))
 
 
 def _with_context(rows: DataFrame, reach: int = 200) -> DataFrame:
@@ -93,8 +97,7 @@ def dedupe_overlaps(matches: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def custom_patterns(df: DataFrame, patterns: dict[str, str], col: str = "text") -> DataFrame:
     """Matches of the user's own regular expressions, labelled by name."""
-    found = F.concat(*[F.transform(T.spans(F.col(col), p), lambda s, n=n: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(n).alias("keyword"), F.lit(0.5).alias("confidence"))) for n, p in patterns.items()])
+    found = F.concat(*[_tagged(F.col(col), p, n) for n, p in patterns.items()])
     return _with_context(df.select("doc_id", F.col(col).alias("_t"), F.inline(found)))
 
 
@@ -104,8 +107,7 @@ def top_phrases(df: DataFrame, keep: int = 10, col: str = "text") -> DataFrame:
     Pairs are counted per (document, phrase) before ranking; the rank filter is
     applied map-side first, so a long document does not gather in one task.
     """
-    grams = F.transform(T.bigrams(T.words(F.lower(F.col(col)))), lambda g: g)
-    rows = df.select("doc_id", grams.alias("_g")).select("doc_id", F.size("_g").alias("_n"), F.explode("_g").alias("phrase"))
+    rows = df.select("doc_id", T.bigrams(T.words(F.lower(F.col(col)))).alias("_g")).select("doc_id", F.size("_g").alias("_n"), F.explode("_g").alias("phrase"))
     counts = rows.filter(F.length("phrase") > 2).groupBy("doc_id", "_n", "phrase").agg(F.count("*").alias("frequency"))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("frequency"), "phrase"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= keep).select(
@@ -114,17 +116,21 @@ def top_phrases(df: DataFrame, keep: int = 10, col: str = "text") -> DataFrame:
 
 def phrase_scores(c: Column, keep: int = 15) -> Column:
     """Best word pairs of a text by length, name status and closeness to the middle."""
-    ws = T.words(c)
-    grams, n = T.bigrams(ws), F.greatest(F.size(ws), F.lit(1))
+    def scored(n):
+        def one(g, i):
+            name = g.rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$")
+            value = (F.lit(0.4 * 2 / 5) + F.when(name, F.lit(0.4 * 0.5)).otherwise(F.lit(0.0))
+                     + F.lit(0.2) * (F.lit(1.0) - F.abs(F.lit(0.5) - i / n)))
+            return F.struct((-F.round(value, 9)).alias("neg"), i.alias("at"), g.alias("phrase"),
+                            F.when(name, F.lit(1.0)).otherwise(F.lit(0.5)).alias("base_importance"))
+
+        return one
 
-    def scored(g, i):
-        name = g.rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$")
-        value = (F.lit(0.4 * 2 / 5) + F.when(name, F.lit(0.4 * 0.5)).otherwise(F.lit(0.0))
-                 + F.lit(0.2) * (F.lit(1.0) - F.abs(F.lit(0.5) - i / n)))
-        base = F.least(F.lit(0.5) + F.when(name, F.lit(0.5)).otherwise(F.lit(0.0)), F.lit(1.0))
-        return F.struct((-F.round(value, 9)).alias("neg"), i.alias("at"), g.alias("phrase"), base.alias("base_importance"))
+    def ranked(ws):
+        n = F.greatest(F.size(ws), F.lit(1))
+        return T.let(n, lambda k: F.slice(F.array_sort(F.transform(T.bigrams(ws), scored(k))), 1, keep))
 
-    return F.slice(F.array_sort(F.transform(grams, scored)), 1, keep)
+    return T.let(T.words(c), ranked)
 
 
 def phrase_importance(df: DataFrame, keep: int = 15, col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ def local_session(cores: str = "8", **conf) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
