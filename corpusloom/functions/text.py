@@ -270,7 +270,7 @@ def themes(c: Column, keep: int = 5, lexicon: dict | None = None) -> Column:
     table = (lexicon or FV.THEME_KEYWORDS).items()
 
     def ranked(low):
-        rows = [F.struct((-hits(low, kws)).alias("neg"), F.lit(i).alias("pos"), F.lit(name).alias("theme"))
+        rows = [F.named_struct(F.lit("neg"), -hits(low, kws), F.lit("pos"), F.lit(i), F.lit("theme"), F.lit(name))
                 for i, (name, kws) in enumerate(table)]
         return F.slice(F.array_sort(F.filter(F.array(*rows), lambda r: r["neg"] < 0)), 1, keep)
 

@@ -23,3 +23,9 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when the frame has at most ``rows`` rows; stops counting one row past the bound."""
     return df.limit(rows + 1).count() <= rows
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row as a scalar subquery (no join)."""
+    value = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.withColumn("_one", value).select(*df.columns, "_one.*")

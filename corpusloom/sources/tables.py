@@ -29,7 +29,7 @@ TAILS = [
     "\n\nBob Stone: 'stop' she said. \"Not now\" and 'later' he replied. Because it was good, they love it.",
     "\n\n1. one thing\n2. another thing\n- first item\n• second item\n* third item\nName: value of it\n\n"
     "Finally, in conclusion, on the other hand it ended.",
-    "\n\nGrowth and development of learning. For example the idea of freedom; therefore a bad choice was made "
+    "\n\nGrowth and development of learning. For example the idea of freedom and the nature of truth; therefore a bad choice was made "
     "by Ada Lovelace and Alan Turing.\n\n42\n\nCopyright page of it all",
 ]
 
