@@ -22,7 +22,8 @@ def syllables(c: Column) -> Column:
     """
     low = F.lower(c)
     groups = F.regexp_count(low, F.lit("[aeiouy]+"))
-    silent_e = F.regexp_count(low, F.lit(r"(?<!\S)[^\saeiouy]*[aeiouy]\S*[^\saeiouy]\S*e(?!\S)"))
+    # a last vowel group that ends the word in e and has a group before it
+    silent_e = F.regexp_count(low, F.lit(r"[aeiouy][^\saeiouy]+[aeiouy]*e(?!\S)"))
     vowelless = F.regexp_count(low, F.lit(r"(?<!\S)[^\saeiouy]+(?!\S)"))
     return groups - silent_e + vowelless
 

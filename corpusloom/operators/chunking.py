@@ -238,18 +238,31 @@ def candidate_boundaries(df: DataFrame, strategy: ChunkingStrategy = ChunkingStr
 
 
 def chosen_cuts(c: Column, cuts: Column, strategy: ChunkingStrategy = ChunkingStrategy()) -> Column:
-    """Boundaries that give pieces of ``min_size`` to ``max_size`` words; longer stretches are cut by word count."""
-    zero = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("out"))
-
-    def step(acc, b):
-        piece = F.substr(c, acc["at"] + 1, b - acc["at"])
-        n = T.n_words(piece)
-        inner = F.transform(fixed_word_cuts(piece, strategy.target_size), lambda k: k + acc["at"])
-        return (F.when(b <= acc["at"], acc).when(n < strategy.min_size, acc)
-                .when(n <= strategy.max_size, F.struct(b.alias("at"), F.array_append(acc["out"], b).alias("out")))
-                .otherwise(F.struct(b.alias("at"), F.concat(acc["out"], inner).alias("out"))))
-
-    return F.aggregate(cuts, zero, step, lambda acc: F.when(
+    """Boundaries that give pieces of ``min_size`` to ``max_size`` words; longer stretches are cut by word count.
+
+    Words are counted once per gap between candidates and added up; a word that runs
+    across a candidate is counted in both gaps and taken off once.
+    """
+    def gap(a, b):
+        return F.struct(b.alias("b"), T.n_words(F.substr(c, a + 1, b - a)).alias("n"),
+                        F.when((a > 0) & F.substr(c, a, F.lit(2)).rlike(r"^\S\S$"), 1).otherwise(0).alias("joined"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array(F.lit(0)).alias("out"))
+
+    def step(acc, g):
+        # A gap right after a chosen boundary starts afresh, so nothing is taken off there.
+        n = acc["n"] + g["n"] - F.when(acc["n"] > 0, g["joined"]).otherwise(0)
+        inner = F.transform(fixed_word_cuts(F.substr(c, acc["at"] + 1, g["b"] - acc["at"]), strategy.target_size),
+                            lambda k: k + acc["at"])
+
+        def state(at, n_, out):
+            return F.struct(at.alias("at"), n_.alias("n"), out.alias("out"))
+
+        return (F.when(n < strategy.min_size, state(acc["at"], n, acc["out"]))
+                .when(n <= strategy.max_size, state(g["b"], F.lit(0), F.array_append(acc["out"], g["b"])))
+                .otherwise(state(g["b"], F.lit(0), F.concat(acc["out"], inner))))
+
+    return F.aggregate(T.neighbours(cuts, gap), zero, step, lambda acc: F.when(
         F.array_max(acc["out"]) < F.length(c), F.array_append(acc["out"], F.length(c))).otherwise(acc["out"]))
 
 

@@ -29,3 +29,13 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row as a scalar subquery (no join)."""
     value = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
     return df.withColumn("_one", value).select(*df.columns, "_one.*")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a small table whose row groups are fewer than the cores.
+
+    Text work is heavy per byte, so one row group on one core would leave the others idle.
+    A table with splits for every core is returned as it is: no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

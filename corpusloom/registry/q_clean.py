@@ -24,7 +24,7 @@ SELECT m.lang, {route('quality_score')} AS route, count(*) AS n, {R('avg(quality
 """)
 def flagship(spark, sf):
     from corpusloom.plans.flagship import quality_by_route
-    return quality_by_route(TB.table(spark, sf, "documents"))
+    return quality_by_route(TB.text_table(spark, sf, "documents", "doc_id", "lang", "text"))
 
 
 # --- cleaning -----------------------------------------------------------------------------

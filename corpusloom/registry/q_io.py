@@ -43,7 +43,7 @@ def _html(x):
 
 @query("html_to_text", sql=f"SELECT page_id, {_html('html')} AS text FROM pages")
 def html_to_text(spark, sf):
-    return TB.table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return TB.text_table(spark, sf, "pages", "page_id", "html").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 MIME = "CASE doc_id % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' ELSE 'image/png' END"

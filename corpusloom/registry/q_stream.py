@@ -28,7 +28,7 @@ sc AS (SELECT sm.doc_id, semantic_score, language, {LNAMES} AS language_name, la
 @query("stream_score", sql=f"{SCORE} SELECT doc_id, {R('semantic_score')} AS semantic_score, language, language_name, language_confidence, text_length, word_count, n_chunks, {R('mq')} AS mean_chunk_quality FROM sc WHERE text_length <= 10000")
 def stream_score(spark, sf):
     out = scratch(spark, "stream-score")
-    d = ST.read_table_stream(spark, sf, "documents").filter(~ST.too_long())
+    d = ST.read_table_stream(spark, sf, "documents", parts=2 * spark.sparkContext.defaultParallelism).filter(~ST.too_long())
     ST.run_to_end(ST.score_texts(d), out)
     return spark.read.parquet(f"{out}/data")
 
@@ -37,7 +37,7 @@ def stream_score(spark, sf):
 def stream_dead_letter(spark, sf):
     out = scratch(spark, "stream-dead")
     parts = {"dead": lambda b: ST.dead_letters(b, limit=5000), "scored": lambda b: ST.score_texts(b.filter(~ST.too_long(5000)))}
-    ST.run_batches(ST.read_table_stream(spark, sf, "documents"), ST.split_sink(out, parts), out)
+    ST.run_batches(ST.read_table_stream(spark, sf, "documents", parts=2 * spark.sparkContext.defaultParallelism), ST.split_sink(out, parts), out)
     return spark.read.parquet(f"{out}/dead").drop("batch")
 
 

@@ -8,14 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.plans.skew import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
+    """The named columns of a table of texts, spread over the cores when it is small."""
+    return spread(table(spark, sf, name).select(*cols))
+
+
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return text_table(spark, sf, "documents", "doc_id", "text")
 
 
 # Lines put before and after a document so that every structural pattern occurs.

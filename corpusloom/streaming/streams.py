@@ -26,11 +26,12 @@ MAX_STREAM_TEXT = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_table_stream(spark: SparkSession, sf: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A table folder as a stream of its parquet files."""
+def read_table_stream(spark: SparkSession, sf: str, name: str, files_per_batch: int = 1, parts: int | None = None) -> DataFrame:
+    """A table folder as a stream of its parquet files; ``parts`` spreads small batches over tasks."""
     schema = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(sf))
+    d = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+         .option("maxFilesPerTrigger", files_per_batch).parquet(sf))
+    return d.repartition(parts) if parts else d
 
 
 def run_to_end(df: DataFrame, out: str, mode: str = "append", fmt: str = "parquet") -> StreamingQuery:
