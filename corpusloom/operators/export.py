@@ -59,7 +59,7 @@ def grouped_markdown(df: DataFrame, group: str, order: list[str], title: str, bo
 def history_rows(df: DataFrame, key: str = "content_id") -> DataFrame:
     """Refinement history as markdown rows in version order."""
     block = F.concat(F.lit("## Version "), F.col("version").cast("string"), F.lit("\n\n**Refinement Type:** "), "refinement_type",
-                     F.lit("\n\n**Quality Improvement:** +"), F.format_string("%.1f", F.bround(F.col("quality_gain") * 100, 1)), F.lit("%\n\n**Content:**\n"), "content", F.lit("\n\n---\n\n"))
+                     F.lit("\n\n**Quality Improvement:** +"), F.format_string("%.1f", F.bround(F.round(F.col("quality_gain") * 100, 6), 1)), F.lit("%\n\n**Content:**\n"), "content", F.lit("\n\n---\n\n"))
     return df.select(key, "version", block.alias("block"))
 
 

@@ -102,18 +102,20 @@ def performance_trend(df: DataFrame, keep: int = 100, recent: int = 10) -> DataF
 
 
 def progress_eta(df: DataFrame, key: str, total_steps: int) -> DataFrame:
-    """Elapsed time, mean step time and remaining time after each step of a session.
+    """Elapsed, mean step and remaining time in microseconds after each step of a session.
 
     The mean step time is (now - start) / (steps - 1), so a row number and the start
     are enough: no running window over a session.
     """
     start = df.groupBy(key).agg(F.min("ts").alias("_start"))
     d = salted_join(numbered(df, [key], ["ts", "event_id"], "step"), start, [key], "inner", row_id=F.col("event_id"))
-    elapsed = (F.unix_micros("ts") - F.unix_micros("_start")) / 1e6
-    mean = F.when(F.col("step") > 1, elapsed / (F.col("step") - 1)).otherwise(F.lit(0.0))
-    left = F.greatest(F.lit(total_steps) - F.col("step"), F.lit(0)) * mean
-    return d.select(key, "event_id", "step", elapsed.alias("elapsed_s"), mean.alias("avg_step_s"), left.alias("remaining_s"),
-                    (F.unix_micros("ts") / 1e6 + left).alias("completion_epoch_s"))
+    elapsed = F.unix_micros("ts") - F.unix_micros("_start")
+    done = F.nullif(F.col("step") - 1, F.lit(0))
+    mean = F.coalesce(F.floor(elapsed / done).cast("bigint"), F.lit(0))
+    left = F.greatest(F.lit(total_steps) - F.col("step"), F.lit(0))
+    rest = F.coalesce(F.floor(elapsed * left / done).cast("bigint"), F.lit(0))
+    return d.select(key, "event_id", "step", elapsed.alias("elapsed_us"), mean.alias("avg_step_us"), rest.alias("remaining_us"),
+                    (F.unix_micros("ts") + rest).alias("completion_us"))
 
 
 def progress_report(df: DataFrame, key: str, total_steps: int) -> DataFrame:

@@ -235,7 +235,7 @@ def global_themes(spark, sf):
     return GR.global_themes(para_chunks(spark, sf))
 
 
-@query("span_anti_join", sql=f"WITH {QA}, {SEGMENTS} SELECT pair_id, start, question AS text FROM mono WHERE length(question) >= 20")
+@query("span_anti_join", sql=f"WITH RECURSIVE {QA}, {SEGMENTS} SELECT pair_id, start, question AS text FROM mono WHERE length(question) >= 20")
 def span_anti_join(spark, sf):
     d = EX.with_qa_segments(TB.qa_documents(spark, sf).select("pair_id", "text"))
     paras = d.select("pair_id", F.inline(EX.exact_paragraphs(F.col("text")))).filter(F.length("text") >= FV.MIN_SEGMENT)

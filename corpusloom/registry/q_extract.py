@@ -68,11 +68,14 @@ def extract_qa_segments(spark, sf):
 
 SEGMENTS = f"""mono AS (SELECT pair_id, spanlen + 2 AS start, 'As a closing remark on this: ' || u AS question FROM qt
   UNION ALL SELECT pair_id, 0, ql || u || chr(10) || al || a FROM qt WHERE pair_id NOT IN (SELECT pair_id FROM seg)),
-mseg AS (SELECT pair_id, start, question, {mono_sql('question')} AS quality_score FROM mono WHERE length(question) BETWEEN 20 AND 2000)"""
-# Long paragraphs of conversations stay under the segment limit (checked in tests on a fixture).
+lp AS (SELECT pair_id || '@' || start AS doc_id, string_split(regexp_replace(question, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM mono WHERE length(question) > 2000),
+li AS (SELECT doc_id, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i FROM lp), {pack('li', 1999, out='lc')},
+mq AS (SELECT pair_id, start, question, 'monologue' AS content_type FROM mono WHERE length(question) BETWEEN 20 AND 2000
+  UNION ALL SELECT split_part(doc_id, '@', 1), split_part(doc_id, '@', 2)::BIGINT, {trim('text')}, 'passage' FROM lc WHERE length({trim('text')}) >= 20),
+mseg AS (SELECT *, {mono_sql('question')} AS quality_score FROM mq)"""
 
 
-@query("extract_monologue_segments", sql=f"""WITH {QA}, {SEGMENTS} SELECT pair_id, start, 'monologue' AS content_type, 0.6::DOUBLE AS confidence,
+@query("extract_monologue_segments", sql=f"""WITH RECURSIVE {QA}, {SEGMENTS} SELECT pair_id, start, content_type, CASE content_type WHEN 'passage' THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence,
   question, '' AS answer, {R('quality_score')} AS quality_score FROM mseg""")
 def extract_monologue_segments(spark, sf):
     d = EX.with_qa_segments(TB.qa_documents(spark, sf).select("pair_id", "text"))
@@ -80,24 +83,24 @@ def extract_monologue_segments(spark, sf):
 
 
 USEG = f"""us AS (SELECT pair_id, 0::BIGINT AS start, 'qa' AS content_type, u AS question, a AS answer, {qa_sql('u', 'a')} AS quality_score FROM seg
-  UNION ALL SELECT pair_id, start, 'monologue', question, '', quality_score FROM mseg)"""
+  UNION ALL SELECT pair_id, start, content_type, question, '', quality_score FROM mseg)"""
 
 
-@query("union_segments", sql=f"""WITH {QA}, {SEGMENTS}, {USEG} SELECT pair_id, start, content_type, CASE content_type WHEN 'qa' THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence,
+@query("union_segments", sql=f"""WITH RECURSIVE {QA}, {SEGMENTS}, {USEG} SELECT pair_id, start, content_type, CASE content_type WHEN 'qa' THEN 0.8 WHEN 'passage' THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence,
   question, answer, {R('quality_score')} AS quality_score FROM us""")
 def union_segments(spark, sf):
     return EX.union_segments(TB.qa_documents(spark, sf).select("pair_id", "text"))
 
 
-@query("rank_segments", sql=f"""WITH {QA}, {SEGMENTS}, {USEG} SELECT pair_id, content_type, question, {R('quality_score')} AS quality_score FROM us
-ORDER BY 4 DESC, pair_id, start""")
+@query("rank_segments", sql=f"""WITH RECURSIVE {QA}, {SEGMENTS}, {USEG} SELECT pair_id, content_type, question, {R('quality_score')} AS quality_score FROM us
+ORDER BY 4 DESC, pair_id, start, question""")
 def rank_segments(spark, sf):
     return EX.union_segments(TB.qa_documents(spark, sf).select("pair_id", "text")).withColumn(
-        "quality_score", F.round("quality_score", 6)).orderBy(F.desc("quality_score"), "pair_id", "start").select(
+        "quality_score", F.round("quality_score", 6)).orderBy(F.desc("quality_score"), "pair_id", "start", "question").select(
         "pair_id", "content_type", "question", "quality_score")
 
 
-@query("detection_summary", sql=f"""WITH {QA}, {SEGMENTS}, {USEG} SELECT count(*) AS total_segments, count(*) FILTER (content_type = 'qa') AS qa_segments,
+@query("detection_summary", sql=f"""WITH RECURSIVE {QA}, {SEGMENTS}, {USEG} SELECT count(*) AS total_segments, count(*) FILTER (content_type = 'qa') AS qa_segments,
   count(*) FILTER (content_type <> 'qa') AS monologue_segments, {R('avg(quality_score)')} AS average_quality FROM us""")
 def detection_summary(spark, sf):
     return EX.union_segments(TB.qa_documents(spark, sf).select("pair_id", "text")).agg(

@@ -159,7 +159,7 @@ def export_bundle(spark, sf):
     return out
 
 
-@query("export_history", sql=f"""WITH {REFV} SELECT content_id, version, '## Version ' || version || chr(10) || chr(10) || '**Refinement Type:** ' || refinement_type || chr(10) || chr(10) || '**Quality Improvement:** +' || printf('%.1f', quality_gain * 100) || '%' || chr(10) || chr(10) || '**Content:**' || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS block FROM rv""")
+@query("export_history", sql=f"""WITH {REFV} SELECT content_id, version, '## Version ' || version || chr(10) || chr(10) || '**Refinement Type:** ' || refinement_type || chr(10) || chr(10) || '**Quality Improvement:** +' || printf('%.1f', round_even(round(quality_gain * 100, 6), 1)) || '%' || chr(10) || chr(10) || '**Content:**' || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS block FROM rv""")
 def export_history(spark, sf):
     return EXP.history_rows(VS.assign_versions(TB.refinements(spark, sf)))
 

@@ -319,10 +319,11 @@ def progress_report(spark, sf):
     return OL.progress_report(TB.audit(spark, sf), "session_id", 80)
 
 
-@query("progress_eta", sql=f"""WITH {STEPS}, a AS (SELECT *, CASE WHEN step > 1 THEN el / (step - 1) ELSE 0 END AS av FROM st)
-SELECT session_id, event_id, step, {R('el')} AS elapsed_s, {R('av')} AS avg_step_s, {R('greatest(80 - step, 0) * av')} AS remaining_s, round(epoch_us(ts) / 1e6 + greatest(80 - step, 0) * av, 2)::DOUBLE AS completion_epoch_s FROM a""")
+@query("progress_eta", sql="""WITH st AS (SELECT user_id AS session_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id)) AS el FROM events)
+SELECT session_id, event_id, step, el AS elapsed_us, coalesce(el // nullif(step - 1, 0), 0) AS avg_step_us, coalesce(el * greatest(80 - step, 0) // nullif(step - 1, 0), 0) AS remaining_us,
+ us + coalesce(el * greatest(80 - step, 0) // nullif(step - 1, 0), 0) AS completion_us FROM st""")
 def progress_eta(spark, sf):
-    return OL.progress_eta(TB.audit(spark, sf), "session_id", 80).withColumn("completion_epoch_s", F.round("completion_epoch_s", 2))
+    return OL.progress_eta(TB.audit(spark, sf), "session_id", 80)
 
 
 @query("recent_sessions", sql="""WITH s AS (SELECT user_id AS session_id, max(ts) AS last_ts, arg_max(event_type, (ts, event_id)) AS step FROM events GROUP BY 1)

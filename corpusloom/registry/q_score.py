@@ -310,7 +310,7 @@ NEWENT = f"list_filter({surface('enhanced')}, lambda y: NOT list_contains({surfa
 ASSESS = f"""{PAIRS}, src AS (SELECT *, pair_id AS pid, enhanced AS enh FROM p), {BAND.replace('SRC', 'src')}, {TRANS.replace('SRC', 'src')},
 aa AS (SELECT bs.pair_id, original, enhanced, length(enhanced) / length(original) AS length_ratio, {JAC} AS sim, len({NEWENT}) AS ne, {claims_sql()} AS nc, len({contra_list('original', 'enhanced')}) AS nx,
   len({UNSUP}) AS nu, band, coherence FROM bs JOIN tc USING (pid)),
-ab AS (SELECT *, least(1.0, ne * 0.1 + nc * 0.2 + nx * 0.3 + nu * 0.1)::DOUBLE AS hal FROM aa),
+ab AS (SELECT *, least(1.0::DOUBLE, ne * 0.1::DOUBLE + nc * 0.2::DOUBLE + nx * 0.3::DOUBLE + nu * 0.1::DOUBLE) AS hal FROM aa),
 ac AS (SELECT *, list_filter([CASE WHEN sim < 0.75 THEN 'low_semantic_similarity' END, CASE WHEN length_ratio > 1.8 THEN 'excessive_expansion' END, CASE WHEN length_ratio < 0.5 THEN 'excessive_reduction' END,
   CASE WHEN hal > 0.3::DOUBLE THEN 'potential_hallucination' END, CASE WHEN band < 0.5 THEN 'low_readability' END, CASE WHEN coherence < 0.6 THEN 'low_coherence' END], lambda x: x IS NOT NULL) AS flags,
   sim * 0.3 + (1 - hal) * 0.2 + band * 0.2 + coherence * 0.2 + least(1.0, greatest(0.0, 1 - abs(length_ratio - 1.35) / 1.35)) * 0.1 AS overall FROM ab),

@@ -29,7 +29,7 @@ def connect(sf: str):
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5) + 0.0
+        return "nan" if math.isnan(v) else v + 0.0
     return v
 
 
