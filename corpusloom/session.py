@@ -14,7 +14,7 @@ def local_session(cores: str = "8", **conf) -> SparkSession:
          .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true"))
     for k, v in conf.items():
-        b = b.config(k.replace("__", "."), v)
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     return spark
