@@ -88,8 +88,9 @@ def fixed_word_cuts(c: Column, target: int) -> Column:
         cut_soft = F.struct(
             rest.alias("cur"), T.n_words(rest).alias("n"), (acc["at"] + back).alias("at"),
             F.array_append(acc["cuts"], acc["at"] + back).alias("cuts"))
+        # the blank after a hard cut counts too, or every later cut would land inside a word
         cut_hard = F.struct(
-            F.lit("").alias("cur"), F.lit(0).alias("n"), (acc["at"] + F.length(cur)).alias("at"),
+            F.lit("").alias("cur"), F.lit(0).alias("n"), (acc["at"] + F.length(cur) + 1).alias("at"),
             F.array_append(acc["cuts"], acc["at"] + F.length(cur)).alias("cuts"))
         grow = F.struct(cur.alias("cur"), (acc["n"] + 1).alias("n"), acc["at"].alias("at"), acc["cuts"].alias("cuts"))
         return F.when(acc["n"] + 1 < target, grow).when(back > 0, cut_soft).otherwise(cut_hard)

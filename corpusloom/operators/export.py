@@ -105,7 +105,9 @@ def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
 
 
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
-    flat_csv(df).write.mode("overwrite").options(header=True, quoteAll=True, escape='"', compression=compression).csv(path)
+    flat_csv(df).write.mode("overwrite").options(
+        header=True, quoteAll=True, escape='"', compression=compression,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)  # the writer trims by default
 
 
 def write_blocks(df: DataFrame, kind: str, path: str, order: list[str], compression: str = "none") -> None:

@@ -224,7 +224,11 @@ def chunk_by_words(spark, sf):
     return CH.chunk_by_words(TB.documents(spark, sf), 200)
 
 
-@query("chunk_fixed_words")
+@query("chunk_fixed_words", sql=f"""WITH RECURSIVE {DOCS}, wd AS (SELECT doc_id, unnest({W('text')}) AS s, unnest(range(1, len({W('text')}) + 1)) AS i FROM m),
+en AS (SELECT doc_id, i AS j FROM wd WHERE regexp_matches(s, '[.!?]$')), ct AS (SELECT doc_id, max(i) AS n FROM wd GROUP BY 1), px AS (SELECT doc_id, i, i + 118 AS lim FROM wd),
+nx AS (SELECT px.doc_id, px.i, CASE WHEN px.i + 119 > ct.n THEN ct.n + 1 WHEN en.j >= px.i THEN en.j + 1 ELSE px.i + 120 END AS nxt FROM px JOIN ct USING (doc_id) ASOF LEFT JOIN en ON px.doc_id = en.doc_id AND px.lim >= en.j),
+wk AS (SELECT doc_id, 1::BIGINT AS chunk_no, i, nxt FROM nx WHERE i = 1 UNION ALL SELECT n.doc_id, w.chunk_no + 1, n.i, n.nxt FROM wk w JOIN nx n ON n.doc_id = w.doc_id AND n.i = w.nxt)
+SELECT wk.doc_id, chunk_no, string_agg(s, ' ' ORDER BY wd.i) AS text, count(*) AS word_count FROM wk JOIN wd ON wd.doc_id = wk.doc_id AND wd.i >= wk.i AND wd.i < wk.nxt GROUP BY 1, 2""")
 def chunk_fixed_words(spark, sf):
     return CH.chunk_fixed_words(TB.documents(spark, sf), 120)
 

@@ -368,13 +368,25 @@ def theme_confidence(spark, sf):
     return TH.theme_confidence(m)
 
 
-@query("dedupe_overlaps")
+def greedy_sql(src):
+    """Left-to-right walk over ``src(doc_id, start_pos, e, keyword, c)``; the last state of each slot is kept."""
+    return f"""og AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_pos, c DESC, keyword, e) AS i FROM {src}),
+wg AS (SELECT doc_id, i, 1 AS slot, start_pos, e, keyword, c FROM og WHERE i = 1 UNION ALL SELECT o.doc_id, o.i, CASE WHEN o.start_pos >= w.e THEN w.slot + 1 ELSE w.slot END,
+  CASE WHEN o.start_pos >= w.e OR o.c > w.c THEN o.start_pos ELSE w.start_pos END, CASE WHEN o.start_pos >= w.e OR o.c > w.c THEN o.e ELSE w.e END,
+  CASE WHEN o.start_pos >= w.e OR o.c > w.c THEN o.keyword ELSE w.keyword END, CASE WHEN o.start_pos >= w.e OR o.c > w.c THEN o.c ELSE w.c END
+  FROM wg w JOIN og o ON o.doc_id = w.doc_id AND o.i = w.i + 1),
+gd AS (SELECT doc_id, slot, arg_max((start_pos, e, keyword, c), i) AS r FROM wg GROUP BY 1, 2)
+SELECT doc_id, r[1] AS start, r[2] AS "end", r[3] AS keyword, r[4] AS confidence FROM gd"""
+
+
+@query("dedupe_overlaps", sql=f"WITH RECURSIVE {MARKED}, {RX_SQL}, sp AS (SELECT doc_id, start_pos, start_pos + length(keyword) AS e, keyword, 0.5::DOUBLE AS c FROM rx), {greedy_sql('sp')}")
 def dedupe_overlaps(spark, sf):
     d = TB.marked_documents(spark, sf)
     return d.select("doc_id", F.inline(TH.dedupe_spans(TH.regex_hits(F.col("text"), THEME_LIST))))
 
 
-@query("union_theme_matches")
+@query("union_theme_matches", sql=f"""WITH RECURSIVE {MARKED}, {RX_SQL}, {TM_SQL}, sp AS (SELECT doc_id, start_pos, start_pos + length(keyword) AS e, keyword, 0.5::DOUBLE AS c FROM rx
+ UNION ALL SELECT doc_id, start_pos, start_pos + length(keyword), keyword, 0.7::DOUBLE FROM tm), {greedy_sql('sp')}""")
 def union_theme_matches(spark, sf):
     d = TB.marked_documents(spark, sf)
     rx = TH.theme_matches_regex(d, THEME_LIST).select("doc_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "keyword", "confidence")

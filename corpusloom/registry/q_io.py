@@ -106,7 +106,7 @@ def _recs(spark, sf):
     return records(spark, sf).drop("chunk_id")
 
 
-@query("export_json")
+@query("export_json", sql=f"{RECORDS} SELECT id, format_type, input_text, output_text, quality_score FROM records")
 def export_json(spark, sf):
     path = scratch(spark, "export-json")
     EXP.write_json(_recs(spark, sf), path)
@@ -118,7 +118,7 @@ def export_jsonl(spark, sf):
     return EXP.jsonl(TB.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"))
 
 
-@query("export_csv")
+@query("export_csv", sql=f"SELECT doc_id, text, len(string_split(text, chr(10))) AS lines, to_json({W('text')}[1:3])::VARCHAR AS first_words FROM documents")
 def export_csv(spark, sf):
     path = scratch(spark, "export-csv")
     d = TB.documents(spark, sf).withColumn("lines", F.size(F.split("text", "\n"))).withColumn("first_words", F.slice(T.words(F.col("text")), 1, 3))
@@ -148,7 +148,9 @@ def export_grouped_markdown(spark, sf):
         "format_type", "id", F.length("block").alias("n_chars"), F.md5("block").alias("md5"))
 
 
-@query("export_bundle")
+@query("export_bundle", sql=f"""{NUM}, b AS (SELECT item_no, '### Item ' || item_no || chr(10) || chr(10) || '**Input:** ' || input_text || chr(10) || chr(10) || '**Output:** ' || output_text || chr(10) || chr(10) || '*Quality Score: x*' || chr(10) || chr(10) || '---' || chr(10) AS md,
+ 'ITEM ' || item_no || chr(10) || '-' || chr(10) || chr(10) || 'INPUT: ' || input_text || chr(10) || chr(10) || 'OUTPUT: ' || output_text || chr(10) || chr(10) AS tx FROM nr)
+SELECT 'json' AS format, count(*) AS lines FROM b UNION ALL SELECT 'markdown', sum(length(md) - length(replace(md, chr(10), '')) + 1)::BIGINT FROM b UNION ALL SELECT 'txt', sum(length(tx) - length(replace(tx, chr(10), '')) + 1)::BIGINT FROM b""")
 def export_bundle(spark, sf):
     path = scratch(spark, "bundle")
     EXP.write_bundle(_recs(spark, sf), path, ["id"])

@@ -7,7 +7,7 @@ from corpusloom.functions import language as LG, pairs as PF, scores as SC, text
 from corpusloom.operators import analysis as AN, oplog as OL, preparation as PR, themes as TH, vectors as VE
 from corpusloom.registry.core import query
 from corpusloom.registry.q_clean import MARKED, TONE, para_chunks, PARA_CHUNKS
-from corpusloom.registry.q_extract import (CT_PICK, DOUBLED, ENTITIES, LANG, LCONF, LFAM, LNAMES, LSCR, PHR, POLY, GRAMS, content_sql,
+from corpusloom.registry.q_extract import (CT_PICK, DOUBLED, ENTITIES, THEMES, LANG, LCONF, LFAM, LNAMES, LSCR, PHR, POLY, GRAMS, content_sql,
                                            example_sql, mono_sql, poly, qa_sql, surface)
 from corpusloom.registry.sqlbits import *  # noqa: F403
 from corpusloom.sources import tables as TB
@@ -494,7 +494,21 @@ def analyze_content(spark, sf):
     return AN.analyze_content(TB.marked_documents(spark, sf)).select("doc_id", F.to_json("analysis").alias("analysis"))
 
 
-@query("analyze_semantics")
+def _per_chunk(cte):
+    return cte.replace("FROM m", "FROM cm").replace("doc_id", "chunk_id")
+
+
+@query("analyze_semantics", sql=f"""{PARA_CHUNKS}, {SEM.replace('SRC', 'c')}, cm AS (SELECT chunk_id, text FROM c), {_per_chunk(THEMES)},
+sn AS (SELECT doc_id || '_' || chunk_no AS cid, doc_id AS d0, unnest({S('text')}) AS s, unnest(range(0, len({S('text')}))) AS sent_no FROM c), m2 AS (SELECT d0 || '#' || cid || '#' || sent_no AS doc_id, s AS text FROM sn),
+{ENTITIES.replace('FROM m)', 'FROM m2)')}, es AS (SELECT doc_id, count(*) AS n FROM ent GROUP BY 1), rl AS (SELECT split_part(doc_id, '#', 1)::BIGINT AS doc_id, sum(n * (n - 1) // 2)::BIGINT AS relations FROM es WHERE n > 1 GROUP BY 1),
+tc AS (SELECT doc_id, theme, count(*) AS n FROM tr JOIN c USING (chunk_id) WHERE rank <= 5 GROUP BY 1, 2), ch AS (SELECT doc_id, count(*) AS chunks FROM c GROUP BY 1),
+gt AS (SELECT doc_id, string_agg(theme, '|' ORDER BY theme) FILTER (n >= greatest(2, chunks * 0.2)) AS global_themes, max(n) AS top FROM tc JOIN ch USING (doc_id) GROUP BY 1),
+kk AS (SELECT doc_id, chunk_no, unnest({concepts('text')}) AS concept FROM c), ks AS (SELECT *, count(*) OVER (PARTITION BY doc_id, concept) AS n FROM kk),
+kc AS (SELECT doc_id, count(*) AS concept_clusters FROM (SELECT doc_id, chunk_no FROM ks WHERE n >= 2 GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1)
+SELECT sm.doc_id, count(*) AS chunks, {R('avg(semantic_score)')} AS mean_score, {R('avg(context_relevance)')} AS mean_relevance, {R('max(intensity)')} AS peak_intensity, sum(e)::BIGINT AS entities,
+ {R('any_value(CASE WHEN ch.chunks < 2 THEN 1.0 WHEN gt.top IS NULL THEN 0.5 ELSE least(1.0, gt.top / ch.chunks) END)')} AS coherence, coalesce(any_value(gt.global_themes), '') AS global_themes,
+ coalesce(any_value(relations), 0) AS relations, coalesce(any_value(concept_clusters), 0) AS concept_clusters
+FROM sm JOIN ch USING (doc_id) LEFT JOIN gt USING (doc_id) LEFT JOIN rl USING (doc_id) LEFT JOIN kc USING (doc_id) GROUP BY 1""")
 def analyze_semantics(spark, sf):
     return AN.analyze_semantics(para_chunks(spark, sf))
 

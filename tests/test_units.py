@@ -57,7 +57,7 @@ def brute_fixed_cuts(text, target):
                 at, cur = at + ends[-1], joined[ends[-1]:].split()
             else:
                 cuts.append(at + len(joined))
-                at, cur = at + len(joined), []
+                at, cur = at + len(joined) + 1, []
     return cuts
 
 
