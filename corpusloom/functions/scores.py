@@ -85,11 +85,11 @@ def coherence_transitions(c: Column, phrases=None) -> Column:
 def dialogue_matches(c: Column) -> Column:
     """Occurrences of the seven dialogue signs."""
     return (
-        F.regexp_count(c, F.lit('"[^"]*"')) + F.regexp_count(c, F.lit("'[^']*'"))
+        F.floor(T.count_chars_in(c, '"') / 2) + F.floor(T.count_chars_in(c, "'") / 2)
         + T.count_words_in(c, FV.SPEECH_VERBS)
-        + F.regexp_count(c, F.lit(r"(?iU)\b(?:%s)\s+(?:%s)\b" % (
-            "|".join(FV.SPEECH_PRONOUNS), "|".join(FV.SHORT_SPEECH_VERBS))))
-        + F.regexp_count(c, F.lit("[?!]"))
+        + F.when(T.contains_any(F.lower(c), FV.SHORT_SPEECH_VERBS), F.regexp_count(
+            c, F.lit(r"(?iU)\b(?:%s)\s+(?:%s)\b" % ("|".join(FV.SPEECH_PRONOUNS), "|".join(FV.SHORT_SPEECH_VERBS))))).otherwise(F.lit(0))
+        + T.count_chars_in(c, "?!")
         + T.count_words_in(c, FV.QUESTION_WORDS) + T.count_words_in(c, FV.RESPONSE_WORDS))
 
 

@@ -107,7 +107,18 @@ def word_pattern(terms) -> str:
 
 
 def count_words_in(c: Column, terms) -> Column:
-    return F.regexp_count(c, F.lit(word_pattern(terms)))
+    """Whole-word occurrences; the pattern runs only where a term occurs at all."""
+    return F.when(contains_any(F.lower(c), terms), F.regexp_count(c, F.lit(word_pattern(terms)))).otherwise(F.lit(0))
+
+
+def count_chars_in(c: Column, chars: str) -> Column:
+    """Occurrences of any of the characters, without a pattern."""
+    return F.length(c) - F.length(F.translate(c, chars, ""))
+
+
+def count_substring(c: Column, part: str) -> Column:
+    """Non-overlapping occurrences of a substring, without a pattern."""
+    return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
 def set_of(array: Column) -> Column:
@@ -136,6 +147,28 @@ def spans(c: Column, pattern: str) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
+def word_spans(c: Column, terms) -> Column:
+    """Spans of whole-word terms; texts that hold none of them skip the pattern."""
+    return F.when(contains_any(F.lower(c), terms), spans(c, word_pattern(terms))).otherwise(no_spans())
+
+
+def no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,end:int,text:string>>")
+
+
+def tally(items: Column) -> Column:
+    """array<struct<value,n>> of the distinct items of one array with their counts.
+
+    Sort, find where the value changes, and take differences of those places: no explode, no shuffle.
+    """
+    def runs(s):
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.get(s, i - 2)))
+        return let(starts, lambda v: F.transform(v, lambda at, k: F.struct(
+            F.element_at(s, at).alias("value"), (F.coalesce(F.get(v, k + 1), F.size(s) + 1) - at).alias("n"))))
+
+    return let(F.sort_array(items), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.slice(runs(s), 1, 0)))
+
+
 def offsets(parts: Column, gap: int) -> Column:
     """Parts with their start offsets when ``gap`` characters separate them."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusloom.functions import pairs as PF, scores as S, text as T
 from corpusloom.operators import extraction as EX, graph as GR, preparation as PR, themes as TH
@@ -46,15 +46,15 @@ def analyze_semantics(chunks: DataFrame, col: str = "text") -> DataFrame:
 def analyze_chunks(chunks: DataFrame, col: str = "text") -> DataFrame:
     """Type, dialogue, density, readability, coherence and continuity of each chunk.
 
-    Continuity with the chunk before is an equi-join on (document, chunk number): the keys are unique.
+    Continuity looks at the chunk before; a window holds the chunks of one text, so it is bounded.
     """
     c = F.col(col)
     counts = S.content_scores(c)
     d = chunks.select("*", *[v.alias(f"_{k}") for k, v in counts.items()])
     d = S.with_semantics(d, col).withColumn("content_type", S.content_type({k: F.col(f"_{k}") for k in counts}))
     d = d.withColumn("dialogue_potential", F.least(F.col("_dialogue") / F.greatest(F.col("n_words") / 50, F.lit(1.0)), F.lit(1.0)))
-    prev = chunks.select("doc_id", (F.col("chunk_no") + 1).alias("chunk_no"), c.alias("_prev"))
-    d = d.join(prev, ["doc_id", "chunk_no"], "left")
+    # scored first, shuffled after: the costly part keeps the parallelism of the scan
+    d = d.withColumn("_prev", F.lag(c).over(W.partitionBy("doc_id").orderBy("chunk_no")))
     return (d.withColumn("topic_continuity", F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(PF.jaccard(c, F.col("_prev"))))
             .withColumnRenamed("readability_simple", "readability_score").withColumnRenamed("coherence_blend", "coherence_score")
             .drop("_prev", *[f"_{k}" for k in counts]))

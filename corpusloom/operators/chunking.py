@@ -223,9 +223,9 @@ SPEECH = r'(?i)"[^"]*"[^"]*(?:said|asked|replied|answered)'
 def candidate_cuts(c: Column, strategy: ChunkingStrategy = ChunkingStrategy()) -> Column:
     """Sorted distinct positions: text ends, paragraphs, headings, flow words, speech, semantic cuts."""
     flow = [w for kind in ("contrast", "conclusion", "temporal") for w in FV.FLOW_WORDS[kind]]
-    speech = T.spans(c, SPEECH)
+    speech = F.when(F.contains(c, F.lit('"')), T.spans(c, SPEECH)).otherwise(T.no_spans())
     parts = [F.array(F.lit(0), F.length(c)), semantic_cuts(c, strategy.min_size * 4),
-             F.transform(T.spans(c, T.word_pattern(flow)), lambda s: s["start"]),
+             F.transform(T.word_spans(c, flow), lambda s: s["start"]),
              F.transform(speech, lambda s: s["start"]), F.transform(speech, lambda s: s["end"])]
     if strategy.preserve_paragraphs:
         parts.append(F.transform(paragraph_spans(c), lambda p: p["start"]))

@@ -310,7 +310,7 @@ def dialogue_sections(df: DataFrame, col: str = "text") -> DataFrame:
 
 def flow_markers(df: DataFrame, lexicon: dict | None = None, col: str = "text") -> DataFrame:
     """Count and positions of flow words per kind, from one pass of the pattern of each kind."""
-    rows = [F.struct(F.lit(kind).alias("flow_type"), F.transform(T.spans(F.col(col), T.word_pattern(ws)), lambda s: s["start"]).alias("positions"))
+    rows = [F.struct(F.lit(kind).alias("flow_type"), F.transform(T.word_spans(F.col(col), ws), lambda s: s["start"]).alias("positions"))
             for kind, ws in (lexicon or FV.FLOW_WORDS).items()]
     return (df.select("doc_id", F.inline(F.array(*rows))).filter(F.size("positions") > 0)
             .withColumn("n_matches", F.size("positions")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import text as T
 
@@ -24,14 +24,16 @@ def theme_matches(df: DataFrame, themes: list[str], before: int = 2, after: int
         F.array_join(F.slice("_s", i - lead + 1, lead), " ").alias("context_before"),
         F.array_join(F.slice("_s", i + 2, F.lit(after)), " ").alias("context_after"),
         F.array_join(F.slice("_s", i - lead + 1, lead + 1 + after), " ").alias("full_chunk"),
-        F.regexp_count(F.substr("_t", F.lit(1), at), F.lit("\n\n")).alias("paragraph_index"),
+        T.count_substring(F.substr("_t", F.lit(1), at), "\n\n").alias("paragraph_index"),
         F.lit(0.7).alias("confidence"))
 
 
 def regex_hits(c: Column, themes: list[str], case_sensitive: bool = False) -> Column:
     """array<struct<start,end,keyword,confidence>> of every literal occurrence."""
     flag = "" if case_sensitive else "(?iu)"
-    return F.concat(*[_tagged(c, flag + r"\Q" + t + r"\E", t) for t in themes])
+    low = F.lower(c)
+    return F.concat(*[F.when(F.contains(low, F.lit(t.lower())), _tagged(c, flag + r"\Q" + t + r"\E", t)).otherwise(
+        F.array().cast("array<struct<start:int,end:int,keyword:string,confidence:double>>")) for t in themes])
 
 
 def _tagged(c: Column, pattern: str, name: str) -> Column:
@@ -48,7 +50,7 @@ def _with_context(rows: DataFrame, reach: int = 200) -> DataFrame:
         F.substr("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("matched_text"),
         T.trim_ws(F.substr("_t", F.col("start") - lead + 1, lead)).alias("context_before"),
         T.trim_ws(F.substr("_t", F.col("end") + 1, F.lit(reach))).alias("context_after"),
-        F.regexp_count(head, F.lit("[.!?]")).alias("sentence_index"), F.regexp_count(head, F.lit("\n\n")).alias("paragraph_index"))
+        T.count_chars_in(head, ".!?").alias("sentence_index"), T.count_substring(head, "\n\n").alias("paragraph_index"))
 
 
 def theme_matches_regex(df: DataFrame, themes: list[str], case_sensitive: bool = False, col: str = "text") -> DataFrame:
@@ -102,16 +104,13 @@ def custom_patterns(df: DataFrame, patterns: dict[str, str], col: str = "text")
 
 
 def top_phrases(df: DataFrame, keep: int = 10, col: str = "text") -> DataFrame:
-    """Most frequent word pairs per document with their share.
-
-    Pairs are counted per (document, phrase) before ranking; the rank filter is
-    applied map-side first, so a long document does not gather in one task.
-    """
-    rows = df.select("doc_id", T.bigrams(T.words(F.lower(F.col(col)))).alias("_g")).select("doc_id", F.size("_g").alias("_n"), F.explode("_g").alias("phrase"))
-    counts = rows.filter(F.length("phrase") > 2).groupBy("doc_id", "_n", "phrase").agg(F.count("*").alias("frequency"))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("frequency"), "phrase"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= keep).select(
-        "doc_id", "rank", "phrase", "frequency", F.least(F.col("frequency") / F.col("_n"), F.lit(1.0)).alias("importance"))
+    """Most frequent word pairs per document with their share, counted inside the row: no shuffle."""
+    d = df.select("doc_id", T.bigrams(T.words(F.lower(F.col(col)))).alias("_g"))
+    counts = F.filter(T.tally(F.col("_g")), lambda r: F.length(r["value"]) > 2)
+    ranked = F.array_sort(F.transform(counts, lambda r: F.struct((-r["n"]).alias("neg"), r["value"].alias("phrase"))))
+    return d.select("doc_id", F.size("_g").alias("_n"), F.posexplode(F.slice(ranked, 1, keep)).alias("_i", "_r")).select(
+        "doc_id", (F.col("_i") + 1).alias("rank"), "_r.phrase", (-F.col("_r.neg")).alias("frequency"),
+        F.least(-F.col("_r.neg") / F.col("_n"), F.lit(1.0)).alias("importance"))
 
 
 def phrase_scores(c: Column, keep: int = 15) -> Column:

@@ -53,7 +53,7 @@ def marked_documents(spark, sf) -> DataFrame:
 
 
 def turns(spark, sf) -> DataFrame:
-    return table(spark, sf, "conversations")
+    return text_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
 
 
 def pairs(spark, sf) -> DataFrame:
