@@ -14,7 +14,7 @@ def clip(c: Column, low=0.0, high=1.0) -> Column:
     return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
 
 
-def syllables(c: Column) -> Column:
+def syllables(c: Column, n_words: Column | None = None) -> Column:
     """Vowel groups per word, a silent final e taken off, at least one per word, summed.
 
     Counted on the whole text: white space ends every vowel group, so three
@@ -24,8 +24,9 @@ def syllables(c: Column) -> Column:
     groups = F.regexp_count(low, F.lit("[aeiouy]+"))
     # a last vowel group that ends the word in e and has a group before it
     silent_e = F.regexp_count(low, F.lit(r"[aeiouy][^\saeiouy]+[aeiouy]*e(?!\S)"))
-    vowelless = F.regexp_count(low, F.lit(r"(?<!\S)[^\saeiouy]+(?!\S)"))
-    return groups - silent_e + vowelless
+    # one match per word that has a vowel; the other words count as one syllable each
+    voiced = F.regexp_count(low, F.lit(r"[aeiouy]\S*"))
+    return groups - silent_e + (n_words if n_words is not None else T.n_words(c)) - voiced
 
 
 def flesch(n_words: Column, n_sents: Column, n_syllables: Column) -> Column:
@@ -86,11 +87,10 @@ def dialogue_matches(c: Column) -> Column:
     """Occurrences of the seven dialogue signs."""
     return (
         F.floor(T.count_chars_in(c, '"') / 2) + F.floor(T.count_chars_in(c, "'") / 2)
-        + T.count_words_in(c, FV.SPEECH_VERBS)
+        + T.count_words_in(c, FV.SPEECH_VERBS + FV.QUESTION_WORDS + FV.RESPONSE_WORDS)
         + F.when(T.contains_any(F.lower(c), FV.SHORT_SPEECH_VERBS), F.regexp_count(
             c, F.lit(r"(?iU)\b(?:%s)\s+(?:%s)\b" % ("|".join(FV.SPEECH_PRONOUNS), "|".join(FV.SHORT_SPEECH_VERBS))))).otherwise(F.lit(0))
-        + T.count_chars_in(c, "?!")
-        + T.count_words_in(c, FV.QUESTION_WORDS) + T.count_words_in(c, FV.RESPONSE_WORDS))
+        + T.count_chars_in(c, "?!"))
 
 
 def dialogue_potential(c: Column, n_words: Column) -> Column:
@@ -147,7 +147,7 @@ def with_quality(df: DataFrame, col: str = "text") -> DataFrame:
     base = base.withColumn("_words", T.words(F.col("_t"))).withColumn("_sents", T.sentences(F.col("_t")))
     base = (base.withColumn("word_count", F.size("_words")).withColumn("sentence_count", F.size("_sents"))
             .withColumn("_m", sentence_moments(F.col("_sents")))
-            .withColumn("_syl", syllables(F.col("_t"))))
+            .withColumn("_syl", syllables(F.col("_t"), F.col("word_count"))))
     scored = (
         base.withColumn("content_length", F.when(F.col("_empty"), 0).otherwise(F.length("_t")))
         .withColumn("readability_score", flesch(F.col("word_count"), F.col("sentence_count"), F.col("_syl")))

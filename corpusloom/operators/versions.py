@@ -65,12 +65,12 @@ def text_digest(c):
 def reuse_cached_results(df: DataFrame, store: DataFrame, key: str, result: str, compute, col: str = "text") -> DataFrame:
     """Take stored results for known texts and compute the rest.
 
-    ``store`` has columns digest and ``result``, one row per digest.  Only digests are
-    shuffled, never texts; the salted join splits a text that a third of the rows share.
+    ``store`` has columns digest and ``result``, one row per digest; the stored side of the join
+    is digests and results only.  The salted join splits a text that a third of the rows share.
     """
     d = df.withColumn("digest", text_digest(F.col(col)))
-    slim = salted_join(d.select(key, "digest"), store.select("digest", F.col(result).alias("_stored"), F.lit(True).alias("is_hit")), ["digest"], row_id=F.col(key))
-    joined = df.join(slim.select(key, "_stored", "is_hit"), key)
+    stored = store.select("digest", F.col(result).alias("_stored"), F.lit(True).alias("is_hit"))
+    joined = salted_join(d, stored, ["digest"], row_id=F.col(key))
     return joined.withColumn("is_hit", F.coalesce("is_hit", F.lit(False))).withColumn(
         result, F.when(F.col("is_hit"), F.col("_stored")).otherwise(compute(F.col(col)))).drop("_stored")
 

@@ -295,9 +295,7 @@ def error_statistics(spark, sf):
 @query("network_health", sql=f"""WITH x AS (SELECT user_id AS operation, event_type = 'error' AS failed, lower({pick(TB.ERROR_TEXTS, K)}) AS m FROM events), g AS (SELECT operation, count(*) AS t, count(*) FILTER (failed) AS f, count(*) FILTER (failed AND (contains(m, 'timeout') OR contains(m, 'timed out'))) AS o FROM x GROUP BY 1)
 SELECT operation, t AS total_requests, f AS failed_requests, o AS timeout_count, {R('(t - f) / t')} AS success_rate, CASE WHEN (t - f) / t > 0.95 THEN 'good' WHEN (t - f) / t > 0.8 THEN 'degraded' ELSE 'poor' END AS health_status FROM g""")
 def network_health(spark, sf):
-    m = TB.error_messages(spark, sf).select("event_id", "message")
-    e = TB.table(spark, sf, "events").select("event_id", F.col("user_id").alias("operation"), (F.col("event_type") == "error").alias("failed"))
-    return OL.network_health(e.join(m, "event_id"))
+    return OL.network_health(TB.requests(spark, sf))
 
 
 @query("operation_suggestions", sql=f"""WITH g AS (SELECT event_type AS name, avg(value) AS d, avg({K} * 2.5) AS m FROM events GROUP BY 1)

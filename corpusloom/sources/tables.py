@@ -152,6 +152,12 @@ def error_messages(spark, sf) -> DataFrame:
         F.when(F.col("event_type") == "view", F.lit("ImportError")).otherwise(F.lit("ValueError")).alias("error_type"))
 
 
+def requests(spark, sf) -> DataFrame:
+    """Every event as a request of a user that may have failed, with its message."""
+    return _events(spark, sf).select(
+        F.col("user_id").alias("operation"), (F.col("event_type") == "error").alias("failed"), _pick(ERROR_TEXTS, _k()).alias("message"))
+
+
 def refinements(spark, sf) -> DataFrame:
     return _events(spark, sf).select(
         "event_id", F.col("user_id").alias("content_id"), F.col("event_type").alias("refinement_type"),
