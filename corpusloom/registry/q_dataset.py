@@ -290,7 +290,7 @@ def cached(spark, sf):
 
 @query("reuse_cached_results", sql=f"WITH {CACHE} SELECT * FROM ca")
 def reuse_cached_results(spark, sf):
-    return cached(spark, sf).drop("text")
+    return cached(spark, sf).drop("text", "digest")
 
 
 @query("cache_hit_rate", sql=f"WITH {CACHE} SELECT count(*) FILTER (is_hit) AS cache_hits, count(*) FILTER (NOT is_hit) AS cache_misses, {R('avg(is_hit::INT)')} AS cache_hit_rate FROM ca")
