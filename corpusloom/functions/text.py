@@ -162,11 +162,12 @@ def tally(items: Column) -> Column:
     Sort, find where the value changes, and take differences of those places: no explode, no shuffle.
     """
     def runs(s):
-        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.get(s, i - 2)))
+        places = F.transform(s, lambda x, i: i + 1)
+        starts = F.filter(places, lambda i: (i == 1) | (F.element_at(s, i) != F.get(s, i - 2)))
         return let(starts, lambda v: F.transform(v, lambda at, k: F.struct(
             F.element_at(s, at).alias("value"), (F.coalesce(F.get(v, k + 1), F.size(s) + 1) - at).alias("n"))))
 
-    return let(F.sort_array(items), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.slice(runs(s), 1, 0)))
+    return let(F.sort_array(items), runs)
 
 
 def offsets(parts: Column, gap: int) -> Column:
