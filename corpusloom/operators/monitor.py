@@ -149,9 +149,14 @@ def quality_by_length_bin(df: DataFrame, col: str = "word_count") -> DataFrame:
     return d.groupBy(label.alias("length_bin")).agg(F.avg("quality_score").alias("quality_score"), F.count("*").alias("n"))
 
 
-def quality_trends(df: DataFrame, order: list[str], keep: int = 10) -> DataFrame:
-    """Averages, pass rate and commonest flags of the newest assessments (pair assessment columns)."""
+def quality_trends(df: DataFrame, order: list[str], keep: int = 10, assess=None) -> DataFrame:
+    """Averages, pass rate and commonest flags of the newest assessments.
+
+    ``df`` holds assessments, or plain pairs with ``assess`` given: then only the newest pairs are assessed.
+    """
     recent = keep_last_n(df, keep, order)
+    if assess is not None:
+        recent = assess(recent)
     top = recent.select(F.explode(F.transform("flags", lambda f: f["name"])).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
     top = top.orderBy(F.desc("n"), "flag").limit(5).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct((-F.col("n")).alias("neg"), "flag"))), lambda r: F.concat(r["flag"], F.lit(":"), (-r["neg"]).cast("string"))), "|").alias("common_flags"))

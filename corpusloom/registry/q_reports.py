@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as FV, prompts as P
-from corpusloom.functions import language as LG, scores as SC, text as T
+from corpusloom.functions import language as LG, pairs as PF, scores as SC, text as T
 from corpusloom.operators import analysis as AN, chunking as CH, monitor as MO, oplog as OL, themes as TH, validation as VA
 from corpusloom.registry.core import query
 from corpusloom.registry.q_clean import MARKED, PARA_CHUNKS, para_chunks
@@ -372,7 +372,7 @@ f AS (SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM r) GROU
 SELECT (SELECT count(*) FROM ad) AS total_assessments, count(*) AS recent_assessments, {R('avg(overall)')} AS avg_overall_score, {R('avg(sim)')} AS avg_semantic_similarity, {R('avg(hal)')} AS avg_hallucination_score, {R('avg(passed::INT)')} AS pass_rate,
  (SELECT string_agg(flag || ':' || n, '|' ORDER BY n DESC, flag) FROM f) AS common_flags FROM r""")
 def quality_trends(spark, sf):
-    return MO.quality_trends(assessed(spark, sf), ["conv_id", "turn"])
+    return MO.quality_trends(TB.pairs(spark, sf), ["conv_id", "turn"], assess=PF.with_assessment)
 
 
 @query("top_flags", sql=f"WITH {ASSESS} SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM ad) GROUP BY 1 ORDER BY n DESC, flag LIMIT 5")
