@@ -33,24 +33,45 @@ def regex_hits(c: Column, themes: list[str], case_sensitive: bool = False) -> Co
     flag = "" if case_sensitive else "(?iu)"
     low = F.lower(c)
     return F.concat(*[F.when(F.contains(low, F.lit(t.lower())), _tagged(c, flag + r"\Q" + t + r"\E", t)).otherwise(
-        F.array().cast("array<struct<start:int,end:int,keyword:string,confidence:double>>")) for t in themes])
+        F.array().cast(_HITS)) for t in themes])
+
+
+_HITS = "array<struct<start:int,end:int,keyword:string,confidence:double,sentence_index:int,paragraph_index:int>>"
 
 
 def _tagged(c: Column, pattern: str, name: str) -> Column:
-    return F.transform(T.spans(c, pattern), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(name).alias("keyword"), F.lit(0.5).alias("confidence")))
+    """Matches of one pattern with the end marks and blank lines before them.
+
+    One walk over the gaps between matches adds the counts up, so no match reads its whole prefix again.
+    """
+    gaps = F.split(c, pattern)
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
+                       lambda g, m: F.struct(F.coalesce(g, F.lit("")).alias("g"), m.alias("m")))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("s"), F.lit(0).alias("p"), F.array().cast(_HITS).alias("out"))
+
+    def step(acc, x):
+        b = acc["at"] + F.length(x["g"])
+        e = b + F.length(x["m"])
+        s = acc["s"] + T.count_chars_in(x["g"], ".!?")
+        p = acc["p"] + T.count_substring(x["g"], "\n\n")
+        hit = F.struct(b.alias("start"), e.alias("end"), F.lit(name).alias("keyword"), F.lit(0.5).alias("confidence"),
+                       s.alias("sentence_index"), p.alias("paragraph_index"))
+        return F.struct(e.alias("at"), (s + T.count_chars_in(x["m"], ".!?")).alias("s"),
+                        (p + T.count_substring(x["m"], "\n\n")).alias("p"), F.array_append(acc["out"], hit).alias("out"))
+
+    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
 
 
 def _with_context(rows: DataFrame, reach: int = 200) -> DataFrame:
-    """Text around spans (columns _t, start, end) with sentence and paragraph numbers."""
-    head = F.substr("_t", F.lit(1), F.col("start"))
+    """Text around the hits (columns _t, start, end and the counts)."""
     lead = F.least(F.col("start"), F.lit(reach))
     return rows.select(
         "doc_id", "keyword", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "confidence",
         F.substr("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("matched_text"),
         T.trim_ws(F.substr("_t", F.col("start") - lead + 1, lead)).alias("context_before"),
         T.trim_ws(F.substr("_t", F.col("end") + 1, F.lit(reach))).alias("context_after"),
-        T.count_chars_in(head, ".!?").alias("sentence_index"), T.count_substring(head, "\n\n").alias("paragraph_index"))
+        "sentence_index", "paragraph_index")
 
 
 def theme_matches_regex(df: DataFrame, themes: list[str], case_sensitive: bool = False, col: str = "text") -> DataFrame:
