@@ -428,9 +428,10 @@ FMTS = list(EX.RESPONSE_FIELDS)
 
 def responses(spark, sf):
     """One response per chunk: good JSON, JSON inside prose, an empty list, broken JSON, missing fields, or none."""
-    c = para_chunks(spark, sf)
+    c = para_chunks(spark, sf).withColumn("_head", F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 40))
+    c = T.settle(c, "_head")
     kind = F.pmod(F.col("doc_id") + F.col("chunk_no"), F.lit(6))
-    head = F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 40)
+    head = F.col("_head")
     good = F.to_json(F.array(*[F.struct(F.concat(head, F.lit(f" {i}")).alias("question"), F.concat(F.lit("about "), head).alias("answer"),
                                         F.lit("x").alias("text"), head.alias("label")) for i in range(2)]))
     fmt = F.when(F.col("chunk_no") % 2 == 0, F.lit("qa_pairs")).otherwise(F.lit("classification"))
