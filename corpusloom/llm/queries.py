@@ -1,6 +1,6 @@
 """All registered queries of this subpackage and their DuckDB twins."""
 
-from corpusloom.llm import exact_dedup, mixing, sharding  # noqa: F401
+from corpusloom.llm import exact_dedup, minhash, mixing, sharding  # noqa: F401
 from corpusloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
