@@ -21,7 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as TY
 
 from corpusloom.llm import bytebpe as B
 from corpusloom.llm.common import documents, query, stored, text_of
@@ -210,7 +210,7 @@ def decode(encoded_rows: DataFrame, ids: str, vocabulary: str = VOCABULARY) -> D
 
     Bytes that are no UTF-8 become replacement signs.  A null array stays null.
     """
-    schema = encoded_rows.schema.add("decoded", "string")
+    schema = TY.StructType([*encoded_rows.schema.fields, TY.StructField("decoded", TY.StringType())])
 
     def run(batches):
         for b in batches:
