@@ -127,29 +127,28 @@ def pivotal_copies(rows: DataFrame, key: list[str], seed: int = 7) -> DataFrame:
     return out.select("_row.*", (F.col("_row._base") + F.col("_p").cast("long")).alias("copies")).drop("_base")
 
 
-def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, text: str = "text", key: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, rate and copies.
+def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", key: list[str] | None = None) -> DataFrame:
+    """``doc`` (a struct of all columns of ``docs``) with source, size, source_size, target, rate and copies.
 
     Null texts and texts without words have size 0: they are due the copies of their source like the others.  Records
     without a source form a source of their own.  An empty table gives an empty result; a source whose sizes are all 0 is due one copy of each record.
     """
-    spread = [c for c in ("size", "source_size", "target", "rate", "copies") if c in docs.columns]
-    if spread:
-        raise ValueError(f"rename columns {spread} first")
-    rows = docs.withColumn("size", word_count(text))
-    targets = source_targets(rows.select("source", "size"), weights, share, most)
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    named = F.xxhash64(*(key or ["doc_id", text]))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(source).alias("source"), word_count(text).alias("size"), named.alias("key"))
+    return pivotal_copies(with_rates(rows, weights, share, most), ["key"]).drop("key")
+
+
+def with_rates(rows: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
+    """``rows`` (with source and size) with source_size, target and rate."""
+    targets = source_targets(rows.select("source", "size"), weights, share, most).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    return pivotal_copies(rows.withColumn("rate", rate), key or ["doc_id", text])
+    return rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", rate)
 
 
 @query("op6_mixing")
 def op6_mixing(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     sized = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_hash"))
-    targets = source_targets(sized.select("source", "size"), [3, 1, 2], 1.5, 2.0).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", rate)
+    rows = with_rates(sized, [3, 1, 2], 1.5, 2.0)
     out = pivotal_copies(rows, ["doc_id", "text_hash"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

@@ -1,6 +1,6 @@
 """All registered queries of this subpackage and their DuckDB twins."""
 
-from corpusloom.llm import bpe, exact_dedup, minhash, mixing, pii, sharding, simhash, tokenfile, toxicity  # noqa: F401
+from corpusloom.llm import bpe, exact_dedup, minhash, mixing, pii, quoting, sharding, simhash, tokenfile, toxicity  # noqa: F401
 from corpusloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
