@@ -21,9 +21,9 @@ from corpusloom.llm.common import documents, query, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with triggers that the field is trained on (about; at most twice as many), and passes over their regions.
-SAMPLE_DOCS, EPOCHS = 2000, 12
+SAMPLE_DOCS, EPOCHS = 2000, 20
 #: Most units of a span, and the least posterior probability of an added span.
-LONGEST, SURE = 40, 0.9
+LONGEST, SURE = 40, 0.8
 
 Span = tuple[int, int, str]
 
@@ -104,6 +104,10 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(tokens[a][0], tokens[b][1]) for a, b in merged]
 
 
+#: Top-level domains that count as usual. Fixed values.
+TOPS = frozenset("com org net edu gov info biz io co de fr es it nl eu ch uk ca au jp br".split())
+
+
 @dataclass
 class Lattice:
     """Units of a region and its candidate spans (first unit, end unit, kind, features)."""
@@ -193,7 +197,8 @@ def lattice(text: str, lo: int, hi: int) -> Lattice:
         for e, dots, spelled in ends:
             top = s[e - 1]
             more = e < n and (s[e] == "." and e + 1 < n and s[e + 1].isalnum() or DOT.match(text, units[e][0]) is not None or e + 1 < n and s[e] == " " and s[e + 1].lower() == "dot")
-            add(first, e, "email", "at word" if word else "at sign", "spelled" if spelled else "dots", "top" if 2 <= len(top) <= 6 and top.isalpha() else "no top",
+            add(first, e, "email", "at word" if word else "at sign", "spelled" if spelled else "dots", "usual top" if top.lower() in TOPS else "letters" if 2 <= len(top) <= 6 and top.isalpha() else "no top",
+                "spelled, usual top" if spelled and top.lower() in TOPS else "spelled, other top" if spelled else "plain top",
                 "more follows" if more else "ends", "word but no spelled dot" if word and not spelled else "even", "spaces" if " " in text[units[k][0] - 1:units[k][1] + 1] else "tight")
     return Lattice(units, found)
 
@@ -291,6 +296,7 @@ def disguised(value: str, kind: str, draw: random.Random) -> str:
     """A copy of a span as people write it to evade patterns."""
     if kind == "email":
         local, _, domain = value.partition("@")
+        domain = domain.rpartition(".")[0] + "." + draw.choice(sorted(TOPS))
         at, dot = draw.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" @ ", ".")])
         return local.strip(".") + at + domain.replace(".", dot)
     if kind == "ip":
@@ -321,6 +327,10 @@ def examples_of(text: str, seed: int) -> list[tuple[Lattice, set[int]]]:
             new = disguised(text[a:z], kind, draw)
             t = text[lo:a] + new + text[z:hi]
             learn(t, [(a - lo, a - lo + len(new), kind)], 0, len(t))
+            if kind == "email":  # ordinary words around at and dot are no address
+                w = [x for x in text.split(None, 60)[:60] if x.isascii() and x.isalpha()] or ["word"]
+                t = f"{draw.choice(w)} {draw.choice(w)} at {draw.choice(w)} dot {draw.choice(w)} {draw.choice(w)}"
+                learn(t, [], 0, len(t))
     return out
 
 

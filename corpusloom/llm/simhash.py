@@ -37,7 +37,8 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     words = F.filter(F.split(text_of(text), r"\s+"), lambda w: w != "")
     votes, weight = _votes()
     rows = texts.select(*keys, F.explode_outer(words).alias("word"))
-    rows = rows.select(*keys, F.coalesce(weight, F.lit(0)).alias("_w"), *[F.coalesce(v, F.lit(0)).alias(f"_v{i}") for i, v in enumerate(votes)])
+    cast = lambda v: F.when(F.col("word").isNotNull(), v).otherwise(F.lit(0).cast("long"))
+    rows = rows.select(*keys, cast(weight).alias("_w"), *[cast(v).alias(f"_v{i}") for i, v in enumerate(votes)])
     sums = rows.groupBy(*keys).agg(F.sum("_w").alias("_w"), *[F.sum(f"_v{i}").alias(f"_v{i}") for i in range(len(votes))])
 
     def half(first: int) -> Column:
