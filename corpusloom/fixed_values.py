@@ -17,7 +17,6 @@ MAX_INTAKE_PAGES = 200
 
 # --- fixed values: cleaning ---------------------------------------------------
 MIN_TEXT_LENGTH = 10
-MAX_TEXT_LENGTH = 1_000_000
 HEADER_WORDS = ["chapter", "page", "copyright", "©", "all rights reserved"]
 SCRIPT_PATTERNS = [
     r"(?i)<script[^>]*>.*?</script>", r"(?i)javascript:", r"(?i)data:text/html", r"(?i)vbscript:",

@@ -63,7 +63,7 @@ def contradictions(original: Column, enhanced: Column) -> Column:
         opposite("impossible", "possible", tokens)))
 
 
-def unsupported(original: Column, enhanced: Column, keep: int = 5) -> Column:
+def unsupported(original: Column, enhanced: Column) -> Column:
     """Sentences over 20 characters of which over 70 % of the words are new."""
     parts = F.transform(F.split(enhanced, r"\."), T.trim_ws)
 
@@ -74,9 +74,7 @@ def unsupported(original: Column, enhanced: Column, keep: int = 5) -> Column:
 
         return F.filter(parts, lambda s: (F.length(s) > 20) & new_share(s))
 
-    found = T.let(F.array_distinct(T.words(F.lower(original))), kept)
-    return F.transform(F.slice(found, 1, keep), lambda s: F.when(
-        F.length(s) > 100, F.concat(F.substring(s, 1, 100), F.lit("..."))).otherwise(s))
+    return T.let(F.array_distinct(T.words(F.lower(original))), kept)
 
 
 def with_assessment(df: DataFrame, original="original", enhanced="enhanced", tone: str = "") -> DataFrame:

@@ -198,8 +198,8 @@ def clean_fragment(c: Column) -> Column:
     return F.regexp_replace(c, r"[:\-\s]+$", "")
 
 
-def sanitize_text(c: Column) -> Column:
-    """struct(is_valid, text, error): trimmed, length-checked, free of control characters and script."""
+def sanitize_text(c: Column, longest: int | None = None) -> Column:
+    """struct(is_valid, text, error): trimmed, free of control characters and script; too short texts are refused, and those over ``longest`` if given."""
     t = trim_ws(c)
     clean = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     for pattern in FV.SCRIPT_PATTERNS:
@@ -214,9 +214,7 @@ def sanitize_text(c: Column) -> Column:
         .when(t == "", row(False, F.lit(""), "Text input cannot be empty after removing whitespace"))
         .when(n < FV.MIN_TEXT_LENGTH, row(
             False, t, f"Text too short (minimum {FV.MIN_TEXT_LENGTH} characters)"))
-        .when(n > FV.MAX_TEXT_LENGTH, row(
-            False, F.substring(t, 1, FV.MAX_TEXT_LENGTH),
-            f"Text too long (maximum {FV.MAX_TEXT_LENGTH} characters), truncated"))
+        .when(n > F.lit(longest), row(False, clean, f"Text too long (maximum {longest} characters)"))
         .otherwise(row(True, clean, ""))
     )
 
@@ -289,24 +287,25 @@ def important_entities(entities: Column, keep: int = 10) -> Column:
     return F.slice(F.array_sort(F.transform(entities, ranked)), 1, keep)
 
 
-def concepts(c: Column, keep: int = 10) -> Column:
-    """Words named as "idea of X" and the like: lower-cased, distinct, sorted, first ``keep``."""
+def concepts(c: Column, keep: int | None = None) -> Column:
+    """Words named as "idea of X" and the like: lower-cased, distinct, sorted; all, or the first ``keep`` for display."""
     found = [
         F.regexp_extract_all(c, F.lit(
             r"(?iU)\b(?:%s)\s+(?:%s)\s+(\w+)" % ("|".join(lead), "|".join(link))), F.lit(1))
         for lead, link in FV.CONCEPT_LEADS]
-    return F.slice(F.array_sort(F.array_distinct(F.transform(
-        F.filter(F.concat(*found), lambda w: F.length(w) > 2), F.lower))), 1, keep)
+    every = F.array_sort(F.array_distinct(F.transform(F.filter(F.concat(*found), lambda w: F.length(w) > 2), F.lower)))
+    return F.slice(every, 1, keep) if keep else every
 
 
-def themes(c: Column, keep: int = 5, lexicon: dict | None = None) -> Column:
-    """array<struct<theme,score>>: themes by number of keywords present, best first."""
+def themes(c: Column, keep: int | None = None, lexicon: dict | None = None) -> Column:
+    """array<struct<theme,score>>: themes by number of keywords present, best first; all, or the first ``keep`` for display."""
     table = (lexicon or FV.THEME_KEYWORDS).items()
 
     def ranked(low):
         rows = [F.named_struct(F.lit("neg"), -hits(low, kws), F.lit("pos"), F.lit(i), F.lit("theme"), F.lit(name))
                 for i, (name, kws) in enumerate(table)]
-        return F.slice(F.array_sort(F.filter(F.array(*rows), lambda r: r["neg"] < 0)), 1, keep)
+        every = F.array_sort(F.filter(F.array(*rows), lambda r: r["neg"] < 0))
+        return F.slice(every, 1, keep) if keep else every
 
     return F.transform(let(F.lower(c), ranked), lambda r: F.struct(
         r["theme"].alias("theme"), (-r["neg"]).alias("score")))

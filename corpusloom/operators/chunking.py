@@ -107,7 +107,7 @@ def _explode_pieces(df: DataFrame, pieces: Column, keep: list[str]) -> DataFrame
 
 
 def chunk_by_sentences(df: DataFrame, budget: int = 1000, keep=("doc_id",), col: str = "text") -> DataFrame:
-    return _explode_pieces(df, greedy_pack(T.sentences(F.col(col)), budget), list(keep))
+    return _explode_pieces(df, greedy_pack(T.marked_sentences(F.col(col)), budget), list(keep))
 
 
 def chunk_by_paragraphs(df: DataFrame, budget: int = 1000, keep=("doc_id",), col: str = "text") -> DataFrame:
@@ -328,7 +328,7 @@ def merge_small(pieces: Column, min_words: int) -> Column:
 
 def merge_undersized(df: DataFrame, budget: int = 1000, min_words: int = 100, col: str = "text") -> DataFrame:
     """Sentence-packed chunks in which no chunk but the first is shorter than ``min_words``."""
-    texts = F.transform(greedy_pack(T.sentences(F.col(col)), budget), lambda p: p["text"])
+    texts = F.transform(greedy_pack(T.marked_sentences(F.col(col)), budget), lambda p: p["text"])
     return (df.withColumn("_p", texts)
             .select("doc_id", F.posexplode(merge_small(F.col("_p"), min_words)).alias("_pos", "text"))
             .select("doc_id", (F.col("_pos") + 1).alias("chunk_no"), "text")
@@ -367,7 +367,8 @@ def narrative_segments(df: DataFrame, parts: int = 10, col: str = "text") -> Dat
         "doc_id", "_t", "_e", F.floor(F.length("_t") / parts).cast("int").alias("_size"),
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("segment"))
     start = F.col("segment") * F.col("_size")
-    words = T.n_words(F.substr("_t", start + 1, F.col("_size")))
-    found = F.size(F.filter("_e", lambda e: (e["start"] >= start) & (e["start"] < start + F.col("_size"))))
+    end = F.when(F.col("segment") == parts - 1, F.length("_t")).otherwise(start + F.col("_size"))  # the last slice takes the rest
+    words = T.n_words(F.substr("_t", start + 1, end - start))
+    found = F.size(F.filter("_e", lambda e: (e["start"] >= start) & (e["start"] < end)))
     return d.select("doc_id", (F.col("segment") / float(parts)).alias("position"), words.alias("word_count"),
                     F.when(words > 0, found / F.greatest(words, F.lit(1))).otherwise(F.lit(0.0)).alias("semantic_density"))

@@ -35,10 +35,13 @@ def select_complex(df: DataFrame, at: float = 0.5) -> DataFrame:
     return df.filter(F.col("complexity") > at)
 
 
-def sanitize_output(df: DataFrame, text: str, metadata: str, score: str) -> DataFrame:
-    """Cut texts to 10,000 and metadata values to 1,000 characters; scores that are no numbers become 0."""
-    return (df.withColumn(text, F.substring(text, 1, 10_000))
-            .withColumn(metadata, F.transform_values(metadata, lambda k, v: F.substring(v, 1, 1_000)))
+def sanitize_output(df: DataFrame, text: str, metadata: str, score: str, longest: int | None = None, longest_value: int | None = None) -> DataFrame:
+    """Scores that are no numbers become 0; texts and metadata values are cut only to lengths that the caller gives."""
+    def cut(c, n):
+        return F.substring(c, 1, n) if n else c
+
+    return (df.withColumn(text, cut(F.col(text), longest))
+            .withColumn(metadata, F.transform_values(metadata, lambda k, v: cut(v, longest_value)))
             .withColumn(score, F.coalesce(F.col(score).try_cast("double"), F.lit(0.0))))
 
 

@@ -140,22 +140,22 @@ def training_records(chunks: DataFrame, formats: list[str]) -> DataFrame:
     rows = []
     for f in formats:
         if f == "qa_pairs":
-            rows += [row(F.concat(cid, F.lit(f"_qa_fallback_{i}")), f, q, F.concat(F.lit("Based on the content: "), F.substring(c, 1, 200), F.lit("...")), 0.6)
+            rows += [row(F.concat(cid, F.lit(f"_qa_fallback_{i}")), f, q, F.concat(F.lit("Based on the content: "), c), 0.6)
                      for i, q in enumerate(P.RULE_QUESTIONS)]
         elif f == "classification":
-            rows.append(row(F.concat(cid, F.lit("_classification_fallback")), f, F.substring(c, 1, 500), "informational", 0.6))
+            rows.append(row(F.concat(cid, F.lit("_classification_fallback")), f, c, "informational", 0.6))
         else:
-            rows.append(row(F.concat(cid, F.lit(f"_{f}_fallback")), f, F.substring(c, 1, 300), f"Processed content from {f}", 0.5))
+            rows.append(row(F.concat(cid, F.lit(f"_{f}_fallback")), f, c, f"Processed content from {f}", 0.5))
     return chunks.select("chunk_id", F.inline(F.array(*rows)))
 
 
 def dialogue_records(chunks: DataFrame) -> DataFrame:
-    """Questions about the first two full-stop parts longer than 20 characters."""
-    parts = F.slice(F.split("text", r"\."), 1, 2)
+    """Questions about the full-stop parts longer than 20 characters."""
+    parts = F.split("text", r"\.")
     return (chunks.select("chunk_id", F.posexplode(parts).alias("_i", "_s")).withColumn("_s", T.trim_ws(F.col("_s")))
             .filter(F.length("_s") > 20).select(
         F.concat("chunk_id", F.lit("_fallback_"), F.col("_i").cast("string")).alias("id"),
-        F.concat(F.lit("What can you tell me about "), F.substring("_s", 1, 50), F.lit("...?")).alias("question"),
+        F.concat(F.lit("What can you tell me about "), "_s", F.lit("?")).alias("question"),
         F.concat("_s", F.lit(".")).alias("answer"), F.lit(0.5).alias("confidence")))
 
 

@@ -79,13 +79,11 @@ def preview(df: DataFrame, order: list[str], n: int = 3, cut: int = 1000) -> Dat
     return first.select(*order, F.when(F.length(line) > cut, F.concat(F.substring(line, 1, cut), F.lit("..."))).otherwise(line).alias("preview"))
 
 
-def size_estimate(df: DataFrame, order: list[str], sample: int = 3) -> DataFrame:
-    """Size of the first rows scaled to all rows; compression is advised above one megabyte."""
-    from corpusloom.plans.skew import attach
-    first = df.orderBy(*order).limit(sample).agg(F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("sample_size"), F.count("*").alias("sampled"))
-    d = attach(df.agg(F.count("*").alias("total_items")), first)
-    size = F.floor(F.col("sample_size") * F.col("total_items") / F.col("sampled"))
-    return d.select("total_items", "sample_size", size.alias("estimated_size"), (size > 1024 * 1024).alias("compression_recommended"))
+def size_estimate(df: DataFrame) -> DataFrame:
+    """Characters of all rows as JSON, in one scan; compression is advised above one megabyte."""
+    n = F.length(F.to_json(F.struct(*df.columns))).cast("bigint")
+    d = df.agg(F.count("*").alias("total_items"), F.coalesce(F.sum(n), F.lit(0)).alias("estimated_size"))
+    return d.withColumn("compression_recommended", F.col("estimated_size") > 1024 * 1024)
 
 
 # --- writes -------------------------------------------------------------------------------

@@ -33,10 +33,9 @@ def structured_qa(c: Column) -> Column:
 
 
 def first_by_signature(rows: Column) -> Column:
-    """Keep the first of the rows that share the first 50 characters of question and answer, case-blind."""
+    """Keep the first of the rows that share question and answer, case-blind and trimmed."""
     def sig(r):
-        return F.concat_ws("\u0001", F.substring(F.lower(T.trim_ws(r["question"])), 1, 50),
-                           F.substring(F.lower(T.trim_ws(r["answer"])), 1, 50))
+        return F.concat_ws("\u0001", F.lower(T.trim_ws(r["question"])), F.lower(T.trim_ws(r["answer"])))
 
     signed = F.transform(rows, lambda r: F.struct(sig(r).alias("sig"), r.alias("row")))
     return T.let(signed, lambda v: T.let(F.transform(v, lambda x: x["sig"]), lambda sigs: F.transform(
@@ -195,9 +194,9 @@ def content_recommendations() -> Column:
         F.when(F.col("total_segments") < 10, F.array(F.lit(FEW_ADVICE))).otherwise(none))
 
 
-def monologue_records(df: DataFrame, keep_first: int = 20, col: str = "text") -> DataFrame:
-    """First paragraphs of each document as answers to a question chosen by topic."""
-    return (df.select("doc_id", F.posexplode(F.slice(T.meaningful_paragraphs(F.col(col)), 1, keep_first)).alias("paragraph_index", "answer"))
+def monologue_records(df: DataFrame, col: str = "text") -> DataFrame:
+    """Paragraphs of each document as answers to a question chosen by topic."""
+    return (df.select("doc_id", F.posexplode(T.meaningful_paragraphs(F.col(col))).alias("paragraph_index", "answer"))
             .withColumn("question", S.contextual_question(F.col("answer")))
             .withColumn("type", F.lit("monologue")).withColumn("confidence", F.lit(0.3)))
 
@@ -234,7 +233,7 @@ def smart_detect_cascade(df: DataFrame, col: str = "text") -> DataFrame:
     def rows(kind, array, q, a):
         return F.transform(array, lambda r: F.struct(F.lit(kind).alias("type"), q(r).alias("question"), a(r).alias("answer")))
 
-    paras = F.slice(T.meaningful_paragraphs(F.col("_t")), 1, 20)
+    paras = T.meaningful_paragraphs(F.col("_t"))
     chosen = (F.when(F.size("_qa") > 0, rows("structured_qa", F.col("_qa"), lambda r: r["question"], lambda r: r["answer"]))
               .when(F.size("_talk") > 0, rows("dialogue", F.col("_talk"), lambda r: r["question"], lambda r: r["answer"]))
               .otherwise(rows("monologue", paras, S.contextual_question, lambda r: r)))
@@ -365,11 +364,11 @@ def parse_model_responses(df: DataFrame) -> DataFrame:
 
 
 def rescue_unparsed(df: DataFrame) -> DataFrame:
-    """Responses with a bracketed part that is no JSON: the non-blank ones of the first three lines."""
+    """Responses with a bracketed part that is no JSON: their non-blank lines."""
     broken = df.filter((_payload() != "") & _items().isNull())
-    lines_ = F.filter(F.transform(F.slice(T.lines(F.col("response")), 1, 3), lambda l, i: F.struct(
+    lines_ = F.filter(F.transform(T.lines(F.col("response")), lambda l, i: F.struct(
         i.alias("i"), T.trim_ws(l).alias("l"))), lambda r: r["l"] != "")
     return broken.select("chunk_id", "format_type", F.inline(lines_)).select(
         "chunk_id", F.concat(F.concat_ws("_", "chunk_id", "format_type"), F.lit("_simple_"), F.col("i").cast("string")).alias("id"),
-        "format_type", F.substring("l", 1, 200).alias("input_text"), F.lit("Generated from content").alias("output_text"),
+        "format_type", F.col("l").alias("input_text"), F.lit("Generated from content").alias("output_text"),
         F.to_json(F.create_map(F.lit("source_line"), "l")).alias("metadata"), F.lit(0.5).alias("quality_score"))

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import text as T
 
-MAX_CONTEXT = 2000
-
-
 def theme_matches(df: DataFrame, themes: list[str], before: int = 2, after: int = 2, col: str = "text") -> DataFrame:
     """First hit of each theme in each sentence, with the sentences around it."""
     d = df.select("doc_id", F.col(col).alias("_t"), T.sentences(F.col(col)).alias("_s"))
@@ -79,13 +76,14 @@ def theme_matches_regex(df: DataFrame, themes: list[str], case_sensitive: bool =
     return _with_context(rows)
 
 
-def theme_confidence(rows: DataFrame, matched: str = "matched_text", chunk: str = "full_chunk") -> DataFrame:
-    """0.5, plus 0.3 for an exact match; over-long context is cut around the match."""
-    hit, text = F.col(matched), F.col(chunk)
-    at = F.position(hit, text)
-    start = F.greatest(at - MAX_CONTEXT // 2 - 1, F.lit(0))
-    end = F.least(F.length(text), at - 1 + F.length(hit) + MAX_CONTEXT // 2)
-    cut = F.when((F.length(text) > MAX_CONTEXT) & (at > 0), F.substr(text, start + 1, end - start)).otherwise(text)
+def theme_confidence(rows: DataFrame, matched: str = "matched_text", chunk: str = "full_chunk", context: int | None = None) -> DataFrame:
+    """0.5, plus 0.3 for an exact match; with ``context``, longer chunks are cut to that many characters around the match."""
+    hit, cut = F.col(matched), F.col(chunk)
+    if context:
+        text, at = cut, F.position(hit, cut)
+        start = F.greatest(at - context // 2 - 1, F.lit(0))
+        end = F.least(F.length(text), at - 1 + F.length(hit) + context // 2)
+        cut = F.when((F.length(text) > context) & (at > 0), F.substr(text, start + 1, end - start)).otherwise(text)
     return rows.withColumn("confidence", F.when(F.lower(hit) == F.lower("keyword"), F.lit(0.8)).otherwise(F.lit(0.5))).withColumn(
         chunk, T.trim_ws(cut))
 

@@ -83,10 +83,10 @@ def reconcile_counts(declared: DataFrame, rows: DataFrame, key: str) -> DataFram
 
 
 def dedupe_by_signature(df: DataFrame, q: str, a: str, order: list[str]) -> DataFrame:
-    """First row of each (question, answer) signature: first 50 characters, trimmed, lower case.
+    """First row of each (question, answer) signature: digests of the whole trimmed, lower-cased texts.
 
     A reducing aggregate: copies are dropped map-side, so a huge group of copies moves one row per task.
     """
-    sig = [F.substring(F.lower(T.trim_ws(F.col(c))), 1, 50) for c in (q, a)]
+    sig = [F.sha2(F.lower(T.trim_ws(F.col(c))), 256) for c in (q, a)]
     return df.groupBy(sig[0].alias("_q"), sig[1].alias("_a")).agg(
         F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r")).select("_r.*")

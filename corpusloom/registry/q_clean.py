@@ -16,7 +16,7 @@ from corpusloom.sources import tables as TB
 WITH RECURSIVE m AS (SELECT doc_id, lang,
   {trim("translate(regexp_replace(regexp_replace(regexp_replace(text, '[ '||chr(9)||']+', ' ', 'g'), '\\n\\s*\\d+\\s*\\n', chr(10), 'g'), '(?i)\\n\\s*Page \\d+\\s*\\n', chr(10), 'g'), '—‘’“”', '-''''\"\"')")} AS text
   FROM documents),
-it AS (SELECT doc_id, unnest({S('text')}) AS s, unnest(range(1, len({S('text')}) + 1)) AS i FROM m),
+it AS (SELECT doc_id, unnest({MS('text')}) AS s, unnest(range(1, len({MS('text')}) + 1)) AS i FROM m),
 {pack('it', 1000)},
 {quality('c', 'doc_id, chunk_no')}
 SELECT m.lang, {route('quality_score')} AS route, count(*) AS n, {R('avg(quality_score)')} AS mean_quality,
@@ -44,12 +44,11 @@ def _clean_sql(x):
 
 @query("sanitize_text", sql=f"""
 WITH x AS (SELECT doc_id, {DIRTY} AS text FROM documents), y AS (SELECT *, {trim('text')} AS t FROM x)
-SELECT doc_id, NOT (text IS NULL OR t = '' OR length(t) < 10 OR length(t) > 1000000) AS is_valid,
-  CASE WHEN text IS NULL OR t = '' THEN '' WHEN length(t) < 10 THEN t WHEN length(t) > 1000000 THEN substr(t, 1, 1000000)
+SELECT doc_id, NOT (text IS NULL OR t = '' OR length(t) < 10) AS is_valid,
+  CASE WHEN text IS NULL OR t = '' THEN '' WHEN length(t) < 10 THEN t 
     ELSE {_clean_sql('text')} END AS text,
   CASE WHEN text IS NULL OR text = '' THEN 'Text input cannot be empty' WHEN t = '' THEN 'Text input cannot be empty after removing whitespace'
-    WHEN length(t) < 10 THEN 'Text too short (minimum 10 characters)'
-    WHEN length(t) > 1000000 THEN 'Text too long (maximum 1000000 characters), truncated' ELSE '' END AS error FROM y""")
+    WHEN length(t) < 10 THEN 'Text too short (minimum 10 characters)' ELSE '' END AS error FROM y""")
 def sanitize_text(spark, sf):
     return CL.sanitize(TB.documents(spark, sf).withColumn("text", F.expr(DIRTY)))
 
@@ -93,7 +92,7 @@ def select_high_quality(spark, sf):
         "doc_id", "quality_score", "dialogue_potential")
 
 
-@query("sanitize_output", sql="""SELECT doc_id, substr(text, 1, 10000) AS text, substr(text, 1, 1000) AS note,
+@query("sanitize_output", sql="""SELECT doc_id, text, text AS note,
   CASE doc_id % 3 WHEN 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS quality_score FROM documents""")
 def sanitize_output(spark, sf):
     d = TB.documents(spark, sf).select(
@@ -321,8 +320,8 @@ def fit_token_budget(spark, sf):
 
 
 @query("narrative_segments", sql=f"""WITH {MARKED}, {ENTITIES}, g AS (SELECT doc_id, text, length(text) // 10 AS sz, unnest(range(0, 10)) AS k FROM m),
-h AS (SELECT doc_id, k, sz, {NWORDS('substr(text, k * sz + 1, sz)')} AS n FROM g),
-e AS (SELECT h.doc_id, h.k, h.n, count(ent.start) AS ne FROM h LEFT JOIN ent ON ent.doc_id = h.doc_id AND ent.start >= h.k * h.sz AND ent.start < h.k * h.sz + h.sz GROUP BY 1, 2, 3)
+h AS (SELECT doc_id, k, sz, CASE WHEN k = 9 THEN length(text) ELSE k * sz + sz END AS en, CASE WHEN k = 9 THEN {NWORDS('substr(text, k * sz + 1)')} ELSE {NWORDS('substr(text, k * sz + 1, sz)')} END AS n FROM g),
+e AS (SELECT h.doc_id, h.k, h.n, count(ent.start) AS ne FROM h LEFT JOIN ent ON ent.doc_id = h.doc_id AND ent.start >= h.k * h.sz AND ent.start < h.en GROUP BY 1, 2, 3)
 SELECT doc_id, {R('k / 10.0')} AS position, n AS word_count, CASE WHEN n > 0 THEN {R('ne / n')} ELSE 0.0::DOUBLE END AS semantic_density FROM e""")
 def narrative_segments(spark, sf):
     return CH.narrative_segments(TB.marked_documents(spark, sf))

@@ -121,10 +121,10 @@ ALL_FORMATS = list(P.TRAINING_TEMPLATES)
 
 
 def _record_sql(cte="c"):
-    parts = [f"SELECT chunk_id, chunk_id || '_qa_fallback_{i}' AS id, 'qa_pairs' AS format_type, {q(t)} AS input_text, 'Based on the content: ' || substr(text, 1, 200) || '...' AS output_text, 0.6::DOUBLE AS quality_score FROM {cte}"
+    parts = [f"SELECT chunk_id, chunk_id || '_qa_fallback_{i}' AS id, 'qa_pairs' AS format_type, {q(t)} AS input_text, 'Based on the content: ' || text AS output_text, 0.6::DOUBLE AS quality_score FROM {cte}"
              for i, t in enumerate(P.RULE_QUESTIONS)]
-    parts.append(f"SELECT chunk_id, chunk_id || '_classification_fallback', 'classification', substr(text, 1, 500), 'informational', 0.6::DOUBLE FROM {cte}")
-    parts += [f"SELECT chunk_id, chunk_id || '_{f}_fallback', '{f}', substr(text, 1, 300), 'Processed content from {f}', 0.5::DOUBLE FROM {cte}"
+    parts.append(f"SELECT chunk_id, chunk_id || '_classification_fallback', 'classification', text, 'informational', 0.6::DOUBLE FROM {cte}")
+    parts += [f"SELECT chunk_id, chunk_id || '_{f}_fallback', '{f}', text, 'Processed content from {f}', 0.5::DOUBLE FROM {cte}"
               for f in ALL_FORMATS if f not in ("qa_pairs", "classification")]
     return " UNION ALL ".join(parts)
 
@@ -141,8 +141,8 @@ def training_records_rule_based(spark, sf):
     return records(spark, sf).select("id", "format_type", F.md5("input_text").alias("input_md5"), F.md5("output_text").alias("output_md5"), "quality_score")
 
 
-@query("dialogue_records_rule_based", sql=f"""{PARA_CHUNKS}, s AS (SELECT chunk_id, unnest(string_split(text, '.')[1:2]) AS s, unnest([0, 1]) AS i FROM c), t AS (SELECT chunk_id, i, {trim('s')} AS s FROM s WHERE s IS NOT NULL)
-SELECT chunk_id || '_fallback_' || i AS id, 'What can you tell me about ' || substr(s, 1, 50) || '...?' AS question, s || '.' AS answer, 0.5::DOUBLE AS confidence FROM t WHERE length(s) > 20""")
+@query("dialogue_records_rule_based", sql=f"""{PARA_CHUNKS}, s AS (SELECT chunk_id, unnest(string_split(text, '.')) AS s, unnest(range(0, len(string_split(text, '.')))) AS i FROM c), t AS (SELECT chunk_id, i, {trim('s')} AS s FROM s WHERE s IS NOT NULL)
+SELECT chunk_id || '_fallback_' || i AS id, 'What can you tell me about ' || s || '?' AS question, s || '.' AS answer, 0.5::DOUBLE AS confidence FROM t WHERE length(s) > 20""")
 def dialogue_records_rule_based(spark, sf):
     return DS.dialogue_records(para_chunks(spark, sf))
 
@@ -154,7 +154,7 @@ def variant_records_rule_based(spark, sf):
 
 
 @query("fill_missing_with_fallback", sql=f"""{RESP}, resc AS (SELECT chunk_id, chunk_id || '_' || format_type || '_simple_' || i AS id, format_type, l AS input_text, 'Generated from content' AS output_text, 0.5::DOUBLE AS quality_score
-  FROM (SELECT chunk_id, format_type, unnest(['[{{"question": oops]', '', {trim('head')}]) AS l, unnest([0, 1, 2]) AS i FROM rs WHERE kind = 3) WHERE l <> ''),
+  FROM (SELECT chunk_id, format_type, unnest(['[{{"question": oops]', '', {trim('head')}, 'last']) AS l, unnest([0, 1, 2, 3]) AS i FROM rs WHERE kind = 3) WHERE l <> ''),
 items AS (SELECT *, 0.9::DOUBLE AS quality_score FROM parsed UNION ALL SELECT * FROM resc), miss AS (SELECT * FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM items)), fb AS ({_record_sql('miss')})
 SELECT * FROM items UNION ALL SELECT * FROM fb WHERE format_type = 'qa_pairs'""")
 def fill_missing_with_fallback(spark, sf):
@@ -229,7 +229,7 @@ def concept_clusters(spark, sf):
 
 
 @query("global_themes", sql=f"""{PARA_CHUNKS}, {THEMES.replace('FROM m', 'FROM cm').replace('doc_id', 'chunk_id').replace('th AS (', 'cm AS (SELECT chunk_id, text FROM c), th AS (', 1)},
-g AS (SELECT doc_id, theme, count(*) AS n FROM tr JOIN c USING (chunk_id) WHERE rank <= 5 GROUP BY 1, 2), t AS (SELECT doc_id, count(*) AS chunks FROM c GROUP BY 1)
+g AS (SELECT doc_id, theme, count(*) AS n FROM tr JOIN c USING (chunk_id) WHERE true GROUP BY 1, 2), t AS (SELECT doc_id, count(*) AS chunks FROM c GROUP BY 1)
 SELECT doc_id, theme, n, chunks FROM g JOIN t USING (doc_id) WHERE n >= greatest(2, chunks * 0.2)""")
 def global_themes(spark, sf):
     return GR.global_themes(para_chunks(spark, sf))
@@ -309,7 +309,7 @@ def reconcile_counts(spark, sf):
     return VS.reconcile_counts(declared, d, "source")
 
 
-@query("dedupe_by_signature", sql=f"""WITH s AS (SELECT doc_id, substr(lower({trim('split_part(text, chr(10), 1)')}), 1, 50) AS a, substr(lower({trim('text')}), 1, 50) AS b FROM documents)
+@query("dedupe_by_signature", sql=f"""WITH s AS (SELECT doc_id, lower({trim('split_part(text, chr(10), 1)')}) AS a, lower({trim('text')}) AS b FROM documents)
 SELECT min(doc_id) AS doc_id FROM s GROUP BY a, b""")
 def dedupe_by_signature(spark, sf):
     d = TB.documents(spark, sf).select("doc_id", F.substring_index("text", "\n", 1).alias("question"), F.col("text").alias("answer"))

@@ -130,7 +130,7 @@ def content_recommendations(spark, sf):
 
 
 @query("monologue_records", sql=f"""WITH {MARKED}, {PARAS}, u AS (SELECT doc_id, unnest(range(0, len(ps))) AS paragraph_index, unnest(ps) AS answer FROM pa)
-SELECT doc_id, paragraph_index, answer, {QUESTION_SQL.replace('XX', 'answer')} AS question, 'monologue' AS type, 0.3::DOUBLE AS confidence FROM u WHERE paragraph_index < 20""")
+SELECT doc_id, paragraph_index, answer, {QUESTION_SQL.replace('XX', 'answer')} AS question, 'monologue' AS type, 0.3::DOUBLE AS confidence FROM u""")
 def monologue_records(spark, sf):
     return EX.monologue_records(TB.marked_documents(spark, sf))
 
@@ -310,9 +310,9 @@ def important_entities(spark, sf):
         "doc_id", (F.col("_i") + 1).alias("rank"), "_e.text", "_e.type", "_e.importance")
 
 
-@query("extract_concepts", sql=f"WITH {MARKED} SELECT doc_id, unnest({concepts('text')}) AS concept FROM m")
+@query("extract_concepts", sql=f"WITH {MARKED} SELECT doc_id, unnest({concepts('text')}[1:10]) AS concept FROM m")
 def extract_concepts(spark, sf):
-    return TB.marked_documents(spark, sf).select("doc_id", F.explode(T.concepts(F.col("text"))).alias("concept"))
+    return TB.marked_documents(spark, sf).select("doc_id", F.explode(T.concepts(F.col("text"), keep=10)).alias("concept"))
 
 
 THEMES = "th AS (" + " UNION ALL ".join(
@@ -322,7 +322,7 @@ tr AS (SELECT doc_id, theme, score, row_number() OVER (PARTITION BY doc_id ORDER
 
 @query("identify_themes", sql=f"WITH {MARKED}, {THEMES} SELECT doc_id, rank, theme, score FROM tr WHERE rank <= 5")
 def identify_themes(spark, sf):
-    return TB.marked_documents(spark, sf).select("doc_id", F.posexplode(T.themes(F.col("text"))).alias("_i", "_t")).select(
+    return TB.marked_documents(spark, sf).select("doc_id", F.posexplode(T.themes(F.col("text"), keep=5)).alias("_i", "_t")).select(
         "doc_id", (F.col("_i") + 1).alias("rank"), "_t.theme", "_t.score")
 
 
@@ -359,8 +359,7 @@ def theme_matches_regex(spark, sf):
 
 @query("theme_confidence", sql=f"""WITH {MARKED}, {TM_SQL}, h AS (SELECT doc_id, keyword, sentence_index, substr(sentence, strpos(lower(sentence), lower(keyword)), length(keyword)) AS matched_text, full_chunk FROM tm),
 g AS (SELECT *, strpos(full_chunk, matched_text) - 1 AS at0 FROM h)
-SELECT doc_id, keyword, sentence_index, matched_text, CASE WHEN lower(matched_text) = lower(keyword) THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, {trim('''CASE WHEN length(full_chunk) > 2000 AND at0 >= 0 THEN
-  substr(full_chunk, greatest(at0 - 1000, 0) + 1, least(length(full_chunk), at0 + length(matched_text) + 1000) - greatest(at0 - 1000, 0)) ELSE full_chunk END''')} AS full_chunk FROM g""")
+SELECT doc_id, keyword, sentence_index, matched_text, CASE WHEN lower(matched_text) = lower(keyword) THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, {trim('full_chunk')} AS full_chunk FROM g""")
 def theme_confidence(spark, sf):
     d = TB.marked_documents(spark, sf)
     m = TH.theme_matches(d, THEME_LIST).join(d.withColumnRenamed("text", "_t"), "doc_id")
@@ -428,7 +427,7 @@ FMTS = list(EX.RESPONSE_FIELDS)
 
 def responses(spark, sf):
     """One response per chunk: good JSON, JSON inside prose, an empty list, broken JSON, missing fields, or none."""
-    c = para_chunks(spark, sf).withColumn("_head", F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 40))
+    c = para_chunks(spark, sf).withColumn("_head", F.regexp_replace("text", r"[^A-Za-z ]", ""))
     c = T.settle(c, "_head")
     kind = F.pmod(F.col("doc_id") + F.col("chunk_no"), F.lit(6))
     head = F.col("_head")
@@ -441,7 +440,7 @@ def responses(spark, sf):
 
 
 RESP = PARA_CHUNKS + r""", rs AS (SELECT chunk_id, doc_id, CASE chunk_no % 2 WHEN 0 THEN 'qa_pairs' ELSE 'classification' END AS format_type, (doc_id + chunk_no) % 6 AS kind,
-  substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40) AS head FROM c),
+  regexp_replace(text, '[^A-Za-z ]', '', 'g') AS head FROM c),
 parsed AS (SELECT chunk_id, chunk_id || '_' || format_type || '_' || i AS id, format_type, CASE WHEN kind = 4 THEN '' WHEN format_type = 'qa_pairs' THEN head || ' ' || i ELSE 'x' END AS input_text,
   CASE WHEN kind = 4 THEN '' WHEN format_type = 'qa_pairs' THEN 'about ' || head ELSE head END AS output_text FROM (SELECT *, unnest(CASE WHEN kind IN (0, 1) THEN [0, 1] WHEN kind = 4 THEN [0] ELSE [] END) AS i FROM rs))"""
 
@@ -451,7 +450,7 @@ def parse_model_responses(spark, sf):
     return EX.parse_model_responses(responses(spark, sf)).drop("metadata")
 
 
-@query("rescue_unparsed", sql=f"""{RESP}, l AS (SELECT chunk_id, format_type, unnest(['[{{"question": oops]', '', {trim('head')}]) AS l, unnest([0, 1, 2]) AS i FROM rs WHERE kind = 3)
+@query("rescue_unparsed", sql=f"""{RESP}, l AS (SELECT chunk_id, format_type, unnest(['[{{"question": oops]', '', {trim('head')}, 'last']) AS l, unnest([0, 1, 2, 3]) AS i FROM rs WHERE kind = 3)
 SELECT chunk_id, chunk_id || '_' || format_type || '_simple_' || i AS id, format_type, l AS input_text, 'Generated from content' AS output_text, 0.5::DOUBLE AS quality_score FROM l WHERE l <> ''""")
 def rescue_unparsed(spark, sf):
     return EX.rescue_unparsed(responses(spark, sf)).drop("metadata")

@@ -180,10 +180,10 @@ def export_preview(spark, sf):
     return EXP.preview(d, ["doc_id"], 3, 60)
 
 
-@query("export_size_estimate", sql="""WITH l AS (SELECT doc_id, length('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS n FROM documents), s AS (SELECT sum(n)::BIGINT AS ss, count(*) AS k FROM (SELECT n FROM l ORDER BY doc_id LIMIT 3))
-SELECT (SELECT count(*) FROM l) AS total_items, ss AS sample_size, floor(ss * (SELECT count(*) FROM l) / k)::BIGINT AS estimated_size, ss * (SELECT count(*) FROM l) / k > 1048576 AS compression_recommended FROM s""")
+@query("export_size_estimate", sql="""WITH l AS (SELECT length('{"doc_id":' || doc_id || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS n FROM documents)
+SELECT count(*) AS total_items, sum(n)::BIGINT AS estimated_size, sum(n) > 1048576 AS compression_recommended FROM l""")
 def export_size_estimate(spark, sf):
-    return EXP.size_estimate(TB.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), ["doc_id"])
+    return EXP.size_estimate(TB.table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars"))
 
 
 @query("register_text_functions", sql=f"""SELECT doc_id, {NWORDS('text')} AS words, len({S('text')}) AS sentences, {R(f"{NWORDS('text')} / 200")} AS minutes,

@@ -305,7 +305,7 @@ def contra_list(o, e):
 
 
 UNSUP = f"""list_filter(list_transform(string_split(enhanced, '.'), lambda s: {trim('s')}), lambda s: length(s) > 20 AND
-  len(list_filter(list_distinct({W('lower(s)')}), lambda y: NOT list_contains({W('lower(original)')}, y))) > len(list_distinct({W('lower(s)')})) * 0.7::DOUBLE)[1:5]"""
+  len(list_filter(list_distinct({W('lower(s)')}), lambda y: NOT list_contains({W('lower(original)')}, y))) > len(list_distinct({W('lower(s)')})) * 0.7::DOUBLE)"""
 NEWENT = f"list_filter({surface('enhanced')}, lambda y: NOT list_contains({surface('original')}, y))"
 ASSESS = f"""{PAIRS}, src AS (SELECT *, pair_id AS pid, enhanced AS enh FROM p), {BAND.replace('SRC', 'src')}, {TRANS.replace('SRC', 'src')},
 aa AS (SELECT bs.pair_id, original, enhanced, length(enhanced) / length(original) AS length_ratio, {JAC} AS sim, len({NEWENT}) AS ne, {claims_sql()} AS nc, len({contra_list('original', 'enhanced')}) AS nx,
@@ -339,7 +339,7 @@ def contradictions(spark, sf):
         "doc_id", F.size("_c").alias("n"), F.array_join("_c", "|").alias("words"))
 
 
-@query("unsupported_sentences", sql=f"""WITH {PAIRS}, u AS (SELECT pair_id, unnest({UNSUP}) AS s FROM p) SELECT pair_id, CASE WHEN length(s) > 100 THEN substr(s, 1, 100) || '...' ELSE s END AS sentence FROM u""")
+@query("unsupported_sentences", sql=f"""WITH {PAIRS}, u AS (SELECT pair_id, unnest({UNSUP}) AS s FROM p) SELECT pair_id, s AS sentence FROM u""")
 def unsupported_sentences(spark, sf):
     return TB.pairs(spark, sf).select("pair_id", F.explode(PF.unsupported(F.col("original"), F.col("enhanced"))).alias("sentence"))
 

@@ -20,25 +20,28 @@ def samples_of(events):
         F.col("value").alias("processing_time"), F.get_json_object("props", "$.k").cast("int").alias("word_count"))
 
 
-SCORE = f"""WITH RECURSIVE {DOCS}, it AS (SELECT doc_id, unnest({S('text')}) AS s, unnest(range(1, len({S('text')}) + 1)) AS i FROM m), {pack('it', 1000)}, {SEM.replace('SRC', 'm')},
+SCORE = f"""WITH RECURSIVE {DOCS}, it AS (SELECT doc_id, unnest({MS('text')}) AS s, unnest(range(1, len({MS('text')}) + 1)) AS i FROM m), {pack('it', 1000)}, {SEM.replace('SRC', 'm')},
 cq AS (SELECT doc_id, count(*) AS n_chunks, avg({INFO}) AS mq FROM c GROUP BY 1), l AS (SELECT doc_id, {LANG} AS language, {LCONF} AS language_confidence FROM m),
 sc AS (SELECT sm.doc_id, semantic_score, language, {LNAMES} AS language_name, language_confidence, length(text) AS text_length, n AS word_count, coalesce(n_chunks, 0) AS n_chunks, coalesce(mq, 0) AS mq FROM sm JOIN l USING (doc_id) LEFT JOIN cq USING (doc_id))"""
 
 
-@query("stream_score", sql=f"{SCORE} SELECT doc_id, {R('semantic_score')} AS semantic_score, language, language_name, language_confidence, text_length, word_count, n_chunks, {R('mq')} AS mean_chunk_quality FROM sc WHERE text_length <= 10000")
+@query("stream_score", sql=f"{SCORE} SELECT doc_id, {R('semantic_score')} AS semantic_score, language, language_name, language_confidence, text_length, word_count, n_chunks, {R('mq')} AS mean_chunk_quality FROM sc")
 def stream_score(spark, sf):
     out = scratch(spark, "stream-score")
-    d = ST.read_table_stream(spark, sf, "documents", parts=2 * spark.sparkContext.defaultParallelism).filter(~ST.too_long())
+    d = ST.read_table_stream(spark, sf, "documents", parts=2 * spark.sparkContext.defaultParallelism).filter(~ST.refused())
     ST.run_to_end(ST.score_texts(d), out)
     return spark.read.parquet(f"{out}/data")
 
 
-@query("stream_dead_letter", sql="SELECT doc_id, length(text) AS text_length, 'Text too long: ' || length(text) || ' > 5000' AS error FROM documents WHERE length(text) > 5000")
+@query("stream_dead_letter", sql=f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE text END AS text FROM documents)
+SELECT doc_id, CASE WHEN text IS NULL THEN 'Text missing' END AS error, {NWORDS('text')} AS word_count FROM d""")
 def stream_dead_letter(spark, sf):
+    """Both sides of the split: scored texts, and the missing ones (every seventh text is taken away first)."""
     out = scratch(spark, "stream-dead")
-    parts = {"dead": lambda b: ST.dead_letters(b, limit=5000), "scored": lambda b: ST.score_texts(b.filter(~ST.too_long(5000)))}
-    ST.run_batches(ST.read_table_stream(spark, sf, "documents", parts=2 * spark.sparkContext.defaultParallelism), ST.split_sink(out, parts), out)
-    return spark.read.parquet(f"{out}/dead").drop("batch")
+    d = ST.read_table_stream(spark, sf, "documents", parts=2 * spark.sparkContext.defaultParallelism).withColumn("text", F.expr("CASE WHEN doc_id % 7 = 3 THEN NULL ELSE text END"))
+    ST.run_batches(d, ST.split_sink(out, {"dead": ST.dead_letters, "scored": lambda b: ST.score_texts(b.filter(~ST.refused()))}), out)
+    dead = spark.read.parquet(f"{out}/dead").select("doc_id", "error", F.lit(None).cast("bigint").alias("word_count"))
+    return dead.unionByName(spark.read.parquet(f"{out}/scored").select("doc_id", F.lit(None).cast("string").alias("error"), F.col("word_count").cast("bigint")))
 
 
 @query("stream_result_cache", sql="""SELECT count(DISTINCT (user_id, event_type, props)) AS computed, count(*) AS received FROM events""")

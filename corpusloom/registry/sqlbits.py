@@ -87,8 +87,8 @@ walk AS (SELECT doc_id, 1::BIGINT AS chunk_no, st, en FROM reach WHERE st = 1
 
 def chunks(source: str = DOCS, budget: int = 1000) -> str:
     """``WITH RECURSIVE`` prelude giving m (texts) and c (sentence chunks)."""
-    return (f"WITH RECURSIVE {source}, it AS (SELECT doc_id, unnest({S('text')}) AS s, "
-            f"unnest(range(1, len({S('text')}) + 1)) AS i FROM m), {pack('it', budget)}")
+    return (f"WITH RECURSIVE {source}, it AS (SELECT doc_id, unnest({MS('text')}) AS s, "
+            f"unnest(range(1, len({MS('text')}) + 1)) AS i FROM m), {pack('it', budget)}")
 
 
 # Words and the gaps between them with start offsets, from m(doc_id, text).
@@ -119,7 +119,7 @@ ent AS (
 
 
 def concepts(x: str) -> str:
-    """Sorted distinct concept words of a text (first ten)."""
+    """Sorted distinct concept words of a text."""
     d = doubled(f"lower({x})")
     parts = []
     for lead, link in FV.CONCEPT_LEADS:
@@ -128,7 +128,7 @@ def concepts(x: str) -> str:
     joined = parts[0]
     for p in parts[1:]:
         joined = f"list_concat({joined}, {p})"
-    return f"list_sort(list_distinct(list_filter({joined}, lambda w: length(w) > 2)))[1:10]"
+    return f"list_sort(list_distinct(list_filter({joined}, lambda w: length(w) > 2)))"
 
 
 def n_entities(x: str) -> str:
@@ -142,7 +142,7 @@ def n_entities(x: str) -> str:
 
 
 def n_themes(low: str) -> str:
-    return "least(5, " + " + ".join(f"({hits(low, k)} > 0)::INT" for k in FV.THEME_KEYWORDS.values()) + ")"
+    return "(" + " + ".join(f"({hits(low, k)} > 0)::INT" for k in FV.THEME_KEYWORDS.values()) + ")"
 
 
 def syllables(x: str) -> str:

@@ -22,7 +22,6 @@ from corpusloom.operators import chunking as CH
 # Workers get the stateful class by value, so they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_STREAM_TEXT = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -56,7 +55,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", budget: int = 1000) -> DataF
     c = F.col("text")
     d = LG.with_language(df.select(key, "text"))
     d = S.with_semantics(d)
-    parts = F.transform(CH.greedy_pack(T.sentences(c), budget), lambda p: p["text"])
+    parts = F.transform(CH.greedy_pack(T.marked_sentences(c), budget), lambda p: p["text"])
     quality = F.transform(parts, lambda p: T.let(T.words(p), lambda w: S.information_density(w)))
     return d.withColumn("_q", quality).select(
         key, "semantic_score", "language", "language_name", "language_confidence", F.length(c).alias("text_length"),
@@ -64,13 +63,15 @@ def score_texts(df: DataFrame, key: str = "doc_id", budget: int = 1000) -> DataF
         T.ratio(F.aggregate("_q", F.lit(0.0), lambda a, x: a + x), F.size("_q")).alias("mean_chunk_quality"))
 
 
-def too_long(limit: int = MAX_STREAM_TEXT):
-    return F.coalesce(F.length("text") > limit, F.lit(True))
+def refused(limit: int | None = None):
+    """Texts that cannot be scored: missing ones, and those over a limit if the caller sets one."""
+    missing = F.col("text").isNull()
+    return missing if limit is None else missing | (F.length("text") > limit)
 
 
-def dead_letters(df: DataFrame, key: str = "doc_id", limit: int = MAX_STREAM_TEXT) -> DataFrame:
+def dead_letters(df: DataFrame, key: str = "doc_id", limit: int | None = None) -> DataFrame:
     n = F.length("text")
-    return df.filter(too_long(limit)).select(key, n.alias("text_length"), F.when(n.isNull(), F.lit("Text missing")).otherwise(
+    return df.filter(refused(limit)).select(key, n.alias("text_length"), F.when(n.isNull(), F.lit("Text missing")).otherwise(
         F.concat(F.lit("Text too long: "), n.cast("string"), F.lit(f" > {limit}"))).alias("error"))
 
 
