@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from corpusloom import fixed_values as FV
 from corpusloom.functions import text as T
 from corpusloom.plans.ordered import numbered, over_frames
-from corpusloom.plans.skew import attach, salted_join
+from corpusloom.plans.skew import attach
 
 
 def classify_errors(df: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def progress_eta(df: DataFrame, key: str, total_steps: int) -> DataFrame:
     are enough: no running window over a session.
     """
     start = df.groupBy(key).agg(F.min("ts").alias("_start"))
-    d = salted_join(numbered(df, [key], ["ts", "event_id"], "step"), start, [key], "inner", row_id=F.col("event_id"))
+    d = numbered(df, [key], ["ts", "event_id"], "step").join(start, key)
     elapsed = F.unix_micros("ts") - F.unix_micros("_start")
     done = F.nullif(F.col("step") - 1, F.lit(0))
     mean = F.coalesce(F.floor(elapsed / done).cast("bigint"), F.lit(0))

@@ -76,11 +76,11 @@ def preservation_notes(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def preparation_metadata(df: DataFrame, chunks: DataFrame, col: str = "text") -> DataFrame:
-    """Chunk count and size, entities, key phrases and the preparation grade per document."""
+    """Chunk count and size, entities, distinct word pairs as key phrases, and the preparation grade per document."""
     per = chunks.select("doc_id", F.length(col).alias("_n"), (T.n_labeled_entities(F.col(col)) > 0).cast("int").alias("_e")).groupBy("doc_id").agg(
         F.count("*").alias("total_chunks"), F.avg("_n").alias("avg_chunk_size"), F.avg("_e").alias("_named"))
     d = df.select("doc_id", T.n_labeled_entities(F.col(col)).alias("entity_count"),
-                  F.least(F.lit(15), F.greatest(T.n_words(F.col(col)) - 1, F.lit(0))).alias("key_phrase_count")).join(per, "doc_id", "left").fillna(0)
+                  F.size(F.array_distinct(T.bigrams(T.words(F.col(col))))).alias("key_phrase_count")).join(per, "doc_id", "left").fillna(0)
 
     def step(n):
         return F.when(n > 5, F.lit(0.3)).when(n > 0, F.lit(0.1)).otherwise(F.lit(0.0))

@@ -8,7 +8,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusloom.functions import pairs as PF, text as T
-from corpusloom.plans.skew import BROADCAST_ROWS, fits_broadcast
 
 
 def hashed_tf(df: DataFrame, dims: int = 100, col: str = "text") -> DataFrame:
@@ -46,19 +45,17 @@ def related_chunks(df: DataFrame, doc: list[str], key: str, vec: str = "embeddin
     return hit.select(*doc, "similarity", F.inline(both))
 
 
-def theme_similarity_join(items: DataFrame, themes: DataFrame, key: str, at_least: float = 0.7, vec: str = "embedding") -> DataFrame:
+def theme_similarity_join(items: DataFrame, themes: DataFrame, key: str, at_least: float = 0.7, vec: str = "embedding", blocks: int = 64) -> DataFrame:
     """Items whose cosine with a theme vector reaches the limit.  ``themes`` has columns theme and vec.
 
-    A theme list is short.  When it fits the broadcast bound it rides along as a broadcast array on
-    the item rows; past the bound both sides meet on a block number instead, each item in one block
-    and the themes repeated per block, so no task holds all themes with all items.
+    The themes are a stated query set: each is compared with all items, in blocks.  An item is in one of ``blocks`` blocks and the
+    themes are repeated per block; Spark broadcasts them only below its own size threshold.
     """
     u = unit(items, vec).select(key, "_u")
     t = unit(themes, vec).select("theme", F.col("_u").alias("_t"))
-    blocks = 1 if fits_broadcast(t) else 64
     right = t.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     left = u.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    joined = left.join(F.broadcast(right) if blocks == 1 else right, "_b")
+    joined = left.join(right, "_b")
     return joined.select("theme", key, PF.dot(F.col("_u"), F.col("_t")).alias("similarity")).filter(F.col("similarity") >= at_least)
 
 

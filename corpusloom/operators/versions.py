@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.plans.ordered import numbered
-from corpusloom.plans.skew import salted_join
 
 ORDER = ["ts", "event_id"]
 
@@ -52,10 +51,12 @@ def refinement_statistics(df: DataFrame, key: str = "content_id") -> DataFrame:
         F.min_by("refinement_type", F.struct(-F.col("n"), F.col("refinement_type"))).alias("most_used"))
 
 
-def most_used_type(df: DataFrame) -> DataFrame:
-    """Global totals with the commonest refinement type (first name on a tie)."""
+def refinement_overview(df: DataFrame) -> DataFrame:
+    """Totals over all contents, with the commonest refinement type (first name on a tie)."""
     by_type = df.groupBy("refinement_type").agg(F.count("*").alias("n"), F.sum("quality_gain").alias("gain"))
-    return by_type.orderBy(F.desc("n"), "refinement_type").limit(1).select("refinement_type", "n")
+    return by_type.agg(
+        F.sum("n").alias("total_refinements"), F.sum("gain").alias("total_gain"), (F.sum("gain") / F.sum("n")).alias("average_gain"),
+        F.min_by("refinement_type", F.struct(-F.col("n"), F.col("refinement_type"))).alias("most_used"))
 
 
 def text_digest(c):
@@ -66,11 +67,11 @@ def reuse_cached_results(df: DataFrame, store: DataFrame, key: str, result: str,
     """Take stored results for known texts and compute the rest.
 
     ``store`` has columns digest and ``result``, one row per digest; the stored side of the join
-    is digests and results only.  The salted join splits a text that a third of the rows share.
+    is digests and results only.  A text that a third of the rows share is a skewed key of the left side, which adaptive execution splits.
     """
     d = df.withColumn("digest", text_digest(F.col(col)))
     stored = store.select("digest", F.col(result).alias("_stored"), F.lit(True).alias("is_hit"))
-    joined = salted_join(d, stored, ["digest"], row_id=F.col(key))
+    joined = d.join(stored, "digest", "left")
     return joined.withColumn("is_hit", F.coalesce("is_hit", F.lit(False))).withColumn(
         result, F.when(F.col("is_hit"), F.col("_stored")).otherwise(compute(F.col(col)))).drop("_stored")
 

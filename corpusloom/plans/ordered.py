@@ -17,12 +17,17 @@ from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F
 from corpusloom.session import shared_dir
 
 BLOCK_ROWS = 100_000
+#: Rows of a slice that the number of slices aims at.
+SLICE_ROWS = 2_000_000
 
 
 def slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Range-partition on (keys, order) and pin the slice number as column ``_slice``."""
+    """Range-partition on (keys, order) and pin the slice number as column ``_slice``.
+
+    Slices are as many as shuffle partitions, or more where a slice would exceed SLICE_ROWS.
+    """
     shared_dir(df.sparkSession)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
     cut = df.repartitionByRange(n, *[F.col(c) for c in keys + order])
     return cut.withColumn("_slice", F.spark_partition_id()).checkpoint()
 
@@ -82,7 +87,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, tie: str, qs: li
         F.struct(F.lit(q).alias("q"), ((F.col("n") - 1) * F.lit(q)).alias("at")) for q in qs])).alias("w"))
     want = want.select(*keys, "w.q", "w.at", F.explode(F.array(
         F.floor("w.at"), F.floor("w.at") + 1)).alias("lo")).withColumn("rn", F.col("lo") + 1)
-    got = want.join(ranked.select(*keys, "rn", value), keys + ["rn"], "left")
+    # a few ranks per key: the large side stays where it is
+    got = ranked.select(*keys, "rn", value).join(F.broadcast(want), keys + ["rn"])
     part = F.col("at") - F.floor("at")
     weighted = F.when(F.col("lo") == F.floor("at"), F.col(value) * (1 - part)).otherwise(
         F.coalesce(F.col(value), F.lit(0.0)) * part)

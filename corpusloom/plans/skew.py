@@ -4,27 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROWS = 100_000
+SPREAD = "spark.corpusloom.spreadSmallTables"
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 16,
-                row_id: Column | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], row_id: Column, how: str = "left", salts: int = 16) -> DataFrame:
     """Join a possibly skewed left side to a right side that is unique on ``on``.
 
     Every left row takes one of ``salts`` numbers from its id and the right rows are
-    repeated once per number, so the hottest key is split over ``salts`` tasks.
+    repeated once per number, so the hottest key is split over ``salts`` tasks.  ``row_id`` must be the same when a task runs again.
+    Where adaptive execution splits skewed joins a plain join does as well.
     """
-    spread = F.pmod(F.xxhash64(row_id if row_id is not None else F.monotonically_increasing_id()), F.lit(salts))
+    spread = F.pmod(F.xxhash64(row_id), F.lit(salts))
     lhs = left.withColumn("_salt", spread)
     rhs = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return lhs.join(rhs, on + ["_salt"], how).drop("_salt")
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame has at most ``rows`` rows; stops counting one row past the bound."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row as a scalar subquery (no join)."""
     value = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
@@ -32,10 +27,10 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a small table whose row groups are fewer than the cores.
+    """Deal a table out over the cores where the session asks for it (``SPREAD``): local sessions over tables of one row group.
 
-    Text work is heavy per byte, so one row group on one core would leave the others idle.
-    A table with splits for every core is returned as it is: no shuffle is added at scale.
+    Without that setting a table is read as its files are split, whatever the cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    if df.sparkSession.conf.get(SPREAD, "0") == "0":
+        return df
+    return df.repartition(int(df.sparkSession.conf.get(SPREAD)))

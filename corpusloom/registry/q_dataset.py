@@ -272,6 +272,13 @@ def refinement_statistics(spark, sf):
         "latest_us", F.unix_micros("latest")).drop("first", "latest")
 
 
+@query("refinement_overview", sql=f"""WITH {REFV}, t AS (SELECT refinement_type, count(*) AS n, sum(quality_gain) AS gain FROM rv GROUP BY 1)
+SELECT sum(n)::BIGINT AS total_refinements, {R('sum(gain)')} AS total_gain, {R('sum(gain) / sum(n)')} AS average_gain, arg_min(refinement_type, (-n, refinement_type)) AS most_used FROM t""")
+def refinement_overview(spark, sf):
+    """Statistics over all contents together."""
+    return VS.refinement_overview(TB.refinements(spark, sf))
+
+
 @query("language_dimension", sql="SELECT doc_id, lang, name, family, script FROM documents LEFT JOIN (VALUES " + ", ".join(
     f"('{l[0]}', '{l[1]}', '{l[2]}', '{l[3]}')" for l in FV.LANGUAGES) + ") l(lang, name, family, script) USING (lang)")
 def language_dimension(spark, sf):

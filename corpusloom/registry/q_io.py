@@ -71,8 +71,8 @@ def intake_limits(spark, sf):
 
 
 @query("page_text_assembly", sql=f"""WITH u AS (SELECT conv_id AS doc, turn // 256 AS part_no, turn, text, length({trim('text')}) > 10 AND turn % 5 <> 3 AS ok FROM conversations)
-SELECT doc, part_no, coalesce(string_agg('--- Page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) FILTER (ok), '') AS text, count(*) FILTER (ok) AS processed_pages, count(*) FILTER (NOT ok) AS skipped_pages,
- count(*) AS total_pages, {R('count(*) FILTER (ok) / count(*)')} AS success_rate FROM u GROUP BY 1, 2""")
+SELECT doc, part_no, coalesce(string_agg('--- Page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) FILTER (ok), '') AS text, any_value(good) AS processed_pages, any_value(every) - any_value(good) AS skipped_pages,
+ any_value(every) AS total_pages, {R('any_value(good) / any_value(every)')} AS success_rate FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS every, count(*) FILTER (ok) OVER (PARTITION BY doc) AS good FROM u) GROUP BY 1, 2""")
 def page_text_assembly(spark, sf):
     p = TB.doc_pages(spark, sf).withColumn("text", F.when(F.col("page_no") % 5 == 3, F.lit(" ")).otherwise(F.col("text")))
     return RD.page_text_assembly(p)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as FV
 from corpusloom.functions import language as LG, pairs as PF, scores as SC, text as T
-from corpusloom.operators import analysis as AN, oplog as OL, preparation as PR, themes as TH, vectors as VE
+from corpusloom.operators import analysis as AN, cleaning as CL, oplog as OL, preparation as PR, themes as TH, vectors as VE
 from corpusloom.registry.core import query
 from corpusloom.registry.q_clean import MARKED, TONE, para_chunks, PARA_CHUNKS
 from corpusloom.registry.q_extract import (CT_PICK, DOUBLED, ENTITIES, THEMES, LANG, LCONF, LFAM, LNAMES, LSCR, PHR, POLY, GRAMS, content_sql,
@@ -203,6 +203,12 @@ def complexity(spark, sf):
     return PR.with_profile(TB.marked_documents(spark, sf)).select("doc_id", "complexity")
 
 
+@query("select_complex", sql=f"WITH {MARKED}, {TONE} SELECT doc_id, {R('complexity')} AS complexity FROM cx WHERE complexity > 0.5")
+def select_complex(spark, sf):
+    """The other half of the quality gate: complex texts."""
+    return CL.select_complex(PR.with_profile(TB.marked_documents(spark, sf))).select("doc_id", "complexity")
+
+
 SEM = f"""sm0 AS (SELECT *, {W('text')} AS ws, {n_entities('text')} AS e, len({concepts('text')}) AS k, {n_themes('lower(text)')} AS t, len(regexp_split_to_array(text, '[.!?]+')) AS sn FROM SRC),
 sm1 AS (SELECT *, len(ws) AS n, len(list_distinct(list_transform(ws, lambda w: lower(w)))) / greatest(len(ws), 1) AS info,
   greatest(0.0, 1 - len(ws) / sn / 30 - CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda w: length(w) > 6)) / len(ws) END) AS rs FROM sm0),
@@ -472,7 +478,7 @@ def preservation_notes(spark, sf):
 
 
 PREP = f"""{PARA_CHUNKS}, ce AS (SELECT doc_id, length(text) AS n, {n_entities('text')} AS e FROM c), cd AS (SELECT doc_id, count(*) AS total_chunks, avg(n) AS avg_chunk_size, avg((e > 0)::INT) AS named FROM ce GROUP BY 1),
-de AS (SELECT m.doc_id, {n_entities('text')} AS entity_count, least(15, greatest(len({W('text')}) - 1, 0)) AS key_phrase_count, coalesce(total_chunks, 0) AS total_chunks, coalesce(avg_chunk_size, 0) AS avg_chunk_size, coalesce(named, 0) AS named FROM m LEFT JOIN cd USING (doc_id)),
+de AS (SELECT m.doc_id, {n_entities('text')} AS entity_count, len(list_distinct(list_transform(list_zip(({W('text')})[:-2], ({W('text')})[2:]), lambda z: z[1] || ' ' || z[2]))) AS key_phrase_count, coalesce(total_chunks, 0) AS total_chunks, coalesce(avg_chunk_size, 0) AS avg_chunk_size, coalesce(named, 0) AS named FROM m LEFT JOIN cd USING (doc_id)),
 dq AS (SELECT *, CASE WHEN entity_count > 5 THEN 0.3 WHEN entity_count > 0 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN key_phrase_count > 5 THEN 0.3 WHEN key_phrase_count > 0 THEN 0.1 ELSE 0 END::DOUBLE + named * 0.4::DOUBLE AS s FROM de)"""
 
 

@@ -12,7 +12,7 @@ def local_session(cores: str = "8", **conf) -> SparkSession:
     b = (SparkSession.builder.master(f"local[{cores}]").appName("corpusloom")
          .config("spark.sql.shuffle.partitions", cores).config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
-         .config("spark.sql.adaptive.enabled", "true"))
+         .config("spark.sql.adaptive.enabled", "true").config("spark.corpusloom.spreadSmallTables", str(2 * int(cores))))
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

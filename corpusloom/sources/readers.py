@@ -84,7 +84,8 @@ def page_text_assembly(pages: DataFrame, min_chars: int = 10, headers: bool = Tr
     """Page texts joined in order with counts of used and skipped pages.
 
     A document comes out in parts of ``part`` consecutive page numbers, so that one task never
-    holds more than that many pages; documents within the intake limit have a single part.
+    holds more than that many pages; documents within the intake limit have a single part.  Counts and rate are
+    those of the whole document, on each of its parts.
     """
     t = T.trim_ws(F.coalesce("text", F.lit("")))
     body = F.concat(F.lit("--- Page "), F.col("page_no").cast("string"), F.lit(" ---\n"), "text") if headers else F.col("text")
@@ -92,9 +93,9 @@ def page_text_assembly(pages: DataFrame, min_chars: int = 10, headers: bool = Tr
     rows = pages.withColumn("part_no", F.floor(F.col("page_no") / part)).select(
         "doc", "part_no", "page_no", used.alias("_u"), F.when(used, body).alias("_b"))
     got = rows.groupBy("doc", "part_no").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_u"), F.struct("page_no", "_b")))).alias("_p"),
-        F.count_if("_u").alias("processed_pages"), F.count("*").alias("total_pages"))
-    return got.select(
+        F.array_sort(F.collect_list(F.when(F.col("_u"), F.struct("page_no", "_b")))).alias("_p"))
+    totals = rows.groupBy("doc").agg(F.count_if("_u").alias("processed_pages"), F.count("*").alias("total_pages"))
+    return got.join(totals, "doc").select(
         "doc", "part_no", F.array_join(F.transform("_p", lambda r: r["_b"]), "\n\n").alias("text"), "processed_pages",
         (F.col("total_pages") - F.col("processed_pages")).alias("skipped_pages"), "total_pages",
         T.ratio(F.col("processed_pages"), F.col("total_pages")).alias("success_rate"))
@@ -107,18 +108,18 @@ def page_sample(pages: DataFrame, first: int = 5) -> DataFrame:
     """
     head = F.col("page_no") < first
     texty = F.length(T.trim_ws(F.coalesce("text", F.lit("")))) > 50
-    return pages.groupBy("doc").agg(F.count("*").alias("page_count"), F.count_if(head & texty).alias("text_pages"), F.count_if(head & ~texty).alias("image_pages"))
+    return pages.groupBy("doc").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("page_count"), F.count_if(head & texty).alias("text_pages"), F.count_if(head & ~texty).alias("image_pages"))
 
 
 def needs_ocr_flag(pages: DataFrame) -> DataFrame:
     need = F.col("image_pages") > F.col("text_pages")
-    return page_sample(pages).withColumn("needs_ocr", need).withColumn(
+    return page_sample(pages).drop("bytes").withColumn("needs_ocr", need).withColumn(
         "estimated_minutes", F.col("page_count") * F.when(F.col("needs_ocr"), F.lit(2.0)).otherwise(F.lit(0.1)))
 
 
-def intake_confidence(pages: DataFrame, size: str = "bytes") -> DataFrame:
+def intake_confidence(pages: DataFrame) -> DataFrame:
     """Gates on size and page count, and a confidence: text 0.9, readable images 0.7, else 0.3."""
-    per = page_sample(pages).join(pages.groupBy("doc").agg(F.sum(F.length("text")).alias(size)), "doc")
+    per, size = page_sample(pages), "bytes"
     has = F.col("text_pages") > 0
     message = (F.when(F.col(size) > 200 * 1024 * 1024, F.lit("File too large (>200MB)")).when(F.col(size) < 100, F.lit("File too small"))
                .when(F.col("page_count") > 500, F.lit("PDF too large (>500 pages)")).otherwise(F.lit("PDF validation passed")))

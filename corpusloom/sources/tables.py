@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
-    """The named columns of a table of texts, spread over the cores when it is small."""
+    """The named columns of a table of texts, spread over the cores where the session asks for it."""
     return spread(table(spark, sf, name).select(*cols))
 
 

@@ -254,17 +254,19 @@ def test_salted_join_equals_plain_join(spark):
     left = hot_rows(spark, 500)
     right = spark.createDataFrame([(i, f"n{i}") for i in range(0, 7, 2)], "k long, name string")
     plain = sorted((r.id, r.name) for r in left.join(right, "k", "left").collect() if r.name)
-    salted = [(r.id, r.name) for r in skew.salted_join(left, right, ["k"]).collect()]
+    salted = [(r.id, r.name) for r in skew.salted_join(left, right, ["k"], F.col("id")).collect()]
     assert len(salted) == 500 and sorted(x for x in salted if x[1]) == plain
 
 
-def test_theme_join_beyond_the_broadcast_bound(spark, monkeypatch):
+def test_theme_join_equals_brute_force(spark):
     rng = np.random.default_rng(0)
-    items = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
-    themes = spark.createDataFrame([(f"t{i}", rng.normal(size=4).tolist()) for i in range(5)], "theme string, embedding array<double>")
-    small = {(r.theme, r.vec_id) for r in VE.theme_similarity_join(items, themes, "vec_id", 0.5).collect()}
-    monkeypatch.setattr(VE, "fits_broadcast", lambda df: False)
-    assert {(r.theme, r.vec_id) for r in VE.theme_similarity_join(items, themes, "vec_id", 0.5).collect()} == small and small
+    v, w = rng.normal(size=(60, 4)), rng.normal(size=(5, 4))
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    themes = spark.createDataFrame([(f"t{i}", x.tolist()) for i, x in enumerate(w)], "theme string, embedding array<double>")
+    cosine = (v / np.linalg.norm(v, axis=1)[:, None]) @ (w / np.linalg.norm(w, axis=1)[:, None]).T
+    want = {(f"t{j}", i) for i in range(60) for j in range(5) if cosine[i, j] >= 0.5}
+    for blocks in (1, 64):
+        assert {(r.theme, r.vec_id) for r in VE.theme_similarity_join(items, themes, "vec_id", 0.5, blocks=blocks).collect()} == want and want
 
 
 def test_top_n_per_hot_key_is_cut_before_the_shuffle(spark):
