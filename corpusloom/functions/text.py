@@ -147,6 +147,15 @@ def spans(c: Column, pattern: str) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
+def sentence_spans(c: Column) -> Column:
+    """Trimmed, non-empty sentences as array<struct<start,text>> with exact offsets."""
+    def trimmed(s):
+        left = F.length(s["text"]) - F.length(F.regexp_replace(s["text"], r"^\s+", ""))
+        return F.struct((s["start"] + left).alias("start"), trim_ws(s["text"]).alias("text"))
+
+    return F.filter(F.transform(spans(c, "[^.!?]+"), trimmed), lambda s: s["text"] != "")
+
+
 def word_spans(c: Column, terms) -> Column:
     """Spans of whole-word terms; texts that hold none of them skip the pattern."""
     return F.when(contains_any(F.lower(c), terms), spans(c, word_pattern(terms))).otherwise(no_spans())

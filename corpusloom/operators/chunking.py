@@ -156,10 +156,11 @@ HEADING = r"^(?:(?:Chapter|Part|Section)\s+\d+|[A-Z][A-Z\s]{10,}$|\d+\.\s+[A-Z]|
 
 def headings(c: Column) -> Column:
     """array<struct<line_number,title,position>> of heading lines."""
-    numbered = F.transform(T.lines(c), lambda l, i: F.struct(i.alias("line_number"), T.trim_ws(l).alias("title")))
-    return F.transform(F.filter(numbered, lambda l: l["title"].rlike(HEADING)), lambda l: F.struct(
-        l["line_number"].alias("line_number"), l["title"].alias("title"),
-        (F.position(l["title"], c) - 1).alias("position")))
+    def numbered(l, i):
+        left = F.length(l["text"]) - F.length(F.regexp_replace(l["text"], r"^\s+", ""))
+        return F.struct(i.alias("line_number"), T.trim_ws(l["text"]).alias("title"), (l["start"] + left).alias("position"))
+
+    return F.filter(F.transform(T.offsets(T.lines(c), 1), numbered), lambda l: l["title"].rlike(HEADING))
 
 
 def section_headings(df: DataFrame, col: str = "text") -> DataFrame:

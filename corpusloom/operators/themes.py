@@ -7,22 +7,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import text as T
 
 def theme_matches(df: DataFrame, themes: list[str], before: int = 2, after: int = 2, col: str = "text") -> DataFrame:
-    """First hit of each theme in each sentence, with the sentences around it."""
-    d = df.select("doc_id", F.col(col).alias("_t"), T.sentences(F.col(col)).alias("_s"))
-    rows = d.select("doc_id", "_t", "_s", F.posexplode("_s").alias("sentence_index", "sentence")).select(
-        "*", F.explode(T.lit_array(themes)).alias("keyword"))
-    rows = rows.filter(F.contains(F.lower("sentence"), F.lower("keyword")))
-    i = F.col("sentence_index")
-    at = F.position("sentence", "_t") - 1
-    start = at + F.position(F.lower("keyword"), F.lower("sentence")) - 1
-    lead = F.least(i, F.lit(before))
-    return rows.select(
-        "doc_id", "keyword", "sentence_index", start.alias("start_pos"), (start + F.length("keyword")).alias("end_pos"),
-        F.array_join(F.slice("_s", i - lead + 1, lead), " ").alias("context_before"),
-        F.array_join(F.slice("_s", i + 2, F.lit(after)), " ").alias("context_after"),
-        F.array_join(F.slice("_s", i - lead + 1, lead + 1 + after), " ").alias("full_chunk"),
-        T.count_substring(F.substr("_t", F.lit(1), at), "\n\n").alias("paragraph_index"),
-        F.lit(0.7).alias("confidence"))
+    """First hit of each theme in each sentence, with the sentences around it.
+
+    Hits are found inside the row of a text, so neither text nor sentences are copied before the filter.
+    """
+    def found(c, ss):
+        def joined(at, n):
+            return F.array_join(F.transform(F.slice(ss, at, n), lambda x: x["text"]), " ")
+
+        def hits_of(s, i):
+            low, lead = F.lower(s["text"]), F.least(i, F.lit(before))
+
+            def hit(k):
+                at = F.position(F.lower(k), low) - 1
+                start = s["start"] + at
+                return F.struct(
+                    k.alias("keyword"), i.alias("sentence_index"), start.alias("start_pos"), (start + F.length(k)).alias("end_pos"),
+                    joined(i - lead + 1, lead).alias("context_before"), joined(i + 2, F.lit(after)).alias("context_after"),
+                    joined(i - lead + 1, lead + 1 + after).alias("full_chunk"),
+                    T.count_substring(F.substr(c, F.lit(1), s["start"]), "\n\n").alias("paragraph_index"), F.lit(0.7).alias("confidence"),
+                    F.substr(s["text"], at + 1, F.length(k)).alias("matched_text"))
+
+            return F.transform(F.filter(T.lit_array(themes), lambda k: F.contains(low, F.lower(k))), hit)
+
+        return F.flatten(F.transform(ss, hits_of))
+
+    c = F.col(col)
+    return df.select("doc_id", F.inline(T.let(T.sentence_spans(c), lambda ss: found(c, ss))))
 
 
 def regex_hits(c: Column, themes: list[str], case_sensitive: bool = False) -> Column:

@@ -172,11 +172,12 @@ def split_paragraphs(spark, sf):
     return CH.split_paragraphs(TB.marked_documents(spark, sf))
 
 
-LINES = """ln AS (SELECT doc_id, text, unnest(range(0, len(a))) AS line_no, unnest(a) AS l FROM (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM m))"""
+LINES = """ln0 AS (SELECT doc_id, text, unnest(range(0, len(a))) AS line_no, unnest(a) AS l FROM (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM m)),
+ln AS (SELECT *, (sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::BIGINT - length(regexp_replace(l, '^\\s+', '')) AS pos0 FROM ln0)"""
 HEAD_RE = r"^(Chapter|Part|Section)\s+\d+|^[A-Z][A-Z\s]{10,}$|^\d+\.\s+[A-Z]|^#{1,6}\s+"
 
 
-@query("section_headings", sql=f"""WITH {MARKED}, {LINES} SELECT doc_id, line_no AS line_number, {trim('l')} AS title, strpos(text, {trim('l')}) - 1 AS position
+@query("section_headings", sql=f"""WITH {MARKED}, {LINES} SELECT doc_id, line_no AS line_number, {trim('l')} AS title, pos0 AS position
 FROM ln WHERE regexp_matches({trim('l')}, {q(HEAD_RE)})""")
 def section_headings(spark, sf):
     return CH.section_headings(TB.marked_documents(spark, sf))
@@ -257,7 +258,7 @@ dl AS (SELECT doc_id, s AS speech, (sum(length(s) + length(gap)) OVER (PARTITION
 @query("candidate_boundaries", sql=f"""WITH RECURSIVE {MARKED}, {semantic_sql(400)}, {PSPLIT}, {LINES}, {TOKENS}, {SPEECH_SQL},
 allb AS (SELECT doc_id, 0::BIGINT AS position FROM m UNION SELECT doc_id, length(text) FROM m UNION SELECT doc_id, position FROM sb
   UNION SELECT doc_id, start_pos FROM po WHERE {trim('p')} <> ''
-  UNION SELECT doc_id, strpos(text, {trim('l')}) - 1 FROM ln WHERE regexp_matches({trim('l')}, {q(HEAD_RE)})
+  UNION SELECT doc_id, pos0 FROM ln WHERE regexp_matches({trim('l')}, {q(HEAD_RE)})
   UNION SELECT doc_id, start FROM ts WHERE list_contains({lst(FLOW3)}, lower(tok)) OR list_contains({lst(FLOW3)}, lower(tok || t1 || t2))
     OR list_contains({lst(FLOW3)}, lower(tok || t1 || t2 || t3 || t4 || t5 || t6))
   UNION SELECT doc_id, end_pos - length(speech) FROM dl UNION SELECT doc_id, end_pos FROM dl)

@@ -327,18 +327,22 @@ def identify_themes(spark, sf):
 
 
 THEME_LIST = ["then", "Freedom", "der", "les", "of the", "learning"]
-TM_SQL = f"""st AS (SELECT doc_id, text, ss, unnest(ss) AS sentence, unnest(range(0, len(ss))) AS sentence_index FROM (SELECT doc_id, text, {S('text')} AS ss FROM m)),
+TM_SQL = f"""sp0 AS (SELECT doc_id, unnest(a) AS p, unnest(range(1, len(a) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+|[.!?]+') AS a FROM m)),
+sp1 AS (SELECT doc_id, k, p, (sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) - length(p))::BIGINT AS pos0 FROM sp0),
+sp2 AS (SELECT doc_id, k, {trim('p')} AS sentence, pos0 + length(p) - length(regexp_replace(p, '^\\s+', '')) AS s0 FROM sp1 WHERE NOT regexp_matches(p, '^[.!?]') AND {trim('p')} <> ''),
+sp3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS sentence_index FROM sp2), ssl AS (SELECT doc_id, list(sentence ORDER BY k) AS ss FROM sp2 GROUP BY 1),
+st AS (SELECT m.doc_id, text, ss, sentence, sentence_index, s0 FROM sp3 JOIN m USING (doc_id) JOIN ssl USING (doc_id)),
 tm0 AS (SELECT *, unnest({lst(THEME_LIST)}) AS keyword FROM st),
-tm AS (SELECT doc_id, keyword, sentence_index, strpos(text, sentence) - 1 + strpos(lower(sentence), lower(keyword)) - 1 AS start_pos,
+tm AS (SELECT doc_id, keyword, sentence_index, s0 + strpos(lower(sentence), lower(keyword)) - 1 AS start_pos,
   array_to_string(ss[greatest(1, sentence_index - 1):sentence_index], ' ') AS context_before, array_to_string(ss[sentence_index + 2:sentence_index + 3], ' ') AS context_after,
   array_to_string(ss[greatest(1, sentence_index - 1):sentence_index + 3], ' ') AS full_chunk,
-  len(regexp_extract_all(substr(text, 1, strpos(text, sentence) - 1), '\\n\\n')) AS paragraph_index, sentence FROM tm0 WHERE contains(lower(sentence), lower(keyword)))"""
+  len(regexp_extract_all(substr(text, 1, s0), '\\n\\n')) AS paragraph_index, sentence FROM tm0 WHERE contains(lower(sentence), lower(keyword)))"""
 
 
 @query("theme_matches", sql=f"""WITH {MARKED}, {TM_SQL} SELECT doc_id, keyword, sentence_index, start_pos, start_pos + length(keyword) AS end_pos, context_before, context_after, full_chunk,
   paragraph_index, 0.7::DOUBLE AS confidence FROM tm""")
 def theme_matches(spark, sf):
-    return TH.theme_matches(TB.marked_documents(spark, sf), THEME_LIST)
+    return TH.theme_matches(TB.marked_documents(spark, sf), THEME_LIST).drop("matched_text")
 
 
 def _occ(theme):
@@ -362,9 +366,7 @@ g AS (SELECT *, strpos(full_chunk, matched_text) - 1 AS at0 FROM h)
 SELECT doc_id, keyword, sentence_index, matched_text, CASE WHEN lower(matched_text) = lower(keyword) THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, {trim('full_chunk')} AS full_chunk FROM g""")
 def theme_confidence(spark, sf):
     d = TB.marked_documents(spark, sf)
-    m = TH.theme_matches(d, THEME_LIST).join(d.withColumnRenamed("text", "_t"), "doc_id")
-    m = m.select("doc_id", "keyword", "sentence_index", F.substr("_t", F.col("start_pos") + 1, F.length("keyword")).alias("matched_text"), "full_chunk")
-    return TH.theme_confidence(m)
+    return TH.theme_confidence(TH.theme_matches(d, THEME_LIST).select("doc_id", "keyword", "sentence_index", "matched_text", "full_chunk"))
 
 
 def greedy_sql(src):
