@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as TY
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import fixed_values as FV
 from corpusloom.functions import scores as S, text as T
 from corpusloom.operators.cleaning import valid_qa
 
-# Workers get this module's functions by value, so they need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 # --- questions and answers -----------------------------------------------------------------
 
@@ -49,42 +41,46 @@ def extract_structured_qa(df: DataFrame, col: str = "text") -> DataFrame:
         F.lit(0.9).alias("confidence"))
 
 
-_SEGMENT = TY.ArrayType(TY.StructType([
-    TY.StructField("question", TY.StringType()), TY.StructField("answer", TY.StringType()),
-    TY.StructField("start", TY.IntegerType()), TY.StructField("end", TY.IntegerType()),
-    TY.StructField("pattern_no", TY.IntegerType())]))
+#: What a text must hold for a segment pattern to be tried, in the order of the patterns: one of these, lower-cased.
+SEGMENT_GUARDS = [
+    ("\na:", "\na-"), ("\nanswer:", "\nanswer-"), ("\na",), ("\nguest", "\ninterviewee"), ("\nguest",), (":", "-"),
+    ("\nteacher", "\nmaster", "\nguru"), ("\nteacher", "\nmaster", "\nsage"), ("?",), ("?",),
+]
 
 
-def _qa_segments_udf(patterns=None, shortest: int = FV.MIN_SEGMENT, longest: int = FV.MAX_SEGMENT):
-    """Spans matched by the patterns in precedence order; a span touching a taken one is skipped.
+def qa_segments(c: Column, patterns=None, guards=None, shortest: int = FV.MIN_SEGMENT, longest: int = FV.MAX_SEGMENT) -> Column:
+    """array<struct<question,answer,start,end,pattern_no>> of question-answer spans, by start.
 
-    Positions of look-ahead matches and overlap by precedence have no column expression.
+    Patterns are tried in their order; a span that overlaps one taken before is skipped.  The look-ahead that ends a match holds at
+    the end of its span too, so question and answer are read from the span alone.
     """
     source = list(patterns or FV.QA_SEGMENT_PATTERNS)
+    guards = guards or (SEGMENT_GUARDS if patterns is None else [("",)] * len(source))
+
+    def one(i, low):
+        pattern, q, a = source[i]
+        p = "(?isd)" + pattern
+        found = F.transform(T.spans(c, p), lambda m: F.struct(
+            T.trim_ws(F.regexp_extract(m["text"], p, q)).alias("question"), T.trim_ws(F.regexp_extract(m["text"], p, a)).alias("answer"),
+            m["start"].alias("start"), m["end"].alias("end"), F.lit(i).alias("pattern_no")))
+        return F.when(T.contains_any(low, guards[i]), found).otherwise(F.array().cast(_SEGMENT))
 
-    def segments(texts: pd.Series) -> pd.Series:
-        compiled = [(re.compile(p, re.DOTALL | re.IGNORECASE), q, a) for p, q, a in source]
+    def free(taken, m):
+        met = F.exists(taken, lambda t: (m["start"] < t["end"]) & (t["start"] < m["end"]))
+        return F.when(met, taken).otherwise(F.array_append(taken, m))
 
-        def one(text):
-            taken, out = [], []
-            for i, (pattern, q, a) in enumerate(compiled):
-                for m in pattern.finditer(text or ""):
-                    s, e = m.span()
-                    if any(s < te and ts < e for ts, te in taken):
-                        continue
-                    taken.append((s, e))
-                    question, answer = m.group(q).strip(), m.group(a).strip()
-                    if shortest <= len(question) <= longest and shortest <= len(answer) <= longest:
-                        out.append({"question": question, "answer": answer, "start": s, "end": e, "pattern_no": i})
-            return sorted(out, key=lambda r: r["start"])
+    every = T.let(F.lower(c), lambda low: F.concat(*[one(i, low) for i in range(len(source))]))
+    taken = F.aggregate(every, F.array().cast(_SEGMENT), free)
+    kept = F.filter(taken, lambda m: F.length(m["question"]).between(shortest, longest) & F.length(m["answer"]).between(shortest, longest))
+    ordered = F.array_sort(F.transform(kept, lambda m: F.struct(m["start"].alias("at"), m.alias("m"))))
+    return F.transform(ordered, lambda x: x["m"])
 
-        return texts.map(one)
 
-    return F.pandas_udf(segments, _SEGMENT)
+_SEGMENT = "array<struct<question:string,answer:string,start:int,end:int,pattern_no:int>>"
 
 
 def with_qa_segments(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn("qa_segments", _qa_segments_udf()(F.col(col)))
+    return T.settle(df.withColumn("qa_segments", qa_segments(F.coalesce(F.col(col), F.lit("")))), "qa_segments")
 
 
 def extract_qa_segments(df: DataFrame, col: str = "text") -> DataFrame:
@@ -145,7 +141,7 @@ def extract_monologue_segments(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def union_segments(df: DataFrame, col: str = "text") -> DataFrame:
-    """Question-answer and monologue segments in one schema; the pattern function runs once per text."""
+    """Question-answer and monologue segments in one schema; the patterns run once per text."""
     d = with_qa_segments(df, col)
     keep = [c for c in df.columns if c != col]
     qa = d.select(*keep, F.inline("qa_segments")).select(

