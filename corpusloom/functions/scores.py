@@ -97,9 +97,8 @@ def dialogue_potential(c: Column, n_words: Column) -> Column:
     return F.least(T.ratio(dialogue_matches(c), n_words) * 10, F.lit(1.0))
 
 
-def vocabulary_diversity(word_array: Column) -> Column:
-    alpha = T.alpha_words(word_array)
-    return T.ratio(F.size(T.set_of(alpha)), F.size(alpha))
+def vocabulary_diversity(c: Column) -> Column:
+    return T.let(T.alpha_words(c), lambda alpha: T.ratio(F.size(T.set_of(alpha)), F.size(alpha)))
 
 
 def vocabulary_stripped(word_array: Column) -> Column:
@@ -144,8 +143,8 @@ def with_quality(df: DataFrame, col: str = "text") -> DataFrame:
     """Add every part of the quality score; blank or null text scores zero with grade ``Empty``."""
     base = df.withColumn("_t", F.coalesce(F.col(col), F.lit("")))
     base = base.withColumn("_empty", T.trim_ws(F.col("_t")) == "")
-    base = base.withColumn("_words", T.words(F.col("_t"))).withColumn("_sents", T.sentences(F.col("_t")))
-    base = (base.withColumn("word_count", F.size("_words")).withColumn("sentence_count", F.size("_sents"))
+    base = base.withColumn("_sents", T.sentences(F.col("_t")))
+    base = (base.withColumn("word_count", T.n_words(F.col("_t"))).withColumn("sentence_count", F.size("_sents"))
             .withColumn("_m", sentence_moments(F.col("_sents")))
             .withColumn("_syl", syllables(F.col("_t"), F.col("word_count"))))
     scored = (
@@ -154,14 +153,14 @@ def with_quality(df: DataFrame, col: str = "text") -> DataFrame:
         .withColumn("dialogue_potential", dialogue_potential(F.col("_t"), F.col("word_count")))
         .withColumn("coherence_score", coherence_variance(F.col("_m")))
         .withColumn("sentence_variety", sentence_variety(F.col("_m")))
-        .withColumn("vocabulary_diversity", vocabulary_diversity(F.col("_words"))))
+        .withColumn("vocabulary_diversity", vocabulary_diversity(F.col("_t"))))
     scored = scored.withColumn("quality_score", F.when(F.col("_empty"), F.lit(0.0)).otherwise(overall_quality(
         F.col("word_count"), F.col("coherence_score"), F.col("dialogue_potential"),
         F.col("readability_score"), F.col("sentence_variety"), F.col("vocabulary_diversity"))))
     graded = scored.withColumn("quality_grade", F.when(F.col("_empty"), F.lit("Empty")).otherwise(
         quality_grade(F.col("quality_score"))))
     return T.settle(
-        graded.drop("_t", "_words", "_sents", "_m", "_syl"), "_empty", "content_length", "word_count",
+        graded.drop("_t", "_sents", "_m", "_syl"), "_empty", "content_length", "word_count",
         "sentence_count", "readability_score", "dialogue_potential", "coherence_score", "sentence_variety",
         "vocabulary_diversity", "quality_score", "quality_grade")
 

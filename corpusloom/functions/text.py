@@ -32,7 +32,7 @@ def lit_array(values) -> Column:
 
 def trim_ws(c: Column) -> Column:
     """Strip every kind of white space, not only the space character."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def words(c: Column) -> Column:
@@ -69,9 +69,9 @@ def lower_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
-def alpha_words(word_array: Column) -> Column:
-    """Words made of letters only, lower-cased."""
-    return F.transform(F.filter(word_array, lambda w: w.rlike(r"^\p{L}+$")), F.lower)
+def alpha_words(c: Column) -> Column:
+    """Words of a text made of letters only, lower-cased: one pass over the text."""
+    return F.transform(F.regexp_extract_all(c, F.lit(r"(?<!\S)\p{L}+(?!\S)"), F.lit(0)), F.lower)
 
 
 def let(value: Column, fn) -> Column:

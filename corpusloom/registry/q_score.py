@@ -138,7 +138,7 @@ STRIPPED = f"""len(list_distinct(list_transform({W('lower(text)')}, lambda w: re
 @query("vocabulary_diversity", sql=f"{Q} SELECT doc_id, {R('vocabulary_diversity')} AS alphabetic, {R(STRIPPED)} AS stripped, {R(INFO)} AS raw FROM f2")
 def vocabulary_diversity(spark, sf):
     return docs(spark, sf).withColumn("_w", T.words(F.col("text"))).select(
-        "doc_id", SC.vocabulary_diversity(F.col("_w")).alias("alphabetic"), SC.vocabulary_stripped(F.col("_w")).alias("stripped"),
+        "doc_id", SC.vocabulary_diversity(F.col("text")).alias("alphabetic"), SC.vocabulary_stripped(F.col("_w")).alias("stripped"),
         SC.information_density(F.col("_w")).alias("raw"))
 
 
