@@ -4,10 +4,10 @@
    document, the words' numbers by position.  Blocks are stored once.
 2. Encode: each block sends its words to hash buckets, and a bucket encodes every distinct word once.  Words of all
    blocks meet there, but a word arrives once per block, however frequent it is.
-3. Join back: the ids return to the block and are put in place by the words' numbers.
+3. Join back: the ids return to the block and are put in place by the words' numbers.  Blocks are stored in buckets of their key, so only ids move.
 4. Decode: ids are joined with the id-to-piece table, which has one row per vocabulary entry and so a fixed size.
 
-Buckets and blocks are streamed, so a task holds one block, or the distinct words of one bucket.
+Buckets are streamed, so a task holds a few blocks, or the distinct words of one bucket.
 """
 
 from __future__ import annotations
@@ -15,19 +15,21 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as TY
 
 from corpusloom.llm import bytebpe as B
-from corpusloom.llm.common import documents, query, stored, text_of
+from corpusloom.llm.common import documents, query, stored_by, text_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 #: Words per bucket that the number of buckets aims at.
 BUCKET_WORDS = 200_000
 MOST_BUCKETS = 4096
@@ -35,19 +37,37 @@ MOST_BUCKETS = 4096
 BLOCKS = "block long, rows long, n_words long, numbers binary, counts array<int>, keys {keys}, words binary, at binary"
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueeze(data) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def pack_words(words: list[bytes]) -> bytes:
     size = np.fromiter(map(len, words), np.uint32, len(words))
-    return zlib.compress(np.uint32(len(words)).tobytes() + size.tobytes() + b"".join(words), 1)
+    return squeeze(np.uint32(len(words)).tobytes() + size.tobytes() + b"".join(words))
 
 
-def unpack_words(data: bytes) -> list[bytes]:
-    raw = zlib.decompress(data)
+def unpack_words(data) -> list[bytes]:
+    raw = unsqueeze(data)
     n = int(np.frombuffer(raw, np.uint32, 1)[0])
     ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
     cuts = [4 + 4 * n, *ends.tolist()]
     return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane, which is how they compress."""
+    return squeeze(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_numbers(data) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def batches_of_text(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
     """Cut batches (text in the last column) so that a part has about ``chars`` bytes of text, or one text."""
     for b in batches:
@@ -77,13 +97,14 @@ def word_blocks(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             by_hash = np.argsort(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)), kind="stable")
             yield pa.record_batch({
                 "block": pa.array([block], pa.int64()), "rows": pa.array([b.num_rows], pa.int64()), "n_words": pa.array([len(words)], pa.int64()),
-                "numbers": pa.array([place[code].tobytes()], pa.binary()), "counts": pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
+                "numbers": pa.array([pack_numbers(place[code])], pa.binary()), "counts": pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
                 "keys": pa.ListArray.from_arrays([0, b.num_rows], pa.StructArray.from_arrays(b.columns[:-1], keys)),
                 "words": pa.array([pack_words([words[i] for i in by_hash.tolist()])], pa.binary()),
-                "at": pa.array([place[by_hash].astype(np.int32).tobytes()], pa.binary())})
+                "at": pa.array([pack_numbers(place[by_hash])], pa.binary())})
             block += 1
 
-    return stored(rows.mapInArrow(split, BLOCKS.format(keys=kind)), "word-blocks", compression="zstd")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored_by(rows.mapInArrow(split, BLOCKS.format(keys=kind)), "word-blocks", "block", parts, compression="zstd")
 
 
 def bucket_ids(blocks: DataFrame, vocabulary: str) -> DataFrame:
@@ -95,7 +116,7 @@ def bucket_ids(blocks: DataFrame, vocabulary: str) -> DataFrame:
     def deal(batches):
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1)):
-                words = unpack_words(data.as_buffer().to_pybytes())
+                words = unpack_words(data.as_buffer())
                 bucket = (np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * np.uint64(n)) >> np.uint64(32)
                 cuts = np.searchsorted(bucket, np.arange(n + 1)).tolist()
                 used = [k for k in range(n) if cuts[k] < cuts[k + 1]]
@@ -111,10 +132,10 @@ def bucket_ids(blocks: DataFrame, vocabulary: str) -> DataFrame:
                 if bucket != current:
                     current, known, free = bucket, B.Numbered(), 0
                     ids, begin, count = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                words, had = unpack_words(data.as_buffer().to_pybytes()), len(known)
+                words, had = unpack_words(data.as_buffer()), len(known)
                 of = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 if len(known) > had:  # each distinct word is encoded when it comes first
-                    new = [w.decode() for w in list(known)[had:]] if had else [w.decode() for w in known]
+                    new = [w.decode() for w in islice(known, had, None)]
                     got, n_ids = B.encode_words(new, vocabulary)
                     while free + len(got) > len(ids):
                         ids = np.concatenate([ids, np.zeros(len(ids), np.uint32)])
@@ -136,11 +157,11 @@ def pack_ids(ids: np.ndarray, count: np.ndarray) -> bytes:
     wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
     long = len(count) > 0 and int(count.max()) > 0xFF
     head = np.array([len(count), wide, long], np.uint32).tobytes()
-    return zlib.compress(head + count.astype(np.uint32 if long else np.uint8).tobytes() + ids.astype(np.uint32 if wide else np.uint16).tobytes(), 1)
+    return squeeze(head + count.astype(np.uint32 if long else np.uint8).tobytes() + ids.astype(np.uint32 if wide else np.uint16).tobytes())
 
 
-def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(data)
+def unpack_ids(data) -> tuple[np.ndarray, np.ndarray]:
+    raw = unsqueeze(data)
     n, wide, long = np.frombuffer(raw, np.uint32, 3).tolist()
     count = np.frombuffer(raw, np.uint32 if long else np.uint8, n, 12).astype(np.int64)
     return np.frombuffer(raw, np.uint32 if wide else np.uint16, -1, 12 + n * (4 if long else 1)).astype(np.uint32), count
@@ -172,37 +193,21 @@ def encoded(rows: DataFrame, use: Callable[[Block], dict], schema: str, vocabula
     Null texts count as empty; an empty text has no ids.  Rows may repeat: every row comes out once.
     """
     blocks = word_blocks(rows.withColumn(rows.columns[-1], text_of(rows.columns[-1])), vocabulary)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = blocks.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("ids"), "numbers", "counts", "keys", "at")
-    both = own.unionByName(bucket_ids(blocks, vocabulary), allowMissingColumns=True)
+    ids = bucket_ids(blocks, vocabulary).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("ids"))
+    both = blocks.select("block", "numbers", "counts", "keys", "at").join(ids, "block", "left")
 
     def place(batches):
-        current, block, parts_ = None, None, []
-
-        def done():
-            if block is None:
-                return
-            numbers, counts, keys, at = block
-            got = [unpack_ids(x) for x in parts_]
-            ids = np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.uint32)
-            in_hash_order = np.concatenate([n for _, n in got]) if got else np.zeros(0, np.int64)
-            begin, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            begin[at], count[at] = np.cumsum(in_hash_order) - in_hash_order, in_hash_order
-            yield pa.record_batch(use(Block(ids, begin, count, numbers, counts, keys)))
-
         for b in batches:
-            for i, key in enumerate(b.column(0).to_pylist()):
-                if key != current:
-                    yield from done()
-                    current, block, parts_ = key, None, []
-                if b.column(1)[i].is_valid:
-                    parts_.append(b.column(2)[i].as_buffer().to_pybytes())
-                else:
-                    block = (np.frombuffer(b.column(3)[i].as_buffer(), np.int32), np.asarray(b.column(4)[i].values, np.int64),
-                             b.column(5)[i].values, np.frombuffer(b.column(6)[i].as_buffer(), np.int32))
-        yield from done()
-
-    return both.repartition(parts, "block").sortWithinPartitions("block", F.col("bucket").asc_nulls_first()).mapInArrow(place, schema)
+            for i in range(b.num_rows):
+                got = [unpack_ids(x.as_buffer()) for x in b.column(5)[i].values.field("ids")] if b.column(5)[i].is_valid else []
+                flat = np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.uint32)
+                in_hash_order = np.concatenate([n for _, n in got]) if got else np.zeros(0, np.int64)
+                at = unpack_numbers(b.column(4)[i].as_buffer())
+                begin, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                begin[at], count[at] = np.cumsum(in_hash_order) - in_hash_order, in_hash_order
+                yield pa.record_batch(use(Block(flat, begin, count, unpack_numbers(b.column(1)[i].as_buffer()), np.asarray(b.column(2)[i].values, np.int64), b.column(3)[i].values)))
+
+    return both.mapInArrow(place, schema)
 
 
 def decode(encoded_rows: DataFrame, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -143,23 +143,30 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     a joined call that does not come back with one piece per word is done over word by word.
     """
     t = tokenizer(path)
-    ids: list = [None] * len(words)
-    plain = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
-    rest = [i for i, w in enumerate(words) if not (w[0] == " " and w[1:].isalpha())]
+    joins = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
+    order, found, counts = [], [], []
+    alone = np.flatnonzero(~joins).tolist()
+    plain = np.flatnonzero(joins).tolist()
     for k in range(0, len(plain), JOINED):
         part = plain[k:k + JOINED]
         e = t.encode("".join([words[i] for i in part]), add_special_tokens=False)
-        of = np.array(e.word_ids)
-        if of[-1] + 1 != len(part):
-            rest += part
+        n = np.bincount(np.array(e.word_ids, np.int64))
+        if len(n) != len(part):
+            alone += part
             continue
-        got, cut = np.array(e.ids, np.uint32), np.searchsorted(of, np.arange(1, len(part)))
-        for i, x in zip(part, np.split(got, cut)):
-            ids[i] = x
-    for i, e in zip(rest, t.encode_batch_fast([words[i] for i in rest], add_special_tokens=False) if rest else []):
-        ids[i] = np.array(e.ids, np.uint32)
-    count = np.fromiter(map(len, ids), np.int64, len(ids))
-    return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), count
+        order += part
+        found.append(np.array(e.ids, np.uint32))
+        counts.append(n)
+    if alone:
+        got = [e.ids for e in t.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)]
+        order += alone
+        counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+        found.append(np.fromiter((x for y in got for x in y), np.uint32, int(counts[-1].sum())))
+    if not order:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    n, where = np.concatenate(counts), np.empty(len(words), np.int64)
+    where[order] = np.arange(len(words))
+    return gather(np.concatenate(found), np.cumsum(n) - n, n, where), n[where]
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, of: np.ndarray) -> np.ndarray:
