@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusloom.functions import pairs as PF, text as T
 
 
 def hashed_tf(df: DataFrame, dims: int = 100, col: str = "text") -> DataFrame:
-    """Word-frequency vector by hashing, of unit length."""
-    d = df.withColumn("_w", T.words(F.lower(F.col(col))))
-    tf = HashingTF(numFeatures=dims, inputCol="_w", outputCol="_tf").transform(d)
-    return Normalizer(p=2.0, inputCol="_tf", outputCol="_v").transform(tf).withColumn("vector", vector_to_array("_v")).drop("_w", "_tf", "_v")
+    """Word-frequency vector of unit length; a word's place is the head of its md5 as a number, so any engine finds the same."""
+    places = F.transform(T.words(F.lower(F.col(col))), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dims)
+    counts = F.map_from_entries(F.transform(T.tally(places), lambda r: F.struct(r["value"], r["n"])))
+
+    def scaled(n):
+        norm = F.sqrt(F.aggregate(F.map_values(n), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        places_ = F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint"))
+        return T.let(norm, lambda z: F.transform(places_, lambda k: T.ratio(F.coalesce(F.try_element_at(n, k), F.lit(0)), z)))
+
+    return df.withColumn("vector", T.let(counts, scaled))
 
 
 def unit(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -71,6 +76,17 @@ def neighbour_coherence(df: DataFrame, doc: list[str], order: str, vec: str = "e
         *doc, "n", F.when(F.col("n") < 2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.col("_a"), F.lit(1.0)))).alias("coherence"))
 
 
+def nearest_centre(df: DataFrame, centres: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """The centre of largest cosine for every vector (smallest name on a tie).  ``centres`` has columns centre and vec.
+
+    The centres are a stated query set, met block by block like the themes of a similarity join.
+    """
+    named = centres.withColumnRenamed("centre", "theme")
+    every = theme_similarity_join(df, named, key, -2.0, vec)
+    best = every.groupBy(key).agg(F.max(F.struct("similarity", F.struct(-F.col("theme")).alias("o"), "theme")).alias("_b"))
+    return best.select(key, F.col("_b.theme").alias("centre"), F.col("_b.similarity").alias("similarity"))
+
+
 def cluster_vectors(df: DataFrame, key: str, k: int = 5, vec: str = "embedding", seed: int = 42) -> DataFrame:
     """k-means cluster of every vector with its cosine to the centre; the inertia of the model is a column."""
     d = df.select(key, F.col(vec).alias("_e"), array_to_vector(F.col(vec)).alias("features"))

@@ -334,6 +334,15 @@ def cluster_texts(spark, sf):
     return VE.cluster_vectors(TB.table(spark, sf, "embeddings"), "vec_id", 5)
 
 
+@query("nearest_centre", sql=f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT label AS centre, arg_min(v, vec_id) AS c FROM e GROUP BY label),
+s AS (SELECT vec_id, centre, list_cosine_similarity(v, c) AS similarity FROM e, t) SELECT vec_id, arg_max(centre, similarity)::BIGINT AS centre, {R('max(similarity)')} AS similarity FROM s GROUP BY 1""")
+def nearest_centre(spark, sf):
+    """Assignment to given centres: the first vector of each label."""
+    e = TB.table(spark, sf, "embeddings")
+    centres = e.groupBy(F.col("label").alias("centre")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return VE.nearest_centre(e, centres, "vec_id")
+
+
 @query("knowledge_statistics", sql=f"""{PARA_CHUNKS}, k AS (SELECT CASE WHEN {NWORDS('text')} < 50 THEN 'Beginner' WHEN {NWORDS('text')} < 150 THEN 'Intermediate' ELSE 'Advanced' END AS difficulty FROM c),
 t AS (SELECT difficulty, type_name, e, f FROM k, {values([dict(type_name=n, e=(P.KNOWLEDGE_FALLBACKS.get(t, (0, 0, 0, .5, .5)))[3], f=(P.KNOWLEDGE_FALLBACKS.get(t, (0, 0, 0, .5, .5)))[4]) for t, (n, _, _) in P.KNOWLEDGE_TYPES.items()], ['type_name', 'e', 'f'])})
 SELECT type_name, difficulty, count(*) AS n, {R('avg(e)')} AS average_educational_value, {R('avg(f)')} AS average_entertainment_value, {R('(avg(e) + avg(f)) / 2')} AS quality_score FROM t GROUP BY 1, 2""")

@@ -282,9 +282,11 @@ def cosine_similarity(spark, sf):
     return VE.next_similarity(TB.table(spark, sf, "embeddings"))
 
 
-@query("hashed_tf_vector")
+@query("hashed_tf_vector", sql=f"""WITH w AS (SELECT doc_id, unnest({W('lower(text)')}) AS w FROM documents), c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 100 AS place, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT doc_id, place, {R('n / sqrt(sum(n * n) OVER (PARTITION BY doc_id))')} AS value FROM c""")
 def hashed_tf_vector(spark, sf):
-    return VE.hashed_tf(docs(spark, sf)).select("doc_id", F.to_json("vector").alias("vector"))
+    v = VE.hashed_tf(docs(spark, sf)).select("doc_id", F.posexplode("vector").alias("place", "value"))
+    return v.filter("value > 0")
 
 
 def claims_sql():
