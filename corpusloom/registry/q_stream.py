@@ -59,22 +59,22 @@ def _latency(e):
     return e.select("ts", (F.col("event_type") == "error").alias("failed"), (F.col("value") / 100).alias("latency"))
 
 
-@query("stream_metrics", sql=f"""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, count(*) AS processed, {R('count(*) / 3600')} AS throughput, {R("count(*) FILTER (event_type = 'error') / count(*)")} AS error_rate, {R('avg(value / 100)')} AS avg_latency, avg(value / 100) <= 1 AS in_target
-FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts)""")
+def events_of(spark, sf):
+    return TB.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_metrics", sql=f"""SELECT epoch_us(b) AS start_us, count(*) AS processed, {R('count(*) / 3600')} AS throughput, {R("count(*) FILTER (event_type = 'error') / count(*)")} AS error_rate, {R('avg(value / 100)')} AS avg_latency, avg(value / 100) <= 1 AS in_target
+FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS b FROM events) WHERE b + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY b""")
 def stream_metrics(spark, sf):
+    """Hours are given out once the watermark has passed them; the last, open ones stay in the state."""
     out = scratch(spark, "stream-metrics")
-    m = ST.interval_metrics(_latency(ST.event_stream(spark, sf)), "1 hour")
-    handler = ST.split_sink(out, {"data": lambda b: b})
-    ST.run_batches(m, handler, out, "complete")
-    latest = spark.read.parquet(f"{out}/data")
-    last = latest.agg(F.max("batch").alias("_b"))
-    from corpusloom.plans.skew import attach
-    return attach(latest, last).filter("batch = _b").select(F.unix_micros("start").alias("start_us"), "processed", "throughput", "error_rate", "avg_latency", "in_target")
+    ST.feed(events_of(spark, sf), "ts", f"{out}/input", lambda e: ST.run_to_end(ST.interval_metrics(_latency(e), "1 hour"), out))
+    return spark.read.parquet(f"{out}/data").select(F.unix_micros("start").alias("start_us"), "processed", "throughput", "error_rate", "avg_latency", "in_target")
 
 
 def _stream_alert_rows(spark, sf):
     out = scratch(spark, "stream-alerts")
-    ST.run_to_end(ST.stream_alerts(samples_of(ST.event_stream(spark, sf))), out)
+    ST.feed(samples_of(events_of(spark, sf)), "ts", f"{out}/input", lambda s: ST.run_to_end(ST.stream_alerts(s), out))
     return spark.read.parquet(f"{out}/data")
 
 
@@ -92,8 +92,8 @@ def stream_alert_retention(spark, sf):
 @query("stream_routing", sql=f"WITH {SAMP} SELECT content_id, {route('q')} AS route FROM sa")
 def stream_routing(spark, sf):
     out = scratch(spark, "stream-routing")
-    s = samples_of(ST.event_stream(spark, sf))
-    ST.run_batches(s, ST.split_sink(out, ST.routed(s)), out)
+    s = samples_of(events_of(spark, sf))
+    ST.feed(s, "ts", f"{out}/input", lambda d: ST.run_batches(d, ST.split_sink(out, ST.routed(d)), out))
     parts = [spark.read.parquet(f"{out}/{n}").select("content_id", F.lit(n).alias("route")) for n in ("auto_approve", "manual_review", "reject")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -101,8 +101,8 @@ def stream_routing(spark, sf):
 @query("stream_audit", sql="SELECT event_id, event_type, user_id AS session_id FROM events")
 def stream_audit(spark, sf):
     out = scratch(spark, "stream-audit")
-    e = ST.event_stream(spark, sf).select("event_id", "ts", "event_type", F.col("user_id").alias("session_id"))
-    ST.run_to_end(e, out, fmt="json")
+    e = events_of(spark, sf).select("event_id", "ts", "event_type", F.col("user_id").alias("session_id"))
+    ST.feed(e, "ts", f"{out}/input", lambda d: ST.run_to_end(d, out, fmt="json"))
     return spark.read.schema("event_id bigint, ts timestamp, event_type string, session_id bigint").json(f"{out}/data").drop("ts")
 
 
@@ -111,28 +111,44 @@ def audit_append(spark, sf):
     return stream_audit(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_error_rate", sql=f"""WITH {ERR}, w AS (SELECT category, unnest(range(0, 12)) AS k, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM er)
-SELECT epoch_us(b - k * INTERVAL 5 MINUTE) AS start_us, category, count(*) AS errors FROM w GROUP BY 1, 2""")
+@query("stream_error_rate", sql=f"""WITH {ERR}, w AS (SELECT category, time_bucket(INTERVAL 5 MINUTE, ts) - unnest(range(0, 12)) * INTERVAL 5 MINUTE AS b FROM er)
+SELECT epoch_us(b) AS start_us, category, count(*) AS errors FROM w WHERE b + INTERVAL 1 HOUR <= (SELECT max(ts) FROM er) - INTERVAL 10 MINUTE GROUP BY 1, 2""")
 def stream_error_rate(spark, sf):
     out = scratch(spark, "stream-errors")
-    e = ST.event_stream(spark, sf).filter("event_type = 'error'")
     k = F.get_json_object("props", "$.k").cast("int")
-    d = ST.sliding_error_counts(e.select("ts", TB._pick(TB.ERROR_NAMES, k).alias("category")))
-    ST.run_batches(d, ST.split_sink(out, {"data": lambda b: b}), out, "complete")
-    from corpusloom.plans.skew import attach
-    latest = spark.read.parquet(f"{out}/data")
-    return attach(latest, latest.agg(F.max("batch").alias("_b"))).filter("batch = _b").select(F.unix_micros("start").alias("start_us"), "category", "errors")
+    e = events_of(spark, sf).filter("event_type = 'error'").select("ts", TB._pick(TB.ERROR_NAMES, k).alias("category"))
+    ST.feed(e, "ts", f"{out}/input", lambda d: ST.run_to_end(ST.sliding_error_counts(d), out))
+    return spark.read.parquet(f"{out}/data").select(F.unix_micros("start").alias("start_us"), "category", "errors")
 
 
-@query("result_hooks", sql="SELECT count(*) AS rows_seen, 0::BIGINT AS errors_seen FROM events")
+@query("result_hooks", sql="SELECT count(*) AS rows_seen, 1::BIGINT AS errors_seen FROM events")
 def result_hooks(spark, sf):
-    """A user hook counts the rows of each handled batch."""
+    """User hooks: one counts the rows of each handled batch, one writes down the failure of a batch, which then runs again."""
     out = scratch(spark, "stream-hooks")
-    errors = []
+    failed = []
+
+    def handler(batch, batch_id):
+        if batch_id == 1 and not failed:
+            raise RuntimeError("first try of the second batch")
 
     def on_result(batch, batch_id):
         batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
 
-    handler = ST.with_hooks(lambda batch, batch_id: None, [on_result], [lambda batch_id, e: errors.append(batch_id)])
-    ST.run_batches(ST.event_stream(spark, sf), handler, out)
-    return spark.read.parquet(f"{out}/seen").agg(F.sum("n").alias("rows_seen"), F.lit(len(errors)).alias("errors_seen"))
+    def on_error(batch_id, error):
+        failed.append(batch_id)
+        spark.createDataFrame([(batch_id, str(error))], "batch_no long, error string").write.mode("append").parquet(f"{out}/errors")
+
+    hooked = ST.with_hooks(handler, [on_result], [on_error])
+
+    def run(stream):
+        try:
+            ST.run_batches(stream, hooked, out)
+        except Exception:
+            if not failed:
+                raise
+            ST.run_batches(stream, hooked, out)
+
+    ST.feed(events_of(spark, sf), "ts", f"{out}/input", run)
+    seen = spark.read.parquet(f"{out}/seen").agg(F.sum("n").alias("rows_seen"))
+    from corpusloom.plans.skew import attach
+    return attach(seen, spark.read.parquet(f"{out}/errors").agg(F.count("*").alias("errors_seen")))

@@ -33,6 +33,24 @@ def read_table_stream(spark: SparkSession, sf: str, name: str, files_per_batch:
     return d.repartition(parts) if parts else d
 
 
+def feed(table: DataFrame, order: str, src: str, run: Callable[[DataFrame], object], parts: int = 3) -> None:
+    """Hand a table to a stream in ``parts`` pieces by ``order``.
+
+    After each piece the query runs over what is new; with one checkpoint it goes on from its offsets and its state, as after a restart.
+    Rows without an order come first.
+    """
+    spark = table.sparkSession
+    cuts = table.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], F.lit(10_000))).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        piece = table
+        if lo is not None:
+            piece = piece.filter(F.col(order) > F.lit(lo))
+        if hi is not None:
+            piece = piece.filter((F.col(order) <= F.lit(hi)) | (F.col(order).isNull() if lo is None else F.lit(False)))
+        piece.write.mode("append").parquet(src)
+        run(spark.readStream.schema(table.schema).parquet(src))
+
+
 def run_to_end(df: DataFrame, out: str, mode: str = "append", fmt: str = "parquet") -> StreamingQuery:
     """Process all available input into a file sink with a checkpoint, and wait."""
     q = (df.writeStream.format(fmt).outputMode(mode).option("path", f"{out}/data")
