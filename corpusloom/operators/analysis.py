@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from corpusloom.functions import pairs as PF, scores as S, text as T
+from corpusloom.functions import scores as S, text as T
 from corpusloom.operators import extraction as EX, graph as GR, preparation as PR, themes as TH
 
 
@@ -46,7 +46,8 @@ def analyze_semantics(chunks: DataFrame, col: str = "text") -> DataFrame:
 def analyze_chunks(chunks: DataFrame, col: str = "text") -> DataFrame:
     """Type, dialogue, density, readability, coherence and continuity of each chunk.
 
-    Continuity looks at the chunk before; a window holds the chunks of one text, so it is bounded.
+    Continuity compares the word sets of neighbouring chunks; hashes of words are made first, so no text is shuffled for it.
+    A window holds the chunks of one text, so it is bounded.
     """
     c = F.col(col)
     counts = S.content_scores(c)
@@ -54,7 +55,9 @@ def analyze_chunks(chunks: DataFrame, col: str = "text") -> DataFrame:
     d = S.with_semantics(d, col).withColumn("content_type", S.content_type({k: F.col(f"_{k}") for k in counts}))
     d = d.withColumn("dialogue_potential", F.least(F.col("_dialogue") / F.greatest(F.col("n_words") / 50, F.lit(1.0)), F.lit(1.0)))
     # scored first, shuffled after: the costly part keeps the parallelism of the scan
-    d = d.withColumn("_prev", F.lag(c).over(W.partitionBy("doc_id").orderBy("chunk_no")))
-    return (d.withColumn("topic_continuity", F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(PF.jaccard(c, F.col("_prev"))))
+    d = d.withColumn("_set", F.array_distinct(F.transform(T.words(F.lower(c)), lambda w: F.xxhash64(w))))
+    d = d.withColumn("_prev", F.lag("_set").over(W.partitionBy("doc_id").orderBy("chunk_no")))
+    shared = F.size(F.array_intersect("_set", "_prev"))
+    return (d.withColumn("topic_continuity", F.coalesce(T.ratio(shared, F.size("_set") + F.size("_prev") - shared), F.lit(0.0)))
             .withColumnRenamed("readability_simple", "readability_score").withColumnRenamed("coherence_blend", "coherence_score")
-            .drop("_prev", *[f"_{k}" for k in counts]))
+            .drop("_prev", "_set", *[f"_{k}" for k in counts]))
