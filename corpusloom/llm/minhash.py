@@ -20,10 +20,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import documents, query, stored, text_of
+from corpusloom.llm.common import documents, query, stored, stored_by, text_of
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
+#: Turns of leaders end when fewer of the compared pairs than this are links.
+LEAST_YIELD = 0.01
 COUNTERS = 1 << 20
 SAMPLES = BANDS * ROWS
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -213,53 +215,63 @@ def components(links: DataFrame) -> DataFrame:
         cls = step.select("node", F.col("new").alias("class"))
 
 
-def _candidates(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (node, other) to compare and the bands they share: each node with its bucket's leader of this turn.
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (node, other) to compare: each node with the leader of each of its buckets.
 
-    Buckets whose nodes are of one class already are left out, and so is a leader of the node's own class.
+    Leaders come from the nodes that no earlier leader of the bucket was linked with (``open``); of these the one that meets most nodes in all
+    its buckets leads, since the origin of many copies is nearer to them than they are to each other.
     """
-    rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node"), F.col("class").alias("class"))
-    lead = rows.groupBy("bucket").agg(F.min(rank).alias("lead"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-    met = rows.join(lead, "bucket").filter("class <> lead.class")
-    return met.groupBy("node", F.col("lead.node").alias("other")).agg(F.count("*").alias("bands"))
+    rank = F.struct("popularity", "node", "class")
+    lead = rows.filter("open").groupBy("bucket").agg(F.max(rank).alias("lead"))
+    return rows.join(lead, "bucket").filter("class <> lead.class")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), class_size (rows), n_links of its text, kept.
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), class_size (rows), n_links of its text, kept, node (digest of the text), class.
 
     Texts are compared as sets of five-word shingles at 0.8; equal texts are always of one class, texts without words only with equal texts.
     A null text counts as empty.  ``kept`` marks the rows of the smallest doc_id; rows without an id are kept only in a class without any.
 
-    In each turn every bucket compares its nodes with one leader; turns go on, with other leaders, over the buckets that still hold
-    several classes until a turn finds no new link.
+    In each turn every bucket compares its nodes with one leader; then the nodes of the leader's class are settled there, and the others get a leader of
+    their own.  Turns go on while at least LEAST_YIELD of the compared pairs are links.  Two texts that no leader brings together are not compared.
     """
     idf = idf_table(docs, text)
     signed = stored(signatures(docs, idf, doc_id, text), "signatures")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(banded.join(sizes, "bucket").select("bucket", "node"), "buckets")
-    wanted = shared.select("node").distinct()
+    met = stored(banded.join(sizes, "bucket"), "buckets")
+    wanted = stored(met.groupBy("node").agg(F.sum("n").alias("popularity")), "nodes")
+    shared = met.join(wanted, "node").select("bucket", "node", "popularity", F.lit(True).alias("open"))
     # one row of each text: its smallest id joins too, so a text with many copies is not one hot key
     no_id = F.lit(-(1 << 63)).cast("long")
-    first = signed.groupBy("node").agg(F.coalesce(F.min("doc_id"), no_id).alias("id")).join(wanted, "node")
-    texts = stored(docs.select(F.md5(text_of(text)).alias("node"), text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), no_id).alias("id"))
-                   .join(first, ["node", "id"]).select("node", "text").dropDuplicates(["node"]), "candidates", compression="zstd")
-    links, cls, turn = None, None, 0
+    first = signed.groupBy("node").agg(F.coalesce(F.min("doc_id"), no_id).alias("id")).join(wanted.select("node"), "node")
+    # in buckets of the node, so that no turn moves them but those it compares
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = stored_by(docs.select(F.md5(text_of(text)).alias("node"), text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), no_id).alias("id"))
+                   .join(first, ["node", "id"]).select("node", "text").dropDuplicates(["node"]), "candidates", "node", parts, compression="zstd")
+    rows, links, cls, turn = shared.withColumn("class", F.col("node")), None, None, 0
     while True:
-        if cls is None:
-            rows = shared.withColumn("class", F.col("node"))
-        else:
-            rows = shared.join(cls, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-        asked = _candidates(rows, turn)
-        if turn == 0:  # most nodes are settled by the leader with which they share most bands
-            asked = asked.groupBy("node").agg(F.max_by("other", F.struct("bands", "other")).alias("other"))
-        new = stored(verified(asked.select("node", "other"), texts, idf), f"links-{turn}")
-        if new.isEmpty() and turn > 0:
-            break
+        rows = stored(rows, "rows")
+        asked = stored(_candidates(rows).select("bucket", "node", F.col("lead.node").alias("other")), "asked")
+        pairs = asked.select("node", "other").distinct()
+        if links is not None:
+            pairs = pairs.join(tried, ["node", "other"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        new = stored(verified(pairs, texts, idf), f"links-{turn}")
+        n_pairs, n_new = pairs.count(), new.count()
         links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
+        tried = pairs if turn == 0 else tried.unionByName(pairs)
+        if n_new:
             cls = components(links)
+        if n_new <= LEAST_YIELD * n_pairs:
+            break
+        # settled in its bucket: the leader, and who is of the leader's class now
+        of = rows.drop("class").join(cls, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        lead = (asked.groupBy("bucket").agg(F.first("other").alias("node")).join(cls, "node", "left")
+                .select("bucket", F.coalesce("class", "node").alias("led")))
+        rows = (of.join(lead, "bucket").withColumn("open", F.col("open") & (F.col("class") != F.col("led"))).drop("led")
+                .select("bucket", "node", "popularity", "open", "class"))
         turn += 1
     if cls is None:
         cls = links.select("node", F.col("other").alias("class"))
@@ -268,7 +280,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     heads = of.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return (of.join(degree, "node", "left").join(heads, "class")
             .select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                    F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
+                    F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node", "class"))
 
 
 @query("op1_minhash_near_dedup")
