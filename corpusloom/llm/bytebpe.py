@@ -39,6 +39,7 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
+@cache
 def specials(path: str) -> list[str]:
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
@@ -139,24 +140,27 @@ def numbered_words(texts: list[str], numbers: Numbered, special: list[str]) -> t
 def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words one after the other (uint32), and the count per word.
 
-    Words of a blank and letters split again into themselves when joined, so many go into one call of the library;
-    a joined call that does not come back with one piece per word is done over word by word.
+    Many words go into one call of the library, joined so that it splits them again: words of a blank and letters as they are, others
+    but white space after a line end, whose own id is taken out.  A joined call that does not come back with the expected pieces is done over word by word.
     """
     t = tokenizer(path)
-    joins = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
+    special = specials(path)
+    kind = np.fromiter((0 if w[0] == " " and w[1:].isalpha() else 2 if w.isspace() or w in special else 1 for w in words), np.int8, len(words))
     order, found, counts = [], [], []
-    alone = np.flatnonzero(~joins).tolist()
-    plain = np.flatnonzero(joins).tolist()
-    for k in range(0, len(plain), JOINED):
-        part = plain[k:k + JOINED]
-        e = t.encode("".join([words[i] for i in part]), add_special_tokens=False)
-        n = np.bincount(np.array(e.word_ids, np.int64))
-        if len(n) != len(part):
-            alone += part
-            continue
-        order += part
-        found.append(np.array(e.ids, np.uint32))
-        counts.append(n)
+    alone = np.flatnonzero(kind == 2).tolist()
+    for k, (before, pieces_) in enumerate((("", 1), ("\n", 2))):
+        chosen = np.flatnonzero(kind == k).tolist()
+        for start in range(0, len(chosen), JOINED):
+            part = chosen[start:start + JOINED]
+            e = t.encode(before + before.join([words[i] for i in part]), add_special_tokens=False)
+            of = np.array(e.word_ids, np.int64)
+            n = np.bincount(of)
+            if len(n) != pieces_ * len(part):
+                alone += part
+                continue
+            order += part
+            found.append(np.array(e.ids, np.uint32)[of % pieces_ == pieces_ - 1])
+            counts.append(n[pieces_ - 1::pieces_])
     if alone:
         got = [e.ids for e in t.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)]
         order += alone

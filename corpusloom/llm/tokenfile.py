@@ -3,7 +3,7 @@
 A token file is a folder with three Parquet tables:
 
 * ``table``: id, frequency - the shared static frequency table (one row per id that occurs);
-* ``blocks``: file, block, first_doc, n_docs, n_ids, words, parts, crc32 - coded blocks of about a million ids (see ``rans``); ``parts``
+* ``blocks``: file, block, n_docs, n_ids, words, parts, crc32 - coded blocks of about a million ids (see ``rans``); ``parts``
   are the checkpoints, ``crc32`` is of words and parts together;
 * ``index``: doc_id, file, block, doc, n_tokens, start - where each document lies, in ascending doc_id order.
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from corpusloom.session import scratch
 
 BLOCK_IDS = 1 << 20
 TEXT_CHARS = 4_000_000
-#: Distinct words whose ids a task keeps; a cache.
-KNOWN_WORDS = 1_000_000
+#: Distinct words whose ids a Python worker keeps from task to task; a cache.
+KNOWN_WORDS = 1_200_000
 PACKS = "file int, block int, doc_ids array<bigint>, counts array<int>, ids binary, used array<int>, times array<bigint>"
 
 
@@ -50,7 +52,7 @@ class Encoder:
         had = len(self.words)
         code, n_words = B.numbered_words(texts, self.words, self.special)
         if len(self.words) > had:
-            new = list(self.words)[had:]
+            new = list(islice(self.words, had, None))
             got, n = B.encode_words(new, self.vocabulary)
             if self.free + len(got) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(got)), np.uint32)])
@@ -63,11 +65,16 @@ class Encoder:
         return B.gather(self.ids, self.begin, self.count, code), total[ends] - total[ends - n_words]
 
 
+@cache
+def worker_encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
+
+
 def _packs(rows: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Ids by range of doc_id: each pack holds whole documents of about BLOCK_IDS ids, and how often each id occurs."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file, block = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, file, block = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
 
