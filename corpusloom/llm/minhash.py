@@ -18,14 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusloom.llm.common import documents, query, stored, stored_by, text_of
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Turns of leaders end when fewer of the compared pairs than this are links.
-LEAST_YIELD = 0.01
+#: Leaders of a bucket per turn, and how many of those that a node meets it is compared with.
+LEADERS, NEAREST = 8, 3
+#: Turns end when no more of the compared pairs than this are links.
+LEAST_YIELD = 0.05
 COUNTERS = 1 << 20
 SAMPLES = BANDS * ROWS
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -215,15 +217,21 @@ def components(links: DataFrame) -> DataFrame:
         cls = step.select("node", F.col("new").alias("class"))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (node, other) to compare: each node with the leader of each of its buckets.
+def _candidates(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (node, other) to compare in this turn.
 
-    Leaders come from the nodes that no earlier leader of the bucket was linked with (``open``); of these the one that meets most nodes in all
-    its buckets leads, since the origin of many copies is nearer to them than they are to each other.
+    The nodes of a bucket meet its next LEADERS leaders, the nodes that meet most others in all their buckets.  Of the leaders of other classes that a
+    node meets, the NEAREST that share most bands with it are compared.
     """
-    rank = F.struct("popularity", "node", "class")
-    lead = rows.filter("open").groupBy("bucket").agg(F.max(rank).alias("lead"))
-    return rows.join(lead, "bucket").filter("class <> lead.class")
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("popularity"), "node"))
+    lead = rows.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS * (turn + 1)).filter(F.col("_rank") > LEADERS * turn)
+    lead = lead.groupBy("bucket").agg(F.collect_list(F.struct("popularity", "node", "class")).alias("leads"))  # at most LEADERS
+    met = rows.join(lead, "bucket").groupBy("node", "class").agg(F.flatten(F.collect_list("leads")).alias("leads"))  # at most BANDS times LEADERS
+    other = met.select("node", F.filter("leads", lambda x: x["class"] != F.col("class")).alias("leads"))
+    counted = F.transform(F.array_distinct("leads"), lambda x: F.struct(
+        F.size(F.filter("leads", lambda y: y["node"] == x["node"])).alias("bands"), x["popularity"].alias("popularity"), x["node"].alias("node")))
+    best = F.slice(F.sort_array(counted, asc=False), 1, NEAREST)
+    return other.select("node", F.explode(best).alias("_b")).select("node", F.col("_b.node").alias("other"))
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,8 +240,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Texts are compared as sets of five-word shingles at 0.8; equal texts are always of one class, texts without words only with equal texts.
     A null text counts as empty.  ``kept`` marks the rows of the smallest doc_id; rows without an id are kept only in a class without any.
 
-    In each turn every bucket compares its nodes with one leader; then the nodes of the leader's class are settled there, and the others get a leader of
-    their own.  Turns go on while at least LEAST_YIELD of the compared pairs are links.  Two texts that no leader brings together are not compared.
+    Buckets are not compared in pairs but with their leaders, the most popular nodes first, some more in every turn (see _candidates).  Turns go on
+    while at least LEAST_YIELD of the compared pairs are links.  Two texts that are no leader's or not among the nearest to each other are not compared.
     """
     idf = idf_table(docs, text)
     signed = stored(signatures(docs, idf, doc_id, text), "signatures")
@@ -242,7 +250,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(banded.join(sizes, "bucket"), "buckets")
     wanted = stored(met.groupBy("node").agg(F.sum("n").alias("popularity")), "nodes")
-    shared = met.join(wanted, "node").select("bucket", "node", "popularity", F.lit(True).alias("open"))
+    shared = stored(met.join(wanted, "node").select("bucket", "node", "popularity"), "shared")
     # one row of each text: its smallest id joins too, so a text with many copies is not one hot key
     no_id = F.lit(-(1 << 63)).cast("long")
     first = signed.groupBy("node").agg(F.coalesce(F.min("doc_id"), no_id).alias("id")).join(wanted.select("node"), "node")
@@ -250,28 +258,23 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = stored_by(docs.select(F.md5(text_of(text)).alias("node"), text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), no_id).alias("id"))
                    .join(first, ["node", "id"]).select("node", "text").dropDuplicates(["node"]), "candidates", "node", parts, compression="zstd")
-    rows, links, cls, turn = shared.withColumn("class", F.col("node")), None, None, 0
+    links = tried = cls = None
+    turn = 0
     while True:
-        rows = stored(rows, "rows")
-        asked = stored(_candidates(rows).select("bucket", "node", F.col("lead.node").alias("other")), "asked")
-        pairs = asked.select("node", "other").distinct()
-        if links is not None:
-            pairs = pairs.join(tried, ["node", "other"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        if cls is None:
+            rows = shared.withColumn("class", F.col("node"))
+        else:
+            rows = shared.join(cls, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        asked = _candidates(rows, turn)
+        pairs = stored(asked if tried is None else asked.join(tried, ["node", "other"], "left_anti"), "pairs")
         new = stored(verified(pairs, texts, idf), f"links-{turn}")
         n_pairs, n_new = pairs.count(), new.count()
         links = new if links is None else links.unionByName(new)
-        tried = pairs if turn == 0 else tried.unionByName(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if n_new:
             cls = components(links)
         if n_new <= LEAST_YIELD * n_pairs:
             break
-        # settled in its bucket: the leader, and who is of the leader's class now
-        of = rows.drop("class").join(cls, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        lead = (asked.groupBy("bucket").agg(F.first("other").alias("node")).join(cls, "node", "left")
-                .select("bucket", F.coalesce("class", "node").alias("led")))
-        rows = (of.join(lead, "bucket").withColumn("open", F.col("open") & (F.col("class") != F.col("led"))).drop("led")
-                .select("bucket", "node", "popularity", "open", "class"))
         turn += 1
     if cls is None:
         cls = links.select("node", F.col("other").alias("class"))
