@@ -24,8 +24,8 @@ from corpusloom.llm.common import documents, query, stored, stored_by, text_of
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Leaders of a bucket per turn, and how many of those that a node meets it is compared with.
-LEADERS, NEAREST = 8, 3
+#: Leaders of a bucket in the first turn, and by how much their number grows from turn to turn.
+LEADERS, GROWTH = 1, 8
 #: Turns end when no more of the compared pairs than this are links.
 LEAST_YIELD = 0.05
 COUNTERS = 1 << 20
@@ -136,16 +136,17 @@ def _shared(df: DataFrame, idf: np.ndarray):
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node (a 128-bit digest of the text) and bands of each document; bands is empty for texts without words."""
+    """doc_id, node (a 128-bit digest of the text), bands and total weight of each document; bands is empty for texts without words."""
     held = _shared(docs, idf)
 
     def sign(batches):
         words = Words()
         with np.errstate(over="ignore"):
             for b in batches:
-                bands = []
+                bands, weights = [], []
                 for t in b.column(2).to_pylist():
                     s, w = shingles(word_hashes(t, words), held.value)
+                    weights.append(float(w.sum(dtype=np.float64)))
                     if not len(s):
                         bands.append([])
                         continue
@@ -154,10 +155,10 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str, text: str) -> Data
                     for k in range(ROWS):
                         key = _mix(key * M1 + x[:, k])
                     bands.append(key.view(np.int64).tolist())
-                yield pa.record_batch({"doc_id": b.column(0), "node": b.column(1), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                yield pa.record_batch({"doc_id": b.column(0), "node": b.column(1), "bands": pa.array(bands, pa.list_(pa.int64())), "weight": pa.array(weights, pa.float64())})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(text_of(text)).alias("node"), text_of(text).alias("t"))
-    return rows.mapInArrow(sign, "doc_id long, node string, bands array<long>")
+    return rows.mapInArrow(sign, "doc_id long, node string, bands array<long>, weight double")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -217,21 +218,29 @@ def components(links: DataFrame) -> DataFrame:
         cls = step.select("node", F.col("new").alias("class"))
 
 
-def _candidates(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (node, other) to compare in this turn.
+def _open(rows: DataFrame, cls: DataFrame | None) -> DataFrame:
+    """The rows of buckets whose rows are of more than one class, with ``class`` and the bucket's most frequent class as ``main``."""
+    of = rows.withColumn("class", F.col("node")) if cls is None else rows.join(cls, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    per = of.groupBy("bucket", "class").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"))
+    return of.join(per.filter("classes > 1").select("bucket", "main"), "bucket")
 
-    The nodes of a bucket meet its next LEADERS leaders, the nodes that meet most others in all their buckets.  Of the leaders of other classes that a
-    node meets, the NEAREST that share most bands with it are compared.
-    """
+
+def _leaders(rows: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` rows of each open bucket, the nodes first that meet most others; of two rows of different classes one is outside the main class, so only such rows lead."""
     rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("popularity"), "node"))
-    lead = rows.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS * (turn + 1)).filter(F.col("_rank") > LEADERS * turn)
-    lead = lead.groupBy("bucket").agg(F.collect_list(F.struct("popularity", "node", "class")).alias("leads"))  # at most LEADERS
-    met = rows.join(lead, "bucket").groupBy("node", "class").agg(F.flatten(F.collect_list("leads")).alias("leads"))  # at most BANDS times LEADERS
-    other = met.select("node", F.filter("leads", lambda x: x["class"] != F.col("class")).alias("leads"))
-    counted = F.transform(F.array_distinct("leads"), lambda x: F.struct(
-        F.size(F.filter("leads", lambda y: y["node"] == x["node"])).alias("bands"), x["popularity"].alias("popularity"), x["node"].alias("node")))
-    best = F.slice(F.sort_array(counted, asc=False), 1, NEAREST)
-    return other.select("node", F.explode(best).alias("_b")).select("node", F.col("_b.node").alias("other"))
+    return rows.filter("class <> main").withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank", "main")
+
+
+def _candidates(rows: DataFrame, lead: DataFrame) -> DataFrame:
+    """Pairs (node, other) of a bucket's rows and its leaders, once each, ``other`` being the one that meets more nodes.
+
+    Left out are pairs of one class and those whose total weights alone keep the similarity below the threshold.
+    """
+    lead = lead.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "class", "popularity", "weight")])
+    near = F.least("weight", "_weight") >= F.lit(THRESHOLD * (1 - 1e-6)) * F.greatest("weight", "_weight")
+    met = rows.join(lead, "bucket").filter((F.col("class") != F.col("_class")) & near)
+    a, b = F.struct("popularity", "node"), F.struct(F.col("_popularity").alias("popularity"), F.col("_node").alias("node"))
+    return met.select(F.least(a, b)["node"].alias("node"), F.greatest(a, b)["node"].alias("other")).distinct()
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,17 +249,18 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Texts are compared as sets of five-word shingles at 0.8; equal texts are always of one class, texts without words only with equal texts.
     A null text counts as empty.  ``kept`` marks the rows of the smallest doc_id; rows without an id are kept only in a class without any.
 
-    Buckets are not compared in pairs but with their leaders, the most popular nodes first, some more in every turn (see _candidates).  Turns go on
-    while at least LEAST_YIELD of the compared pairs are links.  Two texts that are no leader's or not among the nearest to each other are not compared.
+    In every turn some leaders of each bucket are compared with all its other rows and leave it: whatever shares a bucket with them is then compared or of
+    their class.  Few lead at first, so that large classes form from few comparisons; later turns compare only what is still of different classes.
+    Turns go on while at least LEAST_YIELD of the compared pairs are links.
     """
     idf = idf_table(docs, text)
     signed = stored(signatures(docs, idf, doc_id, text), "signatures")
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("weight").alias("weight"))
+    banded = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(banded.join(sizes, "bucket"), "buckets")
     wanted = stored(met.groupBy("node").agg(F.sum("n").alias("popularity")), "nodes")
-    shared = stored(met.join(wanted, "node").select("bucket", "node", "popularity"), "shared")
+    shared = met.join(wanted, "node").select("bucket", "node", "popularity", "weight")
     # one row of each text: its smallest id joins too, so a text with many copies is not one hot key
     no_id = F.lit(-(1 << 63)).cast("long")
     first = signed.groupBy("node").agg(F.coalesce(F.min("doc_id"), no_id).alias("id")).join(wanted.select("node"), "node")
@@ -261,11 +271,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     links = tried = cls = None
     turn = 0
     while True:
-        if cls is None:
-            rows = shared.withColumn("class", F.col("node"))
-        else:
-            rows = shared.join(cls, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        asked = _candidates(rows, turn)
+        rows = stored(_open(shared, cls), "open")
+        lead = stored(_leaders(rows, LEADERS * GROWTH**turn), "leaders")
+        asked = _candidates(rows, lead)
         pairs = stored(asked if tried is None else asked.join(tried, ["node", "other"], "left_anti"), "pairs")
         new = stored(verified(pairs, texts, idf), f"links-{turn}")
         n_pairs, n_new = pairs.count(), new.count()
@@ -275,6 +283,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             cls = components(links)
         if n_new <= LEAST_YIELD * n_pairs:
             break
+        shared = rows.join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti").select(shared.columns)
         turn += 1
     if cls is None:
         cls = links.select("node", F.col("other").alias("class"))

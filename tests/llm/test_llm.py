@@ -334,6 +334,38 @@ def test_near_classes_hold_all_similar_pairs(docs):
             assert max(len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for b in sets if b != a and got[b] == got[a]) > 0.7 or texts[a] in [texts[b] for b in sets if b != a]
 
 
+def template_pages(n, own, edits, paired=1):
+    """Pages of one long template with ``own`` words each, every ``paired``-th beside a near copy of its own; other pages are less alike."""
+    template, rows = words(40, 600).split(), []
+    for g in range(n):
+        page = template[:300] + words(5000 + g, own).split() + template[300:]
+        for c in range(1 + (g % paired == 0)):
+            new = list(page)
+            for e in range(edits):
+                new[(37 * g + 41 * c + 97 * e) % len(new)] = f"edit{g}x{c}x{e}"
+            rows.append((len(rows), " ".join(new)))
+    return rows
+
+
+def unlinked(spark, rows):
+    """Pairs that share a bucket and are similar by brute force, and those of them in different classes."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = minhash.idf_table(df, "text")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(df).collect()}
+    bands = {r["doc_id"]: set(r["bands"]) for r in minhash.signatures(df, idf, "doc_id", "text").collect()}
+    with np.errstate(over="ignore"):
+        sets = {i: minhash.shingles(minhash.word_hashes(t, minhash.Words()), idf) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and bands[a] & bands[b] and minhash.similarity(sets[a], sets[b]) >= minhash.THRESHOLD]
+    return pairs, [(a, b) for a, b in pairs if got[a] != got[b]]
+
+
+def test_near_copies_in_a_crowd_of_one_template(spark, monkeypatch):
+    """A page's partner is found however many other pages of the template are met first."""
+    monkeypatch.setattr(minhash, "LEAST_YIELD", 0.0, raising=False)
+    pairs, lost = unlinked(spark, template_pages(60, 40, 4))
+    assert len(pairs) >= 55 and not lost
+
+
 def test_near_classes_edges(edge, none):
     got = minhash.near_classes(edge).collect()
     assert len(got) == edge.count()
