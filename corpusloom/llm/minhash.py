@@ -26,8 +26,6 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Leaders of a bucket in the first turn, and by how much their number grows from turn to turn.
 LEADERS, GROWTH = 1, 8
-#: Turns end when no more of the compared pairs than this are links.
-LEAST_YIELD = 0.05
 COUNTERS = 1 << 20
 SAMPLES = BANDS * ROWS
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -251,7 +249,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     In every turn some leaders of each bucket are compared with all its other rows and leave it: whatever shares a bucket with them is then compared or of
     their class.  Few lead at first, so that large classes form from few comparisons; later turns compare only what is still of different classes.
-    Turns go on while at least LEAST_YIELD of the compared pairs are links.
+    A bucket is left when all its rows that have not led are of one class, and turns go on until no bucket is open: no pair of a bucket is left uncompared.
     """
     idf = idf_table(docs, text)
     signed = stored(signatures(docs, idf, doc_id, text), "signatures")
@@ -272,20 +270,20 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     turn = 0
     while True:
         rows = stored(_open(shared, cls), "open")
+        if rows.isEmpty():
+            break
         lead = stored(_leaders(rows, LEADERS * GROWTH**turn), "leaders")
         asked = _candidates(rows, lead)
         pairs = stored(asked if tried is None else asked.join(tried, ["node", "other"], "left_anti"), "pairs")
         new = stored(verified(pairs, texts, idf), f"links-{turn}")
-        n_pairs, n_new = pairs.count(), new.count()
         links = new if links is None else links.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if n_new:
+        if not new.isEmpty():
             cls = components(links)
-        if n_new <= LEAST_YIELD * n_pairs:
-            break
         shared = rows.join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti").select(shared.columns)
         turn += 1
     if cls is None:
+        links = docs.sparkSession.createDataFrame([], "node string, other string") if links is None else links
         cls = links.select("node", F.col("other").alias("class"))
     degree = links.select(F.explode(F.array("node", "other")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of = signed.select("doc_id", "node").join(cls, "node", "left").withColumn("class", F.coalesce("class", "node"))

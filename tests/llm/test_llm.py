@@ -366,6 +366,12 @@ def test_near_copies_in_a_crowd_of_one_template(spark, monkeypatch):
     assert len(pairs) >= 55 and not lost
 
 
+def test_turns_go_on_while_a_bucket_is_open(spark):
+    """Near copies are found where next to none of the compared pairs are links."""
+    pairs, lost = unlinked(spark, template_pages(120, 14, 4, paired=20))
+    assert len(pairs) >= 5 and not lost
+
+
 def test_near_classes_edges(edge, none):
     got = minhash.near_classes(edge).collect()
     assert len(got) == edge.count()
