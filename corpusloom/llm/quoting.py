@@ -1,7 +1,7 @@
 """Chat formatting with quotation linking (operator 8).
 
 Messages quote earlier ones in lines that begin with >, nested as deep as there are signs.  Quoted passages are cut out, their sentences are normalised,
-hashed and joined with the messages' own sentences; the message that first said most of a passage is its original.  A message answers the
+hashed and joined with the messages' own sentences; the message that first said the whole passage is its original, else the one that first said most of it.  A message answers the
 original it quotes, else the message before it, and conversations come out in reply order: a quoted message, then the replies to it, then what followed.
 
 Hashes are joined by (conversation, hash) and originals are first occurrences, merged map-side; order inside a conversation is found over range slices.
@@ -70,11 +70,28 @@ def parsed(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, PARSED)
 
 
+def whole(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, at, whole: the first earlier turn that says all sentences of a passage in one run; passages of one sentence are left to the votes.
+
+    A message is cut into runs only of the lengths that passages of its conversation have.
+    """
+    run = lambda units: F.md5(F.array_join(units, ","))
+    asked = messages.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.at", "q.units").filter(F.size("units") > 1)
+    asked = asked.select("conv_id", "turn", "level", "at", F.size("units").alias("_n"), run(F.col("units")).alias("_run"))
+    lengths = asked.select(F.col("conv_id").alias("_c"), "_n").distinct()
+    own = messages.select("conv_id", "turn", "units").join(lengths, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.size("units") >= F.col("_n")))
+    starts = F.sequence(F.lit(1), F.size("units") - F.col("_n") + 1)
+    first = (own.select("conv_id", "turn", F.explode(F.transform(starts, lambda i: run(F.slice("units", i, F.col("_n"))))).alias("_u"))
+             .groupBy("conv_id", "_u").agg(F.min("turn").alias("said")).withColumnRenamed("conv_id", "_c"))
+    met = asked.join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_run") == F.col("_u"))).filter("said < turn")
+    return met.groupBy("conv_id", "turn", "level", "at").agg(F.min("said").alias("whole"))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, n_linked, reply_to for every turn with a linked quote.
 
-    An original is the first turn of the conversation that says a sentence, if it comes before the quoting turn.  A passage goes to the turn that said most of it,
-    the later one on a tie; a message answers the original of its outermost linked passage.
+    A passage goes to the first earlier turn that says it whole.  Of other passages, each sentence goes to the first turn of the conversation that says it, if it comes before
+    the quoting turn, and the passage to the turn that said most of it so, the later one on a tie; a message answers the original of its outermost linked passage.
     """
     first = messages.select("conv_id", "turn", F.explode("units").alias("unit")).groupBy("conv_id", "unit").agg(F.min("turn").alias("said"))
     first = first.select(F.col("conv_id").alias("_c"), F.col("unit").alias("_u"), "said")
@@ -82,6 +99,9 @@ def links(messages: DataFrame) -> DataFrame:
     met = asked.join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("unit") == F.col("_u"))).filter("said < turn")
     votes = met.groupBy("conv_id", "turn", "at", "level", "said").agg(F.count("*").alias("n"))
     quotes = votes.groupBy("conv_id", "turn", "at", "level").agg(F.max_by("said", F.struct("n", "said")).alias("said"))
+    runs = whole(messages).withColumnsRenamed({c: f"_{c}" for c in ("conv_id", "turn", "level", "at")})
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("turn") == F.col("_turn")) & (F.col("level") == F.col("_level")) & (F.col("at") == F.col("_at"))
+    quotes = quotes.join(runs, same, "left").withColumn("said", F.coalesce("whole", "said"))
     return quotes.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min_by("said", F.struct("level", -F.col("said"))).alias("reply_to"))
 
 

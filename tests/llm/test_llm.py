@@ -522,6 +522,14 @@ def test_quotes_are_linked_and_ordered(spark, none):
     assert quoting.linked_conversations(empty).count() == 0
 
 
+def test_whole_passages_go_before_stock_sentences(spark):
+    rows = [(1, 0, "user", "Thanks. Agreed."), (1, 1, "user", "Well."), (1, 5, "user", "Thanks. Agreed. Ship on Monday."), (1, 6, "user", "> Thanks. Agreed. Ship on Monday.\nYes."),
+            (1, 7, "user", "> Thanks. Agreed.\nNo."), (None, 0, "user", "Thanks. Agreed."), (None, 1, "user", "Thanks. Agreed. Go."), (None, 2, "user", "> Thanks.\n> Agreed. Go.\nOk.")]
+    got = quoting.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    to = {(r["conv_id"], r["turn"]): r["reply_to"] for r in got}
+    assert len(got) == len(rows) and to[1, 6] == 5 and to[1, 7] == 0 and to[None, 2] == 1
+
+
 def test_deep_branches(spark):
     """A chain of branches, each quoting the message two before it."""
     rows = [(7, k, "user", (f"> Line {k - 2} here.\n" if k >= 2 else "") + f"Line {k} here.") for k in range(24)]
