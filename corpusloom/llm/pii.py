@@ -33,7 +33,9 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\s(\[]dot[\s)\]]", re.I)
+#: Spelled signs: in brackets, a bare dot, and a bare at before what may be a domain (the lattice has no candidate at others).
+SPELLED = re.compile(r"[(\[](?:at|dot)[)\]]|\bdot\b|\bat\b(?=[\s)\]]+[a-z0-9-]+(?:\.[a-z0-9]|[\s(\[]*\bdot\b))", re.I)
+TRIGGER = re.compile(f"[0-9@]|{SPELLED.pattern}", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -74,19 +76,21 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-AT, DOT = re.compile(r"[(\[]?\bat\b[)\]]?", re.I), re.compile(r"[(\[]?\bdot\b[)\]]?", re.I)
+DOT = re.compile(r"[(\[]?\bdot\b[)\]]?", re.I)
 TOKEN, UNIT = re.compile(r"\S+"), re.compile(r"[0-9]+|[A-Za-z]+|[^\W\d_]+|\s+|.", re.S)
-CONNECT = frozenset(["at", "dot", "(at)", "(dot)", "[at]", "[dot]"])
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of tokens with digits, @ or connecting words, and one token on each side; near stretches are one."""
-    spelled = DOT.search(text) is not None
+    """Stretches of tokens with digits, @ or spelled signs, and one token on each side; near stretches are one."""
+    spelled = [m.start() for m in SPELLED.finditer(text)][::-1]
     tokens, hot = [], []
     for m in TOKEN.finditer(text):
         s = m.group()
         tokens.append(m.span())
-        if any("0" <= c <= "9" or c == "@" for c in s) or spelled and s.lower().strip(",.;") in CONNECT:
+        signs = len(spelled)
+        while spelled and spelled[-1] < m.end():
+            spelled.pop()
+        if len(spelled) < signs or any("0" <= c <= "9" or c == "@" for c in s):
             hot.append(len(tokens) - 1)
     out: list[list[int]] = []
     for k in hot:
@@ -199,7 +203,8 @@ def lattice(text: str, lo: int, hi: int) -> Lattice:
             more = e < n and (s[e] == "." and e + 1 < n and s[e + 1].isalnum() or DOT.match(text, units[e][0]) is not None or e + 1 < n and s[e] == " " and s[e + 1].lower() == "dot")
             add(first, e, "email", "at word" if word else "at sign", "spelled" if spelled else "dots", "usual top" if top.lower() in TOPS else "letters" if 2 <= len(top) <= 6 and top.isalpha() else "no top",
                 "spelled, usual top" if spelled and top.lower() in TOPS else "spelled, other top" if spelled else "plain top",
-                "more follows" if more else "ends", "word but no spelled dot" if word and not spelled else "even", "spaces" if " " in text[units[k][0] - 1:units[k][1] + 1] else "tight")
+                "more follows" if more else "ends", "word but no spelled dot" if word and not spelled else "even",
+                "at in brackets" if word and s[k - 1] in ("(", "[") else "no brackets", "spaces" if " " in text[units[k][0] - 1:units[k][1] + 1] else "tight")
     return Lattice(units, found)
 
 
@@ -297,7 +302,7 @@ def disguised(value: str, kind: str, draw: random.Random) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
         domain = domain.rpartition(".")[0] + "." + draw.choice(sorted(TOPS))
-        at, dot = draw.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" @ ", ".")])
+        at, dot = draw.choice([*[(" at ", " dot ")] * 3, (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" @ ", "."), (" [at] ", "."), (" (at) ", ".")])
         return local.strip(".") + at + domain.replace(".", dot)
     if kind == "ip":
         return value.replace(".", draw.choice(["[.]", " . ", "(.)"]))
@@ -331,6 +336,8 @@ def examples_of(text: str, seed: int) -> list[tuple[Lattice, set[int]]]:
                 w = [x for x in text.split(None, 60)[:60] if x.isascii() and x.isalpha()] or ["word"]
                 t = f"{draw.choice(w)} {draw.choice(w)} at {draw.choice(w)} dot {draw.choice(w)} {draw.choice(w)}"
                 learn(t, [], 0, len(t))
+                t = f"{draw.choice(w)} {draw.choice(w)} at {draw.choice(w)}.{draw.choice(w)} {draw.choice(w)}"
+                learn(t, [], 0, len(t))
     return out
 
 

@@ -489,6 +489,17 @@ def test_field_adds_disguised_spans(spark):
     assert found[0] <= 0.05 * found[1]
 
 
+def test_every_disguised_address_is_found_alone(spark):
+    """Each spelling that the field is trained for is read without a digit, @ or spaced dot elsewhere in the text."""
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"))
+    forms = ["jane at example dot com", "jane [at] example [dot] com", "jane(at)example(dot)com", "jane (at) example (dot) com", "jane @ example.com",
+             "jane [at] example.com", "jane (at) example.com", "jane[at]example[dot]com"]
+    df = spark.createDataFrame([(k, f"please write to {f} about it") for k, f in enumerate(forms)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in pii.find_spans(df, model, ["doc_id"]).collect()}
+    assert [f for k, f in enumerate(forms) if got[k] != [(16, 16 + len(f), "email")]] == []
+    assert model.spans("they looked at things.Then they left", []) == []
+
+
 def test_pii_edges(edge, none):
     model = pii.train(edge)
     assert pii.find_spans(edge, model, ["doc_id"]).count() == edge.count()
