@@ -24,7 +24,9 @@ BUCKET_DOCS, MOST_BUCKETS = 500, 1 << 16
 
 
 def _votes() -> tuple[list[Column], Column]:
-    weight = F.pow(F.least(F.char_length("word"), F.lit(LONGEST)), F.lit(2)).cast("long")
+    # the guard against no word stands on the weight alone: inside branches Spark would hash the word anew for every bit
+    length = F.least(F.coalesce(F.char_length("word"), F.lit(0)), F.lit(LONGEST)).cast("long")
+    weight = length * length
     hashes = (F.xxhash64("word"), F.xxhash64("word", F.lit(1)))
     return [F.shiftrightunsigned(h, i).bitwiseAND(F.lit(PAIR)) * weight for h in hashes for i in range(32)], weight
 
@@ -37,8 +39,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     words = F.filter(F.split(text_of(text), r"\s+"), lambda w: w != "")
     votes, weight = _votes()
     rows = texts.select(*keys, F.explode_outer(words).alias("word"))
-    cast = lambda v: F.when(F.col("word").isNotNull(), v).otherwise(F.lit(0).cast("long"))
-    rows = rows.select(*keys, cast(weight).alias("_w"), *[cast(v).alias(f"_v{i}") for i, v in enumerate(votes)])
+    rows = rows.select(*keys, weight.alias("_w"), *[v.alias(f"_v{i}") for i, v in enumerate(votes)])
     sums = rows.groupBy(*keys).agg(F.sum("_w").alias("_w"), *[F.sum(f"_v{i}").alias(f"_v{i}") for i in range(len(votes))])
 
     def half(first: int) -> Column:
@@ -107,7 +108,9 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     own = F.struct(F.floor((F.col("_k") - F.lit(low)) / F.lit(width)).cast("long").alias("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("_to").alias("bucket"), F.col("_role").alias("guest"))
     rows = rows.select("_k", "doc_id", "text", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("_at"))
-    rows = rows.select("_at.bucket", "_at.guest", "_k", "doc_id", "text")
+    # as many tasks as shuffle partitions: adaptive execution would join partitions by bytes, and the work is by words
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("_at.bucket", "_at.guest", "_k", "doc_id", "text").repartition(parts, "bucket")
     order = W.partitionBy("bucket").orderBy("guest", F.desc("_k"), F.xxhash64("text"))
     return rows.select("bucket", F.row_number().over(order).alias("rn"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
