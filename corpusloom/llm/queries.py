@@ -1,7 +1,7 @@
 """All registered queries of this subpackage and their DuckDB twins."""
 
-from corpusloom.llm import (bpe, embedding_dedup, exact_dedup, minhash, mixing, pii, quoting, resampling, sharding,  # noqa: F401
-                            simhash, tokenfile, toxicity)
+from corpusloom.llm import (bpe, embedding_dedup, exact_dedup, hard_negatives, minhash, mixing, pii, quoting, resampling,  # noqa: F401
+                            sharding, simhash, tokenfile, toxicity)
 from corpusloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
