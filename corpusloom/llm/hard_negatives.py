@@ -27,12 +27,12 @@ MOST = (1 << 63) - 1
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers held as doubles, exact: as doubles where these hold every sum, else as Python integers."""
+    """Inner products of whole numbers held as doubles, exact: as doubles where these hold every sum, else by Python integers, cut to the bounds of a long."""
     bound = float(a.shape[1]) * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
     if bound < 2.0**53:
         return a @ b.T
     whole = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
-    return whole(a) @ whole(b).T
+    return np.clip(whole(a) @ whole(b).T, -MOST, MOST).astype(np.int64)
 
 
 class Best:
@@ -50,8 +50,8 @@ class Best:
             fits = ((self.label[:, None] == of) == self.same) & (s <= self.upper[:, :1]) & (s >= self.floor[:, None]) & (s > self.least.min(axis=1)[:, None])
             if self.same:  # other rows than the anchor itself
                 fits &= (self.key[:, 0, None] != mine[:, 0]) | (self.key[:, 1, None] != mine[:, 1])
-            a, j = np.nonzero(fits.astype(bool))
-            score = np.clip(s[a, j], -MOST, MOST).astype(np.int64) if s.dtype == object else s[a, j].astype(np.int64)
+            a, j = np.nonzero(fits)
+            score = s[a, j].astype(np.int64)
             slot = (score[:, None] <= self.upper[a]).sum(axis=1) - 1
             new = score > self.least[a, slot]
             found = np.column_stack([a, slot, score, mine[j]])[new].astype(np.int64)
@@ -151,7 +151,7 @@ def mine(vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int
     first rows of other labels whose score lies between the fractions ``low`` and ``high`` of the positive's; an empty window has none.
 
     Rows without an id or a label, and vectors that are null or not finite, take no part.  Rows equal in id, label and vector count once; rows that share
-    only the id are different rows, ordered by a hash of the vector.  Only vectors of one dimension meet.  Scores beyond a long count as its largest value.
+    only the id are different rows, ordered by a hash of the vector.  Only vectors of one dimension meet.  Scores beyond a long count as its bounds.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
