@@ -34,7 +34,17 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write once to the shared folder and read back: lineage ends here, and lost executors cost no recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.stored_at = path
+    return held
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing will read again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_by(df: DataFrame, name: str, key: str, buckets: int, **options) -> DataFrame:

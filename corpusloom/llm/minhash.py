@@ -7,8 +7,14 @@ by the weighted Jaccard similarity itself.  Links join texts into classes.
 Three passes read the texts: word document frequencies, signatures, and the texts of candidates.  Only candidates'
 texts move to be compared.  Equal texts are one node from the start, so copies cost nothing after the signature.
 
-Document frequencies are kept in a hashed table of fixed size (2**20 counters over all documents), which is
-what makes it safe to broadcast; words that share a counter share a frequency, so rare words get a common floor.
+Pairs of one class need no comparison.  So each bucket's rows first meet one hub, which brings large classes together at a cost in proportion to the
+rows.  Buckets that still hold several classes are compared block by block, each text beside others of its bucket in one task, and only links that
+join classes leave it.  Crowds beyond that meet by rare shingles: two sets of similarity 0.8 share one among the rarest that make up a fifth of
+their weight, so every such pair meets, while what a whole crowd has in common brings nobody together.
+
+Document frequencies are kept in a hashed table of fixed size (2**20 counters over all documents), which is what makes it safe to broadcast.
+Words that share a counter share a frequency.  Frequencies count from a floor of one in 4,096 documents on: rare words that share a counter add
+about their number in a document over 2**20, which stays below the floor whatever the size of the corpus, so rare words weigh the same in all.
 """
 
 from __future__ import annotations
@@ -20,13 +26,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from corpusloom.llm.common import documents, query, stored, stored_by, text_of
+from corpusloom.llm.common import documents, forget, query, stored, stored_by, text_of
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Leaders of a bucket in the first turn, and by how much their number grows from turn to turn.
-LEADERS, GROWTH = 1, 8
-COUNTERS = 1 << 20
+#: Rows of a block, and blocks of a bucket beyond which its rows meet by rare shingles.
+BLOCK, MOST_BLOCKS = 1024, 16
+#: Sets that share an element are paired one by one up to this number, in a matrix product beyond it.
+FEW = 24
+COUNTERS, FLOOR = 1 << 20, 4096
 SAMPLES = BANDS * ROWS
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -65,13 +73,13 @@ def word_hashes(text: str, words: Words) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
 
 
-def shingles(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of a text of word hashes ``h``, and weights: occurrences times the words' mean idf.
+def counted(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of a text of word hashes ``h``, the mean idf of each one's words, and how often it occurs.
 
     A text with fewer words than a shingle is one shingle; a text without words has none.
     """
     if not len(h):
-        return h, np.zeros(0, np.float32)
+        return h, np.zeros(0, np.float32), np.zeros(0, np.int64)
     k = min(WORDS, len(h))
     n = len(h) - k + 1
     w = idf[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -80,7 +88,13 @@ def shingles(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = _mix(s * M1 + h[i:i + n])
         total += w[i:i + n]
     s, at, tf = np.unique(s, return_index=True, return_counts=True)
-    return s, (total[at] / np.float32(k) * tf).astype(np.float32)
+    return s, total[at] / np.float32(k), tf
+
+
+def shingles(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a text and their weights: occurrences times idf."""
+    s, base, tf = counted(h, idf)
+    return s, (base * tf).astype(np.float32)
 
 
 def sample(s: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -126,7 +140,7 @@ def idf_table(docs: DataFrame, text: str) -> np.ndarray:
     df = np.zeros(COUNTERS, np.int64)
     df[counter[counter >= 0]] = n[counter >= 0]
     total = n[counter < 0].sum()
-    return (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+    return (np.log((1 + total) / (1 + np.maximum(df, total / FLOOR))) + 1).astype(np.float32)
 
 
 def _shared(df: DataFrame, idf: np.ndarray):
@@ -217,28 +231,137 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, cls: DataFrame | None) -> DataFrame:
-    """The rows of buckets whose rows are of more than one class, with ``class`` and the bucket's most frequent class as ``main``."""
+    """The rows of buckets whose rows are of more than one class, with ``class``."""
     of = rows.withColumn("class", F.col("node")) if cls is None else rows.join(cls, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    per = of.groupBy("bucket", "class").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"))
-    return of.join(per.filter("classes > 1").select("bucket", "main"), "bucket")
+    several = of.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
+    return of.join(several.select("bucket"), "bucket")
+
+
+def _to_hub(rows: DataFrame) -> DataFrame:
+    """Pairs (node, other) of each row and its bucket's hub, the node that shares most buckets with others, once each.
+
+    Left out are pairs whose total weights alone keep the similarity below the threshold.
+    """
+    hubs = rows.groupBy("bucket").agg(F.max(F.struct("popularity", "node", "weight")).alias("hub"))
+    near = F.least("weight", "hub.weight") >= F.lit(THRESHOLD * (1 - 1e-6)) * F.greatest("weight", "hub.weight")
+    return rows.join(hubs, "bucket").filter((F.col("node") != F.col("hub.node")) & near).select("node", F.col("hub.node").alias("other")).distinct()
+
+
+def _overlaps(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Common weight of each two of some sets (shingles, idf, occurrences), in single precision."""
+    tf = np.concatenate([x[2] for x in sets])
+    nth = np.arange(int(tf.sum())) - np.repeat(np.cumsum(tf) - tf, tf)  # each occurrence is an element of its own
+    key = _mix(np.repeat(np.concatenate([x[0] for x in sets]), tf) * M1 + nth.astype(np.uint64))
+    row = np.repeat(np.repeat(np.arange(len(sets)), [len(x[0]) for x in sets]), tf)
+    base = np.repeat(np.concatenate([x[1] for x in sets]), tf)
+    order = np.argsort(key, kind="stable")
+    key, row, base = key[order], row[order], base[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.append(head, len(key)))
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    few = np.repeat(many <= FEW, many)
+    for apart in range(1, FEW):
+        i = np.flatnonzero((key[apart:] == key[:-apart]) & few[apart:])
+        if not len(i):
+            break
+        np.add.at(out, (row[i], row[i + apart]), base[i])
+    out += out.T
+    column = np.repeat(np.cumsum(many > FEW) - 1, many)
+    for first in range(0, int((many > FEW).sum()), 4096):
+        i = np.flatnonzero(~few & (column >= first) & (column < first + 4096))
+        has = np.zeros((len(sets), int(column[i].max()) - first + 1), np.float32)
+        has[row[i], column[i] - first] = 1
+        weight = np.zeros(has.shape[1], np.float32)
+        weight[column[i] - first] = base[i]
+        out += (has * weight) @ has.T
+    return out
+
+
+def _cell_links(nodes: list[str], classes: list[str], blocks: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[str, str]]:
+    """Links that join different classes, as many as needed: within one block, or across two."""
+    weight = np.array([float((x[1] * x[2]).sum(dtype=np.float64)) for x in sets])
+    common = _overlaps(sets)
+    near = common >= (THRESHOLD - 1e-4) * (weight[:, None] + weight - common)
+    number = np.unique(classes, return_inverse=True)[1]
+    near &= number[:, None] != number
+    near &= blocks[:, None] < blocks if blocks[0] != blocks[-1] else np.triu(np.ones_like(near), 1)
+    parent, links = list(range(int(number.max()) + 1)), []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    full = {}
+    for i, j in np.argwhere(near).tolist():
+        a, b = root(int(number[i])), root(int(number[j]))
+        if a != b:
+            for k in (i, j):
+                full[k] = full.get(k) or (sets[k][0], (sets[k][1] * sets[k][2]).astype(np.float32))
+            if similarity(full[i], full[j]) >= THRESHOLD:
+                links.append((nodes[i], nodes[j]))
+                parent[a] = b
+    return links
+
+
+def _within(rows: DataFrame, key: list[str], texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links (node, other) between rows equal in ``key`` and not of one class: each group in blocks, each two blocks in one task."""
+    held, parts = _shared(rows, idf), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    met = rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = met.select("node", "class", *key, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_beside"))
+    low, high = F.least("block", "_beside"), F.greatest("block", "_beside")
+    met = met.select("node", "class", "block", F.xxhash64(*key, low, high).alias("cell"))
+
+    def compare(batches):
+        words, cell, held_rows = Words(), None, []
 
+        def close():
+            nodes, classes, at, sets = zip(*held_rows)
+            return _cell_links(list(nodes), list(classes), np.array(at), list(sets)) if len(nodes) > 1 else []
 
-def _leaders(rows: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` rows of each open bucket, the nodes first that meet most others; of two rows of different classes one is outside the main class, so only such rows lead."""
-    rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("popularity"), "node"))
-    return rows.filter("class <> main").withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank", "main")
+        def batch(found):
+            return pa.record_batch({"node": pa.array([f[0] for f in found], pa.string()), "other": pa.array([f[1] for f in found], pa.string())})
 
+        with np.errstate(over="ignore"):
+            for b in batches:
+                found = []
+                for of, block, node, cls, t in zip(*[b.column(k).to_pylist() for k in range(5)]):
+                    if of != cell:
+                        found += close() if held_rows else []
+                        cell, held_rows = of, []
+                    held_rows.append((node, cls, block, counted(word_hashes(t, words), held.value)))
+                yield batch(found)
+            if held_rows:
+                yield batch(close())
+
+    return (met.join(texts, "node").select("cell", "block", "node", "class", "text").repartition(parts, "cell")
+            .sortWithinPartitions("cell", "block", "node").mapInArrow(compare, "node string, other string"))
 
-def _candidates(rows: DataFrame, lead: DataFrame) -> DataFrame:
-    """Pairs (node, other) of a bucket's rows and its leaders, once each, ``other`` being the one that meets more nodes.
 
-    Left out are pairs of one class and those whose total weights alone keep the similarity below the threshold.
+def _rare(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, shingle): of each node the rarest shingles among all ``nodes``, up to more than the weight that two similar sets may differ by.
+
+    All nodes take shingles in one order (number of nodes that have it, then hash).  If two sets have no common shingle among those taken, their common
+    weight lies in what one of them has left, which is less than the threshold's share of its whole weight.
     """
-    lead = lead.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "class", "popularity", "weight")])
-    near = F.least("weight", "_weight") >= F.lit(THRESHOLD * (1 - 1e-6)) * F.greatest("weight", "_weight")
-    met = rows.join(lead, "bucket").filter((F.col("class") != F.col("_class")) & near)
-    a, b = F.struct("popularity", "node"), F.struct(F.col("_popularity").alias("popularity"), F.col("_node").alias("node"))
-    return met.select(F.least(a, b)["node"].alias("node"), F.greatest(a, b)["node"].alias("other")).distinct()
+    held = _shared(nodes, idf)
+
+    def sets(batches):
+        words = Words()
+        with np.errstate(over="ignore"):
+            for b in batches:
+                got = [shingles(word_hashes(t, words), held.value) for t in b.column(1).to_pylist()]
+                yield pa.record_batch({"node": b.column(0), "s": pa.array([g[0].view(np.int64) for g in got], pa.list_(pa.int64())),
+                                       "w": pa.array([g[1].astype(np.float64) for g in got], pa.list_(pa.float64()))})
+
+    each = texts.join(nodes, "node").select("node", "text").mapInArrow(sets, "node string, s array<long>, w array<double>")
+    each = stored(each.select("node", F.explode(F.arrays_zip("s", "w")).alias("x")).select("node", F.col("x.s").alias("shingle"), F.col("x.w").alias("w")), "crowd-shingles")
+    common = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")  # one that nobody else has leads to nobody
+    order = W.partitionBy("node").orderBy("n", "shingle")
+    ranked = each.join(common, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    ranked = ranked.withColumn("before", F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("all", F.sum("w").over(W.partitionBy("node")))
+    return ranked.filter((F.coalesce("before", F.lit(0.0)) <= F.lit(1 - THRESHOLD + 1e-6) * F.col("all")) & (F.col("n") > 1)).select("node", "shingle")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,9 +370,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Texts are compared as sets of five-word shingles at 0.8; equal texts are always of one class, texts without words only with equal texts.
     A null text counts as empty.  ``kept`` marks the rows of the smallest doc_id; rows without an id are kept only in a class without any.
 
-    In every turn some leaders of each bucket are compared with all its other rows and leave it: whatever shares a bucket with them is then compared or of
-    their class.  Few lead at first, so that large classes form from few comparisons; later turns compare only what is still of different classes.
-    A bucket is left when all its rows that have not led are of one class, and turns go on until no bucket is open: no pair of a bucket is left uncompared.
+    Every pair that shares a bucket is compared or known to be of one class, but for pairs in crowded buckets that share no rare shingle and so cannot be similar.
     """
     idf = idf_table(docs, text)
     signed = stored(signatures(docs, idf, doc_id, text), "signatures")
@@ -266,22 +387,29 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = stored_by(docs.select(F.md5(text_of(text)).alias("node"), text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), no_id).alias("id"))
                    .join(first, ["node", "id"]).select("node", "text").dropDuplicates(["node"]), "candidates", "node", parts, compression="zstd")
-    links = tried = cls = None
-    turn = 0
-    while True:
-        rows = stored(_open(shared, cls), "open")
-        if rows.isEmpty():
-            break
-        lead = stored(_leaders(rows, LEADERS * GROWTH**turn), "leaders")
-        asked = _candidates(rows, lead)
-        pairs = stored(asked if tried is None else asked.join(tried, ["node", "other"], "left_anti"), "pairs")
-        new = stored(verified(pairs, texts, idf), f"links-{turn}")
+    links = cls = None
+
+    def linked(new: DataFrame) -> None:
+        nonlocal links, cls
         links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
         if not new.isEmpty():
             cls = components(links)
-        shared = rows.join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti").select(shared.columns)
-        turn += 1
+
+    open_rows = stored(_open(shared, cls), "open")
+    linked(stored(verified(stored(_to_hub(open_rows), "pairs"), texts, idf), "links-hubs"))
+    rows = _open(open_rows.select(*shared.columns), cls)
+    rows = stored(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket"), "open")
+    forget(open_rows)
+    crowded = F.col("rows") > MOST_BLOCKS * BLOCK
+    linked(stored(_within(rows.filter(~crowded), ["bucket"], texts, idf), "links-buckets"))
+    crowds = _open(rows.filter(crowded).select(*shared.columns), cls)
+    if not crowds.isEmpty():
+        crowds = stored(crowds, "crowds")
+        keyed = crowds.join(_rare(crowds.select("node").distinct(), texts, idf), "node")
+        several = keyed.groupBy("bucket", "shingle").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
+        keyed = stored(keyed.join(several.select("bucket", "shingle"), ["bucket", "shingle"]), "keyed")
+        linked(stored(_within(keyed, ["bucket", "shingle"], texts, idf), "links-crowds"))
+    forget(rows)
     if cls is None:
         links = docs.sparkSession.createDataFrame([], "node string, other string") if links is None else links
         cls = links.select("node", F.col("other").alias("class"))

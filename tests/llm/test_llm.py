@@ -359,17 +359,29 @@ def unlinked(spark, rows):
     return pairs, [(a, b) for a, b in pairs if got[a] != got[b]]
 
 
-def test_near_copies_in_a_crowd_of_one_template(spark, monkeypatch):
-    """A page's partner is found however many other pages of the template are met first."""
-    monkeypatch.setattr(minhash, "LEAST_YIELD", 0.0, raising=False)
-    pairs, lost = unlinked(spark, template_pages(60, 40, 4))
-    assert len(pairs) >= 55 and not lost
-
-
-def test_turns_go_on_while_a_bucket_is_open(spark):
-    """Near copies are found where next to none of the compared pairs are links."""
-    pairs, lost = unlinked(spark, template_pages(120, 14, 4, paired=20))
-    assert len(pairs) >= 5 and not lost
+@pytest.mark.parametrize("block, most_blocks, few", [(1024, 16, 24), (8, 100, 3), (16, 1, 3)])
+@pytest.mark.parametrize("n, own, paired, least", [(60, 40, 1, 55), (120, 14, 20, 5)])
+def test_near_copies_in_a_crowd_of_one_template(spark, monkeypatch, block, most_blocks, few, n, own, paired, least):
+    """A page's partner is found however many other pages of the template share its buckets: in one block, in several, and by rare shingles."""
+    for name, value in (("BLOCK", block), ("MOST_BLOCKS", most_blocks), ("FEW", few)):
+        monkeypatch.setattr(minhash, name, value)
+    pairs, lost = unlinked(spark, template_pages(n, own, 4, paired))
+    assert len(pairs) >= least and not lost
+
+
+def test_overlaps_are_weighted_intersections(monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", 4)
+    draw = np.random.default_rng(3)
+    idf = draw.uniform(1, 9, minhash.COUNTERS).astype(np.float32)
+    with np.errstate(over="ignore"):
+        texts = [" ".join("abc"[k] for k in draw.integers(0, 3, n)) for n in (2, 5, 9, 30, 200, 400, 400, 900)] + ["p q r s t u"] * 3
+        hashes = [minhash.word_hashes(t, minhash.Words()) for t in texts]
+        got = minhash._overlaps([minhash.counted(h, idf) for h in hashes])
+        for i, a in enumerate(hashes):
+            for j, b in enumerate(hashes):
+                if i != j:
+                    x, y = (dict(zip(*map(list, minhash.shingles(h, idf)))) for h in (a, b))
+                    assert got[i, j] == pytest.approx(sum(min(w, y.get(k, 0)) for k, w in x.items()), rel=1e-4)
 
 
 def test_near_classes_edges(edge, none):
