@@ -52,13 +52,15 @@ def alert_columns() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def alerts(df: DataFrame, kinds: list[str] | None = None, keys=None) -> DataFrame:
-    """One row per (sample, alert type) that fires."""
+def alerts(df: DataFrame, kinds: list[str] | None = None, keys=None, where: Column | None = None) -> DataFrame:
+    """One row per (sample, alert type) that fires; of the samples that meet ``where``, if the others are only there to be looked back on."""
     rows = []
     for kind, (value, cond) in alert_columns().items():
         if kinds is None or kind in kinds:
             rows.append(F.when(cond, F.struct(F.lit(kind).alias("type"), F.lit(FV.ALERTS[kind][2]).alias("severity"), value.alias("value"))))
-    return with_alert_metrics(df, keys).select(*(KEY if keys is None else keys), "content_id", "ts", F.inline(T.present(*rows)))
+    rated = with_alert_metrics(df, keys)
+    rated = rated if where is None else rated.filter(where)
+    return rated.select(*(KEY if keys is None else keys), "content_id", "ts", F.inline(T.present(*rows)))
 
 
 def quality_consistency(df: DataFrame, keys=None) -> DataFrame:

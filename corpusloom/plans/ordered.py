@@ -2,23 +2,43 @@
 
 A window over one hot key (or over the whole table) sorts that key in one task.
 Here rows are range-partitioned on (keys, order), so a hot key is spread over
-many slices.  The slices are checkpointed once, which pins the slice number of
-every row even when an executor is lost later.  What crosses a slice border is
+many slices.  The slices are stored once, which pins the slice number of every
+row even when an executor is lost later.  What crosses a slice border is
 one carry per slice; what a bounded frame needs from the block before is its
 last few rows, copied in as context and dropped afterwards.
+
+The input's plan runs once into a narrow table, from which Spark samples the
+borders and cuts the slices.  Texts and other wide columns stay out of it and
+meet their numbers in a join at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F
+from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F, types as TY
 
-from corpusloom.session import shared_dir
+from corpusloom.session import scratch
 
 BLOCK_ROWS = 100_000
 #: Rows of a slice that the number of slices aims at.
 SLICE_ROWS = 2_000_000
+WIDE = (TY.StringType, TY.BinaryType, TY.ArrayType, TY.StructType)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.kept_at = path
+    return held
+
+
+def _remove(df: DataFrame) -> None:
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -26,10 +46,11 @@ def slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     Slices are as many as shuffle partitions, or more where a slice would exceed SLICE_ROWS.
     """
-    shared_dir(df.sparkSession)
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
-    cut = df.repartitionByRange(n, *[F.col(c) for c in keys + order])
-    return cut.withColumn("_slice", F.spark_partition_id()).checkpoint()
+    held = _kept(df, "unordered")
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // SLICE_ROWS))
+    cut = _kept(held.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_slice", F.spark_partition_id()), "slices")
+    _remove(held)
+    return cut
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
@@ -38,7 +59,22 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn")
     Number = position inside (slice, key) + rows of the key in earlier slices.
     Only the first key of a slice can have earlier rows, and only as the last key
     of those slices, so the carries form a table of at most one row per slice.
+
+    Wide columns beside keys and order are joined to the numbers by a 128-bit hash of their row, so only hashes are sorted; rows equal in
+    all columns share out their numbers.
     """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if not any(isinstance(t, WIDE) for c, t in types.items() if c not in keys + order) or any(isinstance(t, (TY.MapType, TY.VariantType)) for t in types.values()):
+        return _numbered(df, keys, order, name)
+    hashed = df.withColumn("_a", F.xxhash64(F.lit(1), *df.columns)).withColumn("_b", F.xxhash64(F.lit(2), *df.columns))
+    narrow = _numbered(hashed.select(*dict.fromkeys(keys + order), "_a", "_b"), keys, order, name)
+    first = narrow.groupBy("_a", "_b").agg(F.min(name).alias("_first"))
+    of_equal_rows = W.partitionBy("_a", "_b").orderBy(F.lit(0))
+    return (hashed.join(first, ["_a", "_b"]).withColumn(name, F.col("_first") + F.row_number().over(of_equal_rows) - 1)
+            .select(*df.columns, name))
+
+
+def _numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     s = slices(df, keys, order).withColumn("_key", F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))
     per_key = s.groupBy("_slice", "_key").agg(F.count("*").alias("n"))
     ends = per_key.groupBy("_slice").agg(

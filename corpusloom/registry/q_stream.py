@@ -11,7 +11,7 @@ from corpusloom.registry.q_score import INFO, SEM
 from corpusloom.registry.sqlbits import *  # noqa: F403
 from corpusloom.session import scratch
 from corpusloom.sources import tables as TB
-from corpusloom.streaming import streams as ST
+from corpusloom.streaming import stateful as SF, streams as ST
 
 
 def samples_of(events):
@@ -25,11 +25,18 @@ cq AS (SELECT doc_id, count(*) AS n_chunks, avg({INFO}) AS mq FROM c GROUP BY 1)
 sc AS (SELECT sm.doc_id, semantic_score, language, {LNAMES} AS language_name, language_confidence, length(text) AS text_length, n AS word_count, coalesce(n_chunks, 0) AS n_chunks, coalesce(mq, 0) AS mq FROM sm JOIN l USING (doc_id) LEFT JOIN cq USING (doc_id))"""
 
 
+def documents_of(spark, sf):
+    return TB.table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _tasks(spark):
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 @query("stream_score", sql=f"{SCORE} SELECT doc_id, {R('semantic_score')} AS semantic_score, language, language_name, language_confidence, text_length, word_count, n_chunks, {R('mq')} AS mean_chunk_quality FROM sc")
 def stream_score(spark, sf):
     out = scratch(spark, "stream-score")
-    d = ST.read_table_stream(spark, sf, "documents", parts=2 * spark.sparkContext.defaultParallelism).filter(~ST.refused())
-    ST.run_to_end(ST.score_texts(d), out)
+    ST.feed(documents_of(spark, sf), "doc_id", f"{out}/input", lambda d: ST.run_to_end(ST.score_texts(d.repartition(_tasks(spark)).filter(~ST.refused())), out))
     return spark.read.parquet(f"{out}/data")
 
 
@@ -38,21 +45,40 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 'Text missing' END AS error, {NWORDS(
 def stream_dead_letter(spark, sf):
     """Both sides of the split: scored texts, and the missing ones (every seventh text is taken away first)."""
     out = scratch(spark, "stream-dead")
-    d = ST.read_table_stream(spark, sf, "documents", parts=2 * spark.sparkContext.defaultParallelism).withColumn("text", F.expr("CASE WHEN doc_id % 7 = 3 THEN NULL ELSE text END"))
-    ST.run_batches(d, ST.split_sink(out, {"dead": ST.dead_letters, "scored": lambda b: ST.score_texts(b.filter(~ST.refused()))}), out)
+    d = documents_of(spark, sf).withColumn("text", F.expr("CASE WHEN doc_id % 7 = 3 THEN NULL ELSE text END"))
+    sink = ST.split_sink(out, {"dead": ST.dead_letters, "scored": lambda b: ST.score_texts(b.filter(~ST.refused()))})
+    ST.feed(d, "doc_id", f"{out}/input", lambda e: ST.run_batches(e.repartition(_tasks(spark)), sink, out))
     dead = spark.read.parquet(f"{out}/dead").select("doc_id", "error", F.lit(None).cast("bigint").alias("word_count"))
     return dead.unionByName(spark.read.parquet(f"{out}/scored").select("doc_id", F.lit(None).cast("string").alias("error"), F.col("word_count").cast("bigint")))
 
 
-@query("stream_result_cache", sql="""SELECT count(DISTINCT (user_id, event_type, props)) AS computed, count(*) AS received FROM events""")
+#: A result lives a day; every seventh event arrives a piece late, and a piece is ten days long; 36 hours behind the newest event is too late.
+LIVE_HOURS, LATE_HOURS = 24, 36
+
+
+@query("stream_result_cache", sql=f"""WITH RECURSIVE ev AS (SELECT *, event_id % 7 = 3 AS late, least(2, floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 864e9))::INT AS part FROM events),
+p AS (SELECT *, part + late::INT AS piece FROM ev), w AS (SELECT piece + 1 AS piece, max(max(ts)) OVER (ORDER BY piece) AS seen FROM p GROUP BY p.piece),
+ok AS (SELECT user_id || '/' || event_type AS key, event_id, epoch_us(ts) AS us, least(1.0, value / 100) AS score, piece FROM p LEFT JOIN w USING (piece)
+  WHERE seen IS NULL OR ts > date_trunc('millisecond', seen) - INTERVAL {LATE_HOURS} HOUR),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY piece, us, event_id) AS i FROM ok),
+r AS (SELECT key, i, event_id, us AS at, score AS result, event_id AS source, false AS hit FROM o WHERE i = 1
+  UNION ALL SELECT o.key, o.i, o.event_id, CASE WHEN o.us - r.at < {LIVE_HOURS} * 3600000000 THEN r.at ELSE o.us END, CASE WHEN o.us - r.at < {LIVE_HOURS} * 3600000000 THEN r.result ELSE o.score END,
+    CASE WHEN o.us - r.at < {LIVE_HOURS} * 3600000000 THEN r.source ELSE o.event_id END, o.us - r.at < {LIVE_HOURS} * 3600000000 FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+SELECT event_id, key, {R('result')} AS result, hit, source FROM r""")
 def stream_result_cache(spark, sf):
-    """Repeats inside the time to live take no new work; all files are one batch here, so the key is seen once."""
+    """Four batches with a restart before each: repeats get the stored result until it is a day old, late rows too unless they come after the watermark."""
     out = scratch(spark, "stream-cache")
-    e = ST.event_stream(spark, sf).withColumn("text_hash", F.xxhash64("user_id", "event_type", "props"))
-    ST.run_to_end(ST.result_cache(e.select("ts", "text_hash", "event_id"), "1 hour"), out)
-    total = TB.table(spark, sf, "events").agg(F.count("*").alias("received"))
-    from corpusloom.plans.skew import attach
-    return attach(spark.read.parquet(f"{out}/data").agg(F.count("*").alias("computed")), total)
+    e = events_of(spark, sf).select("event_id", "ts", F.concat_ws("/", "user_id", "event_type").alias("key"), "value")
+    first = e.agg(F.min("ts")).first()[0]
+    days = (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / 864e8
+    piece = F.least(F.lit(2), F.floor(days / 10)) + F.when(F.col("event_id") % 7 == 3, 1).otherwise(0)
+    cached = lambda s: SF.result_cache(s, _score, key="key", live_ms=LIVE_HOURS * 3_600_000, late=f"{LATE_HOURS} hours")
+    ST.feed_pieces(e, piece, 4, f"{out}/input", lambda s: ST.run_to_end(cached(s), out))
+    return spark.read.parquet(f"{out}/data")
+
+
+def _score(rows):
+    return (rows["value"] / 100).clip(upper=1.0)
 
 
 def _latency(e):
@@ -72,21 +98,34 @@ def stream_metrics(spark, sf):
     return spark.read.parquet(f"{out}/data").select(F.unix_micros("start").alias("start_us"), "processed", "throughput", "error_rate", "avg_latency", "in_target")
 
 
-def _stream_alert_rows(spark, sf):
-    out = scratch(spark, "stream-alerts")
-    ST.feed(samples_of(events_of(spark, sf)), "ts", f"{out}/input", lambda s: ST.run_to_end(ST.stream_alerts(s), out))
-    return spark.read.parquet(f"{out}/data")
+def _stream_alert_rows(spark, sf, out):
+    s = samples_of(events_of(spark, sf))
+    ST.feed(s, "ts", f"{out}/input", lambda d: ST.run_batches(d, ST.alert_batches(out), out))
+    return spark.read.parquet(f"{out}/alerts").drop("batch")
 
 
 @query("stream_alerts", sql=f"WITH {AL} SELECT session_id, content_id, type, severity, {R('value')} AS value FROM av")
 def stream_alerts(spark, sf):
-    return _stream_alert_rows(spark, sf)
+    return _stream_alert_rows(spark, sf, scratch(spark, "stream-alerts")).drop("ts")
+
+
+def retained(spark, sf, out, hours):
+    """Feed the alerts of a stream into a retention stream, piece by piece; returns the queries that ran."""
+    alerts = _stream_alert_rows(spark, sf, out)
+    kept = lambda a: SF.alert_retention(a, hours * 3_600_000)
+    queries = []
+    ST.feed(alerts, "ts", f"{out}/raised", lambda a: queries.append(ST.run_to_end(kept(a), f"{out}/retention")))
+    return queries
 
 
-@query("stream_alert_retention", sql=f"WITH {AL}, j AS (SELECT av.*, ts FROM av JOIN sa USING (content_id)) SELECT content_id, type, {R('value')} AS value FROM j WHERE ts > (SELECT max(ts) FROM j) - INTERVAL 24 HOUR")
+@query("stream_alert_retention", sql=f"""WITH {AL}, j AS (SELECT av.*, ts FROM av JOIN sa USING (content_id))
+SELECT content_id, type, {R('value')} AS value, NOT epoch_ms(ts) + 24 * 3600000 < (SELECT max(epoch_ms(ts)) FROM j) AS active FROM j""")
 def stream_alert_retention(spark, sf):
-    a = MO.alerts(TB.samples(spark, sf))
-    return ST.recent_alerts(a, 24).select("content_id", "type", "value")
+    """Every alert of the stream, and whether it is still open when the stream has ended."""
+    out = scratch(spark, "stream-retention")
+    retained(spark, sf, out, 24)
+    changes = spark.read.parquet(f"{out}/retention/data").groupBy("content_id", "type")
+    return changes.agg(F.max("value").alias("value"), (F.count_if(F.col("change") == "retracted") == 0).alias("active"))
 
 
 @query("stream_routing", sql=f"WITH {SAMP} SELECT content_id, {route('q')} AS route FROM sa")

@@ -7,22 +7,14 @@ its own output.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom import fixed_values as FV
 from corpusloom.functions import language as LG, scores as S, text as T
-from corpusloom.operators import chunking as CH
-
-# Workers get the stateful class by value, so they need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from corpusloom.operators import chunking as CH, monitor as MO
 
 
 def read_table_stream(spark: SparkSession, sf: str, name: str, files_per_batch: int = 1, parts: int | None = None) -> DataFrame:
@@ -34,21 +26,24 @@ def read_table_stream(spark: SparkSession, sf: str, name: str, files_per_batch:
 
 
 def feed(table: DataFrame, order: str, src: str, run: Callable[[DataFrame], object], parts: int = 3) -> None:
-    """Hand a table to a stream in ``parts`` pieces by ``order``.
+    """Hand a table to a stream in ``parts`` pieces by ``order``; rows without an order come first."""
+    cuts = table.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], F.lit(10_000))).first()[0] or []
+    piece = F.lit(0)
+    for c in cuts:
+        piece = piece + F.when(F.col(order) > F.lit(c), 1).otherwise(0)
+    feed_pieces(table, piece, len(cuts) + 1, src, run)
+
+
+def feed_pieces(table: DataFrame, piece: Column, parts: int, src: str, run: Callable[[DataFrame], object]) -> list:
+    """Hand a table to a stream piece by piece, numbered 0 to ``parts`` - 1.
 
     After each piece the query runs over what is new; with one checkpoint it goes on from its offsets and its state, as after a restart.
-    Rows without an order come first.
     """
-    spark = table.sparkSession
-    cuts = table.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], F.lit(10_000))).first()[0] or []
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        piece = table
-        if lo is not None:
-            piece = piece.filter(F.col(order) > F.lit(lo))
-        if hi is not None:
-            piece = piece.filter((F.col(order) <= F.lit(hi)) | (F.col(order).isNull() if lo is None else F.lit(False)))
-        piece.write.mode("append").parquet(src)
-        run(spark.readStream.schema(table.schema).parquet(src))
+    spark, told = table.sparkSession, []
+    for k in range(parts):
+        table.filter(piece == k).write.mode("append").parquet(src)
+        told.append(run(spark.readStream.schema(table.schema).parquet(src)))
+    return told
 
 
 def run_to_end(df: DataFrame, out: str, mode: str = "append", fmt: str = "parquet") -> StreamingQuery:
@@ -127,8 +122,8 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return read_table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def result_cache(df: DataFrame, ttl: str = "1 hour", keys=("text_hash",)) -> DataFrame:
-    """First row of each key within the time to live; repeats need no new work."""
+def first_in_time(df: DataFrame, ttl: str = "1 hour", keys=("text_hash",)) -> DataFrame:
+    """First row of each key within the time to live; where the results themselves are wanted, :func:`stateful.result_cache` keeps them."""
     return df.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -153,72 +148,31 @@ def routed(df: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
     return {name: (lambda b, name=name: b.filter(S.route(F.col("quality_score")) == name)) for name in ("auto_approve", "manual_review", "reject")}
 
 
-class AlertProcessor(StatefulProcessor):
-    """Keeps the newest samples of a session and raises the four alerts on each arriving sample.
+def alert_batches(out: str) -> Callable[[DataFrame, int], None]:
+    """A batch handler that writes the alerts on a batch of samples (session_id, content_id, ts, quality_score, processing_time), with batch frames.
 
-    The state is at most ``keep`` pairs per session, so it does not grow with the stream.
+    Beside them it keeps the newest samples of each session, which is all that a frame can look back on, for the next batch.
+    A batch that runs again reads the same stored samples and overwrites its own output.  Frames run over blocks, so no session is bound to a task.
     """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("_new", F.lit(True))
+        if batch_id:
+            kept = spark.read.schema(batch.schema).parquet(f"{out}/tail/batch={batch_id - 1}")
+            rows = rows.unionByName(kept.withColumn("_new", F.lit(False)))
+        rows = rows.persist()
+        try:
+            MO.alerts(rows, where=F.col("_new")).write.mode("overwrite").parquet(f"{out}/alerts/batch={batch_id}")
+            newest = MO.keep_last_n(rows.drop("_new"), FV.KEEP_SAMPLES, MO.ORDER, MO.KEY)
+            newest.write.mode("overwrite").parquet(f"{out}/tail/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
-    def __init__(self, limits: dict, keep: int):
-        self.limits, self.keep = limits, keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.samples = handle.getListState("samples", "quality double, time double")
-        self.count = handle.getValueState("count", "n bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        kept = [(float(s[0]), float(s[1])) for s in self.samples.get()]
-        n = int(self.count.get()[0]) if self.count.exists() else 0
-        new = pd.concat(list(rows)).sort_values(["ts", "content_id"])
-        out = []
-        for r in new.itertuples():
-            kept = (kept + [(r.quality_score, r.processing_time)])[-self.keep:]
-            n += 1
-            out += [(key[0], r.content_id, *a) for a in self.fired([q for q, _ in kept], [t for _, t in kept], n)]
-        self.samples.put(kept)
-        self.count.update((n,))
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "content_id", "type", "severity", "value"])
-
-    def fired(self, q, t, n):
-        def mean(x):
-            return sum(x) / len(x)
-
-        at, w, sev = self.limits["quality_drop"]
-        if n >= 2 * w and mean(q[-2 * w:-w]) > 0:
-            drop = (mean(q[-2 * w:-w]) - mean(q[-w:])) / mean(q[-2 * w:-w])
-            if drop > at:
-                yield "quality_drop", sev, drop
-        at, w, sev = self.limits["consistency_issue"]
-        if n >= w:
-            m = mean(q[-w:])
-            std = (sum((x - m) ** 2 for x in q[-w:]) / (w - 1)) ** 0.5
-            if std > at:
-                yield "consistency_issue", sev, std
-        at, w, sev = self.limits["low_batch_quality"]
-        if n >= w and mean(q[-w:]) < at:
-            yield "low_batch_quality", sev, mean(q[-w:])
-        at, w, sev = self.limits["processing_slowdown"]
-        if n >= 2 * w and mean(t) > 0 and mean(t[-w:]) / mean(t) > at:
-            yield "processing_slowdown", sev, mean(t[-w:]) / mean(t)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_alerts(df: DataFrame) -> DataFrame:
-    """Alerts on a stream of samples (session_id, content_id, ts, quality_score, processing_time)."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return df.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=AlertProcessor(dict(FV.ALERTS), FV.KEEP_SAMPLES),
-        outputStructType="session_id bigint, content_id bigint, type string, severity string, value double",
-        outputMode="Append", timeMode="None")
+    return handle
 
 
 def recent_alerts(alerts: DataFrame, hours: int = 1) -> DataFrame:
-    """Alerts younger than ``hours`` before the newest one."""
+    """Alerts younger than ``hours`` before the newest one: the batch form of :func:`stateful.alert_retention`."""
     from corpusloom.plans.skew import attach
     return attach(alerts, alerts.agg(F.max("ts").alias("_last"))).filter(
         F.col("ts") > F.col("_last") - F.make_interval(hours=F.lit(hours))).drop("_last")

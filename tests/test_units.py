@@ -14,7 +14,7 @@ from corpusloom.functions import pairs as PF, scores as S, text as T
 from corpusloom.operators import chunking as CH, cleaning as CL, export as EXP, extraction as EX, monitor as MO, themes as TH, vectors as VE
 from corpusloom.plans import ordered, skew
 from corpusloom.sources import readers as RD, tables as TB
-from corpusloom.streaming import streams as ST
+from corpusloom.streaming import stateful as SF, streams as ST
 
 EDGE = [None, "", "   \n ", "word", "no end mark here", "Élan vital déjà vu. Ça va!", "it it it it. it it.", "x" * 1500 + ". y."]
 STORY = ('Chapter 1\n\nThe old house stood alone. "Who is there?" asked Tom. However, nobody replied.\n\n'
@@ -319,11 +319,47 @@ def test_top_n_per_hot_key_is_cut_before_the_shuffle(spark):
 
 # --- streams --------------------------------------------------------------------------------
 
-def test_alert_stream_equals_batch(spark, sf):
+def test_alert_stream_equals_batch(spark, sf, tmp_path):
     from corpusloom.registry.q_stream import _stream_alert_rows
-    stream = {(r.content_id, r.type) for r in _stream_alert_rows(spark, sf).collect()}
-    batch = {(r.content_id, r.type) for r in MO.alerts(TB.samples(spark, sf)).collect()}
-    assert stream == batch and batch
+    rows = lambda d: sorted((r.session_id, r.content_id, r.type, r.severity, round(r.value, 9)) for r in d.collect())
+    stream = rows(_stream_alert_rows(spark, sf, str(tmp_path)))
+    assert stream == rows(MO.alerts(TB.samples(spark, sf))) and stream
+
+
+def test_retention_state_shrinks(spark, sf, tmp_path):
+    """Alerts leave the state an interval after they were raised; what is left open is the batch answer."""
+    from corpusloom.registry.q_stream import retained
+    queries = retained(spark, sf, str(tmp_path), 24)
+    changes = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/retention/data").select("content_id", "type", "change").collect()]
+    raised, over = ({c[:2] for c in changes if c[2] == k} for k in ("raised", "retracted"))
+    assert len(queries) == 3 and len(changes) == len(raised) + len(over) and over < raised
+    want = {(r.content_id, r.type) for r in ST.recent_alerts(MO.alerts(TB.samples(spark, sf)), 24).collect()}
+    assert raised - over == want
+    left = [q.lastProgress["stateOperators"][0]["numRowsTotal"] for q in queries]
+    assert max(left) < len(raised) / 2
+
+
+def cached_rows(spark, tmp_path, pieces, live_ms=1000, late="2 seconds"):
+    """Feed (row, key, seconds, value) piece by piece; returns the rows given out and the state left after each piece."""
+    out, left = str(tmp_path), []
+    for k, piece in enumerate(pieces):
+        rows = spark.createDataFrame(piece, "event_id long, key string, at double, value double").withColumn("ts", F.timestamp_seconds("at"))
+        rows.write.mode("append").parquet(f"{out}/in")
+        s = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+        q = ST.run_to_end(SF.result_cache(s, lambda r: r["value"] * 2, key="key", live_ms=live_ms, late=late), out)
+        left.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    return sorted(tuple(r) for r in spark.read.parquet(f"{out}/data").select("event_id", "key", "result", "hit", "source").collect()), left
+
+
+def test_cache_answers_repeats_until_they_expire(spark, tmp_path):
+    pieces = [[(1, "a", 100.0, 5.0), (2, "a", 100.5, 6.0), (3, "b", 100.2, 7.0)],
+              [(4, "a", 100.9, 8.0), (5, "a", 101.0, 9.0), (6, "c", 104.0, 1.0)],      # 4 after a restart, 5 is a whole life later
+              [(7, "b", 102.1, 2.0), (8, "a", 101.5, 3.0), (9, None, 104.5, 4.0)],      # 7 late within the watermark, 8 behind it
+              [(10, "a", 200.0, 1.0), (11, None, 104.9, 5.0)]]
+    got, left = cached_rows(spark, tmp_path, pieces)
+    assert got == sorted([(1, "a", 10.0, False, 1), (2, "a", 10.0, True, 1), (3, "b", 14.0, False, 3), (4, "a", 10.0, True, 1), (5, "a", 18.0, False, 5),
+                          (6, "c", 2.0, False, 6), (7, "b", 4.0, False, 7), (9, None, 8.0, False, 9), (10, "a", 2.0, False, 10), (11, None, 8.0, True, 9)])
+    assert left[-1] < max(left)  # all but the newest key have gone
 
 
 def test_hooks_see_errors(spark, sf):
