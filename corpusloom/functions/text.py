@@ -83,6 +83,30 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def scan(items: Column, zero: Column, step, kind: str, block: int = 128) -> Column:
+    """What ``step(state, item)`` gives out, in order: it returns struct(state, row), and a null row gives nothing.
+
+    Every step of an aggregate copies what it has gathered.  So a first pass only finds the state at which each block of items starts, and
+    each block then gathers its own rows: the time is in proportion to the items.
+    """
+    def cut(all_items):
+        blocks = F.greatest(F.ceil(F.size(all_items) / block).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.slice(all_items, i * block + 1, F.lit(block)))
+
+    def starts(blocks):
+        first = F.struct(zero.alias("state"), F.array_remove(F.array(zero), zero).alias("seen"))
+        return F.aggregate(blocks, first, lambda acc, b: F.struct(
+            F.aggregate(b, acc["state"], lambda s, x: step(s, x)["state"]).alias("state"), F.array_append(acc["seen"], acc["state"]).alias("seen")), lambda acc: acc["seen"])
+
+    def gather(b, s0):
+        start = F.struct(s0.alias("state"), F.array().cast(f"array<{kind}>").alias("rows"))
+        add = lambda acc, x: let(step(acc["state"], x), lambda s: F.struct(
+            s["state"].alias("state"), F.when(s["row"].isNull(), acc["rows"]).otherwise(F.array_append(acc["rows"], s["row"])).alias("rows")))
+        return F.aggregate(b, start, add, lambda acc: acc["rows"])
+
+    return let(items, lambda v: let(cut(v), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), gather))))
+
+
 def ratio(part: Column, whole: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(float(default)))
 
@@ -136,15 +160,12 @@ def spans(c: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
                        lambda g, m: F.struct(F.coalesce(g, F.lit("")).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
-    def step(acc, s):
-        b = acc["at"] + F.length(s["g"])
-        e = b + F.length(s["m"])
-        return F.struct(e.alias("at"), F.array_append(
-            acc["out"], F.struct(b.alias("start"), e.alias("end"), s["m"].alias("text"))).alias("out"))
+    def step(at, s):
+        b = at + F.length(s["g"])
+        return let(b + F.length(s["m"]), lambda e: F.struct(e.alias("state"), F.struct(b.alias("start"), e.alias("end"), s["m"].alias("text")).alias("row")))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return scan(steps, F.lit(0), step, "struct<start:int,end:int,text:string>")
 
 
 def sentence_spans(c: Column) -> Column:

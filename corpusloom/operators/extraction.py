@@ -29,9 +29,10 @@ def first_by_signature(rows: Column) -> Column:
     def sig(r):
         return F.concat_ws("\u0001", F.lower(T.trim_ws(r["question"])), F.lower(T.trim_ws(r["answer"])))
 
-    signed = F.transform(rows, lambda r: F.struct(sig(r).alias("sig"), r.alias("row")))
-    return T.let(signed, lambda v: T.let(F.transform(v, lambda x: x["sig"]), lambda sigs: F.transform(
-        F.filter(v, lambda x, i: F.array_position(sigs, x["sig"]) == i + 1), lambda x: x["row"])))
+    signed = F.sort_array(F.transform(rows, lambda r, i: F.struct(sig(r).alias("sig"), i.alias("i"), r.alias("row"))))
+    firsts = T.let(signed, lambda v: F.filter(v, lambda x, k: (k == 0) | (F.get(v, k - 1)["sig"] != x["sig"])))
+    in_order = F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["row"].alias("row"))))
+    return F.transform(in_order, lambda x: x["row"])
 
 
 def extract_structured_qa(df: DataFrame, col: str = "text") -> DataFrame:
@@ -48,11 +49,18 @@ SEGMENT_GUARDS = [
 ]
 
 
-def qa_segments(c: Column, patterns=None, guards=None, shortest: int = FV.MIN_SEGMENT, longest: int = FV.MAX_SEGMENT) -> Column:
+#: Of patterns that begin with anything, what must stand somewhere: without it they would look on from every sign of the text.
+SEGMENT_NEEDS = {8: r"\?\s*\n\n", 9: r"\?\s*\n"}
+
+
+def qa_segments(c: Column, patterns=None, guards=None, shortest: int = FV.MIN_SEGMENT, longest: int | None = None) -> Column:
     """array<struct<question,answer,start,end,pattern_no>> of question-answer spans, by start.
 
     Patterns are tried in their order; a span that overlaps one taken before is skipped.  The look-ahead that ends a match holds at
     the end of its span too, so question and answer are read from the span alone.
+
+    Matches of one pattern never overlap, so those taken and those found stand in one order of their starts, and two passes, one from each
+    side, tell which of the found ones are free: the time is that of sorting.
     """
     source = list(patterns or FV.QA_SEGMENT_PATTERNS)
     guards = guards or (SEGMENT_GUARDS if patterns is None else [("",)] * len(source))
@@ -63,29 +71,42 @@ def qa_segments(c: Column, patterns=None, guards=None, shortest: int = FV.MIN_SE
         found = F.transform(T.spans(c, p), lambda m: F.struct(
             T.trim_ws(F.regexp_extract(m["text"], p, q)).alias("question"), T.trim_ws(F.regexp_extract(m["text"], p, a)).alias("answer"),
             m["start"].alias("start"), m["end"].alias("end"), F.lit(i).alias("pattern_no")))
-        return F.when(T.contains_any(low, guards[i]), found).otherwise(F.array().cast(_SEGMENT))
+        may = T.contains_any(low, guards[i])
+        if patterns is None and i in SEGMENT_NEEDS:
+            may = may & c.rlike(SEGMENT_NEEDS[i])
+        return F.when(may, found).otherwise(F.array().cast(f"array<{_SEGMENT}>"))
+
+    def joined(taken, found):
+        mark = lambda rows, new: F.transform(rows, lambda m: F.struct(m["start"].alias("at"), F.lit(new).alias("new"), m.alias("m")))
+        kind = f"struct<at:int,new:boolean,m:{_SEGMENT}>"
+        both = F.sort_array(F.concat(mark(taken, False), mark(found, True)))
+        told = lambda state, gone, row: F.struct(state.alias("state"), F.when(~gone, row).alias("row"))
+        onward = T.scan(both, F.lit(0), lambda end, x: told(F.when(x["new"], end).otherwise(x["m"]["end"]), x["new"] & (x["at"] < end), x), kind)
+        back = T.scan(F.reverse(onward), F.lit(2**31 - 1), lambda start, x: told(
+            F.when(x["new"], start).otherwise(x["at"]), x["new"] & (x["m"]["end"] > start), x["m"]), _SEGMENT)
+        return F.reverse(back)
+
+    def every(low):
+        found = F.array(*[one(i, low) for i in range(len(source))])
+        return F.aggregate(found, F.array().cast(f"array<{_SEGMENT}>"), lambda taken, f: F.when(F.size(f) == 0, taken).when(F.size(taken) == 0, f).otherwise(joined(taken, f)))
 
-    def free(taken, m):
-        met = F.exists(taken, lambda t: (m["start"] < t["end"]) & (t["start"] < m["end"]))
-        return F.when(met, taken).otherwise(F.array_append(taken, m))
+    def sized(x):
+        n = F.length(x)
+        return n >= shortest if longest is None else n.between(shortest, longest)
 
-    every = T.let(F.lower(c), lambda low: F.concat(*[one(i, low) for i in range(len(source))]))
-    taken = F.aggregate(every, F.array().cast(_SEGMENT), free)
-    kept = F.filter(taken, lambda m: F.length(m["question"]).between(shortest, longest) & F.length(m["answer"]).between(shortest, longest))
-    ordered = F.array_sort(F.transform(kept, lambda m: F.struct(m["start"].alias("at"), m.alias("m"))))
-    return F.transform(ordered, lambda x: x["m"])
+    return F.filter(T.let(F.lower(c), every), lambda m: sized(m["question"]) & sized(m["answer"]))
 
 
-_SEGMENT = "array<struct<question:string,answer:string,start:int,end:int,pattern_no:int>>"
+_SEGMENT = "struct<question:string,answer:string,start:int,end:int,pattern_no:int>"
 
 
-def with_qa_segments(df: DataFrame, col: str = "text") -> DataFrame:
-    return T.settle(df.withColumn("qa_segments", qa_segments(F.coalesce(F.col(col), F.lit("")))), "qa_segments")
+def with_qa_segments(df: DataFrame, col: str = "text", patterns=None) -> DataFrame:
+    return T.settle(df.withColumn("qa_segments", qa_segments(F.coalesce(F.col(col), F.lit("")), patterns)), "qa_segments")
 
 
-def extract_qa_segments(df: DataFrame, col: str = "text") -> DataFrame:
+def extract_qa_segments(df: DataFrame, col: str = "text", patterns=None) -> DataFrame:
     keep = [c for c in df.columns if c != col]
-    rows = with_qa_segments(df, col).select(*keep, F.inline("qa_segments"))
+    rows = with_qa_segments(df, col, patterns).select(*keep, F.inline("qa_segments"))
     return (rows.withColumn("content_type", F.lit("qa")).withColumn("confidence", F.lit(0.8))
             .withColumn("quality_score", S.qa_quality(F.col("question"), F.col("answer"))))
 

@@ -10,7 +10,7 @@ from corpusloom.functions import language as LG, pairs as PF, scores as SC, text
 from corpusloom.operators import dataset as DS, extraction as EX, graph as GR, preparation as PR, vectors as VE, versions as VS
 from corpusloom.registry.core import query
 from corpusloom.registry.q_clean import MARKED, PARA_CHUNKS, TONE, para_chunks
-from corpusloom.registry.q_extract import ENTITIES, PHR, QA, RESP, SEGMENTS, THEMES, responses
+from corpusloom.registry.q_extract import DIALOGUE, ENTITIES, PHR, RESP, SEGMENTS, THEMES, responses
 from corpusloom.registry.q_score import GAIN, DESC, JAC, KINDS, REF, refined
 from corpusloom.registry.sqlbits import *  # noqa: F403
 from corpusloom.sources import tables as TB
@@ -235,13 +235,13 @@ def global_themes(spark, sf):
     return GR.global_themes(para_chunks(spark, sf))
 
 
-@query("span_anti_join", sql=f"WITH RECURSIVE {QA}, {SEGMENTS} SELECT pair_id, start, question AS text FROM mono WHERE length(question) >= 20")
+@query("span_anti_join", sql=f"WITH RECURSIVE {DIALOGUE}, {SEGMENTS} SELECT doc_id, start, question AS text FROM mono WHERE length(question) >= 20")
 def span_anti_join(spark, sf):
-    d = EX.with_qa_segments(TB.qa_documents(spark, sf).select("pair_id", "text"))
-    paras = d.select("pair_id", F.inline(EX.exact_paragraphs(F.col("text")))).filter(F.length("text") >= FV.MIN_SEGMENT)
-    spans = d.select("pair_id", F.inline("qa_segments")).select("pair_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    free = paras.join(spans, (paras["pair_id"] == spans["pair_id"]) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
-    return free.select("pair_id", "start", "text")
+    d = EX.with_qa_segments(TB.dialogue_documents(spark, sf))
+    paras = d.select("doc_id", F.inline(EX.exact_paragraphs(F.col("text")))).filter(F.length("text") >= FV.MIN_SEGMENT)
+    spans = d.select("doc_id", F.inline("qa_segments")).select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    free = paras.join(spans, (paras["doc_id"] == spans["doc_id"]) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
+    return free.select("doc_id", "start", "text")
 
 
 REFV = """rv AS (SELECT event_id, user_id AS content_id, event_type AS refinement_type, least(0.5, value / 1000) AS quality_gain, ts,

@@ -16,8 +16,18 @@ QA = PAIRS + rf""", qa AS (SELECT pair_id, (conv_id + turn) % 4 AS style, {trim(
 qd AS (SELECT *, CASE style WHEN 0 THEN 'Q: ' WHEN 1 THEN 'Question: ' WHEN 2 THEN 'Visitor: ' ELSE '' END AS ql,
   CASE style WHEN 0 THEN 'A: ' WHEN 1 THEN 'Answer: ' WHEN 2 THEN 'Teacher: ' ELSE '' END AS al FROM qa),
 qt AS (SELECT *, ql || u || chr(10) || al || a || chr(10) || chr(10) || 'As a closing remark on this: ' || u AS text,
-  length(ql || u || chr(10) || al || a) AS spanlen FROM qd),
-seg AS (SELECT * FROM qt WHERE style < 3 AND length(u) BETWEEN 20 AND 2000 AND length(a) BETWEEN 20 AND 2000)"""
+  length(ql || u || chr(10) || al || a) AS spanlen FROM qd)"""
+
+# whole documents as dialogues: blocks with the span that is expected of each
+_LEADS = [lst([s[k] for s in TB.DIALOGUE_STYLES]) for k in (0, 1)]
+DIALOGUE = rf"""dl AS (SELECT doc_id, doc_id % 10 AS kind, [y FOR y IN [{trim("regexp_replace(x, '[\s:—\-?0-9]+', ' ', 'g')")} FOR x IN string_split(coalesce(text, ''), chr(10))] IF y <> ''] AS ls FROM documents),
+dm AS (SELECT * FROM dl WHERE len(ls) > 1 AND kind < 8), dk AS (SELECT doc_id, ls, unnest(range(0, len(ls) // 2)) AS k FROM dm),
+dq AS (SELECT doc_id, kind, list_aggregate(ls[1:len(ls) - 1], 'string_agg', ' ') || '?' AS u, ls[len(ls)] AS a FROM dl WHERE len(ls) > 1 AND kind > 7),
+bl AS (SELECT doc_id, k, (doc_id + k) % 8 AS style, ls[2 * k + 1] AS u, ls[2 * k + 2] AS a, {_LEADS[0]}[(doc_id + k) % 8 + 1] || ls[2 * k + 1] || chr(10) || {_LEADS[1]}[(doc_id + k) % 8 + 1] || ls[2 * k + 2] AS block FROM dk
+  UNION ALL SELECT doc_id, len(ls) // 2, 99, '', '', ls[len(ls)] FROM dm WHERE len(ls) % 2 = 1
+  UNION ALL SELECT doc_id, 0, 8, u, a, u || chr(10) || chr(10) || a FROM dq WHERE kind = 8 UNION ALL SELECT doc_id, 0, 9, '1. ' || u, a, '1. ' || u || chr(10) || a FROM dq WHERE kind = 9),
+bs AS (SELECT *, (coalesce(sum(length(block) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM bl),
+seg AS (SELECT doc_id, k, style, u, a, start, start + length(block) AS "end" FROM bs WHERE style < 10 AND length(u) >= 20 AND length(a) >= 20)"""
 
 
 def qa_sql(q_, a_):
@@ -60,73 +70,78 @@ def extract_structured_qa(spark, sf):
     return EX.extract_structured_qa(TB.qa_documents(spark, sf).select("pair_id", "text"))
 
 
-@query("extract_qa_segments", sql=f"""WITH {QA} SELECT pair_id, u AS question, a AS answer, 0::BIGINT AS start, spanlen AS "end",
- CASE style WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 5 END::BIGINT AS pattern_no, 'qa' AS content_type, 0.8::DOUBLE AS confidence, {R(qa_sql('u', 'a'))} AS quality_score FROM seg""")
+@query("extract_qa_segments", sql=f"""WITH {DIALOGUE} SELECT doc_id, u AS question, a AS answer, start, "end", CASE WHEN style IN (6, 7) THEN 5 ELSE style END::BIGINT AS pattern_no, 'all' AS patterns,
+ 'qa' AS content_type, 0.8::DOUBLE AS confidence, {R(qa_sql('u', 'a'))} AS quality_score FROM seg
+UNION ALL SELECT doc_id, u, a, start, "end", style, 'teaching', 'qa', 0.8, {R(qa_sql('u', 'a'))} FROM seg WHERE style IN (6, 7)""")
 def extract_qa_segments(spark, sf):
-    return EX.extract_qa_segments(TB.qa_documents(spark, sf).select("pair_id", "text"))
+    """Spans of whole documents by all patterns in their order, and by the two teaching patterns alone, which the general one for two speakers hides otherwise."""
+    d = TB.dialogue_documents(spark, sf)
+    few = FV.QA_SEGMENT_PATTERNS[6:8]
+    teaching = EX.extract_qa_segments(d, patterns=few).withColumn("pattern_no", F.col("pattern_no") + 6).withColumn("patterns", F.lit("teaching"))
+    return EX.extract_qa_segments(d).withColumn("patterns", F.lit("all")).unionByName(teaching)
 
 
-SEGMENTS = f"""mono AS (SELECT pair_id, spanlen + 2 AS start, 'As a closing remark on this: ' || u AS question FROM qt
-  UNION ALL SELECT pair_id, 0, ql || u || chr(10) || al || a FROM qt WHERE pair_id NOT IN (SELECT pair_id FROM seg)),
-lp AS (SELECT pair_id || '@' || start AS doc_id, string_split(regexp_replace(question, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM mono WHERE length(question) > 2000),
+SEGMENTS = f"""mono AS (SELECT doc_id, start, block AS question FROM bs WHERE style <> 8 AND (doc_id, k) NOT IN (SELECT (doc_id, k) FROM seg)
+  UNION ALL SELECT doc_id, start, u FROM bs WHERE style = 8 AND doc_id NOT IN (SELECT doc_id FROM seg)
+  UNION ALL SELECT doc_id, start + length(u) + 2, a FROM bs WHERE style = 8 AND doc_id NOT IN (SELECT doc_id FROM seg)),
+lp AS (SELECT doc_id || '@' || start AS doc_id, string_split(regexp_replace(question, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM mono WHERE length(question) > 2000),
 li AS (SELECT doc_id, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i FROM lp), {pack('li', 1999, out='lc')},
-mq AS (SELECT pair_id, start, question, 'monologue' AS content_type FROM mono WHERE length(question) BETWEEN 20 AND 2000
-  UNION ALL SELECT split_part(doc_id, '@', 1), split_part(doc_id, '@', 2)::BIGINT, {trim('text')}, 'passage' FROM lc WHERE length({trim('text')}) >= 20),
+mq AS (SELECT doc_id, start, question, 'monologue' AS content_type FROM mono WHERE length(question) BETWEEN 20 AND 2000
+  UNION ALL SELECT split_part(doc_id, '@', 1)::BIGINT, split_part(doc_id, '@', 2)::BIGINT, {trim('text')}, 'passage' FROM lc WHERE length({trim('text')}) >= 20),
 mseg AS (SELECT *, {mono_sql('question')} AS quality_score FROM mq)"""
 
 
-@query("extract_monologue_segments", sql=f"""WITH RECURSIVE {QA}, {SEGMENTS} SELECT pair_id, start, content_type, CASE content_type WHEN 'passage' THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence,
+@query("extract_monologue_segments", sql=f"""WITH RECURSIVE {DIALOGUE}, {SEGMENTS} SELECT doc_id, start, content_type, CASE content_type WHEN 'passage' THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence,
   question, '' AS answer, {R('quality_score')} AS quality_score FROM mseg""")
 def extract_monologue_segments(spark, sf):
-    d = EX.with_qa_segments(TB.qa_documents(spark, sf).select("pair_id", "text"))
-    return EX.extract_monologue_segments(d)
+    return EX.extract_monologue_segments(EX.with_qa_segments(TB.dialogue_documents(spark, sf)))
 
 
-USEG = f"""us AS (SELECT pair_id, 0::BIGINT AS start, 'qa' AS content_type, u AS question, a AS answer, {qa_sql('u', 'a')} AS quality_score FROM seg
-  UNION ALL SELECT pair_id, start, content_type, question, '', quality_score FROM mseg)"""
+USEG = f"""us AS (SELECT doc_id, start, 'qa' AS content_type, u AS question, a AS answer, {qa_sql('u', 'a')} AS quality_score FROM seg
+  UNION ALL SELECT doc_id, start, content_type, question, '', quality_score FROM mseg)"""
 
 
-@query("union_segments", sql=f"""WITH RECURSIVE {QA}, {SEGMENTS}, {USEG} SELECT pair_id, start, content_type, CASE content_type WHEN 'qa' THEN 0.8 WHEN 'passage' THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence,
+@query("union_segments", sql=f"""WITH RECURSIVE {DIALOGUE}, {SEGMENTS}, {USEG} SELECT doc_id, start, content_type, CASE content_type WHEN 'qa' THEN 0.8 WHEN 'passage' THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence,
   question, answer, {R('quality_score')} AS quality_score FROM us""")
 def union_segments(spark, sf):
-    return EX.union_segments(TB.qa_documents(spark, sf).select("pair_id", "text"))
+    return EX.union_segments(TB.dialogue_documents(spark, sf))
 
 
-@query("rank_segments", sql=f"""WITH RECURSIVE {QA}, {SEGMENTS}, {USEG} SELECT pair_id, content_type, question, {R('quality_score')} AS quality_score FROM us
-ORDER BY 4 DESC, pair_id, start, question""")
+@query("rank_segments", sql=f"""WITH RECURSIVE {DIALOGUE}, {SEGMENTS}, {USEG} SELECT doc_id, content_type, question, {R('quality_score')} AS quality_score FROM us
+ORDER BY 4 DESC, doc_id, start, question""")
 def rank_segments(spark, sf):
-    return EX.union_segments(TB.qa_documents(spark, sf).select("pair_id", "text")).withColumn(
-        "quality_score", F.round("quality_score", 6)).orderBy(F.desc("quality_score"), "pair_id", "start", "question").select(
-        "pair_id", "content_type", "question", "quality_score")
+    return EX.union_segments(TB.dialogue_documents(spark, sf)).withColumn(
+        "quality_score", F.round("quality_score", 6)).orderBy(F.desc("quality_score"), "doc_id", "start", "question").select(
+        "doc_id", "content_type", "question", "quality_score")
 
 
-@query("detection_summary", sql=f"""WITH RECURSIVE {QA}, {SEGMENTS}, {USEG} SELECT count(*) AS total_segments, count(*) FILTER (content_type = 'qa') AS qa_segments,
+@query("detection_summary", sql=f"""WITH RECURSIVE {DIALOGUE}, {SEGMENTS}, {USEG} SELECT count(*) AS total_segments, count(*) FILTER (content_type = 'qa') AS qa_segments,
   count(*) FILTER (content_type <> 'qa') AS monologue_segments, {R('avg(quality_score)')} AS average_quality FROM us""")
 def detection_summary(spark, sf):
-    return EX.union_segments(TB.qa_documents(spark, sf).select("pair_id", "text")).agg(
+    return EX.union_segments(TB.dialogue_documents(spark, sf)).agg(
         F.count("*").alias("total_segments"), F.count_if(F.col("content_type") == "qa").alias("qa_segments"),
         F.count_if(F.col("content_type").isin("monologue", "passage")).alias("monologue_segments"),
         F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("average_quality"))
 
 
-DETECT = f"""det AS (SELECT qt.pair_id, length({trim("qt.text")}) AS n, (seg.pair_id IS NOT NULL)::BIGINT AS qs, CASE WHEN seg.pair_id IS NULL THEN 0 ELSE qt.spanlen / length(qt.text) END AS r
-  FROM qt LEFT JOIN seg USING (pair_id)),
-de AS (SELECT pair_id, CASE WHEN n < 20 THEN 0 ELSE qs END AS qa_segments, CASE WHEN n < 20 THEN 'insufficient' WHEN r >= 0.3 THEN 'dialogue' ELSE 'monologue' END AS primary_type,
+DETECT = f"""tx AS (SELECT doc_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY k), '') AS text FROM dl LEFT JOIN bs USING (doc_id) GROUP BY 1), sp AS (SELECT doc_id, count(*) AS qs, sum("end" - start) AS covered FROM seg GROUP BY 1),
+det AS (SELECT doc_id, length({trim("text")}) AS n, coalesce(qs, 0)::BIGINT AS qs, CASE WHEN length(text) = 0 THEN 0 ELSE coalesce(covered, 0) / length(text) END AS r FROM tx LEFT JOIN sp USING (doc_id)),
+de AS (SELECT doc_id, CASE WHEN n < 20 THEN 0 ELSE qs END AS qa_segments, CASE WHEN n < 20 THEN 'insufficient' WHEN r >= 0.3 THEN 'dialogue' ELSE 'monologue' END AS primary_type,
   CASE WHEN n < 20 THEN 0.0 ELSE r END AS qa_ratio, CASE WHEN n < 20 THEN 0.0 WHEN r >= 0.3 THEN least(1.0, r * 2) ELSE least(1.0, (1 - r) * 2) END AS confidence FROM det)"""
 
 
-@query("detect_content_type", sql=f"""WITH {QA}, {DETECT} SELECT pair_id, qa_segments, primary_type, {R('qa_ratio')} AS qa_ratio, {R('confidence')} AS confidence FROM de""")
+@query("detect_content_type", sql=f"""WITH {DIALOGUE}, {DETECT} SELECT doc_id, qa_segments, primary_type, {R('qa_ratio')} AS qa_ratio, {R('confidence')} AS confidence FROM de""")
 def detect_content_type(spark, sf):
-    return EX.detect_content_type(TB.qa_documents(spark, sf).select("pair_id", "text"))
+    return EX.detect_content_type(TB.dialogue_documents(spark, sf))
 
 
-@query("content_recommendations", sql=f"""WITH {QA}, {DETECT} SELECT pair_id, array_to_string(list_concat(
+@query("content_recommendations", sql=f"""WITH {DIALOGUE}, {DETECT} SELECT doc_id, array_to_string(list_concat(
   CASE primary_type WHEN 'dialogue' THEN {lst(EX.DIALOGUE_ADVICE)} WHEN 'monologue' THEN {lst(EX.MONOLOGUE_ADVICE)} ELSE [] END,
-  list_concat(CASE WHEN qa_ratio > 0 AND qa_ratio < 0.3 THEN {lst([EX.MIXED_ADVICE])} ELSE [] END, {lst([EX.FEW_ADVICE])})), '|') AS advice FROM de""")
+  list_concat(CASE WHEN qa_ratio > 0 AND qa_ratio < 0.3 THEN {lst([EX.MIXED_ADVICE])} ELSE [] END, CASE WHEN qa_segments < 10 THEN {lst([EX.FEW_ADVICE])} ELSE [] END)), '|') AS advice FROM de""")
 def content_recommendations(spark, sf):
-    d = EX.detect_content_type(TB.qa_documents(spark, sf).select("pair_id", "text"))
+    d = EX.detect_content_type(TB.dialogue_documents(spark, sf))
     return d.withColumn("total_segments", F.col("qa_segments")).select(
-        "pair_id", F.array_join(EX.content_recommendations(), "|").alias("advice"))
+        "doc_id", F.array_join(EX.content_recommendations(), "|").alias("advice"))
 
 
 @query("monologue_records", sql=f"""WITH {MARKED}, {PARAS}, u AS (SELECT doc_id, unnest(range(0, len(ps))) AS paragraph_index, unnest(ps) AS answer FROM pa)

@@ -89,6 +89,35 @@ def qa_documents(spark, sf) -> DataFrame:
                                          F.lit("\n\nAs a closing remark on this: "), F.col("u")))
 
 
+#: Labels of a question line and an answer line.
+DIALOGUE_STYLES = [("Q: ", "A: "), ("Question: ", "Answer: "), ("Q7: ", "A7: "), ("Interviewer: ", "Guest: "), ("Host: ", "Guest: "),
+                   ("Visitor: ", "Teacher: "), ("Student: ", "Teacher: "), ("Seeker: ", "Sage: ")]
+
+
+def dialogue_documents(spark, sf) -> DataFrame:
+    """Every document as a dialogue of its lines: each two of them become a question and an answer, in one of eight labelled styles by turns.
+
+    Every tenth document is one open question with an answer paragraph, every tenth one a numbered question.  Signs that the labels and
+    questions stand out by are taken out of the lines.  Documents of fewer than two lines are as empty.
+    """
+    raw = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: T.trim_ws(F.regexp_replace(x, r"[\s:—\-?0-9]+", " ")))
+    d = documents(spark, sf).select("doc_id", F.filter(raw, lambda x: x != "").alias("ls"))
+    leads = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(a).alias("a")) for q, a in DIALOGUE_STYLES])
+    n = F.size("ls")
+
+    def block(k):
+        at = F.get(leads, F.pmod(F.col("doc_id") + k, F.lit(len(DIALOGUE_STYLES))).cast("int"))
+        return F.concat(at["q"], F.get("ls", 2 * k), F.lit("\n"), at["a"], F.get("ls", 2 * k + 1))
+
+    pairs_of = F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1), block)
+    rest = F.when(n % 2 == 1, F.array(F.element_at("ls", -1))).otherwise(F.array().cast("array<string>"))
+    question, answer = F.array_join(F.slice("ls", 1, n - 1), " "), F.element_at("ls", -1)
+    kind = F.pmod("doc_id", F.lit(10))
+    text = (F.when(n < 2, F.lit("")).when(kind == 8, F.concat(question, F.lit("?\n\n"), answer))
+            .when(kind == 9, F.concat(F.lit("1. "), question, F.lit("?\n"), answer)).otherwise(F.array_join(F.concat(pairs_of, rest), "\n\n")))
+    return d.select("doc_id", text.alias("text"))
+
+
 def doc_pages(spark, sf) -> DataFrame:
     return turns(spark, sf).select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), "text")
 

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -170,6 +171,41 @@ QA_TEXT = ("Q: What is the purpose of this thing?\nA: It exists so that we can t
            "Alice: Where do the rivers finally go?\nBob: They all go down to the wide sea.")
 
 
+def brute_segments(text, patterns):
+    """Spans taken pattern by pattern, each unless it meets one taken before."""
+    taken = []
+    for i, (pattern, q, a) in enumerate(patterns):
+        for m in re.finditer(pattern, text, re.I | re.S):
+            if not any(m.start() < e and s < m.end() for s, e, *_ in taken):
+                taken.append((m.start(), m.end(), i, m[q].strip(), m[a].strip()))
+    return sorted(taken)
+
+
+def test_segments_of_overlapping_patterns_are_those_of_plain_search(spark):
+    """Random texts over short patterns that overlap in every way, longer and shorter than what is taken before."""
+    draw = random.Random(6)
+    patterns = [(r"(b)c*(d)", 1, 2), (r"(a)b+(c)", 1, 2), (r"(c)[abd]{2,6}?(a)", 1, 2), (r"(d)(a)", 1, 2), (r"(a)[^a]*(a)", 1, 2)]
+    rows = ["".join(draw.choice("abcd") for _ in range(draw.randint(0, 120))) for _ in range(60)]
+    got = texts(spark, rows).select(EX.qa_segments(F.col("text"), patterns, None, 0).alias("s"), "text").collect()
+    for r in got:
+        assert [(m["start"], m["end"], m["pattern_no"], m["question"], m["answer"]) for m in r["s"]] == brute_segments(r["text"], patterns)
+
+
+def test_many_segments_take_linear_time(spark):
+    """Thirty thousand pairs in one text, a general pattern meeting all of them again."""
+    text = "\n\n".join(f"Q: what is the matter of number {k} here\nA: the matter is that of number {k} there" for k in range(15_000))
+    text += "\n\n" + "\n\n".join(f"Visitor: what is the matter of number {k} here\nTeacher: the matter is that of number {k} there" for k in range(15_000))
+    start = time.time()
+    assert one(texts(spark, [text]).select(F.size(EX.qa_segments(F.col("text"))))) == [30_000]
+    assert time.time() - start < 60
+
+
+def test_long_questions_are_kept(spark):
+    text = "Q: " + "why " * 3000 + "\nA: " + "so " * 3000
+    (seg,) = one(texts(spark, [text]).select(EX.qa_segments(F.col("text"))))[0]
+    assert len(seg["question"]) == 11_999 and len(seg["answer"]) == 8_999
+
+
 def test_qa_segments_and_free_paragraphs(spark):
     d = EX.with_qa_segments(texts(spark, [QA_TEXT, None]))
     segs = EX.extract_qa_segments(texts(spark, [QA_TEXT])).orderBy("start").collect()
