@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.plans.ordered import kept, over_frames
 
 
 def sentence_pairs(ents: Column) -> Column:
@@ -20,11 +21,13 @@ def entity_cooccurrence(df: DataFrame, col: str = "text") -> DataFrame:
         "doc_id", "sent_no", F.inline(sentence_pairs(F.col("_e")))).withColumn("confidence", F.lit(0.7))
 
 
-def entity_graph(edges: DataFrame) -> DataFrame:
-    """Neighbours of each entity per document, both ways; lists are bounded by the document."""
-    both = edges.select("doc_id", "entity1", "entity2").unionByName(
-        edges.select("doc_id", F.col("entity2").alias("entity1"), F.col("entity1").alias("entity2")))
-    return both.groupBy("doc_id", F.col("entity1").alias("entity")).agg(F.array_sort(F.collect_set("entity2")).alias("neighbours"))
+def entity_graph(df: DataFrame, col: str = "text") -> DataFrame:
+    """Neighbours of each entity per document, both ways from one pass over the texts; lists are bounded by the document."""
+    s = df.select("doc_id", F.explode(T.sentences(F.col(col))).alias("_s")).select("doc_id", sentence_pairs(T.labeled_entities(F.col("_s"))).alias("_p"))
+    there = F.transform("_p", lambda p: F.struct(p["entity1"].alias("entity"), p["entity2"].alias("other")))
+    back = F.transform("_p", lambda p: F.struct(p["entity2"].alias("entity"), p["entity1"].alias("other")))
+    both = s.select("doc_id", F.inline(F.array_distinct(F.concat(there, back))))
+    return both.groupBy("doc_id", "entity").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
 
 
 def chunk_terms(chunks: DataFrame, col: str = "text") -> DataFrame:
@@ -35,14 +38,31 @@ def chunk_terms(chunks: DataFrame, col: str = "text") -> DataFrame:
     return chunks.select("doc_id", "chunk_no", F.explode(F.array_distinct(terms)).alias("term"))
 
 
-def dependency_chunks(chunks: DataFrame, col: str = "text") -> DataFrame:
-    """Earlier chunks of the same document that share an entity or a concept.
+def dependency_links(chunks: DataFrame, col: str = "text") -> DataFrame:
+    """Of each term of a chunk the last earlier chunk of the document that holds it: doc_id, chunk_no, term, depends_on, n_earlier.
 
-    Chunks per (document, term) are gathered once and expanded, instead of a self-join.
+    One row per chunk and term at most: a term's holders form a chain, from which :func:`dependency_chunks` tells all of them on request.
+    Chains are walked in blocks, so a term that a huge document repeats throughout is not one task.
     """
-    held = chunk_terms(chunks, col).groupBy("doc_id", "term").agg(F.sort_array(F.collect_set("chunk_no")).alias("_c"))
-    later = held.filter(F.size("_c") > 1).select("doc_id", "_c", F.explode("_c").alias("chunk_no"))
-    return later.select("doc_id", "chunk_no", F.explode(F.filter("_c", lambda x: x < F.col("chunk_no"))).alias("depends_on")).distinct()
+    held = chunk_terms(chunks, col)
+    linked = over_frames(held, ["doc_id", "term"], ["chunk_no"], 1, lambda rows, w: rows.withColumn("depends_on", F.lag("chunk_no").over(w)))
+    return linked.filter(F.col("depends_on").isNotNull()).select("doc_id", "chunk_no", "term", "depends_on", (F.col("rn") - 1).alias("n_earlier"))
+
+
+def dependency_chunks(links: DataFrame) -> DataFrame:
+    """All earlier chunks that share a term with a chunk, from its links: pointers along the chains are doubled until the longest one is covered.
+
+    Each step stores its pairs, so no plan grows; the result is as long as the relation itself.
+    """
+    links = links.select("doc_id", "term", "chunk_no", "depends_on", "n_earlier")
+    longest = links.agg(F.max("n_earlier")).first()[0] or 0
+    known = jump = kept(links.drop("n_earlier"), "links")
+    covered = 1
+    while covered < longest:
+        leap = jump.select("doc_id", "term", F.col("chunk_no").alias("depends_on"), F.col("depends_on").alias("_far"))
+        further = lambda d: d.join(leap, ["doc_id", "term", "depends_on"]).select("doc_id", "term", "chunk_no", F.col("_far").alias("depends_on"))
+        known, jump, covered = kept(known.unionByName(further(known)), "reach"), kept(further(jump), "leap"), 2 * covered
+    return known.select("doc_id", "chunk_no", "depends_on").distinct()
 
 
 def concept_clusters(chunks: DataFrame, col: str = "text") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import pairs as PF, text as T
 
@@ -37,31 +40,81 @@ def next_similarity(df: DataFrame, key: str = "vec_id", vec: str = "embedding")
     return u.join(nxt, key).select(key, "next_id", PF.dot(F.col("_u"), F.col("_n")).alias("similarity"))
 
 
-def related_chunks(df: DataFrame, doc: list[str], key: str, vec: str = "embedding", above: float = 0.7) -> DataFrame:
-    """Chunks of one document whose cosine is above the limit, both ways.
+#: Rows of one side that a pair of blocks holds, and query vectors of one block.
+PAIR_BLOCK, QUERY_BLOCK = 256, 256
+PIVOTS, PIVOT_SAMPLE = 8, 1000
+
+
+def _angle(a: Column, b: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), PF.dot(a, b))))
+
+
+def ring_pairs(df: DataFrame, doc: list[str], key: str, vec: str = "embedding", above: float = 0.7) -> DataFrame:
+    """Pairs of vectors of one document that may have a cosine above the limit: ``doc``, key, _k2, and the unit vectors _u and _v (of one dimension).
 
-    Documents are bounded by what one text yields; pairs are formed once (a < b) inside a document.
+    Angles obey the triangle inequality: the angles of two vectors to a pivot differ by no more than the angle between the two.  So with rings as wide as the
+    limit's angle around a pivot, a pair lies in one ring or in neighbouring ones, and only those meet; further pivots rule out pairs by the same test
+    before any product.  A ring of a large document is cut into blocks, so it is many tasks.
     """
-    u = unit(df, vec).select(*doc, key, "_u")
-    other = u.select(*doc, F.col(key).alias("_k2"), F.col("_u").alias("_v"))
-    hit = u.join(other, doc).filter(F.col(key) < F.col("_k2")).withColumn(
-        "similarity", PF.dot(F.col("_u"), F.col("_v"))).filter(F.col("similarity") > above)
+    u = unit(df, vec).select(*doc, key, "_u").filter(F.get("_u", F.lit(0)).isNotNull())
+    wide = math.acos(max(-1.0, min(1.0, above))) + 1e-6
+    u = u.select("*", *[_angle(F.col("_u"), F.array(*[F.lit(x) for x in p])).alias(f"_a{i}") for i, p in enumerate(pivots(u, key))])
+    angles = [c for c in u.columns if c.startswith("_a")]
+    u = u.withColumn("_ring", F.floor((F.col(angles[0]) if angles else F.lit(0.0)) / F.lit(wide)))
+    blocks = u.groupBy(*doc, "_ring").agg(F.ceil(F.count("*") / F.lit(PAIR_BLOCK)).alias("_n"))
+    # of a pair the smaller key looks into its own and the neighbouring rings, where the larger one lies in one block
+    right = u.join(blocks, [*doc, "_ring"]).withColumn("_block", F.pmod(F.xxhash64(key), "_n"))
+    right = right.select(*doc, "_ring", "_block", F.col(key).alias("_k2"), F.col("_u").alias("_v"), *[F.col(c).alias(f"_b{c}") for c in angles])
+    left = u.withColumn("_ring", F.explode(F.array(F.col("_ring") - 1, F.col("_ring"), F.col("_ring") + 1))).join(blocks, [*doc, "_ring"])
+    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).drop("_n")
+    near = F.col(key) < F.col("_k2")
+    for c in angles:
+        near = near & (F.abs(F.col(c) - F.col(f"_b{c}")) <= wide)
+    return left.join(right, [*doc, "_ring", "_block"]).filter(near).select(*doc, key, "_k2", "_u", "_v")
+
+
+def pivots(u: DataFrame, key: str) -> list[list[float]]:
+    """Up to PIVOTS unit vectors far from each other, out of the PIVOT_SAMPLE smallest keys: each the furthest from those before it.
+
+    Which pivots are taken changes what is ruled out early, never a result.
+    """
+    sample = [r["_u"] for r in u.select(key, "_u").orderBy(key).limit(PIVOT_SAMPLE).collect()]
+    sample = np.array([v for v in sample if len(v) == len(sample[0])]) if sample else np.zeros((0, 0))
+    taken, nearest = [], np.full(len(sample), -2.0)
+    while len(sample) and len(taken) < PIVOTS and (not taken or nearest.min() < 1 - 1e-9):
+        taken.append(sample[int(nearest.argmin())])
+        nearest = np.maximum(nearest, sample @ taken[-1])
+    return [v.tolist() for v in taken]
+
+
+def related_chunks(df: DataFrame, doc: list[str], key: str, vec: str = "embedding", above: float = 0.7) -> DataFrame:
+    """Chunks of one document whose cosine is above the limit, both ways; pairs that angles to pivots rule out are never formed."""
+    hit = ring_pairs(df, doc, key, vec, above).withColumn("similarity", PF.dot(F.col("_u"), F.col("_v"))).filter(F.col("similarity") > above)
     both = F.array(F.struct(F.col(key).alias(key), F.col("_k2").alias("related")), F.struct(F.col("_k2").alias(key), F.col(key).alias("related")))
     return hit.select(*doc, "similarity", F.inline(both))
 
 
-def theme_similarity_join(items: DataFrame, themes: DataFrame, key: str, at_least: float = 0.7, vec: str = "embedding", blocks: int = 64) -> DataFrame:
-    """Items whose cosine with a theme vector reaches the limit.  ``themes`` has columns theme and vec.
+def beside_queries(items: DataFrame, queries: DataFrame, name: str, key: str, vec: str = "embedding") -> DataFrame:
+    """Every item with every block of query vectors: key, _u (the item's unit vector) and _block, an array of struct(name, unit vector).
 
-    The themes are a stated query set: each is compared with all items, in blocks.  An item is in one of ``blocks`` blocks and the
-    themes are repeated per block; Spark broadcasts them only below its own size threshold.
+    The queries are a stated set of columns ``name`` and ``vec``.  They are dealt into blocks of QUERY_BLOCK; what an item has with each of a block is
+    worked out inside its row.  Items are dealt into as many shares as keep all tasks busy, and Spark broadcasts the blocks only below its own threshold.
     """
-    u = unit(items, vec).select(key, "_u")
-    t = unit(themes, vec).select("theme", F.col("_u").alias("_t"))
-    right = t.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    left = u.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    joined = left.join(right, "_b")
-    return joined.select("theme", key, PF.dot(F.col("_u"), F.col("_t")).alias("similarity")).filter(F.col("similarity") >= at_least)
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, -(-parts // n_blocks))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    dealt = unit(queries, vec).withColumn("_b", F.pmod(F.xxhash64(name), F.lit(n_blocks)))
+    blocks = dealt.groupBy("_b").agg(F.collect_list(F.struct(name, "_u")).alias("_block")).withColumn("_s", numbers(shares))
+    left = unit(items, vec).select(key, "_u", F.pmod(F.xxhash64(key), F.lit(shares)).alias("_s")).withColumn("_b", numbers(n_blocks))
+    return left.join(blocks, ["_b", "_s"]).select(key, "_u", "_block")
+
+
+def theme_similarity_join(items: DataFrame, themes: DataFrame, key: str, at_least: float = 0.7, vec: str = "embedding") -> DataFrame:
+    """Items whose cosine with a theme vector reaches the limit; ``themes`` has columns theme and vec.  Only hits leave the row of an item."""
+    near = lambda u: F.transform("_block", lambda t: F.struct(t["theme"].alias("theme"), PF.dot(u, t["_u"]).alias("similarity")))
+    hits = F.filter(T.let(F.col("_u"), near), lambda t: t["similarity"] >= at_least)
+    return beside_queries(items, themes, "theme", key, vec).select(key, F.inline(hits)).select("theme", key, "similarity")
 
 
 def neighbour_coherence(df: DataFrame, doc: list[str], order: str, vec: str = "embedding") -> DataFrame:
@@ -77,14 +130,14 @@ def neighbour_coherence(df: DataFrame, doc: list[str], order: str, vec: str = "e
 
 
 def nearest_centre(df: DataFrame, centres: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
-    """The centre of largest cosine for every vector (smallest name on a tie).  ``centres`` has columns centre and vec.
+    """The centre of largest cosine for every vector (smallest number on a tie); ``centres`` has columns centre and vec.
 
-    The centres are a stated query set, met block by block like the themes of a similarity join.
+    The best of a block is found in the row, so a vector has as many rows as there are blocks of centres, not as there are centres.
     """
-    named = centres.withColumnRenamed("centre", "theme")
-    every = theme_similarity_join(df, named, key, -2.0, vec)
-    best = every.groupBy(key).agg(F.max(F.struct("similarity", F.struct(-F.col("theme")).alias("o"), "theme")).alias("_b"))
-    return best.select(key, F.col("_b.theme").alias("centre"), F.col("_b.similarity").alias("similarity"))
+    near = lambda u: F.transform("_block", lambda t: F.struct(PF.dot(u, t["_u"]).alias("similarity"), (-t["centre"]).alias("o"), t["centre"].alias("centre")))
+    per = beside_queries(df, centres, "centre", key, vec).select(key, F.array_max(T.let(F.col("_u"), near)).alias("_b"))
+    best = per.groupBy(key).agg(F.max("_b").alias("_b"))
+    return best.select(key, F.col("_b.centre").alias("centre"), F.col("_b.similarity").alias("similarity"))
 
 
 def cluster_vectors(df: DataFrame, key: str, k: int = 5, vec: str = "embedding", seed: int = 42) -> DataFrame:

@@ -26,7 +26,7 @@ SLICE_ROWS = 2_000_000
 WIDE = (TY.StringType, TY.BinaryType, TY.ArrayType, TY.StructType)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
@@ -35,7 +35,7 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
-def _remove(df: DataFrame) -> None:
+def remove(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(df.kept_at)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
@@ -46,10 +46,10 @@ def slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     Slices are as many as shuffle partitions, or more where a slice would exceed SLICE_ROWS.
     """
-    held = _kept(df, "unordered")
+    held = kept(df, "unordered")
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // SLICE_ROWS))
-    cut = _kept(held.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_slice", F.spark_partition_id()), "slices")
-    _remove(held)
+    cut = kept(held.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_slice", F.spark_partition_id()), "slices")
+    remove(held)
     return cut
 
 

@@ -189,12 +189,21 @@ def related_chunks(spark, sf):
     return VE.related_chunks(vector_docs(spark, sf), ["doc"], "vec_id", above=0.25)  # no pair of the test vectors reaches 0.7
 
 
-@query("dependency_chunks", sql=f"""{PARA_CHUNKS}, k AS (SELECT doc_id, chunk_no, chunk_id, text FROM c), m2 AS (SELECT chunk_id AS doc_id, text FROM k),
+TERMS = f"""{PARA_CHUNKS}, k AS (SELECT doc_id, chunk_no, chunk_id, text FROM c), m2 AS (SELECT chunk_id AS doc_id, text FROM k),
 {ENTITIES.replace('FROM m)', 'FROM m2)').replace('FROM m,', 'FROM m2,')}, terms AS (SELECT k.doc_id, k.chunk_no, 'e' || ent.text AS term FROM ent JOIN k ON k.chunk_id = ent.doc_id
-  UNION SELECT doc_id, chunk_no, 'c' || unnest({concepts('text')}) FROM k)
+  UNION SELECT doc_id, chunk_no, 'c' || unnest({concepts('text')}) FROM k)"""
+
+
+@query("dependency_links", sql=f"""{TERMS}, r AS (SELECT *, lag(chunk_no) OVER (PARTITION BY doc_id, term ORDER BY chunk_no) AS depends_on, row_number() OVER (PARTITION BY doc_id, term ORDER BY chunk_no) - 1 AS n_earlier FROM terms)
+SELECT doc_id, chunk_no, left(term, 1) || ':' || term[2:] AS term, depends_on, n_earlier FROM r WHERE depends_on IS NOT NULL""")
+def dependency_links(spark, sf):
+    return GR.dependency_links(para_chunks(spark, sf))
+
+
+@query("dependency_chunks", sql=f"""{TERMS}
 SELECT DISTINCT a.doc_id, a.chunk_no, b.chunk_no AS depends_on FROM terms a JOIN terms b ON a.doc_id = b.doc_id AND a.term = b.term AND b.chunk_no < a.chunk_no""")
 def dependency_chunks(spark, sf):
-    return GR.dependency_chunks(para_chunks(spark, sf))
+    return GR.dependency_chunks(GR.dependency_links(para_chunks(spark, sf)))
 
 
 @query("theme_similarity_join", sql=f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT 'theme_' || label AS theme, arg_min(v, vec_id) AS v FROM e GROUP BY label)
@@ -219,7 +228,7 @@ def entity_cooccurrence(spark, sf):
 @query("entity_graph", sql=f"""WITH {MARKED}, {COOC}, b AS (SELECT doc_id, entity1 AS entity, entity2 AS n FROM co UNION SELECT doc_id, entity2, entity1 FROM co)
 SELECT doc_id, entity, string_agg(n, '|' ORDER BY n) AS neighbours FROM b GROUP BY 1, 2""")
 def entity_graph(spark, sf):
-    return GR.entity_graph(GR.entity_cooccurrence(TB.marked_documents(spark, sf))).withColumn("neighbours", F.array_join("neighbours", "|"))
+    return GR.entity_graph(TB.marked_documents(spark, sf)).withColumn("neighbours", F.array_join("neighbours", "|"))
 
 
 @query("concept_clusters", sql=f"""{PARA_CHUNKS}, k AS (SELECT doc_id, chunk_no, unnest({concepts('text')}) AS concept FROM c), s AS (SELECT *, count(*) OVER (PARTITION BY doc_id, concept) AS n FROM k)

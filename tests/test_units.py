@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as FV
 from corpusloom.functions import pairs as PF, scores as S, text as T
-from corpusloom.operators import chunking as CH, cleaning as CL, export as EXP, extraction as EX, monitor as MO, themes as TH, vectors as VE
+from corpusloom.operators import chunking as CH, cleaning as CL, export as EXP, extraction as EX, graph as GR, monitor as MO, themes as TH, vectors as VE
 from corpusloom.plans import ordered, skew
 from corpusloom.sources import readers as RD, tables as TB
 from corpusloom.streaming import stateful as SF, streams as ST
@@ -336,15 +336,73 @@ def test_salted_join_equals_plain_join(spark):
     assert len(salted) == 500 and sorted(x for x in salted if x[1]) == plain
 
 
-def test_theme_join_equals_brute_force(spark):
+def test_theme_join_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v, w = rng.normal(size=(60, 4)), rng.normal(size=(5, 4))
     items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     themes = spark.createDataFrame([(f"t{i}", x.tolist()) for i, x in enumerate(w)], "theme string, embedding array<double>")
     cosine = (v / np.linalg.norm(v, axis=1)[:, None]) @ (w / np.linalg.norm(w, axis=1)[:, None]).T
     want = {(f"t{j}", i) for i in range(60) for j in range(5) if cosine[i, j] >= 0.5}
-    for blocks in (1, 64):
-        assert {(r.theme, r.vec_id) for r in VE.theme_similarity_join(items, themes, "vec_id", 0.5, blocks=blocks).collect()} == want and want
+    centres = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "centre long, embedding array<double>")
+    for block in (1, 2, 64):
+        monkeypatch.setattr(VE, "QUERY_BLOCK", block)
+        joined = VE.theme_similarity_join(items, themes, "vec_id", 0.5)
+        assert {(r.theme, r.vec_id) for r in joined.collect()} == want and want
+        assert {(r.vec_id, r.centre) for r in VE.nearest_centre(items, centres, "vec_id").collect()} == set(enumerate(cosine.argmax(axis=1)))
+    # only blocks meet items: no exchange carries a row for an item and a theme
+    assert made_by_joins(joined) == 60
+
+
+def made_by_joins(df):
+    """Rows that the joins of a plan put out when it runs."""
+    df.collect()
+    nodes, n = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        p = nodes.pop()
+        if "AdaptiveSparkPlan" in p.nodeName():
+            nodes.append(p.executedPlan())
+            continue
+        if "QueryStage" in p.nodeName():
+            nodes.append(p.plan())
+            continue
+        if "Join" in p.nodeName():
+            n = max(n, p.metrics().apply("numOutputRows").value())
+        nodes += [p.children().apply(i) for i in range(p.children().size())]
+    return n
+
+
+def test_related_chunks_form_only_pairs_of_near_rings(spark, monkeypatch):
+    """Groups of vectors far apart: few pairs are formed, all of them near by their angles, and none of the similar ones is missing; one document holds most rows."""
+    monkeypatch.setattr(VE, "PAIR_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    centre = np.eye(8)[np.arange(420) % 8] * np.where(np.arange(420) % 16 < 8, 1, -1)[:, None]
+    v = centre + rng.normal(scale=0.04, size=(420, 8))
+    doc = np.where(np.arange(420) < 360, 0, 1 + np.arange(420) % 3)
+    rows = [(int(d), i, x.tolist()) for i, (d, x) in enumerate(zip(doc, v))] + [(0, 900, [0.0] * 8), (0, 901, None), (2, 902, v[0].tolist())]
+    df = spark.createDataFrame(rows, "doc long, k long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(a, b) for a in range(420) for b in range(420) if a != b and doc[a] == doc[b] and u[a] @ u[b] > 0.9}
+    got = {(r.k, r.related) for r in VE.related_chunks(df, ["doc"], "k", above=0.9).collect()}
+    assert {p for p in got if 902 not in p} == want and want
+    pairs = {(r.k, r._k2) for r in VE.ring_pairs(df, ["doc"], "k", above=0.9).collect()}
+    every = sum(n * (n - 1) // 2 for n in np.bincount(doc))
+    assert {p for p in want if p[0] < p[1]} <= pairs and len(pairs) < every / 3
+    assert VE.related_chunks(df.limit(0), ["doc"], "k").count() == 0
+
+
+def test_dependencies_are_the_closure_of_links(spark):
+    draw = random.Random(9)
+    names = ["Ada Lovelace", "Alan Turing", "Grace Hopper", "Kurt Godel"]
+    rows = [(d, k, " and then ".join(draw.sample(names, draw.randint(0, 2)) + ["nobody."])) for d in range(3) for k in range(40 if d else 150)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, text string")
+    terms = {}
+    for r in GR.chunk_terms(chunks).collect():
+        terms.setdefault((r.doc_id, r.term), []).append(r.chunk_no)
+    links = GR.dependency_links(chunks)
+    got = sorted((r.doc_id, r.term, r.chunk_no, r.depends_on, r.n_earlier) for r in links.collect())
+    assert got == sorted((d, t, b, a, i + 1) for (d, t), c in terms.items() for i, (a, b) in enumerate(zip(sorted(c), sorted(c)[1:])))
+    every = {(d, b, a) for (d, _), c in terms.items() for a in c for b in c if a < b}
+    assert {tuple(r) for r in GR.dependency_chunks(links).collect()} == every and len(every) > 2 * len(got)
 
 
 def test_top_n_per_hot_key_is_cut_before_the_shuffle(spark):
