@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as TY
 
 from corpusloom.llm import bytebpe as B
-from corpusloom.llm.common import documents, query, stored_by, text_of
+from corpusloom.llm.common import documents, free_name, query, stored_by, text_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK_CHARS = 8_000_000
@@ -213,30 +213,30 @@ def encoded(rows: DataFrame, use: Callable[[Block], dict], schema: str, vocabula
 def decode(encoded_rows: DataFrame, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Add ``decoded``, the text of an array of ids, as the library decodes it without skipping special tokens.
 
-    Bytes that are no UTF-8 become replacement signs.  A null array stays null.
+    Bytes that are no UTF-8 become replacement signs.  A null array stays null.  Where the rows have a column ``decoded``, the new one is ``decoded_``.
     """
-    schema = TY.StructType([*encoded_rows.schema.fields, TY.StructField("decoded", TY.StringType())])
+    name = free_name("decoded", encoded_rows.columns)
+    schema = TY.StructType([*encoded_rows.schema.fields, TY.StructField(name, TY.StringType())])
 
     def run(batches):
         for b in batches:
             text = [None if x is None else B.decode_ids(np.array(x, np.int64), vocabulary).decode("utf-8", "replace") for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, name])
 
     return encoded_rows.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The other columns of ``docs`` and ``ids``, an array of token ids."""
+    """The other columns of ``docs`` and ``ids``, an array of token ids; where ``docs`` has a column ``ids``, the new one is ``ids_``."""
     keys = [c for c in docs.columns if c != text]
-    if "ids" in keys:
-        raise ValueError("rename column ids first")
+    name = free_name("ids", keys)
     fields = [docs.schema[c] for c in keys]
 
     def use(block: Block) -> dict:
         found = [block.ids_of(d) for d in block.documents()]
-        return dict(zip(keys, block.keys.flatten())) | {"ids": pa.array(found, pa.list_(pa.int32()))}
+        return dict(zip(keys, block.keys.flatten())) | {name: pa.array(found, pa.list_(pa.int32()))}
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` array<int>"])
     return encoded(docs.select(*keys, text), use, schema, vocabulary)
 
 

@@ -57,6 +57,14 @@ def stored_by(df: DataFrame, name: str, key: str, buckets: int, **options) -> Da
     return df.sparkSession.table(table)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as make it differ from the names taken, letter case aside."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def fresh(prefix: str) -> str:
     """A column name that no table of the caller has."""
     return f"_{prefix}_{uuid.uuid4().hex[:8]}"

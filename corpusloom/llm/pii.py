@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the base patterns, by start and then by kind as listed."""
     found = base_emails(text)
     if "." in text:
-        found += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(p) < 400 and int(p) <= 255 for p in m.group().split("."))]
+        found += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
     found += [(*m.span(), "card") for m in CARD.finditer(text) if 12 <= len(d := digits_of(m.group())) <= 19 and luhn(d)]
     if "+" in text:
         found += [(*m.span(), "phone") for m in PHONE.finditer(text) if 9 <= len(digits_of(m.group())) <= 15]

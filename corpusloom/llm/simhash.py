@@ -14,7 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from corpusloom.llm.common import documents, query, text_of
+from corpusloom.llm.common import documents, query, stored, text_of
 
 BITS, LONGEST = 128, 8
 #: Two counters of 32 bits share a sum: bit i of a hash in the low half, bit i + 32 in the high half.
@@ -64,29 +64,49 @@ def distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 def search(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 8) -> DataFrame:
     """All pairs (query_id, id, distance) of fingerprints within ``radius`` bits: both tables have id, hi and lo.
 
+    Equal fingerprints are one entry of the tables, and ids are put back at the end.
+    """
+    met = near_prints(queries, prints, radius, blocks)
+    ids = prints.select("id", F.struct("hi", "lo").alias("p"))
+    asked = queries.select(F.col("id").alias("query_id"), F.struct("hi", "lo").alias("q"))
+    return met.join(asked, "q").join(ids, "p").select("query_id", "id", "distance")
+
+
+def near_prints(queries: DataFrame, prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """All pairs (q, p, distance) of distinct fingerprints of two tables of hi and lo within ``radius`` bits, once each.
+
     The fingerprint is cut into ``blocks`` equal blocks (1, 2, 4, 8 or 16); each choice of blocks - radius of them is a table keyed by those
-    blocks.  Two fingerprints within the radius agree in the key of some table.  Equal fingerprints are one entry of the tables,
-    and ids are put back at the end.
+    blocks.  Two fingerprints within the radius agree in the key of some table, and count in the first of these.
     """
     width = BITS // blocks
     if blocks <= radius or BITS % blocks or 64 % width:
         raise ValueError("blocks must divide the fingerprint into parts of a half and be more than the radius")
+    tables = list(combinations(range(blocks), blocks - radius))
 
-    def block(i: int) -> Column:
+    def block(i: int, of: str = "") -> Column:
         at = i * width
         half, shift = ("hi", at) if at < 64 else ("lo", at - 64)
-        return F.shiftrightunsigned(half, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col(half)
+        return F.shiftrightunsigned(of + half, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col(of + half)
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        tables = F.array(*[F.xxhash64(F.lit(t), *[block(i) for i in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))])
-        return df.select("hi", "lo").distinct().select(F.struct("hi", "lo").alias(name), F.explode(tables).alias("_key"))
+        keys = F.array(*[F.xxhash64(*[block(i) for i in chosen]) for chosen in tables])
+        return df.select("hi", "lo").distinct().select(F.struct("hi", "lo").alias(name), F.posexplode(keys).alias("_table", "_key"))
 
-    met = keyed(queries, "q").join(keyed(prints, "p"), "_key").drop("_key")
+    agree = [reduce(Column.__and__, [block(i, "q.") == block(i, "p.") for i in chosen]) for chosen in tables]
+    first = F.coalesce(*[F.when(a, F.lit(t)) for t, a in enumerate(agree)])
     apart = distance((F.col("q.hi"), F.col("q.lo")), (F.col("p.hi"), F.col("p.lo")))
-    met = met.withColumn("distance", apart).filter(F.col("distance") <= radius).distinct()
-    ids = prints.select("id", F.struct("hi", "lo").alias("p"))
-    asked = queries.select(F.col("id").alias("query_id"), F.struct("hi", "lo").alias("q"))
-    return met.join(asked, "q").join(ids, "p").select("query_id", "id", "distance")
+    met = keyed(queries, "q").join(keyed(prints, "p"), ["_table", "_key"])
+    return met.filter((first == F.col("_table")) & (apart <= radius)).select("q", "p", apart.alias("distance"))
+
+
+def near_counts(rows: DataFrame, asked: Column, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """``rows`` (hi and lo among their columns) with near_count: of the rows that are asked for, how many others have a fingerprint within ``radius`` bits."""
+    copies = rows.groupBy("hi", "lo").agg(F.count("*").alias("_n"))
+    queries = rows.filter(asked).select("hi", "lo").distinct()
+    met = near_prints(queries, copies, radius, blocks).select("q.*", F.col("p.hi").alias("_h"), F.col("p.lo").alias("_l"))
+    found = met.join(copies.select(F.col("hi").alias("_h"), F.col("lo").alias("_l"), "_n"), ["_h", "_l"]).groupBy("hi", "lo").agg((F.sum("_n") - 1).alias("near_count"))
+    told = rows.filter(asked).join(found, ["hi", "lo"], "left").select(*rows.columns, "near_count")
+    return told.unionByName(rows.filter(~F.coalesce(asked, F.lit(False))).withColumn("near_count", F.lit(None).cast("long")))
 
 
 def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,7 +136,7 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, both fingerprints and their likeness (1 - distance / bits) to each other and to the next document's.
+    """doc_id, n_chars, edited_sha256, hi and lo, both fingerprints and their likeness (1 - distance / bits) to each other and to the next document's.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document.
     Null texts are empty.  Every row comes out once; an empty table gives an empty result.
@@ -136,10 +156,12 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     order = W.partitionBy("bucket").orderBy("rn")
     flat = flat.withColumn("nhi", F.lead("hi").over(order)).withColumn("nlo", F.lead("lo").over(order)).filter("guest = 0")
     near = lambda hi, lo: F.lit(1.0) - distance((F.col("hi"), F.col("lo")), (F.col(hi), F.col(lo))) / F.lit(float(BITS))
-    return flat.select("doc_id", "n_chars", "edited_sha256", hex_of(F.col("hi"), F.col("lo")).alias("fingerprint"),
+    return flat.select("doc_id", "n_chars", "edited_sha256", "hi", "lo", hex_of(F.col("hi"), F.col("lo")).alias("fingerprint"),
                        hex_of(F.col("ehi"), F.col("elo")).alias("edited_fingerprint"), near("ehi", "elo").alias("near_edited"), near("nhi", "nlo").alias("near_next"))
 
 
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
-    return edited_fingerprints(documents(spark, sf_dir))
+    """With near_count: for documents whose id is divisible by 100, how many others lie within three bits of theirs."""
+    rows = stored(edited_fingerprints(documents(spark, sf_dir)), "fingerprints")
+    return near_counts(rows, F.col("doc_id") % 100 == 0).drop("hi", "lo")

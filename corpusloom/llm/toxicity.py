@@ -189,9 +189,11 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 30
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS,
+          most_terms: int = MOST_TERMS, least_docs: int = LEAST_DOCS, least_odds: float = LEAST_ODDS) -> Model:
     """Learn from labelled rows outside the held-out fifth: at most ``rows`` of them, in the order of a hash of their ids.
 
+    The lexicon holds the ``most_terms`` words that mark toxic texts most, of those in at least ``least_docs`` of them with log odds of ``least_odds`` or more.
     Several labels of one id count as their largest; ids and labels that are null are left out.  Without a toxic label the lexicon is empty.
     """
     known = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter(f"_id is not null and _y is not null")
@@ -217,8 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             return Model()
         n0, n1 = total["clean"], total["toxic"]
         odds = F.log((F.col("toxic") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n0 + 1.0))
-        found = (per_word.filter(F.col("word").isNotNull() & (F.col("toxic") >= LEAST_DOCS)).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-                 .orderBy(F.desc(F.col("odds") * F.log("toxic")), "word").limit(MOST_TERMS).collect())
+        found = (per_word.filter(F.col("word").isNotNull() & (F.col("toxic") >= least_docs)).withColumn("odds", odds).filter(F.col("odds") >= least_odds)
+                 .orderBy(F.desc(F.col("odds") * F.log("toxic")), "word").limit(most_terms).collect())
         model = Model([r["word"] for r in found], [round(r["odds"], 4) for r in found], base=n1 / (n0 + n1))
 
         def near(batches):
@@ -244,8 +246,14 @@ def _features(batches, model: Model):
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a column ``score`` between 0 and 1; whole texts are read, null counts as empty, and an empty text has a score too."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TERMS terms
+    """``docs`` with a column ``score`` between 0 and 1; whole texts are read, null counts as empty, and an empty text has a score too.
+
+    A column of that name in ``docs`` is replaced, unless it is the text, which is an error.
+    """
+    if score == text:
+        raise ValueError("the score needs a column of its own")
+    docs = docs.drop(score)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a bounded lexicon
     schema = TY.StructType([*docs.schema.fields, TY.StructField(score, TY.DoubleType())])
 
     def run(batches):

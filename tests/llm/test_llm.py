@@ -192,6 +192,13 @@ def test_bpe_digests(edge, none, docs, hf):
     assert bpe.digests(none).count() == 0
 
 
+def test_bpe_columns_of_the_same_names_stay(edge):
+    taken = edge.withColumn("ids", F.lit(1)).withColumn("decoded", F.lit("mine"))
+    back = bpe.decode(bpe.encode(taken), "ids_")
+    assert [c for c in back.columns if c.startswith(("ids", "decoded"))] == ["ids", "decoded", "ids_", "decoded_"]
+    assert {(r["ids"], r["decoded"]) for r in back.collect()} == {(1, "mine")}
+
+
 def test_bpe_encode_then_decode(edge):
     back = bpe.decode(bpe.encode(edge), "ids").select("doc_id", "decoded", "word").collect()
     assert Counter((r["doc_id"], r["decoded"]) for r in back) == Counter((r["doc_id"], r["text"] or "") for r in edge.collect())
@@ -294,6 +301,21 @@ def test_search_finds_all_within_the_radius(spark):
     assert got == want
 
 
+def test_near_counts_are_brute_force(spark):
+    """Distinct prints, copies, many prints around one (a hot key in every table), and rows without an id."""
+    draw = random.Random(8)
+    flip = lambda x, n: x ^ sum(1 << b for b in draw.sample(range(128), n))
+    centre = draw.getrandbits(128)
+    prints = [draw.getrandbits(128) for _ in range(60)] + [flip(centre, draw.randint(0, 5)) for _ in range(150)] + [centre] * 9 + [0] * 5
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    rows = [(i if i % 17 else None, signed(p >> 64), signed(p % 2**64)) for i, p in enumerate(prints)]
+    df = spark.createDataFrame(rows, "doc_id long, hi long, lo long")
+    want = sorted((str(i), None if i is None or i % 10 else sum((p ^ q).bit_count() <= 3 for q in prints) - 1) for (i, _, _), p in zip(rows, prints))
+    for blocks in (4, 8):
+        got = simhash.near_counts(df, F.col("doc_id") % 10 == 0, blocks=blocks).collect()
+        assert sorted((str(r["doc_id"]), r["near_count"]) for r in got) == want and max(w[1] or 0 for w in want) > 40
+
+
 # 1: near-duplicates
 
 
@@ -453,10 +475,18 @@ def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(0, 1), (0, 0), (None, 1), (4, None), (6, 0)], "doc_id long, toxic int")
     for known in (labels, labels.limit(0)):
         model = toxicity.train(edge, known)
-        assert toxicity.scored(edge, model, score="s").filter("s between 0 and 1").count() == edge.count()
+        assert toxicity.scored(edge, model).filter("score between 0 and 1 and score <> 0.5").count() == edge.count()  # the caller's score is replaced
     assert toxicity.scored(none, toxicity.train(none, labels), score="s").count() == 0
 
 
+# fixed patterns of 10
+
+
+def test_ip_parts_of_any_length():
+    assert [x[2] for x in pii.base_spans(f"a {'0' * 900}7.1.{'0' * 5000}.255 b")] == ["ip"]
+    assert pii.base_spans(f"a 1.2.{'0' * 500}256.4 b") == [] and pii.base_spans("1.2.3.2560") == []
+
+
 # 10: personal data
 
 
