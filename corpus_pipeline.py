@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from corpusloom.llm.common import documents, stored, text_of
+from corpusloom.llm.common import documents, fresh, stored, text_of
 
 WEIGHTS, SHARE, MOST = [3, 1, 2], 1.5, 2.0
 
@@ -16,7 +16,8 @@ WEIGHTS, SHARE, MOST = [3, 1, 2], 1.5, 2.0
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of ``sf_dir``, scores below 0.5."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model, score="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    score = fresh("toxicity")
+    return toxicity.scored(docs, model, score=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns with token ids in place of the text."""
-    return bpe.encode(docs.select([c for c in docs.columns if c != "ids"]))
+    """The documents' columns with token ids, ``ids``, in place of the text (``ids_`` where they have a column ``ids``)."""
+    return bpe.encode(docs)
 
 
 STAGES = [
