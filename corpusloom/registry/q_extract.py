@@ -376,6 +376,20 @@ def theme_matches_regex(spark, sf):
     return TH.theme_matches_regex(TB.marked_documents(spark, sf), THEME_LIST)
 
 
+@query("theme_dictionary_matches", sql=f"""WITH {MARKED}, bw AS (SELECT {W('lower(text)')} AS ws FROM benchmark),
+ph AS (SELECT DISTINCT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS keyword FROM bw UNION SELECT 'na' UNION SELECT 'truth'),
+ac AS (SELECT doc_id, text, keyword, string_split(lower(text), keyword) AS a FROM m JOIN ph ON contains(lower(text), keyword)),
+oc AS (SELECT doc_id, text, keyword, unnest(range(1, len(a))) AS i, a FROM ac), rx AS (SELECT doc_id, text, keyword, list_sum(list_transform(a[1:i], lambda z: length(z)))::BIGINT + (i - 1) * length(keyword) AS start_pos FROM oc)
+SELECT doc_id, keyword, start_pos, start_pos + length(keyword) AS end_pos, 0.5::DOUBLE AS confidence, substr(text, start_pos + 1, length(keyword)) AS matched_text,
+  len(regexp_extract_all(substr(text, 1, start_pos), '[.!?]')) AS sentence_index, len(regexp_extract_all(substr(text, 1, start_pos), '\\n\\n')) AS paragraph_index FROM rx""")
+def theme_dictionary_matches(spark, sf):
+    """All word pairs of the benchmark texts, and two short themes, as one dictionary over all documents."""
+    words = T.words(F.lower(F.col("text")))
+    pairs = TB.table(spark, sf, "benchmark").select(F.explode(T.bigrams(words)).alias("keyword"))
+    short = spark.createDataFrame([("na",), ("truth",)], "keyword string")
+    return TH.dictionary_hits(TB.marked_documents(spark, sf), pairs.unionByName(short)).drop("context_before", "context_after")
+
+
 @query("theme_confidence", sql=f"""WITH {MARKED}, {TM_SQL}, h AS (SELECT doc_id, keyword, sentence_index, substr(sentence, strpos(lower(sentence), lower(keyword)), length(keyword)) AS matched_text, full_chunk FROM tm),
 g AS (SELECT *, strpos(full_chunk, matched_text) - 1 AS at0 FROM h)
 SELECT doc_id, keyword, sentence_index, matched_text, CASE WHEN lower(matched_text) = lower(keyword) THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, {trim('full_chunk')} AS full_chunk FROM g""")

@@ -171,6 +171,35 @@ QA_TEXT = ("Q: What is the purpose of this thing?\nA: It exists so that we can t
            "Alice: Where do the rivers finally go?\nBob: They all go down to the wide sea.")
 
 
+def test_dictionary_hits_are_those_of_plain_search(spark):
+    """Short and long phrases, phrases inside others and over themselves, case, signs outside the basic plane, null and empty texts and phrases."""
+    draw = random.Random(11)
+    rows = ["".join(draw.choice("abA é😀.\n") for _ in range(draw.randint(0, 150))) for _ in range(60)] + ["", None, "aaaa aaaaa", "Ab" * 30]
+    phrases = ["a", "aa", "ab", "b a", "é", "😀", "aba", "ababababab", "A b", "", None, "aa", "not there at all", "\n\n"] + [rows[k][3:3 + n] for k in range(8) for n in (4, 9, 20)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    words = spark.createDataFrame([(p,) for p in phrases], "keyword string")
+    for case in (False, True):
+        low = (lambda x: x) if case else str.lower
+        got = sorted((r.doc_id, r.keyword, r.start_pos, r.end_pos, r.matched_text, r.sentence_index, r.paragraph_index) for r in TH.dictionary_hits(df, words, case).collect())
+        want = [(i, p, m.start(), m.end(), m[0], sum(x in ".!?" for x in t[:m.start()]), t[:m.start()].count("\n\n"))
+                for i, t in enumerate(rows) if t for p in {p for p in phrases if p} for m in re.finditer(re.escape(low(p)), low(t))]
+        want = [(i, p, s, e, rows[i][s:e], a, b) for i, p, s, e, _, a, b in want]
+        assert got == sorted(want) and got
+    assert TH.dictionary_hits(df, words.limit(0)).count() == 0
+
+
+def test_ten_thousand_phrases_in_one_pass(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 6)))
+    rows = [" ".join(word() for _ in range(400)) for _ in range(40)]
+    phrases = sorted({" ".join(word() for _ in range(2)) for _ in range(10_000)} | {" ".join(t.split()[5:8]) for t in rows})
+    hits = TH.dictionary_hits(texts(spark, rows).withColumn("doc_id", F.xxhash64("text")), spark.createDataFrame([(p,) for p in phrases], "keyword string"))
+    found = {p for p in phrases if any(p in t for t in rows)}
+    assert {r.keyword for r in hits.collect()} == found and len(found) >= 40 and len(phrases) > 9_900
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def brute_segments(text, patterns):
     """Spans taken pattern by pattern, each unless it meets one taken before."""
     taken = []
