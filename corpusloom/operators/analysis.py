@@ -29,18 +29,28 @@ def analyze_content(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def analyze_semantics(chunks: DataFrame, col: str = "text") -> DataFrame:
-    """Per document: chunk means, themes across chunks, coherence, relations and shared concepts."""
-    scored = S.with_semantics(chunks, col)
-    per_doc = scored.groupBy("doc_id").agg(
+    """Per document: chunk means, themes across chunks, coherence, relations and shared concepts.
+
+    Each chunk is read once.  What crosses to its document are figures and its short lists of themes and concepts, never its text; what they
+    have in common is worked out in the row of the document.
+    """
+    c = F.col(col)
+    pairs_of = lambda s: T.let(F.size(T.labeled_entities(s)), lambda n: (n * (n - 1) / 2).cast("bigint"))
+    scored = (S.with_semantics(chunks, col).withColumn("_pairs", F.aggregate(T.sentences(c), F.lit(0).cast("bigint"), lambda a, s: a + pairs_of(s)))
+              .withColumn("_themes", F.transform(T.themes(c), lambda t: t["theme"])).withColumn("_concepts", T.concepts(c)))
+    docs = scored.groupBy("doc_id").agg(
         F.count("*").alias("chunks"), F.avg("semantic_score").alias("mean_score"), F.avg("context_relevance").alias("mean_relevance"),
-        F.max("intensity").alias("peak_intensity"), F.sum("n_entities").alias("entities"))
-    themes = GR.global_themes(chunks, col).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("theme")), "|").alias("global_themes"))
-    edges = GR.entity_cooccurrence(chunks, col).groupBy("doc_id").agg(F.count("*").alias("relations"))
-    groups = GR.concept_clusters(chunks, col).groupBy("doc_id").agg(F.count("*").alias("concept_clusters"))
-    out = per_doc.join(GR.theme_coherence(chunks, col), "doc_id")
-    for extra in (themes, edges, groups):
-        out = out.join(extra, "doc_id", "left")
-    return out.fillna({"global_themes": "", "relations": 0, "concept_clusters": 0})
+        F.max("intensity").alias("peak_intensity"), F.sum("n_entities").alias("entities"), F.sum("_pairs").alias("relations"),
+        F.flatten(F.collect_list("_themes")).alias("_themes"), F.collect_list("_concepts").alias("_concepts"))
+    docs = docs.withColumn("_t", T.tally(F.col("_themes"))).withColumn("_k", T.tally(F.flatten("_concepts")))
+    most, n = F.array_max(F.transform("_t", lambda r: r["n"])), F.col("chunks")
+    wide = F.filter("_t", lambda r: r["n"] >= F.greatest(F.lit(2.0), n * 0.2))
+    shared = F.transform(F.filter("_k", lambda r: r["n"] >= 2), lambda r: r["value"])
+    grouped = T.let(shared, lambda k: F.size(F.filter("_concepts", lambda held: F.size(F.array_intersect(held, k)) >= 2)))
+    return docs.select(
+        "doc_id", "chunks", "mean_score", "mean_relevance", "peak_intensity", "entities",
+        F.when(n < 2, F.lit(1.0)).when(most.isNull(), F.lit(0.5)).otherwise(F.least(most / n, F.lit(1.0))).alias("coherence"),
+        F.array_join(F.array_sort(F.transform(wide, lambda r: r["value"])), "|").alias("global_themes"), "relations", grouped.alias("concept_clusters"))
 
 
 def analyze_chunks(chunks: DataFrame, col: str = "text") -> DataFrame:

@@ -59,11 +59,11 @@ def transformation_hints(c: Column, kind: str) -> Column:
 
 
 def key_context(df: DataFrame, col: str = "text") -> DataFrame:
-    """Complexity, sentiment, main topics, structure and style of each text."""
-    topics = TH.top_phrases(df, 5, col).groupBy("doc_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda r: r["phrase"]), "|").alias("main_topics"))
+    """Complexity, sentiment, main topics, structure and style of each text, all from its own row; no topics are null."""
+    pairs = T.bigrams(T.words(F.lower(F.col(col))))
+    topics = T.let(pairs, lambda g: F.transform(TH.ranked_pairs(g, 5), lambda r: r["phrase"]))
     return df.select("doc_id", F.col("complexity").alias("complexity_level"), F.col("polarity").alias("sentiment"),
-                     "structure_type", "discourse_style").join(topics, "doc_id", "left")
+                     "structure_type", "discourse_style", T.let(topics, lambda t: F.when(F.size(t) > 0, F.array_join(t, "|"))).alias("main_topics"))
 
 
 def preservation_notes(df: DataFrame, col: str = "text") -> DataFrame:

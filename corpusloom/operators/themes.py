@@ -190,12 +190,16 @@ def custom_patterns(df: DataFrame, patterns: dict[str, str], col: str = "text")
     return _with_context(df.select("doc_id", F.col(col).alias("_t"), F.inline(found)))
 
 
+def ranked_pairs(grams: Column, keep: int) -> Column:
+    """The most frequent word pairs of an array of them, as array<struct<neg,phrase>>: minus the count, then the pair."""
+    counts = F.filter(T.tally(grams), lambda r: F.length(r["value"]) > 2)
+    return F.slice(F.sort_array(F.transform(counts, lambda r: F.struct((-r["n"]).alias("neg"), r["value"].alias("phrase")))), 1, keep)
+
+
 def top_phrases(df: DataFrame, keep: int = 10, col: str = "text") -> DataFrame:
     """Most frequent word pairs per document with their share, counted inside the row: no shuffle."""
     d = df.select("doc_id", T.bigrams(T.words(F.lower(F.col(col)))).alias("_g"))
-    counts = F.filter(T.tally(F.col("_g")), lambda r: F.length(r["value"]) > 2)
-    ranked = F.array_sort(F.transform(counts, lambda r: F.struct((-r["n"]).alias("neg"), r["value"].alias("phrase"))))
-    return d.select("doc_id", F.size("_g").alias("_n"), F.posexplode(F.slice(ranked, 1, keep)).alias("_i", "_r")).select(
+    return d.select("doc_id", F.size("_g").alias("_n"), F.posexplode(ranked_pairs(F.col("_g"), keep)).alias("_i", "_r")).select(
         "doc_id", (F.col("_i") + 1).alias("rank"), "_r.phrase", (-F.col("_r.neg")).alias("frequency"),
         F.least(-F.col("_r.neg") / F.col("_n"), F.lit(1.0)).alias("importance"))
 

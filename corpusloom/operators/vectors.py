@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import pairs as PF, text as T
+from corpusloom.plans.skew import attach
 
 
 def hashed_tf(df: DataFrame, dims: int = 100, col: str = "text") -> DataFrame:
@@ -140,8 +141,42 @@ def nearest_centre(df: DataFrame, centres: DataFrame, key: str, vec: str = "embe
     return best.select(key, F.col("_b.centre").alias("centre"), F.col("_b.similarity").alias("similarity"))
 
 
+def lloyd_clusters(df: DataFrame, key: str, k: int = 5, vec: str = "embedding", steps: int = 10) -> DataFrame:
+    """k-means by Lloyd's steps from the ``k`` vectors of smallest key: key, cluster, similarity_to_centre, and the inertia as a column.
+
+    A step assigns each vector to its nearest centre inside its row (the first of equally near ones) and takes the means, of which ``k`` vectors reach
+    the driver; a centre that nobody is nearest to stays.  Steps end early when no centre moves.  Vectors that are null or of another dimension
+    than the first are left out.
+    """
+    v = df.select(key, F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+    centres = [list(r["_v"]) for r in v.orderBy(key).limit(k).collect()]
+    if not centres:
+        return v.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity_to_centre"), F.lit(0.0).alias("inertia"))
+    dims = len(centres[0])
+    centres = [c for c in centres if len(c) == dims]
+    v = v.filter(F.size("_v") == dims)
+
+    def assigned(now: list[list[float]]) -> DataFrame:
+        literal = F.split(F.lit(";".join(",".join(map(repr, c)) for c in now)), ";")
+        held = F.transform(literal, lambda c: F.split(c, ",").cast("array<double>"))  # a constant for the optimizer
+        apart = lambda c: F.aggregate(F.zip_with("_v", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+        near = F.array_min(F.transform(held, lambda c, i: F.struct(apart(c).alias("d"), i.alias("i"), c.alias("c"))))
+        return v.withColumn("_b", near)
+
+    for _ in range(steps):
+        means = assigned(centres).groupBy(F.col("_b.i").alias("i")).agg(*[F.avg(F.get("_v", F.lit(j))).alias(f"m{j}") for j in range(dims)]).collect()
+        new = list(centres)
+        for r in means:
+            new[r["i"]] = [r[f"m{j}"] for j in range(dims)]
+        if new == centres:
+            break
+        centres = new
+    out = assigned(centres).select(key, F.col("_b.i").alias("cluster"), PF.cosine(F.col("_v"), F.col("_b.c")).alias("similarity_to_centre"), F.col("_b.d").alias("_d"))
+    return attach(out, out.agg(F.sum("_d").alias("inertia"))).drop("_d")
+
+
 def cluster_vectors(df: DataFrame, key: str, k: int = 5, vec: str = "embedding", seed: int = 42) -> DataFrame:
-    """k-means cluster of every vector with its cosine to the centre; the inertia of the model is a column."""
+    """The same by Spark ML's k-means with its own first centres; the inertia of the model is a column."""
     d = df.select(key, F.col(vec).alias("_e"), array_to_vector(F.col(vec)).alias("features"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(d)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])

@@ -338,8 +338,28 @@ def semantic_coherence(spark, sf):
     return VE.neighbour_coherence(vector_docs(spark, sf), ["doc"], "vec_id")
 
 
-@query("cluster_texts")
+LLOYD_STEPS = 4
+
+
+def _lloyd_sql():
+    steps = ["e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)", "c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cluster, v AS c FROM (SELECT * FROM e ORDER BY vec_id LIMIT 5))"]
+    for t in range(LLOYD_STEPS + 1):
+        steps.append(f"a{t} AS (SELECT vec_id, any_value(v) AS v, min((list_distance(v, c), cluster)) AS b FROM e, c{t} GROUP BY 1)")
+        if t < LLOYD_STEPS:
+            steps.append(f"""u{t} AS (SELECT b[2] AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{t}), w{t} AS (SELECT cluster, i, avg(x) AS m FROM u{t} GROUP BY 1, 2),
+n{t} AS (SELECT cluster, list(m ORDER BY i) AS c FROM w{t} GROUP BY 1), c{t + 1} AS (SELECT c{t}.cluster, coalesce(n{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN n{t} USING (cluster))""")
+    return ", ".join(steps)
+
+
+@query("cluster_texts", sql=f"""WITH {_lloyd_sql()} SELECT vec_id, b[2] AS cluster, {R('list_cosine_similarity(v, c)')} AS similarity_to_centre, {R(f'(SELECT sum(pow(b[1], 2)) FROM a{LLOYD_STEPS})')} AS inertia
+FROM a{LLOYD_STEPS} JOIN c{LLOYD_STEPS} ON cluster = b[2]""")
 def cluster_texts(spark, sf):
+    return VE.lloyd_clusters(TB.table(spark, sf, "embeddings"), "vec_id", 5, steps=LLOYD_STEPS)
+
+
+@query("cluster_texts_ml")
+def cluster_texts_ml(spark, sf):
+    """The same by Spark ML, whose random first centres no twin can follow."""
     return VE.cluster_vectors(TB.table(spark, sf, "embeddings"), "vec_id", 5)
 
 

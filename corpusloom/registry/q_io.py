@@ -14,13 +14,13 @@ from corpusloom.session import scratch
 from corpusloom.sources import readers as RD, tables as TB
 
 
-@query("read_text_corpus", sql="SELECT sum(length(text) + 1)::BIGINT AS n_chars, sum(length(replace(text, 'e', '')) + 1)::BIGINT AS n_without_e FROM documents")
+@query("read_text_corpus", sql="SELECT doc_id, length(text) + 1 AS n_chars, md5(text || chr(10)) AS md5 FROM documents")
 def read_text_corpus(spark, sf):
-    """All texts written as text files by Spark, then read back whole file by whole file."""
+    """Every text written as a file of its own by Spark, then read back file by file."""
     path = scratch(spark, "corpus")
-    TB.documents(spark, sf).select("text").write.text(path)
-    return RD.read_text_corpus(spark, path).agg(
-        F.sum("n_chars").alias("n_chars"), F.sum(F.length(F.replace("text", F.lit("e"), F.lit("")))).alias("n_without_e"))
+    TB.table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    files = RD.read_text_corpus(spark, path)
+    return files.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"), "n_chars", F.md5("text").alias("md5"))
 
 
 PAGE_NAMES = [".html", ".PDF", ".txt", ".epub", ""]
@@ -113,9 +113,9 @@ def export_json(spark, sf):
     return spark.read.schema("id string, format_type string, input_text string, output_text string, quality_score double").json(f"{path}/content")
 
 
-@query("export_jsonl", sql="""SELECT '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}' AS line FROM documents""")
+@query("export_jsonl", sql="""SELECT '{"doc_id":' || doc_id || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"lang":"' || lang || '","n_chars":' || n_chars || '}' AS line FROM documents""")
 def export_jsonl(spark, sf):
-    return EXP.jsonl(TB.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"))
+    return EXP.jsonl(TB.table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars"))
 
 
 @query("export_csv", sql=f"SELECT doc_id, text, len(string_split(text, chr(10))) AS lines, to_json({W('text')}[1:3])::VARCHAR AS first_words FROM documents")
@@ -148,17 +148,23 @@ def export_grouped_markdown(spark, sf):
         "format_type", "id", F.length("block").alias("n_chars"), F.md5("block").alias("md5"))
 
 
-@query("export_bundle", sql=f"""{NUM}, b AS (SELECT item_no, '### Item ' || item_no || chr(10) || chr(10) || '**Input:** ' || input_text || chr(10) || chr(10) || '**Output:** ' || output_text || chr(10) || chr(10) || '*Quality Score: x*' || chr(10) || chr(10) || '---' || chr(10) AS md,
- 'ITEM ' || item_no || chr(10) || '-' || chr(10) || chr(10) || 'INPUT: ' || input_text || chr(10) || chr(10) || 'OUTPUT: ' || output_text || chr(10) || chr(10) AS tx FROM nr)
-SELECT 'json' AS format, count(*) AS lines FROM b UNION ALL SELECT 'markdown', sum(length(md) - length(replace(md, chr(10), '')) + 1)::BIGINT FROM b UNION ALL SELECT 'txt', sum(length(tx) - length(replace(tx, chr(10), '')) + 1)::BIGINT FROM b""")
+@query("export_bundle", sql=f"""{NUM}, b AS (SELECT '### Item ' || item_no || chr(10) || chr(10) || '**Input:** ' || input_text || chr(10) || chr(10) || '**Output:** ' || output_text || chr(10) || chr(10) || '*Quality Score: ' || printf('%.2f', quality_score) || '*' || chr(10) || chr(10) || '---' || chr(10) AS md,
+ 'ITEM ' || item_no || chr(10) || '--------------------' || chr(10) || chr(10) || 'INPUT: ' || input_text || chr(10) || chr(10) || 'OUTPUT: ' || output_text || chr(10) || chr(10) AS tx, id || chr(10) || format_type || chr(10) || input_text || chr(10) || output_text AS fields FROM nr),
+l AS (SELECT 'json' AS format, fields AS v FROM b UNION ALL SELECT 'csv', fields FROM b UNION ALL SELECT 'markdown', unnest(string_split(md, chr(10))) FROM b UNION ALL SELECT 'txt', unnest(string_split(tx, chr(10))) FROM b)
+SELECT format, count(*) AS lines, sum(('0x' || left(md5(v), 8))::BIGINT)::BIGINT AS checksum FROM l GROUP BY 1""")
 def export_bundle(spark, sf):
+    """Four formats written, read back and compared by content: rows of json and csv, lines of markdown and text."""
     path = scratch(spark, "bundle")
-    EXP.write_bundle(_recs(spark, sf), path, ["id"])
-    counts = [spark.read.text(f"{path}/{f}").agg(F.count("*").alias("lines")).select(F.lit(f).alias("format"), "lines") for f in ("json", "markdown", "txt")]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    rows = _recs(spark, sf).select("id", "format_type", "input_text", "output_text", "quality_score")
+    EXP.write_bundle(rows, path, ["id"])
+    fields = F.concat_ws("\n", "id", "format_type", "input_text", "output_text")
+    kind = "id string, format_type string, input_text string, output_text string, quality_score double"
+    back = {"json": spark.read.schema(kind).json(f"{path}/json").select(fields.alias("v")),
+            "csv": spark.read.options(header=True, multiLine=True, escape='"').schema(kind).csv(f"{path}/csv").select(fields.alias("v")),
+            **{f: spark.read.text(f"{path}/{f}").select(F.col("value").alias("v")) for f in ("markdown", "txt")}}
+    lines = [d.select(F.lit(f).alias("format"), "v") for f, d in back.items()]
+    every = lines[0].unionByName(lines[1]).unionByName(lines[2]).unionByName(lines[3])
+    return every.groupBy("format").agg(F.count("*").alias("lines"), F.sum(F.conv(F.left(F.md5("v"), F.lit(8)), 16, 10).cast("bigint")).alias("checksum"))
 
 
 @query("export_history", sql=f"""WITH {REFV} SELECT content_id, version, '## Version ' || version || chr(10) || chr(10) || '**Refinement Type:** ' || refinement_type || chr(10) || chr(10) || '**Quality Improvement:** +' || printf('%.1f', round_even(round(quality_gain * 100, 6), 1)) || '%' || chr(10) || chr(10) || '**Content:**' || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS block FROM rv""")
@@ -174,10 +180,9 @@ def export_chunks_for_ai(spark, sf):
                                               "quality_scores.coherence_score", "quality_scores.readability_score")
 
 
-@query("export_preview", sql="""SELECT doc_id, CASE WHEN length(l) > 60 THEN substr(l, 1, 60) || '...' ELSE l END AS preview FROM (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || ',"again":"' || repeat(source, 5) || '"}' AS l FROM documents ORDER BY doc_id LIMIT 3)""")
+@query("export_preview", sql="""SELECT doc_id, CASE WHEN length(l) > 1000 THEN substr(l, 1, 1000) || '...' ELSE l END AS preview FROM (SELECT doc_id, '{"doc_id":' || doc_id || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}' AS l FROM documents ORDER BY doc_id LIMIT 3)""")
 def export_preview(spark, sf):
-    d = TB.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.repeat("source", F.lit(5)).alias("again"))
-    return EXP.preview(d, ["doc_id"], 3, 60)
+    return EXP.preview(TB.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), ["doc_id"], 3)
 
 
 @query("export_size_estimate", sql="""WITH l AS (SELECT length('{"doc_id":' || doc_id || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS n FROM documents)

@@ -419,6 +419,28 @@ def test_related_chunks_form_only_pairs_of_near_rings(spark, monkeypatch):
     assert VE.related_chunks(df.limit(0), ["doc"], "k").count() == 0
 
 
+def test_lloyd_steps_are_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 4)) + 4 * np.eye(4)[np.arange(90) % 3]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(200, None), (201, [1.0])]
+    df = spark.createDataFrame(rows, "k long, embedding array<double>")
+    c = v[:3]
+    for _ in range(6):
+        near = ((v[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        c = np.array([v[near == j].mean(axis=0) for j in range(3)])
+    apart = ((v[:, None] - c) ** 2).sum(axis=2)
+    got = {r.k: r for r in VE.lloyd_clusters(df, "k", 3, steps=6).collect()}
+    assert {k: r.cluster for k, r in got.items()} == dict(enumerate(apart.argmin(axis=1)))
+    assert got[0].inertia == pytest.approx(apart.min(axis=1).sum()) and VE.lloyd_clusters(df.limit(0), "k").count() == 0
+
+
+def test_semantics_of_documents_take_one_scan(spark, sf):
+    from corpusloom.operators import analysis as AN
+    from corpusloom.registry.q_clean import para_chunks
+    plan = AN.analyze_semantics(para_chunks(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and plan.count("Aggregate [doc_id") == 1
+
+
 def test_dependencies_are_the_closure_of_links(spark):
     draw = random.Random(9)
     names = ["Ada Lovelace", "Alan Turing", "Grace Hopper", "Kurt Godel"]
