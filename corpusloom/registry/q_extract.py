@@ -20,7 +20,7 @@ qt AS (SELECT *, ql || u || chr(10) || al || a || chr(10) || chr(10) || 'As a cl
 
 # whole documents as dialogues: blocks with the span that is expected of each
 _LEADS = [lst([s[k] for s in TB.DIALOGUE_STYLES]) for k in (0, 1)]
-DIALOGUE = rf"""dl AS (SELECT doc_id, doc_id % 10 AS kind, [y FOR y IN [{trim("regexp_replace(x, '[\s:—\-?0-9]+', ' ', 'g')")} FOR x IN string_split(coalesce(text, ''), chr(10))] IF y <> ''] AS ls FROM documents),
+DIALOGUE = rf"""dl AS (SELECT doc_id, doc_id % 10 AS kind, [y FOR y IN [{trim("regexp_replace(x, '[\\s:—\\-?0-9]+', ' ', 'g')")} FOR x IN string_split(coalesce(text, ''), chr(10))] IF y <> ''] AS ls FROM documents),
 dm AS (SELECT * FROM dl WHERE len(ls) > 1 AND kind < 8), dk AS (SELECT doc_id, ls, unnest(range(0, len(ls) // 2)) AS k FROM dm),
 dq AS (SELECT doc_id, kind, list_aggregate(ls[1:len(ls) - 1], 'string_agg', ' ') || '?' AS u, ls[len(ls)] AS a FROM dl WHERE len(ls) > 1 AND kind > 7),
 bl AS (SELECT doc_id, k, (doc_id + k) % 8 AS style, ls[2 * k + 1] AS u, ls[2 * k + 2] AS a, {_LEADS[0]}[(doc_id + k) % 8 + 1] || ls[2 * k + 1] || chr(10) || {_LEADS[1]}[(doc_id + k) % 8 + 1] || ls[2 * k + 2] AS block FROM dk
