@@ -88,15 +88,19 @@ def _fold(rows: Column, level: int) -> Column:
 def pivotal_copies(rows: DataFrame, key: list[str], seed: int = 7) -> DataFrame:
     """Add ``copies`` to rows that carry source, size and rate (copies due); the sum of copies and of words stays near what is due.
 
-    ``key`` names the columns that tell records apart; equal records are interchangeable.  Reruns agree since every
-    draw is a hash of seed, level and key.  All columns travel along, so nothing is joined back.
+    ``key`` names the columns that tell records apart.  Equal records are one record of the tree, due as many times the copies, and share out what it
+    takes; so no group of them meets in a task.  Reruns agree since every draw is a hash of seed, level and key.  Only hashes and sizes go through
+    the tree; the other columns meet their copies in a join at the end.
     """
-    spark = rows.sparkSession
+    of = ["source", "size", *key]
+    marked = [*[F.isnull(c) for c in of], *of]
+    rows = rows.withColumn("_a", F.xxhash64(F.lit(1), *marked)).withColumn("_b", F.xxhash64(F.lit(2), *marked))
+    start = rows.groupBy("source", "size", "_a", "_b").agg(F.count("*").alias("_c"), F.max("rate").alias("rate")).withColumn("rate", F.col("rate") * F.col("_c"))
     whole = F.floor("rate")
-    start = (rows.withColumn("_base", whole.cast("long")).withColumn("_p", F.col("rate") - whole)
+    start = (start.withColumn("_base", whole.cast("long")).withColumn("_p", F.col("rate") - whole)
              .withColumn("_p", F.when(F.col("_p") < EPS, 0.0).when(F.col("_p") > 1 - EPS, 1.0).otherwise(F.col("_p"))))
-    pack = F.struct(*[F.col(c) for c in start.columns if c != "_p"])
-    todo = start.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.xxhash64(F.lit(seed), *key).alias("_h"), "_p", pack.alias("_row"))
+    todo = start.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.xxhash64(F.lit(seed), "_a", "_b").alias("_h"), "_p", F.struct("_a", "_b", "_c", "_base").alias("_row"))
+    todo = stored(todo, "pivotal-records")
     done, level = [], 0
     while True:
         # strata of like size: an eighth of a doubling at the leaves, doublings above, then the whole source
@@ -124,7 +128,10 @@ def pivotal_copies(rows: DataFrame, key: list[str], seed: int = 7) -> DataFrame:
         level += 1
     last = todo.withColumn("_p", (_uniform(F.lit(seed), F.lit(-1), "_h") < F.col("_p")).cast("double"))
     out = reduce(DataFrame.unionByName, [*done, last])
-    return out.select("_row.*", (F.col("_row._base") + F.col("_p").cast("long")).alias("copies")).drop("_base")
+    taken = out.select("_row._a", "_row._b", "_row._c", (F.col("_row._base") + F.col("_p").cast("long")).alias("_t"))
+    nth = F.row_number().over(W.partitionBy("_a", "_b").orderBy(F.lit(0)))
+    share = F.floor(F.col("_t") / F.col("_c")) + F.when(nth <= F.col("_t") % F.col("_c"), 1).otherwise(0)
+    return rows.join(taken, ["_a", "_b"]).withColumn("copies", share.cast("long")).drop("_a", "_b", "_c", "_t")
 
 
 def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", key: list[str] | None = None) -> DataFrame:

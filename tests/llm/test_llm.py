@@ -155,6 +155,15 @@ def test_mix_edges(edge, none):
     assert mixing.mix(none, [1]).count() == 0
 
 
+def test_equal_records_share_out_their_copies(spark):
+    """A record that is repeated a thousand times takes what it is due as a whole, and its rows differ by one copy at most."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("k"), F.when(F.col("id") % 2 == 5, F.lit("s")).alias("source"),
+                                    F.lit(4).cast("long").alias("size"), F.lit(1.25).alias("rate"), F.lit("kept").alias("other"))
+    got = mixing.pivotal_copies(rows, ["k"]).toPandas()
+    assert len(got) == 3000 and set(got["copies"]) == {1, 2} and set(got["other"]) == {"kept"}
+    assert got[got["k"] == 7]["copies"].sum() == 1250 and abs(got["copies"].sum() - 3750) <= 1
+
+
 def test_pivotal_counts_are_kept(spark):
     rows = spark.range(5000).select(F.col("id"), F.lit("s").alias("source"), (F.col("id") % 50 + 1).alias("size"), F.lit(0.3).alias("rate"))
     got = mixing.pivotal_copies(rows, ["id"]).select("size", "copies").toPandas()
