@@ -601,6 +601,56 @@ def test_deep_branches(spark):
     assert all(r["reply_to"] == r["turn"] - 2 for r in got if r["turn"] >= 2)
 
 
+def brute_threads(rows):
+    """reply_to, n_linked, depth and place of each (conversation, turn), by nested loops over the turns of each conversation."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = {t: quoting.parse(text or "") for c, t, _, text in rows if c == conv}
+        anchor, path, reply, linked = None, {}, {}, {}
+        for t in sorted(turns):
+            found = []
+            for level, _, units in turns[t][2]:
+                votes = Counter(first for u in units if (first := min((x for x in turns if u in turns[x][1]), default=t)) < t)
+                if votes:
+                    run = [x for x in sorted(turns) if x < t and any(turns[x][1][i:i + len(units)] == units for i in range(len(turns[x][1])))]
+                    said = run[0] if run and len(units) > 1 else max(votes, key=lambda x: (votes[x], x))
+                    found.append((level, -said))
+            linked[t] = len(found)
+            to = -min(found)[1] if found else None
+            if to is not None and to != t - 1:
+                anchor = to
+            reply[t] = to if to is not None else t - 1 if t > 0 else None
+            path[t] = [*(path[anchor] if anchor is not None else []), t]
+        for place, t in enumerate(sorted(turns, key=path.get)):
+            out[conv, t] = (reply[t], linked[t], len(path[t]) - 1, place + 1)
+    return out
+
+
+def test_random_threads_are_linked_as_by_nested_loops(spark):
+    """Few stock sentences, so most are said many times; quotes of whole turns, of parts, of several turns and of nobody, nested; one conversation holds a third."""
+    draw = random.Random(21)
+    sentence = lambda: f"{draw.choice('No Yes Well Then'.split())} {draw.choice('we go they stay it rains'.split())}."
+    rows = []
+    for conv in [None, *range(25)]:
+        said = []
+        for t in range(120 if conv == 3 else draw.randint(1, 14)):
+            lines = []
+            for _ in range(draw.choice([0, 0, 1, 1, 2])):
+                source = draw.choice(said) if said and draw.random() < 0.9 else [sentence()]
+                a = draw.randrange(len(source))
+                part = source[a:a + draw.randint(1, 4)] or source
+                sign = ">" * draw.randint(1, 3)
+                lines += [f"{sign} {x.upper() if draw.random() < 0.2 else x}" for x in part] + ["---"] * draw.randint(0, 1)
+            mine = [sentence() for _ in range(draw.randint(1, 5))]
+            said.append(mine)
+            rows.append((conv, t, draw.choice(["user", None]), "\n".join([*lines, " ".join(mine)])))
+    rows += [(90, 0, "user", "Long words. " * 30_000), (90, 1, "user", "> Long words. Long words.\nSo it is."), (91, 0, "user", ""), (91, 1, "user", "> \n>\n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("x")).withColumn("units", F.lit(1))
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_linked"], r["depth"], r["place"]) for r in quoting.linked_conversations(df).collect()}
+    want = brute_threads(rows)
+    assert got == want and sum(w[1] for w in want.values()) > 100 and max(w[2] for w in want.values()) > 2
+
+
 # the pipeline
 
 
