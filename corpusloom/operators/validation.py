@@ -116,19 +116,25 @@ def validate_export(df: DataFrame, big_row: int = 100_000, big_total: int = 50 *
                     F.when(F.col("total_entries") == 0, F.lit(0.0)).otherwise(S.clip(F.lit(1.0) - n_warn * 0.1)).alias("score"))
 
 
-def _category(name: str, df: DataFrame) -> DataFrame:
-    return df.agg(F.lit(name).alias("category"), F.avg("score").alias("score"), F.sum(F.size("issues")).alias("issues"),
-                  F.sum(F.size("warnings")).alias("warnings"), F.bool_and("is_valid").alias("is_valid"), F.count("*").alias("entries"))
-
-
 def validate_dataset(df: DataFrame) -> DataFrame:
-    """One row per check: record format, content integrity, dialogue format."""
-    fmt = record_report(df).select(F.lit("training_format").alias("category"), "score", F.col("invalid_entries").alias("issues"),
-                                   "warnings", "is_valid", F.col("total_entries").alias("entries"))
-    filled = df.withColumn("original_content", F.coalesce("original_content", F.lit(""))).withColumn("gpt_output", F.coalesce("gpt_output", F.lit("")))
-    integrity = _category("content_integrity", validate_integrity(filled, "original_content", "gpt_output"))
-    dialogue = _category("dialogue_format", validate_dialogue(df.filter("gpt_output <> ''"), "gpt_output"))
-    return fmt.unionByName(integrity).unionByName(dialogue)
+    """One row per check: record format, content integrity, dialogue format; the records are read once and all figures come from one aggregate."""
+    checked = ["issues", "warnings", "score", "is_valid"]
+    told = validate_records(df)
+    fields = told.columns
+    filled = told.withColumn("original_content", F.coalesce("original_content", F.lit(""))).withColumn("gpt_output", F.coalesce("gpt_output", F.lit("")))
+    d = validate_integrity(filled, "original_content", "gpt_output").select(*fields, F.struct(*checked).alias("_integrity"))
+    d = validate_dialogue(d, "gpt_output").select("issue", "warning", "_integrity", F.when(F.col("gpt_output") != "", F.struct(*checked)).alias("_dialogue"))
+
+    def figures(c: str):
+        return F.struct(F.avg(f"{c}.score").alias("score"), F.sum(F.size(f"{c}.issues")).alias("issues"), F.sum(F.size(f"{c}.warnings")).alias("warnings"),
+                        F.bool_and(f"{c}.is_valid").alias("is_valid"), F.count(c).alias("entries"))
+
+    n, bad = F.count("*"), F.count("issue")
+    g = d.agg(F.struct(T.ratio(n - bad, n).alias("score"), bad.alias("issues"), F.count("warning").alias("warnings"), (bad == 0).alias("is_valid"), n.alias("entries")).alias("training_format"),
+              figures("_integrity").alias("content_integrity"), figures("_dialogue").alias("dialogue_format"))
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), *[F.col(f"{c}.{x}").alias(x) for x in ("score", "issues", "warnings", "is_valid", "entries")])
+                     for c in ("training_format", "content_integrity", "dialogue_format")])
+    return g.select(F.inline(rows))
 
 
 # fixed values: recommendation bands
