@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed_values as FV
 from corpusloom.functions import language as LG, pairs as PF, scores as SC, text as T
 from corpusloom.operators import analysis as AN, cleaning as CL, oplog as OL, preparation as PR, themes as TH, vectors as VE
-from corpusloom.registry.core import query
+from corpusloom.registry.core import ORACLES, query
 from corpusloom.registry.q_clean import MARKED, TONE, para_chunks, PARA_CHUNKS
 from corpusloom.registry.q_extract import (CT_PICK, DOUBLED, ENTITIES, THEMES, LANG, LCONF, LFAM, LNAMES, LSCR, PHR, POLY, GRAMS, content_sql,
                                            example_sql, mono_sql, poly, qa_sql, surface)
@@ -497,9 +497,24 @@ def preparation_metadata(spark, sf):
 
 # --- composed analyses --------------------------------------------------------------------------------------
 
-@query("analyze_content")
+def _analysis_sql():
+    """The twins of the single analyses, joined by document."""
+    of = {k: f"({ORACLES[k]})" for k in ("text_stats", "sentiment", "complexity", "structure_type", "discourse_style", "sentence_types", "extract_labeled_entities", "identify_themes", "phrase_importance")}
+    return f"""WITH e AS (SELECT doc_id, string_agg(label || ':' || start || ':' || text, '|' ORDER BY label || ':' || start || ':' || text) AS entities FROM {of['extract_labeled_entities']} GROUP BY 1),
+t AS (SELECT doc_id, string_agg(theme, '|' ORDER BY rank) AS topics FROM {of['identify_themes']} GROUP BY 1), k AS (SELECT doc_id, string_agg(phrase, '|' ORDER BY rank) AS key_phrases FROM {of['phrase_importance']} GROUP BY 1)
+SELECT doc_id, chars, words, sentences, coalesce(entities, '') AS entities, structure_type, interrogative, exclamatory, declarative, coalesce(topics, '') AS topics, polarity, subjectivity, complexity,
+  coalesce(key_phrases, '') AS key_phrases, discourse_style
+FROM {of['text_stats']} JOIN {of['sentiment']} USING (doc_id) JOIN {of['complexity']} USING (doc_id) JOIN {of['structure_type']} USING (doc_id) JOIN {of['discourse_style']} USING (doc_id) JOIN {of['sentence_types']} USING (doc_id)
+LEFT JOIN e USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+@query("analyze_content", sql=_analysis_sql())
 def analyze_content(spark, sf):
-    return AN.analyze_content(TB.marked_documents(spark, sf)).select("doc_id", F.to_json("analysis").alias("analysis"))
+    """All parts of the analysis as columns, so that each is compared with the twin of its own operator."""
+    a = AN.analyze_content(TB.marked_documents(spark, sf)).select("doc_id", "analysis.*")
+    named = F.transform("entities", lambda e: F.concat(e["label"], F.lit(":"), e["start"].cast("string"), F.lit(":"), e["text"]))
+    return a.select("doc_id", "features.*", F.array_join(F.array_sort(named), "|").alias("entities"), "structure.*", F.array_join("topics", "|").alias("topics"),
+                    "sentiment.*", "complexity", F.array_join("key_phrases", "|").alias("key_phrases"), "discourse_style")
 
 
 def _per_chunk(cte):
