@@ -2,7 +2,8 @@
 
 Nothing here is logic.  Every list is in its natural order because ties are
 broken by list position.  All of them are defaults; the operators take
-replacements as parameters.
+replacements as parameters.  Patterns made of word lists (CONTENT_PATTERNS,
+CONCEPT_LEADS, CLAIM_PHRASES) are kept as words, since the SQL twins need the words.
 """
 
 # --- fixed values: intake -----------------------------------------------------
