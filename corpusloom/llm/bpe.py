@@ -86,7 +86,7 @@ def word_blocks(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def split(batches):
         special, block = B.specials(vocabulary), TaskContext.get().partitionId() << 32
-        for b in batches_of_text(batches, BLOCK_CHARS):
+        for b in batches_of_text(batches, block_chars):
             numbers = B.Numbered()
             code, counts = B.numbered_words(b.column(len(keys)).to_pylist(), numbers, special)
             # frequent words get small numbers, which store well
@@ -187,12 +187,12 @@ class Block:
         return [",".join(flat[a:a + n]) for a, n in zip(self.begin.tolist(), self.count.tolist())]
 
 
-def encoded(rows: DataFrame, use: Callable[[Block], dict], schema: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def encoded(rows: DataFrame, use: Callable[[Block], dict], schema: str, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Encode the texts (last column of ``rows``) and hand each block with its ids to ``use``, which returns the columns of ``schema``.
 
     Null texts count as empty; an empty text has no ids.  Rows may repeat: every row comes out once.
     """
-    blocks = word_blocks(rows.withColumn(rows.columns[-1], text_of(rows.columns[-1])), vocabulary)
+    blocks = word_blocks(rows.withColumn(rows.columns[-1], text_of(rows.columns[-1])), vocabulary, block_chars)
     ids = bucket_ids(blocks, vocabulary).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("ids"))
     both = blocks.select("block", "numbers", "counts", "keys", "at").join(ids, "block", "left")
 
@@ -226,8 +226,11 @@ def decode(encoded_rows: DataFrame, ids: str, vocabulary: str = VOCABULARY) -> D
     return encoded_rows.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The other columns of ``docs`` and ``ids``, an array of token ids; where ``docs`` has a column ``ids``, the new one is ``ids_``."""
+def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The other columns of ``docs`` and ``ids``, an array of token ids; where ``docs`` has a column ``ids``, the new one is ``ids_``.
+
+    ``block_chars`` bounds what a task holds at once; smaller blocks store and move common words more often.
+    """
     keys = [c for c in docs.columns if c != text]
     name = free_name("ids", keys)
     fields = [docs.schema[c] for c in keys]
@@ -237,7 +240,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
         return dict(zip(keys, block.keys.flatten())) | {name: pa.array(found, pa.list_(pa.int32()))}
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` array<int>"])
-    return encoded(docs.select(*keys, text), use, schema, vocabulary)
+    return encoded(docs.select(*keys, text), use, schema, vocabulary, block_chars)
 
 
 def digests(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
