@@ -11,6 +11,8 @@ from corpusloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from corpusloom.llm.common import documents, fresh, stored, text_of
 
 WEIGHTS, SHARE, MOST = [3, 1, 2], 1.5, 2.0
+#: Half the operator's own block: executors come to this stage with their memory in use.
+BLOCK_CHARS = 4_000_000
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with token ids, ``ids``, in place of the text (``ids_`` where they have a column ``ids``)."""
-    return bpe.encode(docs)
+    return bpe.encode(docs, block_chars=BLOCK_CHARS)
 
 
 STAGES = [
