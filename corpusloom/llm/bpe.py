@@ -79,7 +79,7 @@ def batches_of_text(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[p
             yield b.slice(lo, hi - lo)
 
 
-def word_blocks(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def word_blocks(rows: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Store the blocks of ``rows`` (any key columns, and the text last)."""
     keys = rows.columns[:-1]
     kind = f"array<struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in rows.schema.fields[:-1])}>>"
