@@ -563,3 +563,20 @@ def test_sanitize_messages(spark):
     assert got[4].text == "abcdef ghij  run" and len(got[5].text) == 1_000_001
     refused = texts(spark, rows).select(T.sanitize_text(F.col("text"), longest=1000).alias("s")).filter("s.error like '%too long%'").first()
     assert not refused.s.is_valid and len(refused.s.text) == 1_000_001  # refused, not cut
+
+
+def test_scores_that_meet_a_threshold_fall_as_in_sql(spark):
+    import duckdb
+    from corpusloom.registry.sqlbits import quality
+    rng = random.Random(4)
+    lengths = [[9, 8, 2, 1, 5]] + [[rng.randint(1, 3) * rng.randint(1, 12) for _ in range(rng.randint(2, 14))] for _ in range(3000)]
+    rows = [(i, " ".join("word " * (n - 1) + "end." for n in sizes)) for i, sizes in enumerate(lengths)]
+    con = duckdb.connect()
+    con.execute("create table m (doc_id bigint, text varchar)")
+    con.executemany("insert into m values (?, ?)", rows[:1])
+    want = dict(con.execute(f"with {quality('m', 'doc_id')} select doc_id, coherence_score from f2").fetchall())
+    got = S.with_quality(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert want[0] < 0.5 and got.filter("doc_id = 0").first().coherence_score == want[0]
+    m = con.execute("select 1.0 - list_var_samp(l) / (list_avg(l) ** 2), list_stddev_samp(l) / list_avg(l) from (select unnest(?::DOUBLE[][]) as l)", [lengths]).fetchall()
+    sides = [(max(c, 0.3) < 0.5, v < 0.4) for c, v in m]
+    assert [(r.coherence_score < 0.5, r.sentence_variety < 0.4) for r in got.orderBy("doc_id").collect()] == sides
