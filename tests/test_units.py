@@ -580,3 +580,22 @@ def test_scores_that_meet_a_threshold_fall_as_in_sql(spark):
     m = con.execute("select 1.0 - list_var_samp(l) / (list_avg(l) ** 2), list_stddev_samp(l) / list_avg(l) from (select unnest(?::DOUBLE[][]) as l)", [lengths]).fetchall()
     sides = [(max(c, 0.3) < 0.5, v < 0.4) for c, v in m]
     assert [(r.coherence_score < 0.5, r.sentence_variety < 0.4) for r in got.orderBy("doc_id").collect()] == sides
+
+
+def test_rows_in_order_take_one_shuffle(spark, tmp_path):
+    rows = [(f"r{i * 7919 % 1000:03}" if i else None, i % 3, "text " * (i % 50)) for i in range(1000)]
+    d = spark.createDataFrame(rows, "id string, part int, text string").repartition(5)
+    for order in (["id"], ["part", "id"]):
+        got = ordered.in_order(d, order, "n").withColumn("p", F.spark_partition_id()).collect()
+        want = d.orderBy(*order).collect()
+        assert [tuple(r[:4]) for r in sorted(got, key=lambda r: r.n)] == [(*w, i + 1) for i, w in enumerate(want)]
+        assert [r.p for r in sorted(got, key=lambda r: r.n)] == sorted(r.p for r in got) and len({r.p for r in got}) > 4
+        plan = ordered.in_order(d, order, "n")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Repartition") == 2 and "Join" not in plan and "Window" not in plan  # that of the input, and one more
+    assert ordered.in_order(d.filter("part = 9"), ["id"]).count() == 0
+
+
+def test_json_export_is_compressed(spark, sf):
+    from corpusloom.registry import QUERIES
+    paths = [f for f in QUERIES["export_json"](spark, sf).inputFiles()]
+    assert paths and all(f.endswith(".gz") for f in paths)
