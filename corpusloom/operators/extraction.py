@@ -56,8 +56,8 @@ SEGMENT_NEEDS = {8: r"\?\s*\n\n", 9: r"\?\s*\n"}
 def qa_segments(c: Column, patterns=None, guards=None, shortest: int = FV.MIN_SEGMENT, longest: int | None = None) -> Column:
     """array<struct<question,answer,start,end,pattern_no>> of question-answer spans, by start.
 
-    Patterns are tried in their order; a span that overlaps one taken before is skipped.  The look-ahead that ends a match holds at
-    the end of its span too, so question and answer are read from the span alone.
+    Patterns are tried in their order; a span that overlaps one taken before is skipped.  Spans, questions and answers of a pattern come from
+    one pass of it.
 
     Matches of one pattern never overlap, so those taken and those found stand in one order of their starts, and two passes, one from each
     side, tell which of the found ones are free: the time is that of sorting.
@@ -68,8 +68,8 @@ def qa_segments(c: Column, patterns=None, guards=None, shortest: int = FV.MIN_SE
     def one(i, low):
         pattern, q, a = source[i]
         p = "(?isd)" + pattern
-        found = F.transform(T.spans(c, p), lambda m: F.struct(
-            T.trim_ws(F.regexp_extract(m["text"], p, q)).alias("question"), T.trim_ws(F.regexp_extract(m["text"], p, a)).alias("answer"),
+        found = F.transform(T.spans(c, p, (q, a)), lambda m: F.struct(
+            T.trim_ws(F.get(m["groups"], F.lit(0))).alias("question"), T.trim_ws(F.get(m["groups"], F.lit(1))).alias("answer"),
             m["start"].alias("start"), m["end"].alias("end"), F.lit(i).alias("pattern_no")))
         may = T.contains_any(low, guards[i])
         if patterns is None and i in SEGMENT_NEEDS:
@@ -143,32 +143,37 @@ def _pack_sentences(c: Column) -> Column:
     return F.aggregate(sents, zero, step, push)
 
 
-def extract_monologue_segments(df: DataFrame, col: str = "text") -> DataFrame:
-    """Paragraphs that touch no question-answer span.  Needs column ``qa_segments``.
+def _free_paragraphs(c: Column, spans: Column) -> Column:
+    """Long enough paragraphs that touch none of the spans.  The anti join is between two arrays of one row, so it needs no shuffle."""
+    return F.filter(exact_paragraphs(c), lambda p: (F.length(p["text"]) >= FV.MIN_SEGMENT) & ~F.exists(
+        spans, lambda s: (p["start"] < s["end"]) & (s["start"] < p["end"])))
 
-    The anti join is between two arrays of one row, so it needs no shuffle.
-    """
+
+def monologue_segments(c: Column, spans: Column) -> Column:
+    """array<struct<start,content_type,confidence,question,answer>> of the paragraphs that touch no span; long ones in pieces."""
+    def row(p, kind, confidence, text):
+        return F.struct(p["start"].alias("start"), F.lit(kind).alias("content_type"), F.lit(confidence).alias("confidence"), text.alias("question"), F.lit("").alias("answer"))
+
+    return F.flatten(F.transform(_free_paragraphs(c, spans), lambda p: F.when(
+        F.length(p["text"]) > FV.MAX_SEGMENT, F.transform(_pack_sentences(p["text"]), lambda x: row(p, "passage", 0.5, x)))
+        .otherwise(F.array(row(p, "monologue", 0.6, p["text"])))))
+
+
+def extract_monologue_segments(df: DataFrame, col: str = "text") -> DataFrame:
+    """Paragraphs that touch no question-answer span.  Needs column ``qa_segments``."""
     keep = [c for c in df.columns if c not in (col, "qa_segments")]
-    spans = F.transform("qa_segments", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    d = df.select(*keep, exact_paragraphs(F.col(col)).alias("_p"), spans.alias("_s"))
-    free = F.filter("_p", lambda p: (F.length(p["text"]) >= FV.MIN_SEGMENT) & ~F.exists(
-        F.col("_s"), lambda s: (p["start"] < s["end"]) & (s["start"] < p["end"])))
-    rows = d.select(*keep, F.explode(free).alias("_q"))
-    long_ = F.length("_q.text") > FV.MAX_SEGMENT
-    rows = rows.select(*keep, F.col("_q.start").alias("start"), F.when(long_, F.lit("passage")).otherwise(
-        F.lit("monologue")).alias("content_type"), F.when(long_, F.lit(0.5)).otherwise(F.lit(0.6)).alias("confidence"),
-        F.explode(F.when(long_, _pack_sentences(F.col("_q.text"))).otherwise(F.array("_q.text"))).alias("question"))
-    return (rows.withColumn("answer", F.lit("")).withColumn("quality_score", S.monologue_quality(F.col("question"))))
+    rows = df.select(*keep, F.inline(monologue_segments(F.col(col), F.col("qa_segments"))))
+    return rows.select(*keep, "start", "content_type", "confidence", "question", "answer", S.monologue_quality(F.col("question")).alias("quality_score"))
 
 
 def union_segments(df: DataFrame, col: str = "text") -> DataFrame:
-    """Question-answer and monologue segments in one schema; the patterns run once per text."""
-    d = with_qa_segments(df, col)
+    """Question-answer and monologue segments in one schema, from one row of both: texts are read, and the patterns run, once."""
     keep = [c for c in df.columns if c != col]
-    qa = d.select(*keep, F.inline("qa_segments")).select(
-        *keep, "start", F.lit("qa").alias("content_type"), F.lit(0.8).alias("confidence"), "question", "answer",
-        S.qa_quality(F.col("question"), F.col("answer")).alias("quality_score"))
-    return qa.unionByName(extract_monologue_segments(d, col))
+    qa = F.transform("qa_segments", lambda s: F.struct(
+        s["start"].alias("start"), F.lit("qa").alias("content_type"), F.lit(0.8).alias("confidence"), s["question"].alias("question"), s["answer"].alias("answer")))
+    rows = with_qa_segments(df, col).select(*keep, F.inline(F.concat(qa, F.coalesce(monologue_segments(F.col(col), F.col("qa_segments")), F.array().cast("array<struct<start:int,content_type:string,confidence:double,question:string,answer:string>>")))))
+    q, a = F.col("question"), F.col("answer")
+    return rows.withColumn("quality_score", F.when(F.col("content_type") == "qa", S.qa_quality(q, a)).otherwise(S.monologue_quality(q)))
 
 
 def detect_content_type(df: DataFrame, col: str = "text") -> DataFrame:

@@ -246,9 +246,9 @@ def global_themes(spark, sf):
 
 @query("span_anti_join", sql=f"WITH RECURSIVE {DIALOGUE}, {SEGMENTS} SELECT doc_id, start, question AS text FROM mono WHERE length(question) >= 20")
 def span_anti_join(spark, sf):
-    d = EX.with_qa_segments(TB.dialogue_documents(spark, sf))
+    d = TB.dialogue_documents(spark, sf)
     paras = d.select("doc_id", F.inline(EX.exact_paragraphs(F.col("text")))).filter(F.length("text") >= FV.MIN_SEGMENT)
-    spans = d.select("doc_id", F.inline("qa_segments")).select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    spans = EX.with_qa_segments(d).select("doc_id", F.inline("qa_segments")).select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
     free = paras.join(spans, (paras["doc_id"] == spans["doc_id"]) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
     return free.select("doc_id", "start", "text")
 

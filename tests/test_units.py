@@ -599,3 +599,19 @@ def test_json_export_is_compressed(spark, sf):
     from corpusloom.registry import QUERIES
     paths = [f for f in QUERIES["export_json"](spark, sf).inputFiles()]
     assert paths and all(f.endswith(".gz") for f in paths)
+
+
+def test_segments_run_the_patterns_once(spark):
+    talk = "Q: What is the oldest idea of all?\nA: It is an answer of some length.\n\nA paragraph that stands alone, without any labels.\n\n" + "Long one. " * 400
+    d = texts(spark, [talk, "", None, talk.replace("oldest", "old\ufdd0est"), STORY])
+    got = EX.union_segments(d)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    parts = EX.extract_qa_segments(d).select("doc_id", "start", "content_type", "question", "answer", "quality_score").unionByName(
+        EX.extract_monologue_segments(EX.with_qa_segments(d)).drop("confidence"))
+    rows = [tuple(r) for r in got.drop("confidence").collect()]
+    assert sorted(rows) == sorted(tuple(r) for r in parts.select(got.drop("confidence").columns).collect())
+    kinds = [r.content_type for r in got.filter("doc_id = 0").orderBy("start").collect()]
+    assert kinds[0] == "qa" and "monologue" in kinds and kinds.count("passage") > 1
+    plain, marked = ([(r.start, r.end, r.text, r.groups) for r in d.filter(f"doc_id = {i}").select(F.inline(T.spans(F.col("text"), r"(?s)Q: (.+?)\n(A): ", (1, 2)))).collect()] for i in (0, 3))
+    assert plain == [(0, 38, "Q: What is the oldest idea of all?\nA: ", ["What is the oldest idea of all?", "A"])]
+    assert len(marked) == 1 and marked[0][1] == plain[0][1] + 1 and marked[0][3] == ["What is the old\ufdd0est idea of all?", "A"]
