@@ -29,37 +29,57 @@ def with_rocksdb(df: DataFrame) -> DataFrame:
 
 
 class KeptResult(StatefulProcessor):
-    """One result per key, computed by the row that found none and given to all rows that come before it is too old."""
+    """One result per key, computed by the row that found none and given to all rows that come before it is too old.
 
-    def __init__(self, key: str, row_id: str, compute: Callable[[pd.DataFrame], pd.Series], kind: str, live_ms: int):
-        self.key, self.row_id, self.compute, self.kind, self.live_ms = key, row_id, compute, kind, live_ms
+    A share of the keys has one state, read and written once a batch, so that a batch costs a call for each share and not for each key.
+    """
+
+    def __init__(self, key: str, row_id: str, compute: Callable[[pd.DataFrame], pd.Series], kinds: tuple[str, str, str], live_ms: int):
+        self.key, self.row_id, self.compute, self.kinds, self.live_ms = key, row_id, compute, kinds, live_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", f"at_us bigint, source bigint, result {self.kind}")
+        self.kept = handle.getValueState("kept", "keys array<{}>, at_us array<bigint>, source array<{}>, result array<{}>".format(*self.kinds))
+
+    def read(self) -> dict:
+        return {k: v for k, *v in zip(*self.kept.get())} if self.kept.exists() else {}
+
+    def write(self, kept: dict) -> None:
+        if not kept:
+            return self.kept.clear()
+        self.kept.update((list(kept), *map(list, zip(*kept.values()))))
+        first = min(v[0] for v in kept.values()) // 1000 + self.live_ms + 1
+        if first < min(self.handle.listTimers(), default=first + 1):
+            self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", self.row_id], ignore_index=True)
-        kept = self.kept.get() if self.kept.exists() else None
-        at, missed, by = None if kept is None else kept[0], [], []
-        for i, us in enumerate(new["event_us"].tolist()):
+        new = pd.concat(list(rows), ignore_index=True)
+        new = new.assign(_key=pd.factorize(new[self.key], use_na_sentinel=False)[0]).sort_values(["_key", "event_us", self.row_id], ignore_index=True)
+        keys = [None if k is None or k != k else k for k in new[self.key].tolist()]
+        kept, missed, by, last, at = self.read(), [], [], -1, None
+        for i, (code, us) in enumerate(zip(new["_key"].tolist(), new["event_us"].tolist())):
+            if code != last:
+                last, at, own = code, kept[keys[i]][0] if keys[i] in kept else None, -1
             if at is None or us - at >= 1000 * self.live_ms:
-                at = us
+                at, own = us, len(missed)
                 missed.append(i)
-            by.append(len(missed) - 1)
-        results = [] if not missed else self.compute(new.iloc[missed]).tolist()  # only what no stored result answers
+            by.append(own)
+        results = [] if not missed else self.compute(new.drop(columns="_key").iloc[missed]).tolist()  # only what no stored result answers
         sources = new[self.row_id].iloc[missed].tolist()
-        if missed:
-            self.kept.update((at, sources[-1], results[-1]))
-            self.handle.registerTimer(at // 1000 + self.live_ms + 1)
-        old = (None, None) if kept is None else (kept[1], kept[2])
+        old = [(None, None, None) if b >= 0 else kept[k] for k, b in zip(keys, by)]
+        hit = [True] * len(new)
+        for n, i in enumerate(missed):
+            hit[i] = False
         yield pd.DataFrame({
-            self.row_id: new[self.row_id], self.key: key[0], "result": [results[b] if b >= 0 else old[1] for b in by],
-            "hit": [i not in set(missed) for i in range(len(new))], "source": [sources[b] if b >= 0 else old[0] for b in by]})
+            self.row_id: new[self.row_id], self.key: keys, "result": [results[b] if b >= 0 else o[2] for b, o in zip(by, old)],
+            "hit": hit, "source": [sources[b] if b >= 0 else o[1] for b, o in zip(by, old)]})
+        if missed:
+            us = new["event_us"].iloc[missed].tolist()
+            self.write(kept | {keys[i]: [us[n], sources[n], results[n]] for n, i in enumerate(missed)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.kept.exists() and self.kept.get()[0] // 1000 + self.live_ms < expiredTimerInfo.getExpiryTimeInMs():
-            self.kept.clear()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.write({k: v for k, v in self.read().items() if v[0] // 1000 + self.live_ms >= now})
         return iter(())
 
     def close(self) -> None:
@@ -67,21 +87,22 @@ class KeptResult(StatefulProcessor):
 
 
 def result_cache(df: DataFrame, compute: Callable[[pd.DataFrame], pd.Series], kind: str = "double", key: str = "text_hash", row_id: str = "event_id",
-                 live_ms: int = 3_600_000, late: str = "1 hour", ts: str = "ts") -> DataFrame:
+                 live_ms: int = 3_600_000, late: str = "1 hour", ts: str = "ts", shares: int = 512) -> DataFrame:
     """Every row of a stream with the result of its key: row_id, key, result, hit (it was stored already) and source (the row it was computed from).
 
     ``compute`` gets the rows that need a result, as a pandas frame, and returns as many results of SQL type ``kind``.  A result answers the rows of its key
     whose time is less than ``live_ms`` after its own.  Rows later than ``late`` behind the watermark are dropped by the stream.
+    Keys are dealt into ``shares``; a task holds the living results of one share at a time.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     timed = with_rocksdb(df).withColumn("event_us", F.unix_micros(ts)).withWatermark(ts, late)
-    return timed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=KeptResult(key, row_id, compute, kind, live_ms),
+    return timed.withColumn("_share", F.pmod(F.xxhash64(key), F.lit(shares))).groupBy("_share").transformWithStateInPandas(
+        statefulProcessor=KeptResult(key, row_id, compute, (kinds[key], kinds[row_id], kind), live_ms),
         outputStructType=f"{row_id} {kinds[row_id]}, {key} {kinds[key]}, result {kind}, hit boolean, source {kinds[row_id]}", outputMode="Append", timeMode="EventTime")
 
 
 class OpenAlerts(StatefulProcessor):
-    """The open alerts of a share of a session's samples, given out when raised and taken back when their time is over.
+    """The open alerts of a share of the samples, given out when raised and taken back when their time is over.
 
     One timer waits for the earliest of them; when it fires, all that the watermark has passed are taken back and the next one is set.
     """
@@ -91,22 +112,22 @@ class OpenAlerts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "content_id bigint, type string, value double, us bigint")
+        self.open = handle.getListState("open", "session_id bigint, content_id bigint, type string, value double, us bigint")
 
     def end(self, alert) -> int:
-        return alert[3] // 1000 + self.keep_ms
+        return alert[4] // 1000 + self.keep_ms
 
-    def told(self, key, alerts, change):
-        return pd.DataFrame([(key[0], *a, change) for a in alerts], columns=["session_id", "content_id", "type", "value", "us", "change"])
+    def told(self, alerts, change):
+        return pd.DataFrame([(*a, change) for a in alerts], columns=["session_id", "content_id", "type", "value", "us", "change"])
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows), ignore_index=True)
-        raised = [(int(c), t, float(v), int(us)) for c, t, v, us in zip(new["content_id"], new["type"], new["value"], new["event_us"])]
-        self.open.appendList(raised)
-        first = min(map(self.end, raised))
-        if first < min(self.handle.listTimers(), default=first + 1):
-            self.handle.registerTimer(first)
-        yield self.told(key, raised, "raised")
+        for new in rows:
+            raised = list(zip(*[new[c].tolist() for c in ("session_id", "content_id", "type", "value", "event_us")]))
+            self.open.appendList(raised)
+            first = min(map(self.end, raised))
+            if first < min(self.handle.listTimers(), default=first + 1):
+                self.handle.registerTimer(first)
+            yield self.told(raised, "raised")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
@@ -117,19 +138,19 @@ class OpenAlerts(StatefulProcessor):
             self.handle.registerTimer(min(map(self.end, left)))
         else:
             self.open.clear()
-        yield self.told(key, [a for a in alerts if self.end(a) < now], "retracted")
+        yield self.told([a for a in alerts if self.end(a) < now], "retracted")
 
     def close(self) -> None:
         pass
 
 
-def alert_retention(alerts: DataFrame, keep_ms: int = 3_600_000, late: str = "0 seconds", shares: int = 8) -> DataFrame:
+def alert_retention(alerts: DataFrame, keep_ms: int = 3_600_000, late: str = "0 seconds", shares: int = 256) -> DataFrame:
     """A stream of alerts (session_id, content_id, ts, type, value) as changes: each is raised at once and retracted ``keep_ms`` after its time.
 
-    The state holds the open alerts only.  A session's samples are dealt into ``shares`` keys, so that a busy session is not one task.
+    The state holds the open alerts only.  Samples are dealt into ``shares``, whatever their sessions, so a batch costs a call for each share.
     """
     share = F.pmod(F.xxhash64("content_id"), F.lit(shares)).alias("share")
     timed = with_rocksdb(alerts).select("session_id", share, "content_id", "type", "value", "ts", F.unix_micros("ts").alias("event_us")).withWatermark("ts", late)
-    return timed.groupBy("session_id", "share").transformWithStateInPandas(
+    return timed.groupBy("share").transformWithStateInPandas(
         statefulProcessor=OpenAlerts(keep_ms), outputStructType="session_id bigint, content_id bigint, type string, value double, us bigint, change string",
         outputMode="Append", timeMode="EventTime")

@@ -615,3 +615,12 @@ def test_segments_run_the_patterns_once(spark):
     plain, marked = ([(r.start, r.end, r.text, r.groups) for r in d.filter(f"doc_id = {i}").select(F.inline(T.spans(F.col("text"), r"(?s)Q: (.+?)\n(A): ", (1, 2)))).collect()] for i in (0, 3))
     assert plain == [(0, 38, "Q: What is the oldest idea of all?\nA: ", ["What is the oldest idea of all?", "A"])]
     assert len(marked) == 1 and marked[0][1] == plain[0][1] + 1 and marked[0][3] == ["What is the old\ufdd0est idea of all?", "A"]
+
+
+def test_cache_computes_many_keys_at_once(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("event_id"), F.concat(F.lit("k"), F.col("id") % 2000).alias("key"), F.timestamp_seconds(F.lit(100)).alias("ts"), F.lit(1.0).alias("value"))
+    rows.write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    ST.run_to_end(SF.result_cache(s, lambda r: r["value"] * len(r), key="key", shares=16), str(tmp_path))
+    got = spark.read.parquet(f"{tmp_path}/data").agg(F.count("*"), F.count_if("hit"), F.min("result"), F.count_if(F.col("source") == F.substring("key", 2, 9).cast("long"))).first()
+    assert tuple(got[:2]) == (4000, 2000) and got[2] > 50 and got[3] == 4000
