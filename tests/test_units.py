@@ -624,3 +624,9 @@ def test_cache_computes_many_keys_at_once(spark, tmp_path):
     ST.run_to_end(SF.result_cache(s, lambda r: r["value"] * len(r), key="key", shares=16), str(tmp_path))
     got = spark.read.parquet(f"{tmp_path}/data").agg(F.count("*"), F.count_if("hit"), F.min("result"), F.count_if(F.col("source") == F.substring("key", 2, 9).cast("long"))).first()
     assert tuple(got[:2]) == (4000, 2000) and got[2] > 50 and got[3] == 4000
+
+
+def test_one_file_per_text_is_made_by_all_cores(spark, sf):
+    from corpusloom.registry import QUERIES
+    files = QUERIES["read_text_corpus"](spark, sf).inputFiles()
+    assert len({re.search(r"part-(\d+)", f).group(1) for f in files}) > 4  # the number of the task that wrote it
