@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.functions import text as T
+from corpusloom.functions import text as T, windows
 
 def theme_matches(df: DataFrame, themes: list[str], before: int = 2, after: int = 2, col: str = "text") -> DataFrame:
     """First hit of each theme in each sentence, with the sentences around it.
@@ -87,61 +88,59 @@ def theme_matches_regex(df: DataFrame, themes: list[str], case_sensitive: bool =
     return _with_context(rows)
 
 
-#: Signs of a phrase that its key in a dictionary holds, and bits of the table that tells which keys there are.
-KEY_SIGNS, KEY_BITS = 8, 1 << 18
+#: The columns of a place but its text's.
+_PLACE = "keyword string,start int,end int,matched_text string,sentence_index int,paragraph_index int"
 
 
-def dictionary_hits(df: DataFrame, phrases: DataFrame, case_sensitive: bool = False, reach: int = 200, key: str = "doc_id", col: str = "text") -> DataFrame:
-    """Every occurrence of every phrase (column keyword) in every text, in one pass whatever the number of phrases, with the columns of :func:`theme_matches_regex`.
+def _signwise_lower(c: Column) -> Column:
+    """Lower case with one sign for each sign of the text: the two signs that Java turns by their neighbours or into two are taken first."""
+    low = F.lower(F.translate(c, "\u03a3\u0130", "\u03c3i"))
+    return F.when(F.length(low) == F.length(c), low).otherwise(F.array_join(F.transform(F.split(c, ""), lambda x: F.left(F.lower(x), F.lit(1))), ""))
+
+
+def dictionary_places(df: DataFrame, phrases: DataFrame, case_sensitive: bool = False, key: str = "doc_id", col: str = "text") -> DataFrame:
+    """Every occurrence of every phrase (column keyword) in every text, in one pass whatever the number of phrases.
 
-    A phrase is keyed by its first KEY_SIGNS signs (all of it, if shorter).  Positions of a text whose signs hit the table of key bits are the only ones that
-    leave its row; they meet the phrases by an equi-join on the key and are compared in full.  Of occurrences of one phrase that overlap each other the
-    leftmost counts.  ``key`` must tell the texts apart.  Empty and null phrases are left out; repeated ones count once.
+    A phrase is keyed by its first ``windows.KEY_SIGNS`` signs (all of it, if shorter).  Windows of a text are hashed as they roll on; those that hit the table of key
+    bits are the only ones that leave its row, and they carry all that is told of a place, so texts are not moved.  They meet the phrases by an equi-join on
+    the key and are compared in full.  Of occurrences of one phrase that overlap each other the leftmost counts.  ``key`` must tell the texts apart.  Empty
+    and null phrases are left out; repeated ones count once.
     """
-    low = (lambda c: c) if case_sensitive else F.lower
+    low = (lambda c: c) if case_sensitive else _signwise_lower
     p = phrases.select("keyword").filter(F.length("keyword") > 0).distinct().withColumn("_low", low(F.col("keyword")))
-    p = p.withColumn("_key", F.left("_low", F.lit(KEY_SIGNS))).withColumn("_n", F.length("_low"))
+    p = p.withColumn("_key", F.left("_low", F.lit(windows.KEY_SIGNS))).withColumn("_n", F.length("_low"))
     # a phrase that begins as it ends can overlap itself
     p = p.withColumn("_self", F.exists(F.sequence(F.lit(1), F.col("_n")), lambda k: (k < F.col("_n")) & (F.left("_low", F.col("_n") - k) == F.right("_low", F.col("_n") - k))))
-    kinds = p.agg(F.max("_n"), F.collect_set(F.least("_n", F.lit(KEY_SIGNS)))).first()
-    longest, sizes = kinds[0] or 0, sorted(kinds[1])
-    bit = lambda k: F.pmod(F.xxhash64(k), F.lit(KEY_BITS))
-    per_word = p.select(bit(F.col("_key")).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    words = [0] * (KEY_BITS // 64)
-    for w, v in per_word.collect():  # at most a row for 64 bits
-        words[w] = v
-    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # a constant for the optimizer
-
-    def candidates(signs):
-        """Position, key and following signs of each place that may begin a phrase."""
-        def of_size(n):
-            def gram(i):
-                return F.array_join(F.slice(signs, i + 1, F.lit(n)), "")
-
-            def may(i):
-                return T.let(bit(gram(i)), lambda b: F.getbit(F.get(F.col("_bits"), F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1)
-
-            places = F.sequence(F.lit(0), F.size(signs) - n)
-            found = F.when(F.size(signs) >= n, F.filter(places, may)).otherwise(F.array().cast("array<int>"))
-            return F.transform(found, lambda i: F.struct(i.alias("start"), gram(i).alias("_key"), F.array_join(F.slice(signs, i + 1, F.lit(longest)), "").alias("_next")))
-
-        return F.concat(*[of_size(n) for n in sizes]) if sizes else F.array().cast("array<struct<start:int,_key:string,_next:string>>")
-
-    signs = F.transform(F.filter(F.split("_t", ""), lambda x: x != ""), low)
-    spots = df.select(F.col(key).alias("_id"), F.col(col).alias("_t"), table.alias("_bits")).select("_id", F.explode(T.let(signs, candidates)).alias("_c"))
-    hits = spots.select("_id", "_c.*").join(p, "_key").filter(F.startswith("_next", "_low")).select("_id", "keyword", "start", (F.col("start") + F.col("_n")).alias("end"), "_self")
+    longest, sizes, n = p.agg(F.max("_n"), F.collect_set(F.least("_n", F.lit(windows.KEY_SIGNS))), F.count("*")).first()
+    longest, sizes = longest or 1, sorted(sizes)
+    bits = min(max(n.bit_length() + 8, 12), 24)  # some hundred bits a phrase, two megabytes at most
+    per_byte = p.select("_key").distinct().mapInArrow(windows.key_bits(bits), "b long").groupBy(F.shiftright("b", 3).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("v"))
+    table = np.zeros(1 << bits - 3, np.uint8)
+    for w, v in per_byte.collect():  # at most a row for eight bits
+        table[w] = v
+
+    id_type = df.select(key).schema[0].dataType.simpleString()
+    kinds = {"_id": id_type, "_key": "string", "_next": "string", "_raw": "string", "start": "int", "sentence_index": "int", "paragraph_index": "int"}
+    texts = df.select(F.col(key).alias("_id"), F.col(col).alias("_t")).select("_id", "_t", low(F.col("_t")).alias("_l"))
+    spots = texts.mapInArrow(windows.candidates(table, sizes, longest, bits, ",".join(kinds)), ",".join(f"{k} {v}" for k, v in kinds.items()))
+    known = p if n > 100_000 else F.broadcast(p)
+    hits = spots.join(known, "_key").filter(F.startswith("_next", "_low")).select(
+        "_id", "keyword", "start", (F.col("start") + F.col("_n")).alias("end"), F.left("_raw", F.col("_n")).alias("matched_text"), "sentence_index", "paragraph_index", "_self")
+    names = [x.split()[0] for x in _PLACE.split(",")]
     free = lambda at: T.scan(at, F.lit(0), lambda end, x: F.struct(
-        F.when(x["start"] >= end, x["end"]).otherwise(end).alias("state"), F.when(x["start"] >= end, x).alias("row")), "struct<start:int,end:int>")
-    apart = hits.filter("_self").groupBy("_id", "keyword").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_at")).select("_id", "keyword", F.inline(free(F.col("_at"))))
-    hits = hits.filter("not _self").select("_id", "keyword", "start", "end").unionByName(apart)
-    # all hits of a text meet it once, so its end marks are found once
-    per_text = hits.groupBy("_id").agg(F.collect_list(F.struct("keyword", "start", "end")).alias("_h"))
-    marks = lambda pattern: F.transform(T.spans(F.col("_t"), pattern), lambda s: s["start"])
-    rows = df.select(F.col(key).alias("_id"), F.col(col).alias("_t")).join(per_text, "_id").select("_id", "_t", "_h", marks("[.!?]").alias("_s"), marks("\n\n").alias("_p"))
-    before = lambda m, at, n: F.size(F.filter(m, lambda x: x + n <= at))
-    placed = F.transform("_h", lambda h: F.struct(h["keyword"].alias("keyword"), h["start"].alias("start"), h["end"].alias("end"), F.lit(0.5).alias("confidence"),
-                                                  before(F.col("_s"), h["start"], 1).alias("sentence_index"), before(F.col("_p"), h["start"], 2).alias("paragraph_index")))
-    return _with_context(rows.select(F.col("_id").alias("doc_id"), "_t", F.inline(placed)), reach)
+        F.when(x["start"] >= end, x["end"]).otherwise(end).alias("state"), F.when(x["start"] >= end, x).alias("row")),
+        "struct<" + ",".join(x.replace(" ", ":") for x in _PLACE.split(",")[1:]) + ">")
+    apart = hits.filter("_self").groupBy("_id", "keyword").agg(F.sort_array(F.collect_list(F.struct(*names[1:]))).alias("_at")).select("_id", "keyword", F.inline(free(F.col("_at"))))
+    every = hits.filter("not _self").select("_id", *names).unionByName(apart)
+    return every.select(F.col("_id").alias("doc_id"), "keyword", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.lit(0.5).alias("confidence"),
+                        "matched_text", "sentence_index", "paragraph_index")
+
+
+def dictionary_hits(df: DataFrame, phrases: DataFrame, case_sensitive: bool = False, reach: int = 200, key: str = "doc_id", col: str = "text") -> DataFrame:
+    """The places of :func:`dictionary_places` with the text around them: the columns of :func:`theme_matches_regex`."""
+    places = dictionary_places(df, phrases, case_sensitive, key, col)
+    rows = places.join(df.select(F.col(key).alias("doc_id"), F.col(col).alias("_t")), "doc_id")
+    return _with_context(rows.withColumnRenamed("start_pos", "start").withColumnRenamed("end_pos", "end"), reach)
 
 
 def theme_confidence(rows: DataFrame, matched: str = "matched_text", chunk: str = "full_chunk", context: int | None = None) -> DataFrame:
