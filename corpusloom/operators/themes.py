@@ -51,25 +51,16 @@ _HITS = "array<struct<start:int,end:int,keyword:string,confidence:double,sentenc
 def _tagged(c: Column, pattern: str, name: str) -> Column:
     """Matches of one pattern with the end marks and blank lines before them.
 
-    One walk over the gaps between matches adds the counts up, so no match reads its whole prefix again.
+    What gaps and matches hold is added up once over the text, so no match reads its whole prefix again.
     """
-    gaps = F.split(c, pattern)
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
-                       lambda g, m: F.struct(F.coalesce(g, F.lit("")).alias("g"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("s"), F.lit(0).alias("p"), F.array().cast(_HITS).alias("out"))
+    def found(v):
+        before = lambda count: T.starts_of(F.transform(v, count))
+        return T.let(before(F.length), lambda at: T.let(before(lambda x: T.count_chars_in(x, ".!?")), lambda ends: T.let(
+            before(lambda x: T.count_substring(x, "\n\n")), lambda lines: T.of_matches(v, lambda i: F.struct(
+                F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), F.lit(name).alias("keyword"), F.lit(0.5).alias("confidence"),
+                F.get(ends, i).alias("sentence_index"), F.get(lines, i).alias("paragraph_index")), _HITS[6:-1]))))
 
-    def step(acc, x):
-        b = acc["at"] + F.length(x["g"])
-        e = b + F.length(x["m"])
-        s = acc["s"] + T.count_chars_in(x["g"], ".!?")
-        p = acc["p"] + T.count_substring(x["g"], "\n\n")
-        hit = F.struct(b.alias("start"), e.alias("end"), F.lit(name).alias("keyword"), F.lit(0.5).alias("confidence"),
-                       s.alias("sentence_index"), p.alias("paragraph_index"))
-        return F.struct(e.alias("at"), (s + T.count_chars_in(x["m"], ".!?")).alias("s"),
-                        (p + T.count_substring(x["m"], "\n\n")).alias("p"), F.array_append(acc["out"], hit).alias("out"))
-
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    return T.let(T.split_at(c, pattern), found)
 
 
 def _with_context(rows: DataFrame, reach: int = 200) -> DataFrame:
@@ -160,7 +151,7 @@ def dedupe_spans(spans: Column) -> Column:
 
     Ties are broken by (start, -confidence, keyword).
     """
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), (-s["confidence"]).alias("neg"), s["keyword"].alias("keyword"), s["end"].alias("end"))))
     zero = F.filter(ordered, lambda s: F.lit(False))
 
@@ -217,7 +208,7 @@ def phrase_scores(c: Column, keep: int = 15) -> Column:
 
     def ranked(ws):
         n = F.greatest(F.size(ws), F.lit(1))
-        return T.let(n, lambda k: F.slice(F.array_sort(F.transform(T.bigrams(ws), scored(k))), 1, keep))
+        return T.let(n, lambda k: F.slice(F.sort_array(F.transform(T.bigrams(ws), scored(k))), 1, keep))
 
     return T.let(T.words(c), ranked)
 

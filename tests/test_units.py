@@ -222,6 +222,26 @@ def test_dictionary_takes_seconds_for_a_million_signs(spark):
     assert time.time() - start < 5
 
 
+def test_patterns_pass_over_places_before_their_boundary_and_find_the_same(spark):
+    """Word patterns tried by first sign, and syllables in one pattern, against the plain forms."""
+    assert T.word_pattern(["said", "so", "as"]).startswith("(?iU)(?=[sa])") and T.PERSON_PATTERN.startswith("(?U)(?=[A-Z])")
+    draw = random.Random(21)
+    terms = ["said", "so", "so on", "i", "as", "kept"]
+    rows = ["".join(draw.choice(["said", "so", " on", " ", "i", "as", "K", "\u212aept", "\u017fo", "\u0130", "\u0131", "é", "\u0301", ".", "e", "_", "bete", "aeb"]) for _ in range(draw.randint(0, 30))) for _ in range(300)]
+    low, c = F.lower("text"), F.col("text")
+    old = F.regexp_count(low, F.lit("[aeiouy]+")) - F.regexp_count(low, F.lit(r"[aeiouy][^\saeiouy]+[aeiouy]*e(?!\S)")) + T.n_words(c) - F.regexp_count(low, F.lit(r"[aeiouy]\S*"))
+    same = texts(spark, rows).select(F.regexp_extract_all(c, F.lit(T.word_pattern(terms)), F.lit(0)).alias("a"), F.regexp_extract_all(c, F.lit(r"(?iU)\b(?:" + "|".join(terms) + r")\b"), F.lit(0)).alias("b"),
+                                     S.syllables(c).alias("x"), old.alias("y")).collect()
+    assert all(r.a == r.b and r.x == r.y for r in same) and sum(len(r.a) for r in same) > 50
+
+
+def test_starts_of_items_across_blocks(spark):
+    for n in (0, 1, 2, 63, 64, 65, 128, 129, 1000):
+        sizes = [k % 7 for k in range(n)]
+        got = spark.createDataFrame([(sizes,)], "v array<int>").select(T.starts_of(F.col("v")).alias("a")).first().a
+        assert got == [sum(sizes[:k]) for k in range(n)]
+
+
 def brute_segments(text, patterns):
     """Spans taken pattern by pattern, each unless it meets one taken before."""
     taken = []
