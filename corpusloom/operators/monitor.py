@@ -141,14 +141,20 @@ LENGTH_BINS = ["Very Short", "Short", "Medium", "Long", "Very Long"]  # fixed va
 
 
 def quality_by_length_bin(df: DataFrame, col: str = "word_count") -> DataFrame:
-    """Mean quality in five equal-width, right-closed bins of length."""
-    span = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"))
-    d = attach(df, span)
+    """Mean quality in five equal-width, right-closed bins of length.
+
+    Rows are summed by length, and the ends of the bins are read from these sums too, all their columns, so that one exchange serves both and scores are
+    worked out once.
+    """
+    per = df.groupBy(col).agg(F.sum("quality_score").alias("_sum"), F.count("quality_score").alias("_scored"), F.count("*").alias("_n"))
+    span = per.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"), F.max(F.struct("_sum", "_scored", "_n")).alias("_held"))
+    d = attach(per, span)
     label = F.lit(LENGTH_BINS[-1])
     for i in range(len(LENGTH_BINS) - 1, 0, -1):
         edge = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / len(LENGTH_BINS)
         label = F.when(F.col(col) <= edge, F.lit(LENGTH_BINS[i - 1])).otherwise(label)
-    return d.groupBy(label.alias("length_bin")).agg(F.avg("quality_score").alias("quality_score"), F.count("*").alias("n"))
+    return d.groupBy(label.alias("length_bin")).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_scored").cast("double")).alias("quality_score"), F.sum("_n").alias("n"))
 
 
 def quality_trends(df: DataFrame, order: list[str], keep: int = 10, assess=None) -> DataFrame:
