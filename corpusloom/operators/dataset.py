@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom import prompts as P
 from corpusloom.functions import scores as S, text as T
 from corpusloom.operators import extraction as EX
+from corpusloom.session import scratch
 
 
 def fill(template: Column, values: dict, content: Column | None = None) -> Column:
@@ -182,7 +183,11 @@ def variant_records(chunks: DataFrame) -> DataFrame:
 
 def fill_missing_with_fallback(chunks: DataFrame, responses: DataFrame, fmt: str = "qa_pairs") -> DataFrame:
     """Parsed and rescued items, and rule-based records for the chunks that got none."""
-    items = EX.parse_model_responses(responses).unionByName(EX.rescue_unparsed(responses)).drop("metadata")
+    rows = EX.parsed_or_rescued(responses)
+    # responses are read once: their records are few beside the texts, and the chunks that have some are told from the stored records
+    path = scratch(chunks.sparkSession, "response-records")
+    rows.write.parquet(path)
+    items = chunks.sparkSession.read.schema(rows.schema).parquet(path)
     missing = chunks.join(items.select("chunk_id").distinct(), "chunk_id", "left_anti")
     return items.unionByName(training_records(missing, [fmt]))
 

@@ -370,10 +370,11 @@ def _items() -> Column:
     return F.from_json(_payload(), "array<map<string,string>>")
 
 
-def _field(which: int) -> Column:
-    out = F.col("_m")[("input", "output")[which]]
+def _field(which: int, item: Column | None = None) -> Column:
+    m = F.col("_m") if item is None else item
+    out = m[("input", "output")[which]]
     for fmt, names in RESPONSE_FIELDS.items():
-        out = F.when(F.col("format_type") == fmt, F.col("_m")[names[which]]).otherwise(out)
+        out = F.when(F.col("format_type") == fmt, m[names[which]]).otherwise(out)
     return F.coalesce(out, F.lit(""))
 
 
@@ -394,3 +395,18 @@ def rescue_unparsed(df: DataFrame) -> DataFrame:
         "chunk_id", F.concat(F.concat_ws("_", "chunk_id", "format_type"), F.lit("_simple_"), F.col("i").cast("string")).alias("id"),
         "format_type", F.col("l").alias("input_text"), F.lit("Generated from content").alias("output_text"),
         F.to_json(F.create_map(F.lit("source_line"), "l")).alias("metadata"), F.lit(0.5).alias("quality_score"))
+
+
+def parsed_or_rescued(df: DataFrame) -> DataFrame:
+    """The rows of :func:`parse_model_responses` and :func:`rescue_unparsed` without their metadata, from one reading of each response."""
+    d = T.settle(df.select("chunk_id", "format_type", "response").withColumn("_p", _payload()), "_p")
+    d = T.settle(d.withColumn("_v", F.from_json("_p", "array<map<string,string>>")), "_v")
+
+    def row(tail, given, told, score):
+        return F.struct(F.concat(F.concat_ws("_", "chunk_id", "format_type"), tail).alias("id"), given.alias("input_text"), told.alias("output_text"), F.lit(score).alias("quality_score"))
+
+    items = F.transform("_v", lambda m, i: row(F.concat(F.lit("_"), i.cast("string")), _field(0, m), _field(1, m), 0.9))
+    lines_ = F.filter(F.transform(T.lines(F.col("response")), lambda l, i: row(
+        F.concat(F.lit("_simple_"), i.cast("string")), T.trim_ws(l), F.lit("Generated from content"), 0.5)), lambda r: r["input_text"] != "")
+    return d.select("chunk_id", "format_type", F.inline(F.when(F.col("_v").isNotNull(), items).when(F.col("_p") != "", lines_))).select(
+        "chunk_id", "id", "format_type", "input_text", "output_text", "quality_score")
