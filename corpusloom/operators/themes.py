@@ -153,15 +153,17 @@ def dedupe_spans(spans: Column) -> Column:
     """
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), (-s["confidence"]).alias("neg"), s["keyword"].alias("keyword"), s["end"].alias("end"))))
-    zero = F.filter(ordered, lambda s: F.lit(False))
+    kind = "struct<start:int,neg:double,keyword:string,end:int>"
+    mark = lambda start, end: F.struct(start.alias("start"), F.lit(0.0).alias("neg"), F.lit("").alias("keyword"), end.alias("end")).cast(kind)
+    zero, after = mark(F.lit(-1), F.lit(-1)), mark(F.lit(2**31 - 1), F.lit(2**31 - 1))  # one behind all spans gives the last kept one out
+    none = F.lit(None).cast(kind)
 
-    def step(acc, s):
-        n = F.size(acc)
-        last = F.element_at(acc, F.when(n == 0, F.lit(None)).otherwise(F.lit(-1)))
-        return (F.when((n == 0) | (s["start"] >= last["end"]), F.array_append(acc, s))
-                .when(s["neg"] < last["neg"], F.array_append(F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0))), s)).otherwise(acc))
+    def step(last, s):
+        apart = s["start"] >= last["end"]
+        return F.struct(F.when(apart | (s["neg"] < last["neg"]), s).otherwise(last).alias("state"), F.when(apart & (last["end"] >= 0), last).otherwise(none).alias("row"))
 
-    return F.transform(F.aggregate(ordered, zero, step), lambda s: F.struct(
+    kept = T.scan(F.array_append(ordered.cast(f"array<{kind}>"), after), zero, step, kind)
+    return F.transform(kept, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["keyword"].alias("keyword"), (-s["neg"]).alias("confidence")))
 
 

@@ -242,6 +242,40 @@ def test_starts_of_items_across_blocks(spark):
         assert got == [sum(sizes[:k]) for k in range(n)]
 
 
+def test_length_bins_score_each_text_once(spark, sf):
+    df = S.with_quality(TB.documents(spark, sf)).select("word_count", "quality_score")
+    out = MO.quality_by_length_bin(df)
+    assert sum(r.n for r in out.collect()) == df.count()
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") >= 1
+
+
+def test_overlaps_of_many_spans_take_linear_time(spark):
+    """A hundred thousand spans of one text: before, every kept one copied all kept before it."""
+    span = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("keyword"), F.lit(0.5).alias("confidence"))
+    n = 100_000
+    spans = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 3).alias("start"), (i * 3 + 3 + i % 2).alias("end"), F.lit("k").alias("keyword"), (i % 5 / 10.0).alias("confidence")))
+    kept = []
+    for i in range(n):
+        s = (i * 3, i * 3 + 3 + i % 2, i % 5 / 10.0)
+        if not kept or s[0] >= kept[-1][1]:
+            kept.append(s)
+        elif s[2] > kept[-1][2]:
+            kept[-1] = s
+    start = time.time()
+    got = spark.range(1).select(TH.dedupe_spans(spans).alias("v")).first().v
+    assert [(r.start, r.end, r.confidence) for r in got] == kept and time.time() - start < 30
+    assert spark.range(1).select(F.size(TH.dedupe_spans(F.filter(F.array(span), lambda x: F.lit(False))))).first()[0] == 0
+
+
+def test_responses_are_parsed_or_rescued_as_apart(spark):
+    rows = [("a", "qa_pairs", 'So: [{"question": "q", "answer": "b"}, {"question": "r"}] done'), ("b", "classification", "[broken {\n\n line ]\n last "), ("c", "x", "nothing"),
+            ("d", "x", None), ("e", "qa_pairs", "[]"), ("f", "x", '[{"input": "i", "output": "o"}]'), ("g", "qa_pairs", '[{"question": oops]\n\n \nlast')]
+    df = spark.createDataFrame(rows, "chunk_id string, format_type string, response string")
+    apart = EX.parse_model_responses(df).unionByName(EX.rescue_unparsed(df)).drop("metadata")
+    got = EX.parsed_or_rescued(df)
+    assert got.columns == apart.columns and sorted(got.collect()) == sorted(apart.collect()) and got.count() >= 5
+
+
 def brute_segments(text, patterns):
     """Spans taken pattern by pattern, each unless it meets one taken before."""
     taken = []
