@@ -37,6 +37,10 @@ def theme_matches(df: DataFrame, themes: list[str], before: int = 2, after: int
     return df.select("doc_id", F.inline(T.let(T.sentence_spans(c), lambda ss: found(c, ss))))
 
 
+_HITS = "array<struct<start:int,end:int,keyword:string,confidence:double,sentence_index:int,paragraph_index:int>>"
+_SPANS = "array<struct<start:int,end:int,keyword:string,confidence:double,method:string>>"
+
+
 def regex_hits(c: Column, themes: list[str], case_sensitive: bool = False) -> Column:
     """array<struct<start,end,keyword,confidence>> of every literal occurrence."""
     flag = "" if case_sensitive else "(?iu)"
@@ -45,7 +49,51 @@ def regex_hits(c: Column, themes: list[str], case_sensitive: bool = False) -> Co
         F.array().cast(_HITS)) for t in themes])
 
 
-_HITS = "array<struct<start:int,end:int,keyword:string,confidence:double,sentence_index:int,paragraph_index:int>>"
+def theme_spans(c: Column, themes: list[str], methods: tuple[str, ...] = ("regex", "sentence")) -> Column:
+    """array<struct<start,end,keyword,confidence,method>>: the places of :func:`theme_matches_regex` (method regex) and :func:`theme_matches` (sentence), without the text around them.
+
+    The lower-cased text is cut at each theme once.  An occurrence is the first of its sentence where an end mark lies in the gap before it.  Themes that hold an end
+    mark or begin or end with white space may reach over a sentence; those are looked for sentence by sentence.
+    """
+    blank = " \t\n\x0b\f\r"
+    whole = [t for t in themes if t and not set(t) & set(".!?") and t.strip(blank) == t]
+    rest = [t for t in themes if t not in whole] if "sentence" in methods else []
+
+    def span(start, end, theme, method):
+        return F.struct(start.alias("start"), end.alias("end"), F.lit(theme).alias("keyword"), F.lit(0.7 if method == "sentence" else 0.5).alias("confidence"), F.lit(method).alias("method"))
+
+    def key_of(theme):
+        return theme.translate({0x3a3: 0x3c3, 0x130: 0x69}).lower()
+
+    def places(low, theme):
+        key = key_of(theme)
+        kinds = [m for m in methods if m == "regex" or theme in whole]
+        if not key or not kinds:
+            return F.array().cast(_SPANS)
+
+        def of(gaps, ends, method):
+            at = F.sequence(F.lit(0), F.size(gaps) - 2)
+            if method == "sentence":
+                at = F.filter(at, lambda i: (i == 0) | F.get(gaps, i).rlike("[.!?]"))
+            return F.transform(at, lambda i: span(F.get(ends, i + 1) - len(key), F.get(ends, i + 1), theme, method))
+
+        found = T.let(F.split(low, r"\Q" + key + r"\E"), lambda gaps: T.let(
+            T.starts_of(F.transform(gaps, lambda g: F.length(g) + len(key))), lambda ends: F.concat(*[of(gaps, ends, m) for m in kinds])))
+        return F.when(F.contains(low, F.lit(key)), found).otherwise(F.array().cast(_SPANS))
+
+    def in_sentences(s):
+        def one(k):
+            start = s["start"] + F.position(k["low"], s["text"]) - 1
+            return F.struct(start.alias("start"), (start + F.length(k["keyword"])).alias("end"), k["keyword"].alias("keyword"), F.lit(0.7).alias("confidence"), F.lit("sentence").alias("method"))
+
+        keys = F.array(*[F.struct(F.lit(t).alias("keyword"), F.lit(key_of(t)).alias("low")) for t in rest])
+        return F.transform(F.filter(keys, lambda k: F.contains(s["text"], k["low"])), one)
+
+    def every(low):
+        spans = [places(low, t) for t in themes]
+        return F.concat(*spans, *([F.coalesce(F.flatten(F.transform(T.sentence_spans(low), in_sentences)), F.array().cast(_SPANS))] if rest else []))
+
+    return T.let(T.lower_by_sign(c), every)
 
 
 def _tagged(c: Column, pattern: str, name: str) -> Column:
@@ -83,12 +131,6 @@ def theme_matches_regex(df: DataFrame, themes: list[str], case_sensitive: bool =
 _PLACE = "keyword string,start int,end int,matched_text string,sentence_index int,paragraph_index int"
 
 
-def _signwise_lower(c: Column) -> Column:
-    """Lower case with one sign for each sign of the text: the two signs that Java turns by their neighbours or into two are taken first."""
-    low = F.lower(F.translate(c, "\u03a3\u0130", "\u03c3i"))
-    return F.when(F.length(low) == F.length(c), low).otherwise(F.array_join(F.transform(F.split(c, ""), lambda x: F.left(F.lower(x), F.lit(1))), ""))
-
-
 def dictionary_places(df: DataFrame, phrases: DataFrame, case_sensitive: bool = False, key: str = "doc_id", col: str = "text") -> DataFrame:
     """Every occurrence of every phrase (column keyword) in every text, in one pass whatever the number of phrases.
 
@@ -97,7 +139,7 @@ def dictionary_places(df: DataFrame, phrases: DataFrame, case_sensitive: bool =
     the key and are compared in full.  Of occurrences of one phrase that overlap each other the leftmost counts.  ``key`` must tell the texts apart.  Empty
     and null phrases are left out; repeated ones count once.
     """
-    low = (lambda c: c) if case_sensitive else _signwise_lower
+    low = (lambda c: c) if case_sensitive else T.lower_by_sign
     p = phrases.select("keyword").filter(F.length("keyword") > 0).distinct().withColumn("_low", low(F.col("keyword")))
     p = p.withColumn("_key", F.left("_low", F.lit(windows.KEY_SIGNS))).withColumn("_n", F.length("_low"))
     # a phrase that begins as it ends can overlap itself

@@ -712,3 +712,34 @@ def test_one_file_per_text_is_made_by_all_cores(spark, sf):
     from corpusloom.registry import QUERIES
     files = QUERIES["read_text_corpus"](spark, sf).inputFiles()
     assert len({re.search(r"part-(\d+)", f).group(1) for f in files}) > 4  # the number of the task that wrote it
+
+
+# --- places of themes in one cut of a text --------------------------------------------------------------
+
+def test_theme_spans_are_those_of_plain_search(spark):
+    import re
+    themes = ["then", "Freedom", "of the", "der", "aa", "i", "ς", "o. t", " x", "n "]
+    rows = [*EDGE, STORY, "Then THEN then. aaaa aaa! of the der DER", "İ then. İİ i! ΑΣ. ς Σ", "leſ ſ then", "no. then o. t x x. n x n ", "...then!!aa??", "then" * 300 + ". " + "a then. " * 200]
+
+    def low(t):
+        return "".join(x.lower()[0] for x in t.replace("Σ", "σ").replace("İ", "i"))
+
+    def brute(text):
+        t, out = low(text or ""), set()
+        for k in themes:
+            out |= {(m.start(), k, "regex") for m in re.finditer(re.escape(low(k)), t)}
+            for s in re.finditer(r"[^.!?]+", t):
+                body = s.group().strip(" \t\n\x0b\f\r")
+                at = body.find(low(k))
+                if body and at >= 0:
+                    out.add((s.start() + s.group().index(body) + at, k, "sentence"))
+        return sorted((a, a + len(k), k, 0.7 if m == "sentence" else 0.5, m) for a, k, m in out)
+
+    got = texts(spark, rows).orderBy("doc_id").select(TH.theme_spans(F.col("text"), themes)).collect()
+    assert [sorted(tuple(s) for s in r[0]) for r in got] == [brute(t) for t in rows]
+
+
+def test_theme_statistics_reads_the_documents_once(spark, sf):
+    from __spark_entry__ import queries
+    plan = queries()["theme_statistics"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1, plan
