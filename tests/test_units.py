@@ -743,3 +743,9 @@ def test_theme_statistics_reads_the_documents_once(spark, sf):
     from __spark_entry__ import queries
     plan = queries()["theme_statistics"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1, plan
+
+
+def test_union_of_theme_matches_stays_in_the_row_of_a_text(spark, sf):
+    from __spark_entry__ import queries
+    plan = queries()["union_theme_matches"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Aggregate" not in plan, plan
