@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as FV
 from corpusloom.functions import pairs as PF, scores as S, text as T
-from corpusloom.operators import chunking as CH, cleaning as CL, export as EXP, extraction as EX, graph as GR, monitor as MO, themes as TH, vectors as VE
+from corpusloom.operators import analysis as AN, chunking as CH, cleaning as CL, export as EXP, extraction as EX, graph as GR, monitor as MO, themes as TH, vectors as VE
 from corpusloom.plans import ordered, skew
 from corpusloom.sources import readers as RD, tables as TB
 from corpusloom.streaming import stateful as SF, streams as ST
@@ -749,3 +749,38 @@ def test_union_of_theme_matches_stays_in_the_row_of_a_text(spark, sf):
     from __spark_entry__ import queries
     plan = queries()["union_theme_matches"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1 and "Aggregate" not in plan, plan
+
+
+# --- words of the content types and concepts from one pass ------------------------------------------------
+
+ODD_WORDS = [*EDGE, STORY, "He said he said. THEY SAID; she  said she\nsaid said", "ſaid saiḋ said́ said_ said1 1said -said-", "was like was x\rlike y", "was\nlike it was as was like\nlike was",
+             "in conclusion, in  conclusion; took place according to research shows took\nplace", "İt was like İ. WAS it LIKE K", "idea of truth. Idea OF İstanbul, idea of ΑΣ. idea of idea of x of abc",
+             "nature of it; nature of\ttruth essence \n of \n léa knowledge about art2 heart of gold", "'a' b 'c \"d\" \"\" e\" f", "first second-third, tall/short", "they said"]
+
+
+def test_content_counts_and_concepts_are_those_of_sql(spark):
+    import duckdb
+    from corpusloom.registry.q_extract import DOUBLED, content_sql
+    from corpusloom.registry.sqlbits import concepts as concepts_sql
+    con = duckdb.connect()
+    con.execute("CREATE TABLE m (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO m VALUES (?, ?)", [list(x) for x in enumerate(t or "" for t in ODD_WORDS)])
+    names = ["dialogue", "description", "exposition", "narrative"]
+    want = con.execute(f"WITH {DOUBLED}, c AS (SELECT doc_id, text, {content_sql()} FROM dd) SELECT {', '.join(names)}, {concepts_sql('text')} FROM c ORDER BY doc_id").fetchall()
+    counts = S.content_scores(F.col("text"))
+    d = texts(spark, [t or "" for t in ODD_WORDS])
+    got = d.orderBy("doc_id").select(*[counts[n].alias(n) for n in names], T.concepts(F.col("text")).alias("k")).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    # the analysis of chunks finds the same
+    a = AN.analyze_chunks(d.withColumn("chunk_no", F.lit(1))).orderBy("doc_id").select("n_concepts", "concepts", "content_type").collect()
+    assert [(r[0], r[1]) for r in a] == [(len(r[4]), r[4]) for r in want]
+    assert [r[2] for r in a] == [names[r[:4].index(max(r[:4]))] for r in want]
+
+
+def test_analyze_chunks_makes_no_themes_that_nobody_asks_for(spark, sf):
+    from __spark_entry__ import queries
+    plan = queries()["analyze_chunks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cognition" not in plan and plan.count(T.WORD + "+,") == 1, plan
+    every = AN.analyze_chunks(texts(spark, [STORY]).withColumn("chunk_no", F.lit(1)))
+    assert set(S.with_semantics(texts(spark, [STORY])).columns) - {"readability_simple", "coherence_blend"} <= set(every.columns)
+    assert "learning" in every._jdf.queryExecution().optimizedPlan().toString()
