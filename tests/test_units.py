@@ -784,3 +784,9 @@ def test_analyze_chunks_makes_no_themes_that_nobody_asks_for(spark, sf):
     every = AN.analyze_chunks(texts(spark, [STORY]).withColumn("chunk_no", F.lit(1)))
     assert set(S.with_semantics(texts(spark, [STORY])).columns) - {"readability_simple", "coherence_blend"} <= set(every.columns)
     assert "learning" in every._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_export_chunks_for_ai_makes_what_it_writes(spark, sf):
+    from __spark_entry__ import queries
+    plan = queries()["export_chunks_for_ai"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "cognition" not in plan and "xxhash64" not in plan and plan.count(T.WORD + "+,") == 1, plan
