@@ -253,15 +253,15 @@ def chunk_summary(df: DataFrame) -> DataFrame:
     return g
 
 
-def batch_quality(df: DataFrame) -> DataFrame:
-    """Mean, grade counts, issue and warning sums and the distinct recommendations of scored texts."""
-    m = S.quality_messages()
+def batch_quality(df: DataFrame, blank_apart: bool = False) -> DataFrame:
+    """Mean, grade counts, issue and warning sums and the distinct recommendations of scored texts; ``blank_apart`` as in ``scores.quality_messages``."""
+    m = S.quality_messages(blank_apart)
     d = df.select("quality_score", "quality_grade", F.size(m["issues"]).alias("_i"), F.size(m["warnings"]).alias("_w"), m["recommendations"].alias("_r"))
     grades = [g for _, g in FV.QUALITY_GRADES] + [FV.LOWEST_GRADE]
-    recs = d.select(F.explode("_r").alias("r")).distinct().agg(F.array_join(F.array_sort(F.collect_list("r")), "|").alias("recommendations"))  # a fixed set of texts
-    return attach(d.agg(F.count("*").alias("total_chunks"), F.avg("quality_score").alias("avg_quality"),
-                        *[F.count_if(F.col("quality_grade") == g).alias(g.lower().replace(" ", "_")) for g in grades],
-                        F.sum("_i").alias("issues_count"), F.sum("_w").alias("warnings_count")), recs)
+    recs = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_r"))))  # sets of a few fixed texts
+    return d.agg(F.count("*").alias("total_chunks"), F.avg("quality_score").alias("avg_quality"),
+                 *[F.count_if(F.col("quality_grade") == g).alias(g.lower().replace(" ", "_")) for g in grades],
+                 F.sum("_i").alias("issues_count"), F.sum("_w").alias("warnings_count"), F.nullif(F.array_join(recs, "|"), F.lit("")).alias("recommendations"))
 
 
 def quality_summary(df: DataFrame) -> DataFrame:

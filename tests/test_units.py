@@ -812,3 +812,41 @@ def test_export_chunks_for_ai_reads_a_text_once_for_its_entities_and_quotes(spar
     for part in (*FV.ORG_WORDS, "he said", "took place"):
         assert not re.search(rf"Contains\([^,]+, {part}\)", plan), part
     assert "_distinct, _distinct" not in plan  # word sets are not carried on where nobody asks for them
+
+
+# --- blank and missing texts as in SQL ---------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def blank_tables(sf, tmp_path_factory):
+    """The smallest tables, their documents joined by blank, missing and quoted texts."""
+    import duckdb
+    out = tmp_path_factory.mktemp("blank")
+    rows = ["", None, " ", "\n", "", '""', '"', "\\N", "\\\\N", "\\Na", "null", "a\r\nb \"q\", c", " lead and trail ", "\\", "\r", "#c"]
+    duckdb.connect().execute(f"""copy (select * from read_parquet('{sf}/documents.parquet') union all
+        select 900001 + i, t, 'en', 's', length(t) from (select unnest($1::varchar[]) as t, unnest(range({len(rows)})) as i)) to '{out}/documents.parquet' (format parquet)""", [rows])
+    for t in "region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations".split():
+        (out / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    return str(out)
+
+
+def as_sql(spark, tables, name):
+    from __spark_entry__ import oracle_sql, queries
+    from check_oracles import compare, connect
+    return compare(spark, connect(tables), tables, name, queries()[name], oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", ["batch_quality", "quality_issues"])
+def test_messages_of_blank_texts_are_those_of_sql(spark, blank_tables, name):
+    got = as_sql(spark, blank_tables, name)
+    assert got.startswith("ok"), got
+
+
+def test_blank_texts_may_be_told_apart_and_texts_are_scored_once(spark, sf):
+    from corpusloom.operators import validation as VA
+    d = S.with_quality(texts(spark, ["", STORY]))
+    assert VA.batch_quality(d.filter("doc_id = 0"), True).first().recommendations == "Add content to analyze"
+    apart, alike = ({r.doc_id: r.i for r in d.select("doc_id", S.quality_messages(x)["issues"].alias("i")).collect()} for x in (True, False))
+    assert apart[0] == ["Content is empty"] and alike[0] == ["Content too short (0 words)"] and apart[1] == alike[1]
+    assert one(VA.batch_quality(d.filter("doc_id < 0")).select("recommendations")) == [None]
+    from __spark_entry__ import queries
+    assert queries()["batch_quality"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
