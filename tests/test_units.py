@@ -850,3 +850,11 @@ def test_blank_texts_may_be_told_apart_and_texts_are_scored_once(spark, sf):
     assert one(VA.batch_quality(d.filter("doc_id < 0")).select("recommendations")) == [None]
     from __spark_entry__ import queries
     assert queries()["batch_quality"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+
+
+def test_csv_keeps_empty_and_missing_texts_apart(spark, blank_tables, tmp_path):
+    rows = [(1, ""), (2, None), (3, "\\N"), (4, "\\\\N"), (5, "\\N\n"), (6, "\n\\N"), (7, '""'), (8, " "), (None, "x")]
+    EXP.write_csv(spark.createDataFrame(rows, "id int, text string"), str(tmp_path / "csv"))
+    assert {tuple(r) for r in EXP.read_csv(spark, str(tmp_path / "csv"), "id int, text string").collect()} == set(rows)
+    got = as_sql(spark, blank_tables, "export_csv")
+    assert got.startswith("ok"), got
