@@ -239,22 +239,35 @@ def top_phrases(df: DataFrame, keep: int = 10, col: str = "text") -> DataFrame:
 
 
 def phrase_scores(c: Column, keep: int = 15) -> Column:
-    """Best word pairs of a text by length, name status and closeness to the middle."""
-    def scored(n):
-        def one(g, i):
-            name = g.rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$")
-            value = (F.lit(0.4 * 2 / 5) + F.when(name, F.lit(0.4 * 0.5)).otherwise(F.lit(0.0))
-                     + F.lit(0.2) * (F.lit(1.0) - F.abs(F.lit(0.5) - i / n)))
-            return F.struct((-F.round(value, 9)).alias("neg"), i.alias("at"), g.alias("phrase"),
-                            F.when(name, F.lit(1.0)).otherwise(F.lit(0.5)).alias("base_importance"))
+    """Best word pairs of a text by length, name status and closeness to the middle.
+
+    Any name is worth more than any other pair, so only names and the pairs next to the middle are scored and sorted.
+    """
+    def capital(w):
+        return (w >= "A") & (w < "[")
+
+    def scored(ws, n):
+        def one(i):
+            def row(g):
+                name = g.rlike(r"\A[A-Z][a-z]+ [A-Z][a-z]+\z")
+                value = (F.lit(0.4 * 2 / 5) + F.when(name, F.lit(0.4 * 0.5)).otherwise(F.lit(0.0))
+                         + F.lit(0.2) * (F.lit(1.0) - F.abs(F.lit(0.5) - i / n)))
+                return F.struct((-F.round(value, 9)).alias("neg"), i.alias("at"), g.alias("phrase"),
+                                F.when(name, F.lit(1.0)).otherwise(F.lit(0.5)).alias("base_importance"))
+
+            return T.let(F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1)), row)
 
         return one
 
-    def ranked(ws):
-        n = F.greatest(F.size(ws), F.lit(1))
-        return T.let(n, lambda k: F.slice(F.sort_array(F.transform(T.bigrams(ws), scored(k))), 1, keep))
+    def ranked(ws, n):
+        middle = F.shiftright(n, 1)
+        low = F.greatest(middle - keep - 1, F.lit(0))
+        near = F.sequence(low, F.greatest(F.least(middle + keep + 1, n - 2), low))
+        names = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: capital(F.get(ws, i)) & capital(F.get(ws, i + 1)))
+        places = F.filter(F.array_union(names, near), lambda i: i + 1 < n)
+        return F.when(n.isNotNull(), F.slice(F.sort_array(F.transform(places, scored(ws, n))), 1, keep))
 
-    return T.let(T.words(c), ranked)
+    return T.let(T.words(c), lambda ws: T.let(F.size(ws), lambda n: ranked(ws, n)))
 
 
 def phrase_importance(df: DataFrame, keep: int = 15, col: str = "text") -> DataFrame:
