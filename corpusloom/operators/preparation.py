@@ -18,11 +18,11 @@ def question_answers(c: Column) -> Column:
 def with_profile(df: DataFrame, col: str = "text") -> DataFrame:
     """complexity, polarity, subjectivity and has_qa of each text."""
     c = F.col(col)
-    out = (df.withColumn("_tok", T.lower_tokens(c)).withColumn("n_entities", T.n_labeled_entities(c))
-           .withColumn("_sent", S.sentiment(F.col("_tok"))))
-    out = (out.withColumn("complexity", S.complexity(F.col("_tok"), F.col("n_entities")))
+    out = df.withColumn("_alpha", T.alpha_tokens(F.lower(c))).withColumn("n_entities", T.n_labeled_entities(c))
+    out = out.withColumn("_sent", S.sentiment(F.col("_alpha")))
+    out = (out.withColumn("complexity", S.complexity(F.col("_alpha"), F.col("n_entities")))
            .withColumn("polarity", F.col("_sent.polarity")).withColumn("subjectivity", F.col("_sent.subjectivity"))
-           .withColumn("has_qa", F.size(question_answers(c)) > 0).drop("_tok", "_sent"))
+           .withColumn("has_qa", F.when(F.contains(c, F.lit("?")), F.size(question_answers(c)) > 0).when(c.isNotNull(), F.lit(False))).drop("_alpha", "_sent"))
     return T.settle(out, "n_entities", "complexity", "polarity", "subjectivity", "has_qa")
 
 
