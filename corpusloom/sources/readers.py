@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom import fixed_values as FV
 from corpusloom.functions import text as T
+from corpusloom.sources.files import write_each
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path in the file system of the machine, or None where ``path`` lies in another store."""
+    kind = re.match(r"([A-Za-z][\w+.-]*):", path)
+    if (kind.group(1) if kind else spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").split(":")[0]) != "file":
+        return None
+    return re.sub(r"^file:(?://(?=/))?", "", path)
+
+
+def write_text_corpus(df: DataFrame, path: str) -> None:
+    """Every text (doc_id, text) as a file of its own below ``path``, closed by a line end; missing texts lie apart.
+
+    In a folder of the machine the tasks make the files themselves: the writer of Spark starts processes for each file there, to set its rights.
+    """
+    rows = df.select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("_text"))
+    if (root := _local(df.sparkSession, path)) is not None:
+        rows.mapInArrow(write_each(root), "n long").agg(F.sum("n")).collect()
+    else:
+        df.select("doc_id", "text", F.col("text").isNull().alias("missing")).write.partitionBy("missing", "doc_id").text(path)
+
+
+def corpus_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text, n_chars) of the files that :func:`write_text_corpus` wrote."""
+    text = F.when(~F.contains("path", F.lit("/missing=true/")), F.col("text"))
+    return read_text_corpus(spark, path).select(F.regexp_extract("path", r"/doc_id=(-?\d+)[./]", 1).cast("bigint").alias("doc_id"), text.alias("text"), F.length(text).alias("n_chars"))
 
 
 def read_text_corpus(spark: SparkSession, path: str, suffixes=("txt", "md")) -> DataFrame:

@@ -908,3 +908,38 @@ def test_phrases_and_letter_words_are_those_of_all_pairs_and_tokens(spark):
                 name = re.fullmatch("[A-Z][a-z]+ [A-Z][a-z]+", g) is not None
                 rows.append((-round(0.16 + 0.2 * name + 0.2 * (1 - abs(0.5 - i / len(ws))), 9), i, g, 1.0 if name else 0.5))
             assert [(x.at, x.phrase, x.base_importance) for x in r.p] == [x[1:] for x in sorted(rows)[:keep]], r.text[:40]
+
+
+# --- one file a text ---------------------------------------------------------------------------------
+
+def test_a_file_for_a_text_starts_no_process(spark, tmp_path):
+    def started():
+        return int(re.search(r"processes (\d+)", open("/proc/stat").read()).group(1))
+
+    rows = [(i, f"text {i}\nsecond é") for i in range(400)] + [(-5, "minus"), (7, "again"), (1000, ""), (1001, None), (1002, "\r\n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    RD.write_text_corpus(d.limit(1), str(tmp_path / "warm"))
+    before = started()
+    RD.write_text_corpus(d, str(tmp_path / "a"))
+    assert started() - before < 300  # the writer of Spark starts some for each file
+    got = RD.corpus_texts(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i, t + "\n" if t is not None else "") for i, t in rows)
+    assert [r.n_chars for r in got if r.doc_id in (1000, 1001)].count(None) == 1
+    RD.write_text_corpus(d, str(tmp_path / "a"))  # as a task that runs again
+    assert RD.corpus_texts(spark, str(tmp_path / "a")).count() == len(rows)
+
+
+def test_corpus_in_another_store_is_written_by_spark(spark, tmp_path, monkeypatch):
+    rows = [(1, "a\nb"), (-2, ""), (3, None)]
+    monkeypatch.setattr(RD, "_local", lambda *_: None)
+    RD.write_text_corpus(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "b"))
+    assert {tuple(r) for r in RD.corpus_texts(spark, str(tmp_path / "b")).collect()} == {(1, "a\nb\n", 4), (-2, "\n", 1), (3, None, None)}
+
+
+def test_local_paths_are_told_from_other_stores(spark):
+    assert [RD._local(spark, p) for p in ("/a b/c", "file:/a/b", "file:///a/b", "hdfs://h/a", "s3a://b/a", "viewfs://s/a")] == ["/a b/c", "/a/b", "/a/b", None, None, None]
+
+
+def test_read_text_corpus_of_blank_texts_is_as_sql(spark, blank_tables):
+    got = as_sql(spark, blank_tables, "read_text_corpus")
+    assert got.startswith("ok"), got
