@@ -131,8 +131,8 @@ def render_enhanced_prompts(df: DataFrame, kind: str, style: dict | None = None)
 _RECORD = ("id", "format_type", "input_text", "output_text", "quality_score")
 
 
-def training_records(chunks: DataFrame, formats: list[str]) -> DataFrame:
-    """Rule-based records per chunk: three questions, one label, or one generic item per format."""
+def training_rows(formats: list[str]) -> list[Column]:
+    """Rule-based records of a chunk as structs: three questions, one label, or one generic item per format."""
     c, cid = F.col("text"), F.col("chunk_id")
 
     def row(id_, fmt, i, o, q):
@@ -147,7 +147,12 @@ def training_records(chunks: DataFrame, formats: list[str]) -> DataFrame:
             rows.append(row(F.concat(cid, F.lit("_classification_fallback")), f, c, "informational", 0.6))
         else:
             rows.append(row(F.concat(cid, F.lit(f"_{f}_fallback")), f, c, f"Processed content from {f}", 0.5))
-    return chunks.select("chunk_id", F.inline(F.array(*rows)))
+    return rows
+
+
+def training_records(chunks: DataFrame, formats: list[str]) -> DataFrame:
+    """A row for each of the records of :func:`training_rows`."""
+    return chunks.select("chunk_id", F.inline(F.array(*training_rows(formats))))
 
 
 def dialogue_records(chunks: DataFrame) -> DataFrame:

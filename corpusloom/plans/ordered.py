@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F, types as TY
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F, types as TY
 
 from corpusloom.session import scratch
 
@@ -92,25 +92,28 @@ def _numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Da
             .drop("_local", "carry", "_slice", "_key"))
 
 
-def in_order(df: DataFrame, order: list[str], name: str = "rn", slices: int | None = None, of_slice: int = 64) -> DataFrame:
+def in_order(df: DataFrame, order: list[str], name: str = "rn", slices: int | None = None, of_slice: int = 64, rows: list[Column] | None = None) -> DataFrame:
     """All rows with their number from 1 by ``order``, sorted across the partitions, in one shuffle.
 
     Borders of the slices come from a sample of the order columns, as a range partitioning takes them; how many rows each slice holds is counted
     before anything is shuffled, so a row's number is known where it is sorted.  ``df`` is computed three times; it must give the same rows each time.
+    With ``rows``, structs made of each row take its place, sorted among themselves; only the row they are made of is shuffled.
     """
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*[F.col(c) for c in order])
-    rows = df.select(*order).count()
-    seen = df.select(key.alias("k")).sample(min(1.0, of_slice * n / max(rows, 1)), seed=7).sort("k").toArrow().column("k").to_pylist() if rows else []
+    total = df.select(*order).count()
+    seen = df.select(key.alias("k")).sample(min(1.0, of_slice * n / max(total, 1)), seed=7).sort("k").toArrow().column("k").to_pylist() if total else []
     cuts = [seen[len(seen) * i // n] for i in range(1, n)] if len(seen) >= n else seen
     kind = f"array<{df.select(key.alias('k')).schema['k'].dataType.simpleString()}>"
     borders = df.sparkSession.createDataFrame([(cuts,)], f"c {kind}").select("c").scalar()
     d = df.withColumn("_borders", borders).withColumn("_slice", F.size(F.filter("_borders", lambda b: b <= key))).drop("_borders")
     counts = dict(map(tuple, d.groupBy("_slice").count().collect()))
-    before = [sum(v for s, v in counts.items() if s < i) for i in range(len(cuts) + 1)]
+    before = [sum(v for s, v in counts.items() if s < i) * len(rows or [1]) for i in range(len(cuts) + 1)]
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    sorted_ = d.repartitionById(len(before), F.col("_slice")).sortWithinPartitions(*order).withColumn("_local", local)
-    return sorted_.withColumn(name, F.get(F.array(*[F.lit(b).cast("bigint") for b in before]), F.col("_slice")) + F.col("_local") + 1).drop("_slice", "_local")
+    sorted_ = d.repartitionById(len(before), F.col("_slice")).sortWithinPartitions(*order)
+    if rows:
+        sorted_ = sorted_.select("_slice", F.inline(F.array_sort(F.array(*rows))))
+    return sorted_.withColumn("_local", local).withColumn(name, F.get(F.array(*[F.lit(b).cast("bigint") for b in before]), F.col("_slice")) + F.col("_local") + 1).drop("_slice", "_local")
 
 
 def over_frames(df: DataFrame, keys: list[str], order: list[str], back: int,

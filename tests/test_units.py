@@ -943,3 +943,30 @@ def test_local_paths_are_told_from_other_stores(spark):
 def test_read_text_corpus_of_blank_texts_is_as_sql(spark, blank_tables):
     got = as_sql(spark, blank_tables, "read_text_corpus")
     assert got.startswith("ok"), got
+
+
+# --- a bundle of rows made of chunks ---------------------------------------------------------------------
+
+def test_rows_made_of_sorted_rows_are_numbered_as_themselves(spark):
+    d = spark.range(3000).select(F.concat_ws("_", F.pmod(F.hash("id"), F.lit(90)), "id", F.lit("")).alias("k"), F.repeat(F.lit("x"), 50).alias("t"))
+    rows = [F.struct(F.concat("k", F.lit(s)).alias("id"), F.col("t").alias("v")) for s in ("qa_1", "b", "qa_0")]
+    out = ordered.in_order(d, ["k"], "n", slices=7, rows=rows)
+    got = [(r.n, r.id) for r in out.orderBy("n").collect()]
+    assert got == list(enumerate(sorted(f"{r.k}{s}" for r in d.collect() for s in ("qa_1", "b", "qa_0")), 1))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("RepartitionByExpression")  # made after the shuffle
+
+
+def test_bundle_of_chunks_is_that_of_their_records(spark, tmp_path):
+    from corpusloom.operators import dataset as DS
+    d = spark.createDataFrame([(f"{i % 13}_{i}", f"text {i}\nline ", f"{i % 13}_{i}_") for i in range(200)], "chunk_id string, text string, begins string")
+    formats = ["qa_pairs", "classification", "few_shot_examples"]
+    EXP.write_bundle(d, str(tmp_path / "a"), ["begins"], rows=DS.training_rows(formats))
+    EXP.write_bundle(DS.training_records(d, formats).drop("chunk_id"), str(tmp_path / "b"), ["id"])
+    for f in ("json", "csv", "markdown", "txt"):
+        a, b = (sorted(one(spark.read.text(str(tmp_path / x / f)))) for x in "ab")
+        assert a == b and len(a) >= 1000, f
+    assert [spark.read.json(str(tmp_path / x / "manifest")).first().total_items for x in "ab"] == [1000, 1000]
+    from pathlib import Path
+    from corpusloom.session import shared_dir
+    assert not list(Path(shared_dir(spark)).glob("bundle-rows*"))
